@@ -1,0 +1 @@
+"""Column-expression functions: cleaning, rule scores, tiers (no Python UDFs)."""

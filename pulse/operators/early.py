@@ -108,7 +108,7 @@ def early_snapshot(spec: EarlySpec, t: LearnerTables, module: str, presentation:
     # Learners with submissions: NaN -> 0; learners without: left as NULL.
     has_subs = F.col("num_assessments").isNotNull()
     cols["min_score"] = F.when(has_subs, z(F.col("min_score")))
-    cols["score_std"] = F.when(has_subs, z(F.col("score_std")))
+    cols["score_std"] = F.when(has_subs, F.round(z(F.col("score_std")), 6))
     cols["last_score"] = z(F.col("last_score"))
     if spec.pass_rate:
         cols["pass_rate"] = z(F.col("pass_rate"))

@@ -109,7 +109,9 @@ def panel_sql(*, cohort: str, cutoffs, base_from: str = "students s, cut c", bas
               recent: int = 7, den: str = "greatest(b.cutoff, 1)", wden: int = 14,
               fill: str = "zero", label: str | None = None, horizon: int = 0,
               eligible: bool = False, clip: bool = False, elapsed: str = "days_elapsed_since_reg",
-              label_name: str = "y_short", extra_select: str = "", base_where: str = "") -> str:
+              label_name: str = "y_short", extra_select: str = "", base_where: str = "",
+              cut_cte: str | None = None,
+              id_out: str = "CAST(b.id_student AS BIGINT) AS id_student") -> str:
     """Reference-shaped panel: per-block aggregates over vle_mod joined back to the base."""
     ws = "greatest(0, c.cutoff - %d)" % (window - 1) if clamp else "c.cutoff - %d" % (window - 1)
     if halves == "split":
@@ -129,7 +131,7 @@ maxday AS (SELECT id_student, max(dsr) AS md FROM vle_mod GROUP BY id_student),"
         where.append(base_where)
     wsql = ("WHERE " + " AND ".join(where)) if where else ""
     ctes = f"""{cohort.strip()},
-{cutoffs_cte(cutoffs)},{elig}
+{cut_cte or cutoffs_cte(cutoffs)},{elig}
 b AS (
   SELECT {base_cols}, c.cutoff, {ws} AS ws, {fe} AS fe, {ss} AS ss
   FROM {base_from} {wsql}),
@@ -180,7 +182,7 @@ fut AS (
     h1v = "CAST(coalesce(h1.clicks_0_7, 0) AS DOUBLE)"
     h2v = "CAST(coalesce(h2.clicks_8_14, 0) AS DOUBLE)"
     select = f"""
-SELECT CAST(b.id_student AS BIGINT) AS id_student, CAST(b.cutoff AS BIGINT) AS cutoff, {extra_select} {lab}
+SELECT {id_out}, CAST(b.cutoff AS BIGINT) AS cutoff, {extra_select} {lab}
   CAST(b.cutoff AS DOUBLE) AS {elapsed},
   CAST(coalesce(cum.total_clicks, 0) AS DOUBLE) / {den_sql} AS clicks_per_day_total,
   CAST({ar_total} AS DOUBLE) AS active_ratio_total,
@@ -244,3 +246,94 @@ def v9_panel(cutoffs=C.CUTOFFS_UNREG):
     return panel_sql(cohort=V9_COHORT, cutoffs=cutoffs, base_cols="s.id_student, s.unreg", clamp=False,
                      halves="tail", label="unregister", horizon=14, clip=True, label_name="target",
                      base_where="s.unreg > c.cutoff")
+
+
+V11_COHORT = f"""
+reg_lookup AS (
+  SELECT DISTINCT id_student, date_registration FROM student_registration
+  WHERE code_module = '{MOD}' AND code_presentation IN {PRES} AND date_registration IS NOT NULL),
+students AS (SELECT id_student, CAST(14 - date_registration AS INTEGER) AS dsr_today FROM reg_lookup),
+vle_mod AS (
+  SELECT v.id_student, v.date - r.date_registration AS dsr, v.sum_click
+  FROM student_vle v JOIN reg_lookup r ON v.id_student = r.id_student
+  WHERE v.code_module = '{MOD}' AND v.code_presentation IN {PRES})"""
+
+
+def v11_panel():
+    return panel_sql(cohort=V11_COHORT, cutoffs=(), fill="worst_case",
+                     cut_cte="cut AS (SELECT id_student AS cid, dsr_today AS cutoff FROM students)",
+                     base_from="students s JOIN cut c ON c.cid = s.id_student",
+                     id_out="CAST(b.id_student AS VARCHAR) AS student_id")
+
+
+def early_sql(*, start: int, end: int, per_day: int, bands, recency: bool = True, pass_rate: bool = True,
+              extra=(), cats=("gender", "age_band"), presentation: str = PRES1) -> str:
+    """Single-window learner snapshot, block by block as the reference builds it."""
+    ex = "".join(f", {c}" for c in extra)
+    ca = "".join(f", {c}" for c in cats)
+    band_ctes = ",\n".join(
+        f"{name} AS (SELECT id_student, sum(sum_click) AS v FROM vle WHERE date >= {lo} AND date <= {hi} GROUP BY 1)"
+        for lo, hi, name in bands)
+    band_joins = "\n".join(f"LEFT JOIN {name} ON {name}.id_student = s.id_student" for _, _, name in bands)
+
+    def z(x):
+        return f"CAST(coalesce({x}, 0) AS DOUBLE)"
+    cols = [f"{z('r.reg_day')} AS reg_day", f"{z('r.rbs')} AS registered_before_start"]
+    cols += [f"{z('s.' + c)} AS {c}" for c in extra]
+    cols += [f"{z('va.total')} AS total_clicks", f"{z('va.days')} AS active_days",
+             f"{z(f'CAST(va.total AS DOUBLE) / {per_day}')} AS avg_clicks_per_day",
+             f"{z('CAST(va.total AS DOUBLE) / va.days')} AS avg_clicks_per_active_day"]
+    cols += [f"CAST(CASE WHEN va.id_student IS NULL THEN 0 ELSE coalesce({n}.v, 0) END AS DOUBLE) AS {n}"
+             for _, _, n in bands]
+    if recency:
+        b1, b2 = bands[0][2], bands[1][2]
+        h1 = f"CAST(coalesce({b1}.v, 0) AS DOUBLE)"
+        h2 = f"CAST(coalesce({b2}.v, 0) AS DOUBLE)"
+        cols += [f"CASE WHEN va.id_student IS NULL THEN 0.0 ELSE {h2} - {h1} END AS trend_click",
+                 f"CASE WHEN va.id_student IS NULL THEN 0.0 ELSE ({h2} + 1) / ({h1} + 1) END AS ratio_click",
+                 f"{z(f'{end} - va.last')} AS days_since_last_login",
+                 f"{z(f'{end} - va.last')} AS inactivity_streak"]
+    cols += [f"{z('aa.n')} AS num_assessments", f"{z('aa.avg_score')} AS avg_score",
+             f"{z('aa.max_score')} AS max_score",
+             "CASE WHEN aa.id_student IS NULL THEN NULL ELSE CAST(coalesce(aa.min_score, 0) AS DOUBLE) END AS min_score",
+             "CASE WHEN aa.id_student IS NULL THEN NULL ELSE round(CAST(coalesce(aa.sd, 0) AS DOUBLE), 6) END AS score_std",
+             f"{z('ls.score')} AS last_score"]
+    if pass_rate:
+        cols.append(f"{z('aa.pass_rate')} AS pass_rate")
+    sel = ",\n  ".join(cols)
+    return with_demo(f"""
+students AS (
+  SELECT id_student, CASE WHEN final_result = 'Withdrawn' THEN 1 ELSE 0 END AS dropout{ex}{ca}
+  FROM student_info WHERE code_module = '{MOD}' AND code_presentation = '{presentation}'),
+r AS (
+  SELECT id_student, date_registration AS reg_day,
+         CASE WHEN date_registration < 0 THEN 1 ELSE 0 END AS rbs
+  FROM student_registration WHERE code_module = '{MOD}' AND code_presentation = '{presentation}'
+    AND id_student IN (SELECT id_student FROM students)),
+vle AS (
+  SELECT * FROM student_vle WHERE code_module = '{MOD}' AND code_presentation = '{presentation}'
+    AND id_student IN (SELECT id_student FROM students) AND date >= {start} AND date <= {end}),
+va AS (SELECT id_student, sum(sum_click) AS total, count(DISTINCT date) AS days, max(date) AS last
+       FROM vle GROUP BY 1),
+{band_ctes},
+ass AS (
+  SELECT * FROM student_assessment WHERE id_student IN (SELECT id_student FROM students)
+    AND date_submitted >= {start} AND date_submitted <= {end}),
+aa AS (
+  SELECT id_student, count(DISTINCT id_assessment) AS n, avg(score) AS avg_score, max(score) AS max_score,
+         min(score) AS min_score, stddev_samp(score) AS sd,
+         avg(CASE WHEN score >= 40 THEN 1.0 ELSE 0.0 END) AS pass_rate
+  FROM ass GROUP BY 1),
+ls AS (
+  SELECT id_student, score FROM (
+    SELECT id_student, score, row_number() OVER (PARTITION BY id_student
+           ORDER BY date_submitted DESC, id_assessment DESC, id_submission DESC) AS rn
+    FROM ass WHERE score IS NOT NULL) WHERE rn = 1)""") + f"""
+SELECT CAST(s.id_student AS BIGINT) AS id_student, CAST(s.dropout AS BIGINT) AS dropout,
+  {sel}{''.join(f", s.{c}" for c in cats)}
+FROM students s
+LEFT JOIN r ON r.id_student = s.id_student
+LEFT JOIN va ON va.id_student = s.id_student
+{band_joins}
+LEFT JOIN aa ON aa.id_student = s.id_student
+LEFT JOIN ls ON ls.id_student = s.id_student"""

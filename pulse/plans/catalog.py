@@ -174,3 +174,62 @@ register("snapshot_v8", _sql(O.v8_panel()))(lambda spark, sf: variants.snapshot_
 register("snapshot_v8_short", _sql(O.v8_panel(C.CUTOFFS_SHORT)))(
     lambda spark, sf: variants.snapshot_v8(T(spark, sf), cutoffs=C.CUTOFFS_SHORT))
 register("snapshot_v9", _sql(O.v9_panel()))(lambda spark, sf: variants.snapshot_v9(T(spark, sf)))
+
+# early single-window snapshots (P1-P3) and the day-7 / per-row-cutoff panels
+
+
+def _early_sql(spec, **kw):
+    return O.early_sql(start=spec.start, end=spec.end, per_day=spec.per_day, bands=spec.bands,
+                       recency=spec.recency, pass_rate=spec.pass_rate, extra=spec.numeric_extra,
+                       cats=spec.categorical, **kw)
+
+
+register("snapshot_v1", _early_sql(early.V1))(lambda spark, sf: early.early_snapshot(early.V1, T(spark, sf), MOD, PRES1))
+register("snapshot_v2", _early_sql(early.V2))(lambda spark, sf: early.early_snapshot(early.V2, T(spark, sf), MOD, PRES1))
+register("snapshot_v3", _early_sql(early.v3_spec(14)))(
+    lambda spark, sf: early.early_snapshot(early.v3_spec(14), T(spark, sf), MOD, PRES1))
+
+register("snapshot_v10", W(O.REG_CLOCK) + """,
+v7 AS (SELECT * FROM vle_mod WHERE dsr >= 0 AND dsr <= 7),
+agg AS (SELECT id_student, sum(sum_click) AS total, count(DISTINCT dsr) AS days, max(dsr) AS last FROM v7 GROUP BY 1),
+l3 AS (SELECT id_student, sum(sum_click) AS v FROM v7 WHERE dsr >= 5 GROUP BY 1),
+a03 AS (SELECT id_student, sum(sum_click) AS v FROM v7 WHERE dsr <= 3 GROUP BY 1),
+a47 AS (SELECT id_student, sum(sum_click) AS v FROM v7 WHERE dsr >= 4 GROUP BY 1)
+SELECT CAST(s.id_student AS BIGINT) AS id_student, CAST(s.dropout AS BIGINT) AS dropout,
+  CASE WHEN agg.id_student IS NULL THEN NULL ELSE 8.0 END AS days_elapsed_since_reg,
+  CAST(coalesce(agg.total, 0) AS DOUBLE) / 8 AS clicks_per_day_total,
+  CAST(coalesce(agg.days, 0) AS DOUBLE) / 8 AS active_ratio_total,
+  CASE WHEN agg.days > 0 THEN CAST(agg.total AS DOUBLE) / agg.days ELSE 0.0 END AS avg_clicks_per_active_day_total,
+  CAST(coalesce(7 - agg.last, 0) AS DOUBLE) AS days_since_last_active,
+  CAST(coalesce(l3.v, 0) AS DOUBLE) AS clicks_last_3_days,
+  CAST(coalesce(a03.v, 0) AS DOUBLE) AS clicks_0_3,
+  CAST(coalesce(a47.v, 0) AS DOUBLE) AS clicks_4_7,
+  CAST(coalesce(a47.v, 0) AS DOUBLE) - CAST(coalesce(a03.v, 0) AS DOUBLE) AS trend_click_7,
+  (CAST(coalesce(a47.v, 0) AS DOUBLE) + 1) / (CAST(coalesce(a03.v, 0) AS DOUBLE) + 1) AS ratio_click_7,
+  CAST(coalesce(7 - agg.last, 0) AS DOUBLE) AS inactivity_streak_7
+FROM students s LEFT JOIN agg USING (id_student) LEFT JOIN l3 USING (id_student)
+LEFT JOIN a03 USING (id_student) LEFT JOIN a47 USING (id_student)""")(
+    lambda spark, sf: variants.snapshot_v10(T(spark, sf)))
+
+register("snapshot_v11", _sql(O.v11_panel()))(
+    lambda spark, sf: variants.snapshot_v11(learner_histories(T(spark, sf))))
+
+# labels at (learner, cutoff) grain
+
+_V7 = O.reg_panel("silent", 7)
+_V8 = O.v8_panel()
+_V9 = O.v9_panel()
+
+
+def _wrap(parts, select):
+    """Wrap a panel query as CTE ``p`` and select from it."""
+    ctes, inner = parts
+    return W(ctes, f"p AS ({inner})") + "\n" + select
+
+
+register("label_silent", _wrap(_V7, "SELECT id_student, cutoff, y_short FROM p"))(
+    lambda spark, sf: variants.snapshot_v7(T(spark, sf)).select("id_student", "cutoff", "y_short"))
+register("label_low_activity", _wrap(_V8, "SELECT id_student, cutoff, y_short FROM p"))(
+    lambda spark, sf: variants.snapshot_v8(T(spark, sf)).select("id_student", "cutoff", "y_short"))
+register("label_unregister", _wrap(_V9, "SELECT id_student, cutoff, target FROM p"))(
+    lambda spark, sf: variants.snapshot_v9(T(spark, sf)).select("id_student", "cutoff", "target"))
