@@ -337,3 +337,58 @@ LEFT JOIN va ON va.id_student = s.id_student
 {band_joins}
 LEFT JOIN aa ON aa.id_student = s.id_student
 LEFT JOIN ls ON ls.id_student = s.id_student"""
+
+
+def clip01(x: str) -> str:
+    return f"least(greatest({x}, 0::DOUBLE), 1::DOUBLE)"
+
+
+DECLINE_A = "(" + clip01(
+    f"0.3::DOUBLE * {clip01('inactivity_streak_14 / 7.0::DOUBLE')}"
+    f" + 0.2::DOUBLE * {clip01('(0.3::DOUBLE - active_ratio_14) / 0.3::DOUBLE')}"
+    f" + 0.2::DOUBLE * {clip01('(10.0::DOUBLE - clicks_last_14_days) / 10.0::DOUBLE')}"
+    f" + 0.1::DOUBLE * {clip01('days_since_last_active / 7.0::DOUBLE')}"
+    f" + 0.15::DOUBLE * {clip01('(0.35::DOUBLE - ((clicks_last_7_days + 1.0) / (clicks_8_14 + 1.0))) / 0.35::DOUBLE')}"
+    f" + 0.03::DOUBLE * {clip01('(-trend_click_14) / 30.0::DOUBLE')}"
+    f" + 0.02::DOUBLE * {clip01('(0.6::DOUBLE - ratio_click_14) / 0.6::DOUBLE')}") + ")"
+
+
+def _cl(x, lo, hi):
+    return f"least(greatest({x}, {lo}::DOUBLE), {hi}::DOUBLE)"
+
+
+DECLINE_B = "(" + clip01(
+    f"0.3::DOUBLE * {clip01('1.0::DOUBLE - ' + _cl('ratio_click_14', 0, 3) + ' / 1.0::DOUBLE')}"
+    f" + 0.25::DOUBLE * {clip01('(-' + _cl('trend_click_14', -50, 50) + ') / 30.0::DOUBLE')}"
+    f" + 0.2::DOUBLE * {clip01('1.0::DOUBLE - ' + _cl('clicks_last_7_days', 0, 200) + ' / 20.0::DOUBLE')}"
+    f" + 0.15::DOUBLE * {clip01(_cl('inactivity_streak_14', 0, 14) + ' / 14.0::DOUBLE')}"
+    f" + 0.1::DOUBLE * {clip01(_cl('days_since_last_active', 0, 60) + ' / 14.0::DOUBLE')}") + ")"
+
+HEURISTIC = "(" + clip01(
+    "0.45::DOUBLE * (inactivity_streak_14 / 14.0::DOUBLE)"
+    " + 0.3::DOUBLE * (1.0::DOUBLE - tanh(clicks_last_14_days / 10.0::DOUBLE))"
+    " + 0.15::DOUBLE * (CASE WHEN clicks_last_7_days <= 1 THEN 1.0 ELSE 0.0 END)"
+    " + 0.1::DOUBLE * tanh(days_since_last_active / 5.0::DOUBLE)") + ")"
+
+FEATURES_15 = ("days_elapsed_since_reg", "clicks_per_day_total", "active_ratio_total",
+               "avg_clicks_per_active_day_total", "days_since_last_active", "clicks_last_14_days",
+               "active_days_14", "clicks_per_day_14", "active_ratio_14", "clicks_last_7_days",
+               "clicks_0_7", "clicks_8_14", "trend_click_14", "ratio_click_14", "inactivity_streak_14")
+
+
+def clean_sql(mode: str, cols=FEATURES_15) -> str:
+    """Select list of the X9 cleaner over a relation that has the feature columns."""
+    out = []
+    for c in cols:
+        x = f"coalesce(TRY_CAST({c} AS DOUBLE), 0::DOUBLE)"
+        if c in ("active_ratio_total", "active_ratio_14"):
+            x = _cl(x, 0, 1)
+        if mode == "all_nonneg":
+            x = f"greatest({x}, 0::DOUBLE)"
+        elif mode == "click_nonneg":
+            if c == "inactivity_streak_14":
+                x = _cl(x, 0, 14)
+            if "click" in c or c == "days_since_last_active":
+                x = f"greatest({x}, 0::DOUBLE)"
+        out.append(f"{x} AS {c}")
+    return ", ".join(out)

@@ -233,3 +233,296 @@ register("label_low_activity", _wrap(_V8, "SELECT id_student, cutoff, y_short FR
     lambda spark, sf: variants.snapshot_v8(T(spark, sf)).select("id_student", "cutoff", "y_short"))
 register("label_unregister", _wrap(_V9, "SELECT id_student, cutoff, target FROM p"))(
     lambda spark, sf: variants.snapshot_v9(T(spark, sf)).select("id_student", "cutoff", "target"))
+
+# ---------------------------------------------------------------- joins / aggregates on the panel grain
+
+from ..functions import rules  # noqa: E402
+from ..functions.clean import clean_features, safe_div  # noqa: E402
+from ..ml import metrics as M  # noqa: E402
+from ..ml import thresholds as TH  # noqa: E402
+from ..operators import assessments as A  # noqa: E402
+from ..operators.snapshot import V5, cutoff_panel, window_bounds  # noqa: E402
+from . import daily as D  # noqa: E402
+
+CUTS = C.CUTOFFS_REG
+_CUT_SQL = O.cutoffs_cte(CUTS)
+_ARR = "[" + ", ".join(str(c) for c in CUTS) + "]"
+
+
+def _reg(spark, sf):
+    return variants.registration_clock(T(spark, sf), MOD, PRES)
+
+
+def _daily_cut(daily, cond):
+    """Attach every cutoff for which ``cond(day, cutoff)`` holds: a Generate over the literal
+    cutoff array, filtered per row, so no join and no shuffle."""
+    arr = F.array(*[F.lit(c) for c in CUTS])
+    return daily.withColumn("cutoff", F.explode(F.filter(arr, lambda c: cond(F.col("day"), c))))
+
+
+register("learner_cutoff_panel", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT CAST(s.id_student AS BIGINT) AS id_student, CAST(c.cutoff AS BIGINT) AS cutoff FROM students s, cut c""")(
+    lambda spark, sf: cutoff_panel(_reg(spark, sf)[0].select("id_student"), CUTS)
+    .select("id_student", F.col("cutoff").cast("bigint")))
+
+register("panel_bounds", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT CAST(s.id_student AS BIGINT) AS id_student, CAST(c.cutoff AS BIGINT) AS cutoff,
+       CAST(greatest(0, c.cutoff - 13) AS BIGINT) AS w_start,
+       CAST(least(c.cutoff, greatest(0, c.cutoff - 13) + 6) AS BIGINT) AS first_end,
+       CAST(least(c.cutoff, least(c.cutoff, greatest(0, c.cutoff - 13) + 6) + 1) AS BIGINT) AS second_start
+FROM students s, cut c""")(lambda spark, sf: _bounds(spark, sf))
+
+
+def _bounds(spark, sf):
+    p = cutoff_panel(_reg(spark, sf)[0].select("id_student"), CUTS)
+    ws, fe, ss = window_bounds(V5, F.col("cutoff"))
+    return p.select("id_student", F.col("cutoff").cast("bigint"), ws.cast("bigint").alias("w_start"),
+                    fe.cast("bigint").alias("first_end"), ss.cast("bigint").alias("second_start"))
+
+
+register("events_as_of_cutoff", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT v.id_student, CAST(c.cutoff AS BIGINT) AS cutoff, CAST(v.dsr AS BIGINT) AS day,
+       CAST(sum(v.sum_click) AS BIGINT) AS clicks
+FROM vle_mod v JOIN cut c ON v.dsr <= c.cutoff GROUP BY 1, 2, 3""")(
+    lambda spark, sf: _daily_cut(_reg(spark, sf)[1], lambda d, c: d <= c)
+    .select("id_student", F.col("cutoff").cast("bigint"), F.col("day").cast("bigint"), "clicks"))
+
+register("future_activity", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT v.id_student, CAST(c.cutoff AS BIGINT) AS cutoff, CAST(sum(v.sum_click) AS BIGINT) AS future_clicks,
+       CAST(count(DISTINCT v.dsr) AS BIGINT) AS future_active_days
+FROM vle_mod v JOIN cut c ON v.dsr > c.cutoff AND v.dsr <= c.cutoff + 14 GROUP BY 1, 2""")(
+    lambda spark, sf: _daily_cut(_reg(spark, sf)[1], lambda d, c: (d > c) & (d <= c + 14))
+    .groupBy("id_student", "cutoff").agg(F.sum("clicks").cast("bigint").alias("future_clicks"),
+                                         F.count(F.lit(1)).alias("future_active_days"))
+    .withColumn("cutoff", F.col("cutoff").cast("bigint")))
+
+register("has_future", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT DISTINCT v.id_student, CAST(c.cutoff AS BIGINT) AS cutoff, CAST(1 AS BIGINT) AS has_activity_next
+FROM vle_mod v JOIN cut c ON v.dsr > c.cutoff AND v.dsr <= c.cutoff + 7""")(
+    lambda spark, sf: _daily_cut(_reg(spark, sf)[1], lambda d, c: (d > c) & (d <= c + 7))
+    .groupBy("id_student", "cutoff").agg(F.lit(1).cast("bigint").alias("has_activity_next"))
+    .withColumn("cutoff", F.col("cutoff").cast("bigint")))
+
+register("silent_learners", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT CAST(s.id_student AS BIGINT) AS id_student, CAST(c.cutoff AS BIGINT) AS cutoff FROM students s, cut c
+WHERE NOT EXISTS (SELECT 1 FROM vle_mod v WHERE v.id_student = s.id_student
+                  AND v.dsr > c.cutoff AND v.dsr <= c.cutoff + 7)""")(lambda spark, sf: _silent(spark, sf))
+
+
+def _silent(spark, sf):
+    learners, daily = _reg(spark, sf)
+    fut = _daily_cut(daily, lambda d, c: (d > c) & (d <= c + 7)).select("id_student", "cutoff").distinct()
+    panel = cutoff_panel(learners.select("id_student"), CUTS)
+    return panel.join(fut, ["id_student", "cutoff"], "left_anti").select(
+        "id_student", F.col("cutoff").cast("bigint"))
+
+
+register("eligible_panel", _wrap(O.reg_panel("silent", 7, eligible=True), "SELECT id_student, cutoff FROM p"))(
+    lambda spark, sf: variants.snapshot_v5(T(spark, sf)).select("id_student", "cutoff"))
+
+register("cumulative_activity", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT v.id_student, CAST(c.cutoff AS BIGINT) AS cutoff, CAST(sum(v.sum_click) AS BIGINT) AS total_clicks,
+       CAST(count(DISTINCT v.dsr) AS BIGINT) AS active_days_total, CAST(max(v.dsr) AS BIGINT) AS last_active
+FROM vle_mod v JOIN cut c ON v.dsr <= c.cutoff GROUP BY 1, 2""")(
+    lambda spark, sf: _daily_cut(_reg(spark, sf)[1], lambda d, c: d <= c).groupBy("id_student", "cutoff").agg(
+        F.sum("clicks").cast("bigint").alias("total_clicks"), F.count(F.lit(1)).alias("active_days_total"),
+        F.max("day").cast("bigint").alias("last_active")).withColumn("cutoff", F.col("cutoff").cast("bigint")))
+
+register("trailing14_activity", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT v.id_student, CAST(c.cutoff AS BIGINT) AS cutoff, CAST(sum(v.sum_click) AS BIGINT) AS clicks_last_14_days,
+       CAST(count(DISTINCT v.dsr) AS BIGINT) AS active_days_14
+FROM vle_mod v JOIN cut c ON v.dsr <= c.cutoff AND v.dsr >= greatest(0, c.cutoff - 13) GROUP BY 1, 2""")(
+    lambda spark, sf: _daily_cut(_reg(spark, sf)[1], lambda d, c: (d <= c) & (d >= F.greatest(c - 13, F.lit(0))))
+    .groupBy("id_student", "cutoff").agg(F.sum("clicks").cast("bigint").alias("clicks_last_14_days"),
+                                         F.count(F.lit(1)).alias("active_days_14"))
+    .withColumn("cutoff", F.col("cutoff").cast("bigint")))
+
+register("half_window_clicks", W(O.REG_CLOCK, _CUT_SQL) + """,
+b AS (SELECT cutoff, greatest(0, cutoff - 13) AS ws, least(cutoff, greatest(0, cutoff - 13) + 6) AS fe FROM cut)
+SELECT v.id_student, CAST(b.cutoff AS BIGINT) AS cutoff,
+       CAST(coalesce(sum(CASE WHEN v.dsr <= b.fe THEN v.sum_click END), 0) AS BIGINT) AS clicks_0_7,
+       CAST(coalesce(sum(CASE WHEN v.dsr >= least(b.cutoff, b.fe + 1) THEN v.sum_click END), 0) AS BIGINT) AS clicks_8_14
+FROM vle_mod v JOIN b ON v.dsr <= b.cutoff AND v.dsr >= b.ws GROUP BY 1, 2""")(lambda spark, sf: _halves(spark, sf))
+
+
+def _halves(spark, sf):
+    d = _daily_cut(_reg(spark, sf)[1], lambda d, c: (d <= c) & (d >= F.greatest(c - 13, F.lit(0))))
+    ws, fe, ss = window_bounds(V5, F.col("cutoff"))
+    return d.groupBy("id_student", "cutoff").agg(
+        F.coalesce(F.sum(F.when(F.col("day") <= fe, F.col("clicks"))), F.lit(0)).cast("bigint").alias("clicks_0_7"),
+        F.coalesce(F.sum(F.when(F.col("day") >= ss, F.col("clicks"))), F.lit(0)).cast("bigint").alias("clicks_8_14"),
+    ).withColumn("cutoff", F.col("cutoff").cast("bigint"))
+
+
+register("last_k_clicks", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT v.id_student, CAST(c.cutoff AS BIGINT) AS cutoff,
+       CAST(coalesce(sum(CASE WHEN v.dsr > c.cutoff - 7 THEN v.sum_click END), 0) AS BIGINT) AS clicks_last_7_days,
+       CAST(coalesce(sum(CASE WHEN v.dsr > c.cutoff - 3 THEN v.sum_click END), 0) AS BIGINT) AS clicks_last_3_days
+FROM vle_mod v JOIN cut c ON v.dsr <= c.cutoff AND v.dsr > c.cutoff - 7 GROUP BY 1, 2""")(
+    lambda spark, sf: _daily_cut(_reg(spark, sf)[1], lambda d, c: (d <= c) & (d > c - 7))
+    .groupBy("id_student", "cutoff").agg(
+        F.sum("clicks").cast("bigint").alias("clicks_last_7_days"),
+        F.coalesce(F.sum(F.when(F.col("day") > F.col("cutoff") - 3, F.col("clicks"))), F.lit(0))
+        .cast("bigint").alias("clicks_last_3_days"))
+    .withColumn("cutoff", F.col("cutoff").cast("bigint")))
+
+register("recency", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT v.id_student, CAST(c.cutoff AS BIGINT) AS cutoff, CAST(c.cutoff - max(v.dsr) AS BIGINT) AS days_since_last_active
+FROM vle_mod v JOIN cut c ON v.dsr <= c.cutoff GROUP BY v.id_student, c.cutoff""")(
+    lambda spark, sf: _daily_cut(_reg(spark, sf)[1], lambda d, c: d <= c).groupBy("id_student", "cutoff")
+    .agg((F.col("cutoff") - F.max("day")).cast("bigint").alias("days_since_last_active"))
+    .withColumn("cutoff", F.col("cutoff").cast("bigint")))
+
+register("active_day_arrays", W(O.REG_CLOCK, _CUT_SQL) + """
+SELECT id_student, CAST(cutoff AS BIGINT) AS cutoff, array_to_string(list_sort(list(DISTINCT dsr)), ',') AS active_days
+FROM vle_mod v JOIN cut c ON v.dsr <= c.cutoff AND v.dsr >= greatest(0, c.cutoff - 13) GROUP BY 1, 2""")(
+    lambda spark, sf: _daily_cut(_reg(spark, sf)[1], lambda d, c: (d <= c) & (d >= F.greatest(c - 13, F.lit(0))))
+    .groupBy("id_student", "cutoff").agg(
+        F.array_join(F.array_sort(F.collect_set("day")), ",").alias("active_days"))
+    .withColumn("cutoff", F.col("cutoff").cast("bigint")))
+
+register("inactivity_streak", W(O.REG_CLOCK, _CUT_SQL) + """,
+lw AS (SELECT v.id_student, c.cutoff, max(v.dsr) AS last_win FROM vle_mod v JOIN cut c
+       ON v.dsr <= c.cutoff AND v.dsr >= greatest(0, c.cutoff - 13) GROUP BY 1, 2)
+SELECT CAST(s.id_student AS BIGINT) AS id_student, CAST(c.cutoff AS BIGINT) AS cutoff,
+       CAST(CASE WHEN lw.last_win IS NULL THEN c.cutoff - greatest(0, c.cutoff - 13) + 1
+                 ELSE c.cutoff - lw.last_win END AS BIGINT) AS inactivity_streak
+FROM students s CROSS JOIN cut c LEFT JOIN lw ON lw.id_student = s.id_student AND lw.cutoff = c.cutoff""")(
+    lambda spark, sf: _streak(spark, sf))
+
+
+def _streak(spark, sf):
+    """X11 closed form with the helper's own empty rule (window length)."""
+    learners, daily = _reg(spark, sf)
+    lw = (_daily_cut(daily, lambda d, c: (d <= c) & (d >= F.greatest(c - 13, F.lit(0))))
+          .groupBy("id_student", "cutoff").agg(F.max("day").alias("last_win")))
+    p = cutoff_panel(learners.select("id_student"), CUTS).join(lw, ["id_student", "cutoff"], "left")
+    ws = F.greatest(F.col("cutoff") - 13, F.lit(0))
+    return p.select("id_student", F.col("cutoff").cast("bigint"),
+                    F.coalesce(F.col("cutoff") - F.col("last_win"), F.col("cutoff") - ws + 1)
+                    .cast("bigint").alias("inactivity_streak"))
+
+
+# course-clock blocks of the single-window variants
+
+_SINGLE = f"""
+sv AS (SELECT * FROM student_vle WHERE code_module = '{MOD}' AND code_presentation = '{PRES1}')"""
+
+
+def _single_daily(spark, sf):
+    return cohort.collapse_daily(cohort.scope(T(spark, sf).student_vle, MOD, PRES1))
+
+
+register("banded_clicks", W(_SINGLE) + """
+SELECT id_student, CAST(sum(CASE WHEN date <= 7 THEN sum_click ELSE 0 END) AS BIGINT) AS clicks_0_7,
+       CAST(sum(CASE WHEN date >= 8 THEN sum_click ELSE 0 END) AS BIGINT) AS clicks_8_14
+FROM sv WHERE date >= 0 AND date <= 14 GROUP BY id_student""")(
+    lambda spark, sf: early.activity_block(early.V2, _single_daily(spark, sf)).select(
+        "id_student", F.col("clicks_0_7").cast("bigint"), F.col("clicks_8_14").cast("bigint")))
+
+register("banded_clicks_100", W(_SINGLE) + """
+SELECT id_student,
+  CAST(sum(CASE WHEN date BETWEEN 0 AND 7 THEN sum_click END) AS BIGINT) AS clicks_0_7,
+  CAST(sum(CASE WHEN date BETWEEN 8 AND 14 THEN sum_click END) AS BIGINT) AS clicks_8_14,
+  CAST(sum(CASE WHEN date BETWEEN 15 AND 28 THEN sum_click END) AS BIGINT) AS clicks_15_28,
+  CAST(sum(CASE WHEN date BETWEEN 29 AND 100 THEN sum_click END) AS BIGINT) AS clicks_29_100
+FROM sv WHERE date BETWEEN 0 AND 100 GROUP BY id_student""")(
+    lambda spark, sf: early.band_pivot(_single_daily(spark, sf), early.V1.bands).select(
+        "id_student", *[F.col(b[2]).cast("bigint").alias(b[2]) for b in early.V1.bands]))
+
+register("activity_outer", W(_SINGLE) + """,
+w AS (SELECT * FROM sv WHERE date >= 0 AND date <= 14),
+la AS (SELECT id_student, 14 - max(date) AS days_since_last_login FROM w GROUP BY 1),
+st AS (SELECT id_student, 14 - max(date) AS inactivity_streak FROM w GROUP BY 1)
+SELECT CAST(coalesce(la.id_student, st.id_student) AS BIGINT) AS id_student,
+       CAST(la.days_since_last_login AS BIGINT) AS days_since_last_login,
+       CAST(st.inactivity_streak AS BIGINT) AS inactivity_streak
+FROM la FULL OUTER JOIN st ON la.id_student = st.id_student""")(lambda spark, sf: _outer(spark, sf))
+
+
+def _outer(spark, sf):
+    d = _single_daily(spark, sf).where(F.col("day").between(0, 14))
+    la = d.groupBy("id_student").agg((F.lit(14) - F.max("day")).alias("days_since_last_login"))
+    st = d.groupBy("id_student").agg((F.lit(14) - F.max("day")).alias("inactivity_streak"))
+    return la.join(st, "id_student", "full_outer").select(
+        F.col("id_student").cast("bigint"), F.col("days_since_last_login").cast("bigint"),
+        F.col("inactivity_streak").cast("bigint"))
+
+
+# assessment statistics
+
+_SUBS = f"""
+ids AS (SELECT DISTINCT id_student FROM student_registration WHERE code_module = '{MOD}' AND code_presentation IN {O.PRES}),
+sub AS (SELECT * FROM student_assessment WHERE id_student IN (SELECT id_student FROM ids) AND date_submitted IS NOT NULL)"""
+
+
+def _subs(spark, sf):
+    t = T(spark, sf)
+    ids = cohort.scope(t.student_registration, MOD, PRES).select("id_student")
+    return t.student_assessment.join(ids, "id_student", "left_semi").where(F.col("date_submitted").isNotNull())
+
+
+register("score_stats", W(_SUBS) + """
+SELECT id_student, CAST(count(DISTINCT id_assessment) AS DOUBLE) AS num_assessments, avg(score) AS avg_score,
+       max(score) AS max_score, min(score) AS min_score, round(stddev_samp(score), 6) AS score_std
+FROM sub GROUP BY id_student""")(
+    lambda spark, sf: A.score_stats(_subs(spark, sf), pass_rate=False).select(
+        "id_student", "num_assessments", "avg_score", "max_score", "min_score",
+        F.round("score_std", 6).alias("score_std")))
+
+_LAST = """
+SELECT id_student, score AS last_score FROM (
+  SELECT id_student, score, row_number() OVER (PARTITION BY id_student
+         ORDER BY date_submitted DESC, id_assessment DESC, id_submission DESC) AS rn
+  FROM sub WHERE score IS NOT NULL) WHERE rn = 1"""
+
+register("last_score", W(_SUBS) + _LAST)(
+    lambda spark, sf: _subs(spark, sf).groupBy("id_student").agg(A.last_score_agg().alias("last_score"))
+    .where(F.col("last_score").isNotNull()))
+register("last_score_window", W(_SUBS) + _LAST)(lambda spark, sf: A.last_score_window(_subs(spark, sf)))
+
+register("pass_count", W(_SUBS) + """
+SELECT id_student, CAST(count(*) FILTER (WHERE score >= 40) AS BIGINT) AS pass_count FROM sub GROUP BY 1""")(
+    lambda spark, sf: _subs(spark, sf).groupBy("id_student").agg(
+        F.count_if(F.col("score") >= C.PASS_MARK).alias("pass_count")))
+
+register("pass_rate", W(_SUBS) + """
+SELECT id_student, avg(CASE WHEN score >= 40 THEN 1.0 ELSE 0.0 END) AS pass_rate FROM sub GROUP BY 1""")(
+    lambda spark, sf: _subs(spark, sf).groupBy("id_student").agg(
+        F.avg(F.when(F.col("score") >= C.PASS_MARK, F.lit(1.0)).otherwise(F.lit(0.0))).alias("pass_rate")))
+
+_V4_ASS = f"""{O.COURSE_COHORT.strip()},
+{O.cutoffs_cte(C.CUTOFFS_COURSE)},
+tid AS (SELECT DISTINCT id_assessment FROM assessments WHERE code_module = '{MOD}' AND code_presentation IN {O.PRES}),
+sub AS (SELECT * FROM student_assessment WHERE id_assessment IN (SELECT id_assessment FROM tid)
+        AND id_student IN (SELECT id_student FROM students) AND date_submitted IS NOT NULL),
+b AS (SELECT s.id_student, c.cutoff FROM students s, cut c),
+ac AS (SELECT b.id_student, b.cutoff, count(DISTINCT id_assessment) AS n, avg(score) AS avg_score,
+              count(*) FILTER (WHERE score >= 40) AS pass_count
+       FROM b JOIN sub ON sub.id_student = b.id_student AND sub.date_submitted <= b.cutoff GROUP BY 1, 2),
+al AS (SELECT id_student, cutoff, score FROM (
+         SELECT b.id_student, b.cutoff, score, row_number() OVER (PARTITION BY b.id_student, b.cutoff
+                ORDER BY date_submitted DESC, id_assessment DESC, id_submission DESC) AS rn
+         FROM b JOIN sub ON sub.id_student = b.id_student AND sub.date_submitted <= b.cutoff
+         WHERE score IS NOT NULL) WHERE rn = 1),
+aw AS (SELECT b.id_student, b.cutoff, count(DISTINCT id_assessment) AS n14, avg(score) AS avg14
+       FROM b JOIN sub ON sub.id_student = b.id_student AND sub.date_submitted <= b.cutoff
+        AND sub.date_submitted >= greatest(0, b.cutoff - 13) GROUP BY 1, 2)"""
+
+register("assessment_snapshot", W(_V4_ASS) + """
+SELECT CAST(b.id_student AS BIGINT) AS id_student, CAST(b.cutoff AS BIGINT) AS cutoff,
+  CAST(coalesce(ac.n, 0) AS DOUBLE) AS num_assessments, CAST(coalesce(ac.avg_score, 0) AS DOUBLE) AS avg_score,
+  CAST(coalesce(ac.pass_count, 0) AS DOUBLE) AS pass_count, CAST(coalesce(al.score, 0) AS DOUBLE) AS last_score,
+  CAST(coalesce(aw.n14, 0) AS DOUBLE) AS num_assessments_14, CAST(coalesce(aw.avg14, 0) AS DOUBLE) AS avg_score_14
+FROM b LEFT JOIN ac USING (id_student, cutoff) LEFT JOIN al USING (id_student, cutoff)
+LEFT JOIN aw USING (id_student, cutoff)""")(
+    lambda spark, sf: variants.snapshot_v4(T(spark, sf)).select(
+        "id_student", "cutoff", "num_assessments", "avg_score", "pass_count", "last_score",
+        "num_assessments_14", "avg_score_14"))
+
+register("score_stats_14", W(_V4_ASS) + """
+SELECT CAST(b.id_student AS BIGINT) AS id_student, CAST(b.cutoff AS BIGINT) AS cutoff,
+  CAST(coalesce(aw.n14, 0) AS DOUBLE) AS num_assessments_14, CAST(coalesce(aw.avg14, 0) AS DOUBLE) AS avg_score_14
+FROM b LEFT JOIN aw USING (id_student, cutoff)""")(
+    lambda spark, sf: variants.snapshot_v4(T(spark, sf)).select(
+        "id_student", "cutoff", "num_assessments_14", "avg_score_14"))
