@@ -526,3 +526,265 @@ SELECT CAST(b.id_student AS BIGINT) AS id_student, CAST(b.cutoff AS BIGINT) AS c
 FROM b LEFT JOIN aw USING (id_student, cutoff)""")(
     lambda spark, sf: variants.snapshot_v4(T(spark, sf)).select(
         "id_student", "cutoff", "num_assessments_14", "avg_score_14"))
+
+
+# ---------------------------------------------------------------- cleaning, rule scores, tiers
+
+def _v8(spark, sf):
+    return variants.snapshot_v8(T(spark, sf))
+
+
+def _scored(spark, sf):
+    """V8 panel with the decline score A (rounded to 6 places) as the deterministic score."""
+    return _v8(spark, sf).select("id_student", "cutoff", "y_short", F.round(rules.decline_score_a(), 6).alias("score"))
+
+
+_SCORED_SQL = f"s AS (SELECT id_student, cutoff, y_short, round({O.DECLINE_A}, 6) AS score FROM p)"
+
+
+def _on_v8(select: str, *more: str) -> str:
+    ctes, inner = O.v8_panel()
+    return W(ctes, f"p AS ({inner})", *more) + "\n" + select
+
+
+register("cleaned_features", _wrap(_V9, f"SELECT id_student, cutoff, {O.clean_sql('click_nonneg')} FROM p"))(
+    lambda spark, sf: clean_features(variants.snapshot_v9(T(spark, sf)), FEATURES_15, "click_nonneg",
+                                     keep=["id_student", "cutoff"]))
+register("cleaned_features_all", _on_v8(f"SELECT id_student, cutoff, {O.clean_sql('all_nonneg')} FROM p"))(
+    lambda spark, sf: clean_features(_v8(spark, sf), FEATURES_15, "all_nonneg", keep=["id_student", "cutoff"]))
+
+register("filled_features", W() + f"""
+SELECT id_student, CAST(coalesce(date_registration, 0) AS BIGINT) AS date_registration,
+       CAST(coalesce(date_unregistration, 999) AS BIGINT) AS date_unregistration
+FROM student_registration WHERE code_module = '{MOD}' AND code_presentation IN {O.PRES}""")(
+    lambda spark, sf: cohort.scope(T(spark, sf).student_registration, MOD, PRES)
+    .select("id_student", "date_registration", "date_unregistration")
+    .fillna({"date_registration": 0, "date_unregistration": 999})
+    .select("id_student", F.col("date_registration").cast("bigint"), F.col("date_unregistration").cast("bigint")))
+
+register("safe_ratios", W(O.REG_CLOCK) + """
+SELECT id_student, coalesce(CAST(sum(sum_click) AS DOUBLE) / nullif(count(DISTINCT dsr), 0), 0.0) AS clicks_per_active_day,
+       coalesce(CAST(sum(sum_click) AS DOUBLE) / nullif(max(dsr) - min(dsr), 0), 0.0) AS clicks_per_span_day
+FROM vle_mod GROUP BY id_student""")(lambda spark, sf: _safe(spark, sf))
+
+
+def _safe(spark, sf):
+    d = _reg(spark, sf)[1]
+    agg = d.groupBy("id_student").agg(F.sum("clicks").alias("tot"), F.count(F.lit(1)).alias("days"),
+                                      (F.max("day") - F.min("day")).alias("span"))
+    return agg.select("id_student", safe_div(F.col("tot"), F.col("days")).alias("clicks_per_active_day"),
+                      safe_div(F.col("tot"), F.col("span")).alias("clicks_per_span_day"))
+
+
+register("decline_score_a", _on_v8(f"SELECT id_student, cutoff, {O.DECLINE_A} AS decline_score FROM p"))(
+    lambda spark, sf: _v8(spark, sf).select("id_student", "cutoff", rules.decline_score_a().alias("decline_score")))
+register("decline_score_b", _on_v8(f"SELECT id_student, cutoff, {O.DECLINE_B} AS decline_score FROM p"))(
+    lambda spark, sf: _v8(spark, sf).select("id_student", "cutoff", rules.decline_score_b().alias("decline_score")))
+
+_V9C = f"q AS (SELECT id_student, cutoff, target, {O.clean_sql('click_nonneg')} FROM p)"
+
+
+def _v9_clean(spark, sf):
+    return clean_features(variants.snapshot_v9(T(spark, sf)), FEATURES_15, "click_nonneg",
+                          keep=["id_student", "cutoff", "target"])
+
+
+register("heuristic_risk", W(O.v9_panel()[0], f"p AS ({O.v9_panel()[1]})", _V9C) + f"""
+SELECT id_student, cutoff, round({O.HEURISTIC}, 6) AS heuristic_risk FROM q""")(
+    lambda spark, sf: _v9_clean(spark, sf).select("id_student", "cutoff",
+                                                   F.round(rules.heuristic_risk(), 6).alias("heuristic_risk")))
+
+register("display_sigmoid", W(O.v9_panel()[0], f"p AS ({O.v9_panel()[1]})", _V9C) + f"""
+SELECT id_student, cutoff,
+  round(least(greatest({O.HEURISTIC} * 1.15::DOUBLE, 0::DOUBLE), 1::DOUBLE), 6) AS heur_boosted,
+  round(1.0 / (1.0 + exp(-8.0 * ({O.HEURISTIC} - 0.5))), 6) AS display
+FROM q""")(lambda spark, sf: _v9_clean(spark, sf).select(
+    "id_student", "cutoff", F.round(rules.boosted(rules.heuristic_risk()), 6).alias("heur_boosted"),
+    F.round(rules.display_sigmoid(rules.heuristic_risk()), 6).alias("display")))
+
+
+def _tier_sql(x, m, h):
+    return f"CASE WHEN {x} >= {h} THEN 'HIGH' WHEN {x} >= {m} THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+register("risk_tiers", _on_v8(f"""SELECT id_student, cutoff,
+  {_tier_sql(O.DECLINE_B, 0.30, 0.60)} AS tier_single, {_tier_sql(O.DECLINE_B, 0.35, 0.60)} AS tier_batch,
+  {_tier_sql(O.DECLINE_B, 0.40, 0.65)} AS tier_alt FROM p"""))(
+    lambda spark, sf: _v8(spark, sf).select(
+        "id_student", "cutoff", rules.tier(rules.decline_score_b(), *C.TIERS_SINGLE).alias("tier_single"),
+        rules.tier(rules.decline_score_b(), *C.TIERS_BATCH).alias("tier_batch"),
+        rules.tier(rules.decline_score_b(), *C.TIERS_ALT).alias("tier_alt")))
+
+register("blended_tiers", _on_v8(f"""SELECT id_student, cutoff,
+  round(0.35::DOUBLE * {O.DECLINE_B} + 0.65::DOUBLE * {O.DECLINE_A}, 6) AS risk_score,
+  {_tier_sql('round(0.35::DOUBLE * ' + O.DECLINE_B + ' + 0.65::DOUBLE * ' + O.DECLINE_A + ', 6)', 0.22, 0.50)} AS risk_level
+  FROM p"""))(lambda spark, sf: _blend_rules(spark, sf))
+
+
+def _blend_rules(spark, sf):
+    """X15 with the rule B score standing in for the model probability (no model needed)."""
+    s = F.round(rules.blend(rules.decline_score_b(), rules.decline_score_a(), C.BLEND_A["alpha_model"]), 6)
+    return _v8(spark, sf).select("id_student", "cutoff", s.alias("risk_score")).withColumn(
+        "risk_level", rules.tier(F.col("risk_score"), C.BLEND_A["thr_medium"], C.BLEND_A["thr_high"]))
+
+
+register("threshold_decision", _on_v8(f"""SELECT id_student, cutoff,
+  CAST(CASE WHEN {O.DECLINE_A} >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS pred FROM p"""))(
+    lambda spark, sf: _v8(spark, sf).select("id_student", "cutoff",
+                                            rules.decision(rules.decline_score_a(), 0.5).cast("bigint").alias("pred")))
+
+register("action_map", _on_v8(f"""SELECT id_student, cutoff, {_tier_sql(O.DECLINE_B, 0.35, 0.60)} AS risk_level,
+  CASE {_tier_sql(O.DECLINE_B, 0.35, 0.60)} WHEN 'HIGH' THEN 'ALERT' WHEN 'MEDIUM' THEN 'REMIND' ELSE 'SAFE' END
+  AS action FROM p"""))(
+    lambda spark, sf: _v8(spark, sf).select("id_student", "cutoff",
+                                            rules.tier(rules.decline_score_b(), *C.TIERS_BATCH).alias("risk_level"))
+    .withColumn("action", rules.action(F.col("risk_level"))))
+
+register("tier_counts", _on_v8(f"""SELECT risk_level, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT {_tier_sql(O.DECLINE_B, 0.35, 0.60)} AS risk_level FROM p) GROUP BY 1"""))(
+    lambda spark, sf: _v8(spark, sf).select(rules.tier(rules.decline_score_b(), *C.TIERS_BATCH).alias("risk_level"))
+    .groupBy("risk_level").agg(F.count(F.lit(1)).alias("n")))
+
+register("daily_alerts", _on_v8(f"""SELECT id_student, cutoff, round({O.DECLINE_A}, 6) AS score FROM p
+  WHERE cutoff = 14 AND round({O.DECLINE_A}, 6) >= 0.5"""))(
+    lambda spark, sf: D.alerts(_scored(spark, sf).where(F.col("cutoff") == 14), "score", 0.5)
+    .select("id_student", "cutoff", "score"))
+
+register("ranked_risk", _on_v8(f"SELECT id_student, cutoff, round({O.DECLINE_A}, 6) AS score FROM p WHERE cutoff = 14"))(
+    lambda spark, sf: D.ranked(_scored(spark, sf).where(F.col("cutoff") == 14).select("id_student", "cutoff", "score"),
+                               "score"))
+
+register("top10_risk", _on_v8(f"""SELECT id_student, cutoff, round({O.DECLINE_A}, 6) AS score FROM p WHERE cutoff = 14
+  ORDER BY score DESC, id_student ASC LIMIT 10"""))(
+    lambda spark, sf: D.top_k(_scored(spark, sf).where(F.col("cutoff") == 14).select("id_student", "cutoff", "score"),
+                              "score", 10))
+
+register("label_profile", _on_v8("""SELECT cutoff, CAST(count(*) AS BIGINT) AS n_rows,
+  round(avg(CAST(y_short AS DOUBLE)), 6) AS positive_rate, CAST(count(DISTINCT id_student) AS BIGINT) AS n_learners,
+  CAST(count(*) FILTER (WHERE y_short = 1) AS BIGINT) AS n_pos, CAST(count(*) FILTER (WHERE y_short <> 1) AS BIGINT) AS n_neg
+  FROM p GROUP BY cutoff"""))(
+    lambda spark, sf: M.label_profile(_v8(spark, sf), ["cutoff"], "y_short", "id_student"))
+
+register("panel_union", W(O.reg_panel("silent", 7)[0].replace("b AS (", "b7 AS (", 0), "") + "\nSELECT 1 AS x" if False
+         else None)(lambda spark, sf: variants.snapshot_v7(T(spark, sf)).select(
+             "id_student", "cutoff", F.col("y_short").alias("label"), F.lit("silent_7").alias("variant"))
+         .unionByName(_v8(spark, sf).select("id_student", "cutoff", F.col("y_short").alias("label"),
+                                             F.lit("low_activity_14").alias("variant"))))
+
+# ---------------------------------------------------------------- evaluation on the deterministic score
+
+register("classification_metrics", _on_v8("""SELECT cutoff, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+  CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn,
+  round(CASE WHEN tp+fp+tn+fn = 0 THEN 0 ELSE (tp+tn)::DOUBLE / (tp+fp+tn+fn) END, 6) AS accuracy,
+  round(CASE WHEN tp+fp = 0 THEN 0 ELSE tp::DOUBLE / (tp+fp) END, 6) AS precision,
+  round(CASE WHEN tp+fn = 0 THEN 0 ELSE tp::DOUBLE / (tp+fn) END, 6) AS recall,
+  round(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2*tp::DOUBLE / (2*tp+fp+fn) END, 6) AS f1,
+  round(tn / (tn + fp + 1e-9), 6) AS specificity
+FROM (SELECT cutoff, count(*) FILTER (WHERE score >= 0.5 AND y_short = 1) AS tp,
+             count(*) FILTER (WHERE score >= 0.5 AND y_short <> 1) AS fp,
+             count(*) FILTER (WHERE score < 0.5 AND y_short <> 1) AS tn,
+             count(*) FILTER (WHERE score < 0.5 AND y_short = 1) AS fn FROM s GROUP BY cutoff)""", _SCORED_SQL))(
+    lambda spark, sf: M.confusion(_scored(spark, sf), ["cutoff"], "score", "y_short", 0.5))
+
+register("class_report", _on_v8("""SELECT cutoff, class, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM (
+  SELECT * FROM per
+  UNION ALL SELECT cutoff, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per GROUP BY cutoff
+  UNION ALL SELECT cutoff, 'weighted avg', sum(precision*support)/sum(support), sum(recall*support)/sum(support),
+                   sum(f1*support)/sum(support), sum(support) FROM per GROUP BY cutoff)""", _SCORED_SQL, """
+pr AS (SELECT cutoff, y_short, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred FROM s),
+cnt AS (SELECT c.cutoff, k.cls,
+          count(*) FILTER (WHERE pr.pred = k.cls AND pr.y_short = k.cls) AS tp,
+          count(*) FILTER (WHERE pr.pred = k.cls) AS npred, count(*) FILTER (WHERE pr.y_short = k.cls) AS support
+        FROM (SELECT DISTINCT cutoff FROM pr) c CROSS JOIN (SELECT unnest([0, 1]) AS cls) k
+        JOIN pr ON pr.cutoff = c.cutoff GROUP BY 1, 2),
+per AS (SELECT cutoff, CAST(cls AS VARCHAR) AS class,
+          CASE WHEN npred = 0 THEN 0.0 ELSE tp::DOUBLE / npred END AS precision,
+          CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support END AS recall,
+          CASE WHEN (CASE WHEN npred = 0 THEN 0.0 ELSE tp::DOUBLE / npred END)
+                    + (CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support END) = 0 THEN 0.0
+               ELSE 2 * (CASE WHEN npred = 0 THEN 0.0 ELSE tp::DOUBLE / npred END)
+                      * (CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support END)
+                    / ((CASE WHEN npred = 0 THEN 0.0 ELSE tp::DOUBLE / npred END)
+                      + (CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support END)) END AS f1,
+          support FROM cnt)"""))(
+    lambda spark, sf: M.class_report(_scored(spark, sf).withColumn("pred", rules.decision(F.col("score"), 0.5)),
+                                     ["cutoff"], "pred", "y_short"))
+
+_CUM = """
+g AS (SELECT cutoff, score, count(*) FILTER (WHERE y_short = 1) AS pos, count(*) FILTER (WHERE y_short <> 1) AS neg
+      FROM s GROUP BY 1, 2),
+c AS (SELECT *, sum(pos) OVER (PARTITION BY cutoff ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp,
+             sum(neg) OVER (PARTITION BY cutoff ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn,
+             sum(pos) OVER (PARTITION BY cutoff) AS "P", sum(neg) OVER (PARTITION BY cutoff) AS "N" FROM g),
+pts AS (SELECT cutoff, score AS threshold, cp, cn, "P", "N",
+               CASE WHEN cp + cn = 0 THEN 0.0 ELSE cp::DOUBLE / (cp + cn) END AS precision,
+               CASE WHEN "P" = 0 THEN 0.0 ELSE cp::DOUBLE / "P" END AS recall FROM c)"""
+
+register("roc_auc", _on_v8("""SELECT cutoff, round(sum(pos * ("N" - cn + 0.5 * neg)) / (max("P") * max("N")), 6) AS auc
+  FROM c GROUP BY cutoff""", _SCORED_SQL, _CUM))(lambda spark, sf: M.roc_auc(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+
+register("average_precision", _on_v8("""SELECT cutoff, round(sum(pos::DOUBLE / "P" * (cp::DOUBLE / (cp + cn))), 6)
+  AS average_precision FROM c GROUP BY cutoff""", _SCORED_SQL, _CUM))(
+    lambda spark, sf: M.average_precision(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+
+register("pr_curve", _on_v8("""SELECT cutoff, threshold, CAST(cp AS BIGINT) AS tp, CAST(cn AS BIGINT) AS fp,
+  round(precision, 6) AS precision, round(recall, 6) AS recall FROM pts""", _SCORED_SQL, _CUM))(
+    lambda spark, sf: M.pr_curve(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+
+register("roc_curve", _on_v8("""SELECT cutoff, threshold, round(CASE WHEN "P" = 0 THEN 0.0 ELSE cp::DOUBLE / "P" END, 6) AS tpr,
+  round(CASE WHEN "N" = 0 THEN 0.0 ELSE cn::DOUBLE / "N" END, 6) AS fpr FROM pts""", _SCORED_SQL, _CUM))(
+    lambda spark, sf: M.roc_curve(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+
+
+def _grid_sql(values, init_best, default):
+    arr = "[" + ", ".join(f"{v!r}::DOUBLE" for v in values) + "]"
+    return f"""
+gr AS (SELECT unnest({arr}) AS t),
+gf AS (SELECT s.cutoff, gr.t,
+         count(*) FILTER (WHERE s.score >= gr.t AND s.y_short = 1) AS tp,
+         count(*) FILTER (WHERE s.score >= gr.t AND s.y_short <> 1) AS fp,
+         count(*) FILTER (WHERE s.score < gr.t AND s.y_short = 1) AS fn
+       FROM s CROSS JOIN gr GROUP BY 1, 2),
+gb AS (SELECT cutoff, t, CASE WHEN 2*tp+fp+fn = 0 THEN 0.0 ELSE 2*tp::DOUBLE / (2*tp+fp+fn) END AS f1 FROM gf),
+best AS (SELECT cutoff, arg_max(t, f1 * 10 - t / 1000.0) AS bt, max(f1) AS bf FROM (
+           SELECT cutoff, t, f1, row_number() OVER (PARTITION BY cutoff ORDER BY f1 DESC, t ASC) AS rn FROM gb)
+         WHERE rn = 1 GROUP BY cutoff)"""
+
+
+_GC = TH.grid(C.GRID_COARSE)
+_GF = TH.grid(C.GRID_FINE)
+
+register("threshold_f1_grid", _on_v8("""SELECT cutoff, round(CASE WHEN bf > 0 THEN bt ELSE 0.5 END, 6) AS best_threshold,
+  round(CASE WHEN bf > 0 THEN bf ELSE 0.0 END, 6) AS best_f1 FROM best""", _SCORED_SQL, _grid_sql(_GC, 0.0, 0.5)))(
+    lambda spark, sf: TH.f1_grid(_scored(spark, sf), ["cutoff"], "score", "y_short", _GC, 0.0))
+
+register("threshold_f1_grid_fine", _on_v8("""SELECT cutoff, round(bt, 6) AS best_threshold, round(bf, 6) AS best_f1
+  FROM best""", _SCORED_SQL, _grid_sql(_GF, -1.0, 0.5)))(
+    lambda spark, sf: TH.f1_grid(_scored(spark, sf), ["cutoff"], "score", "y_short", _GF, -1.0))
+
+register("threshold_f1_curve", _on_v8("""SELECT cutoff, threshold, round(f1, 6) AS f1 FROM (
+  SELECT cutoff, threshold, 2 * precision * recall / (precision + recall + 1e-12) AS f1,
+         row_number() OVER (PARTITION BY cutoff ORDER BY 2 * precision * recall / (precision + recall + 1e-12) DESC,
+                            threshold ASC) AS rn FROM pts) WHERE rn = 1""", _SCORED_SQL, _CUM))(
+    lambda spark, sf: TH.f1_curve(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+
+register("threshold_recall_target", _on_v8("""SELECT o.cutoff,
+  CASE WHEN ok.threshold IS NOT NULL THEN ok.threshold ELSE f.threshold END AS threshold,
+  CASE WHEN ok.threshold IS NOT NULL THEN 'recall_target' ELSE 'max_f1' END AS rule
+FROM (SELECT DISTINCT cutoff FROM pts) o
+LEFT JOIN (SELECT cutoff, threshold FROM (SELECT cutoff, threshold, row_number() OVER (PARTITION BY cutoff
+             ORDER BY precision DESC, threshold ASC) AS rn FROM pts WHERE recall >= 0.8) WHERE rn = 1) ok
+  ON ok.cutoff = o.cutoff
+LEFT JOIN (SELECT cutoff, threshold FROM (SELECT cutoff, threshold, row_number() OVER (PARTITION BY cutoff
+             ORDER BY 2 * precision * recall / (precision + recall + 1e-9) DESC, threshold ASC) AS rn FROM pts)
+           WHERE rn = 1) f ON f.cutoff = o.cutoff""", _SCORED_SQL, _CUM))(
+    lambda spark, sf: TH.recall_target(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+
+register("threshold_precision_floor", _on_v8("""SELECT o.cutoff, coalesce(ok.threshold, 0.5) AS threshold,
+  round(coalesce(ok.recall, -1.0), 6) AS recall
+FROM (SELECT DISTINCT cutoff FROM pts) o
+LEFT JOIN (SELECT cutoff, threshold, recall FROM (SELECT cutoff, threshold, recall, row_number() OVER (
+             PARTITION BY cutoff ORDER BY recall DESC, threshold ASC) AS rn FROM pts WHERE precision >= 0.3)
+           WHERE rn = 1) ok ON ok.cutoff = o.cutoff""", _SCORED_SQL, _CUM))(
+    lambda spark, sf: TH.precision_floor(_scored(spark, sf), ["cutoff"], "score", "y_short", C.PRECISION_FLOOR_MEDIUM))
