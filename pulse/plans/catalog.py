@@ -788,3 +788,157 @@ LEFT JOIN (SELECT cutoff, threshold, recall FROM (SELECT cutoff, threshold, reca
              PARTITION BY cutoff ORDER BY recall DESC, threshold ASC) AS rn FROM pts WHERE precision >= 0.3)
            WHERE rn = 1) ok ON ok.cutoff = o.cutoff""", _SCORED_SQL, _CUM))(
     lambda spark, sf: TH.precision_floor(_scored(spark, sf), ["cutoff"], "score", "y_short", C.PRECISION_FLOOR_MEDIUM))
+
+
+# ---------------------------------------------------------------- sources, validation, sinks
+
+import os  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import history as H  # noqa: E402
+from ..sources import validate as VAL  # noqa: E402
+
+_V11_CTES, _V11_SELECT = O.v11_panel()
+
+register("days_since_registration", W() + f"""
+SELECT id_student, CAST(date_diff('day', DATE '2024-01-08' + CAST(date_registration AS INTEGER),
+                                  DATE '2024-01-22') AS BIGINT) AS days_since_registration
+FROM student_registration WHERE code_module = '{MOD}' AND code_presentation IN {O.PRES}
+  AND date_registration IS NOT NULL""")(
+    lambda spark, sf: H.days_since_registration(
+        cohort.scope(T(spark, sf).student_registration, MOD, PRES).where(F.col("date_registration").isNotNull()),
+        "2024-01-22").select("id_student", F.col("days_since_registration").cast("bigint")))
+
+register("nested_history_source", W(O.V11_COHORT) + """,
+d AS (SELECT id_student, dsr, sum(sum_click) AS c FROM vle_mod GROUP BY 1, 2)
+SELECT CAST(s.id_student AS VARCHAR) AS student_id, CAST(s.dsr_today AS BIGINT) AS days_since_registration,
+       CAST(count(d.dsr) AS BIGINT) AS n_activities, CAST(coalesce(sum(d.c), 0) AS BIGINT) AS total_clicks
+FROM students s LEFT JOIN d ON d.id_student = s.id_student GROUP BY 1, 2""")(lambda spark, sf: _nested(spark, sf))
+
+
+def _nested(spark, sf):
+    """S3 round trip: histories written as JSON lines, read back with the declared schema."""
+    path = scratch_path(spark, f"histories_{abs(hash(sf))}")
+    H.learner_histories(T(spark, sf)).write.mode("overwrite").json(path)
+    h = H.read_histories(spark, path)
+    return h.select("student_id", F.col("days_since_registration").cast("bigint"),
+                    F.size("vle_activities").cast("bigint").alias("n_activities"),
+                    F.aggregate("vle_activities", F.lit(0).cast("bigint"),
+                                lambda a, x: a + x["sum_click"].cast("bigint")).alias("total_clicks"))
+
+
+register("feature_rows_source", W(_V11_CTES, f"p AS ({_V11_SELECT})") + "\nSELECT * EXCLUDE (cutoff) FROM p")(
+    lambda spark, sf: _feature_rows(spark, sf))
+
+
+def _feature_rows(spark, sf):
+    """S4 round trip: pre-computed 15-feature rows written as parquet, read with the declared schema."""
+    path = scratch_path(spark, f"feature_rows_{abs(hash(sf))}")
+    variants.snapshot_v11(H.learner_histories(T(spark, sf))).drop("cutoff").write.mode("overwrite").parquet(path)
+    return H.read_feature_rows(spark, path)
+
+
+register("feature_order", W(_V11_CTES, f"p AS ({_V11_SELECT})") + "\nSELECT student_id, "
+         + ", ".join(FEATURES_15) + " FROM p")(
+    lambda spark, sf: variants.snapshot_v11(H.learner_histories(T(spark, sf))).select("student_id", *FEATURES_15))
+
+register("validate_rows", W(_V11_CTES, f"p AS ({_V11_SELECT})") + """
+SELECT student_id,
+  CASE WHEN active_ratio_total < 0 OR active_ratio_total > 1 OR active_ratio_14 < 0 OR active_ratio_14 > 1
+       THEN 0 ELSE 1 END::BIGINT AS is_valid,
+  CASE WHEN active_ratio_total < 0 OR active_ratio_total > 1 THEN 'active_ratio_total out of [0,1]'
+       WHEN active_ratio_14 < 0 OR active_ratio_14 > 1 THEN 'active_ratio_14 out of [0,1]' END AS error
+FROM p""")(lambda spark, sf: VAL.validate_feature_rows(
+    variants.snapshot_v11(H.learner_histories(T(spark, sf))).drop("cutoff"), FEATURES_15)
+    .select("student_id", "is_valid", "error"))
+
+register("batch_error_rows", W() + f"""
+SELECT CAST(id_student AS VARCHAR) AS student_id,
+       CAST(CASE WHEN date_registration IS NULL THEN NULL ELSE 14 - date_registration END AS BIGINT) AS cutoff,
+       CASE WHEN date_registration IS NULL THEN 'days_since_registration is missing' END AS error
+FROM student_registration WHERE code_module = '{MOD}' AND code_presentation IN {O.PRES}""")(
+    lambda spark, sf: VAL.batch_with_errors(_all_histories(spark, sf)).select("student_id", "cutoff", "error"))
+
+
+def _all_histories(spark, sf):
+    """Histories for every registration row of the cohort, including those whose registration
+    day is unknown (their cutoff is NULL and they become error rows)."""
+    t = T(spark, sf)
+    reg = cohort.registration_lookup(t, MOD, PRES)
+    ok = H.learner_histories(t)
+    bad = reg.where(F.col("date_registration").isNull()).select(
+        F.col("id_student").cast("string").alias("student_id"),
+        F.lit(None).cast("int").alias("days_since_registration"),
+        F.array().cast("array<struct<date:int,sum_click:int>>").alias("vle_activities"))
+    return ok.unionByName(bad)
+
+
+register("active_history_join", W(O.V11_COHORT) + """,
+act AS (SELECT DISTINCT id_student FROM student_vle WHERE code_module = 'BBB' AND code_presentation IN ('2024A','2024B')
+        AND date > 7 AND date <= 14),
+d AS (SELECT id_student, dsr, sum(sum_click) AS c FROM vle_mod GROUP BY 1, 2)
+SELECT CAST(s.id_student AS VARCHAR) AS student_id, CAST(count(d.dsr) AS BIGINT) AS n_activities,
+       CAST(coalesce(sum(d.c), 0) AS BIGINT) AS total_clicks
+FROM students s JOIN act ON act.id_student = s.id_student LEFT JOIN d ON d.id_student = s.id_student
+GROUP BY 1""")(lambda spark, sf: _active_hist(spark, sf))
+
+
+def _active_hist(spark, sf):
+    """Learners active in the last 7 days before course day 14, joined set-based to
+    their histories (one join instead of a lookup per learner)."""
+    t = T(spark, sf)
+    active = (cohort.module_vle(t, MOD, PRES).where((F.col("date") > 7) & (F.col("date") <= 14))
+              .select(F.col("id_student").cast("string").alias("student_id")).distinct())
+    h = H.learner_histories(t).join(active, "student_id", "left_semi")
+    return h.select("student_id", F.size("vle_activities").cast("bigint").alias("n_activities"),
+                    F.aggregate("vle_activities", F.lit(0).cast("bigint"),
+                                lambda a, x: a + x["sum_click"].cast("bigint")).alias("total_clicks"))
+
+
+register("cohort_prepared", W(O.REG_CLOCK) + """,
+d AS (SELECT id_student, count(DISTINCT dsr) AS n_days, sum(sum_click) AS clicks FROM vle_mod GROUP BY 1)
+SELECT CAST(s.id_student AS BIGINT) AS id_student, CAST(s.dropout AS BIGINT) AS dropout,
+       CAST(coalesce(d.n_days, 0) AS BIGINT) AS n_active_days, CAST(coalesce(d.clicks, 0) AS BIGINT) AS total_clicks
+FROM students s LEFT JOIN d ON d.id_student = s.id_student""")(lambda spark, sf: _prepared(spark, sf))
+
+
+def _prepared(spark, sf):
+    learners, daily = _reg(spark, sf)
+    per = daily.groupBy("id_student").agg(F.count(F.lit(1)).alias("n_active_days"),
+                                          F.sum("clicks").alias("total_clicks"))
+    return learners.join(per, "id_student", "left").select(
+        "id_student", F.col("dropout").cast("bigint"),
+        F.coalesce(F.col("n_active_days"), F.lit(0)).cast("bigint").alias("n_active_days"),
+        F.coalesce(F.col("total_clicks"), F.lit(0)).cast("bigint").alias("total_clicks"))
+
+
+register("scored_snapshot", _on_v8(f"""SELECT id_student, cutoff, {O.DECLINE_A} AS decline_score,
+  {_tier_sql(O.DECLINE_A, 0.35, 0.60)} AS risk_level, '2024-01-22' AS score_date
+  FROM (SELECT id_student, cutoff, {O.clean_sql('all_nonneg')} FROM p) WHERE cutoff = 14"""))(
+    lambda spark, sf: _scored_snapshot(spark, sf))
+
+
+def _scored_snapshot(spark, sf):
+    """Daily rule scores written to a score_date partition (dynamic overwrite) and read back."""
+    path = scratch_path(spark, f"scores_{abs(hash(sf))}")
+    D.write_scores(D.daily_rule_scores(spark, sf, 14), path, "2024-01-22")
+    return (spark.read.parquet(path).where(F.col("score_date") == F.lit("2024-01-22").cast("date"))
+            .select("id_student", "cutoff", "decline_score", "risk_level",
+                    F.date_format("score_date", "yyyy-MM-dd").alias("score_date")))
+
+
+register("config_latest", _on_v8("""SELECT arg_max(threshold, cutoff) AS threshold, CAST(max(cutoff) AS BIGINT) AS version
+  FROM (SELECT o.cutoff, coalesce(ok.threshold, 0.5) AS threshold FROM (SELECT DISTINCT cutoff FROM pts) o
+  LEFT JOIN (SELECT cutoff, threshold FROM (SELECT cutoff, threshold, row_number() OVER (PARTITION BY cutoff
+             ORDER BY recall DESC, threshold ASC) AS rn FROM pts WHERE precision >= 0.3) WHERE rn = 1) ok
+  ON ok.cutoff = o.cutoff)""", _SCORED_SQL, _CUM))(lambda spark, sf: _config_latest(spark, sf))
+
+
+def _config_latest(spark, sf):
+    """A versioned threshold table (one version per cutoff) appended to the config
+    folder; the latest version wins via max_by."""
+    cfg = TH.precision_floor(_scored(spark, sf), ["cutoff"], "score", "y_short", C.PRECISION_FLOOR_MEDIUM)
+    path = scratch_path(spark, f"config_{abs(hash(sf))}")
+    cfg.select(F.col("cutoff").alias("version"), "threshold").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).agg(F.max_by("threshold", "version").alias("threshold"),
+                                        F.max("version").cast("bigint").alias("version"))
