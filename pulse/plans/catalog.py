@@ -942,3 +942,309 @@ def _config_latest(spark, sf):
     cfg.select(F.col("cutoff").alias("version"), "threshold").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).agg(F.max_by("threshold", "version").alias("threshold"),
                                         F.max("version").cast("bigint").alias("version"))
+
+
+# ---------------------------------------------------------------- learning (M1-M28, R7-R14): rows-only checks
+
+from ..ml import calibrate as CAL  # noqa: E402
+from ..ml import folds as FO  # noqa: E402
+from ..ml import importance as IMP  # noqa: E402
+from ..ml import prep as PREP  # noqa: E402
+from ..ml.models import fit_model, kept_columns  # noqa: E402
+from ..ml.smote import smote as _smote  # noqa: E402
+from . import train as TR  # noqa: E402
+
+
+def _panel(spark, sf):
+    return TR.training_panel(spark, sf)
+
+
+register("group_folds")(lambda spark, sf: _panel(spark, sf).select("id_student", "cutoff", "fold"))
+register("strat_group_folds")(
+    lambda spark, sf: FO.strat_group_folds(_panel(spark, sf).drop("fold"), "id_student", "y_short")
+    .select("id_student", "cutoff", "fold"))
+register("stratified_split")(
+    lambda spark, sf: FO.stratified_split(_panel(spark, sf), "y_short", ["id_student", "cutoff"])
+    .select("id_student", "cutoff", "y_short", "is_train"))
+register("hash_sample")(lambda spark, sf: FO.hash_sample(_panel(spark, sf), ["id_student", "cutoff"], 500)
+                        .select("id_student", "cutoff"))
+
+_VAR_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(var_pop({c}), 6) AS variance, "
+    f"CAST(CASE WHEN var_pop({c}) > 0 THEN 1 ELSE 0 END AS BIGINT) AS kept FROM q" for c in FEATURES_15)
+register("variance_filter", _on_v8(_VAR_SQL, f"q AS (SELECT {O.clean_sql('all_nonneg')} FROM p)"))(
+    lambda spark, sf: _variance(spark, sf))
+
+
+def _variance(spark, sf):
+    x = clean_features(_v8(spark, sf), FEATURES_15, "all_nonneg")
+    agg = x.agg(*[F.var_pop(c).alias(c) for c in FEATURES_15])
+    stack = ", ".join(f"'{c}', `{c}`" for c in FEATURES_15)
+    long = agg.selectExpr(f"stack({len(FEATURES_15)}, {stack}) as (feature, v)")
+    return long.select("feature", F.round("v", 6).alias("variance"),
+                       F.when(F.col("v") > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("kept"))
+
+
+_STD_COLS = ("clicks_per_day_total", "active_ratio_total", "clicks_last_14_days", "inactivity_streak_14",
+             "days_since_last_active")
+register("standardize", _on_v8("SELECT id_student, cutoff, " + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 "
+    f"ELSE stddev_pop({c}) OVER () END, 6) AS {c}" for c in _STD_COLS) + " FROM p"))(
+    lambda spark, sf: _std(spark, sf))
+
+
+def _std(spark, sf):
+    p = _v8(spark, sf)
+    z = PREP.standardize(p, _STD_COLS, keep=["id_student", "cutoff"])
+    return z.select("id_student", "cutoff", *[F.round(c, 6).alias(c) for c in _STD_COLS])
+
+
+register("class_weights", _on_v8("""SELECT CAST(y_short AS BIGINT) AS y_short, CAST(count(*) AS BIGINT) AS n,
+  round((SELECT count(*) FROM p) / (2.0 * count(*)), 6) AS weight FROM p GROUP BY y_short"""))(
+    lambda spark, sf: PREP.class_weight_col(_v8(spark, sf), "y_short").groupBy("y_short").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.first("weight"), 6).alias("weight")))
+
+register("onehot")(lambda spark, sf: _onehot(spark, sf))
+
+
+def _onehot(spark, sf):
+    """M5 on the demographic columns (NULL -> '(null)' level, unseen -> zero vector)."""
+    from pyspark.ml.functions import vector_to_array
+    cats = ["gender", "age_band", "imd_band"]
+    info = PREP.fill_null_category(cohort.scope(T(spark, sf).student_info, MOD, PRES), cats)
+    model = PREP.onehot_pipeline(cats).fit(info)
+    out = model.transform(info)
+    return out.select("id_student", *[F.array_join(vector_to_array(F.col(f"{c}__oh")).cast("array<string>"), ",")
+                                      .alias(f"{c}_onehot") for c in cats])
+
+
+register("yeo_johnson")(lambda spark, sf: _yj(spark, sf))
+
+
+def _yj(spark, sf):
+    p = _panel(spark, sf)
+    kept = kept_columns(p, FEATURES_15)
+    params = PREP.fit_yeo_johnson(p, kept)
+    rows = [(c, float(v["lambda"]), float(v["mean"]), float(v["std"])) for c, v in params.items()]
+    return spark.createDataFrame(rows, "feature string, lambda double, mean double, std double")
+
+
+register("smote")(lambda spark, sf: _smote(_panel(spark, sf), FEATURES_15, "y_short", ["id_student", "cutoff"])
+                  .groupBy("y_short", "is_synthetic").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _fit_predict(name):
+    def run(spark, sf):
+        p = _panel(spark, sf)
+        fm = fit_model(p, FEATURES_15, "y_short", name, TR.ID)
+        return fm.transform(p, keep=["id_student", "cutoff", "y_short"])
+    return run
+
+
+for _name, _key in (("logreg_l1", "train_logreg"), ("rf", "train_rf"), ("gbt", "train_gbt"), ("mlp", "train_mlp")):
+    register(_key)(_fit_predict(_name))
+
+
+register("oof_predictions")(lambda spark, sf: TR.evaluate(_panel(spark, sf), models=("rf",), k=5)[1])
+register("cv_leaderboard")(lambda spark, sf: TR.leaderboard(TR.evaluate(_panel(spark, sf), k=5)[0]))
+register("best_model")(lambda spark, sf: _best(spark, sf))
+
+
+def _best(spark, sf):
+    board = TR.leaderboard(TR.evaluate(_panel(spark, sf), models=("rf", "gbt", "logreg_l1"), k=3)[0])
+    return board.agg(F.max_by("model", "mean_f1").alias("best_model"), F.max("mean_f1").alias("mean_f1"))
+
+
+register("platt_calibration")(lambda spark, sf: _platt(spark, sf))
+
+
+def _platt(spark, sf):
+    oof = TR.evaluate(_panel(spark, sf), models=("rf",), k=5)[1]
+    params = CAL.fit_platt(oof, "proba", "y_short")
+    return oof.select("id_student", "cutoff", "y_short", "proba",
+                      CAL.apply_platt(F.col("proba"), params).alias("proba_cal"))
+
+
+register("fit_sigmoid", _wrap(_V9, f"""SELECT round(regr_slope(y, x), 6) AS k,
+  round(CASE WHEN abs(regr_slope(y, x)) > 1e-9 THEN -regr_intercept(y, x) / regr_slope(y, x) ELSE 0.5 END, 6) AS c
+FROM (SELECT x, ln(least(greatest(t, 1e-6), 1 - 1e-6) / (1 - least(greatest(t, 1e-6), 1 - 1e-6))) AS y
+      FROM (SELECT round(h, 1) AS x, avg(CAST(target AS DOUBLE)) AS t FROM (
+              SELECT target, round({O.HEURISTIC}, 6) AS h FROM (
+                SELECT id_student, cutoff, target, {O.clean_sql('click_nonneg')} FROM p)) GROUP BY 1))"""))(
+    lambda spark, sf: _fit_sig(spark, sf))
+
+
+def _fit_sig(spark, sf):
+    """R6 on data: target = observed unregister rate per heuristic-risk decile bin."""
+    h = _v9_clean(spark, sf).select("target", F.round(rules.heuristic_risk(), 6).alias("h"))
+    bins = h.groupBy(F.round("h", 1).alias("x")).agg(F.avg(F.col("target").cast("double")).alias("t"))
+    out = CAL.fit_sigmoid(bins, "x", "t")
+    return out.select(F.round("k", 6).alias("k"), F.round("c", 6).alias("c"))
+
+
+def _bundle(spark, sf, name="rf"):
+    """Fit on the full panel, save (pyspark.ml writer + config row), load back."""
+    p = _panel(spark, sf)
+    fm = fit_model(p, FEATURES_15, "y_short", name, TR.ID)
+    path = scratch_path(spark, f"bundle_{name}_{abs(hash(sf))}")
+    TR.save_bundle(spark, fm, path, {"platt": {"a": 1.0, "b": 0.0}, "alpha": C.BLEND_B_ALPHA,
+                                     "risk_thresholds": {"medium": C.BLEND_A["thr_medium"],
+                                                         "high": C.BLEND_A["thr_high"]},
+                                     "threshold": C.DEFAULT_THRESHOLD})
+    return TR.load_bundle(spark, path), p
+
+
+register("model_roundtrip")(lambda spark, sf: _bundle(spark, sf)[0].transform(
+    _bundle(spark, sf)[1], keep=["id_student", "cutoff"]))
+register("refit_best")(lambda spark, sf: _refit(spark, sf))
+
+
+def _refit(spark, sf):
+    p = _panel(spark, sf)
+    board = TR.leaderboard(TR.evaluate(p, models=("rf", "logreg_l1"), k=3)[0])
+    name = TR.best_model(board)
+    fm = fit_model(p, FEATURES_15, "y_short", name, TR.ID, oversample=False)
+    return fm.transform(p, keep=["id_student", "cutoff"]).withColumn("model", F.lit(name))
+
+
+register("feature_importance")(lambda spark, sf: _importance(spark, sf))
+
+
+def _importance(spark, sf):
+    p = _panel(spark, sf)
+    rf = fit_model(p, FEATURES_15, "y_short", "rf", TR.ID)
+    lr = fit_model(p, FEATURES_15, "y_short", "logreg_l1", TR.ID)
+    a = IMP.native_importance(spark, rf).select("model", "feature", F.col("importance").alias("native"))
+    b = IMP.native_importance(spark, lr).select("model", "feature", F.col("importance").alias("native"))
+    sample = FO.hash_sample(p, ["id_student", "cutoff"], 5000)
+    perm = IMP.permutation_importance(rf, sample, "y_short", ["id_student", "cutoff"], repeats=8)
+    return a.unionByName(b).join(perm.withColumnRenamed("importance", "permutation"), ["model", "feature"], "full_outer") \
+        .fillna(0.0, subset=["native", "permutation"])
+
+
+register("threshold_config")(lambda spark, sf: _thr_config(spark, sf))
+
+
+def _thr_config(spark, sf):
+    """The chosen threshold and rule written as a one-row JSON file, read back."""
+    sel = TH.recall_target(_scored(spark, sf).withColumn("_g", F.lit(1)), ["_g"], "score", "y_short").drop("_g")
+    path = scratch_path(spark, f"threshold_{abs(hash(sf))}")
+    sel.coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema("threshold double, rule string").json(path)
+
+
+register("train_job")(lambda spark, sf: _train_job(spark, sf))
+
+
+def _train_job(spark, sf):
+    path = scratch_path(spark, f"train_job_{abs(hash(sf))}")
+    res = TR.train_job(spark, sf, path)
+    return spark.createDataFrame([(res["best"], res["risk_thresholds"]["medium"], res["risk_thresholds"]["high"],
+                                   res["platt"]["a"], res["platt"]["b"])],
+                                 "best_model string, thr_medium double, thr_high double, platt_a double, platt_b double")
+
+
+# scoring paths with a saved bundle
+
+register("daily_scores")(lambda spark, sf: _daily_model(spark, sf))
+
+
+def _daily_model(spark, sf):
+    fm, _ = _bundle(spark, sf)
+    today = variants.snapshot_v8(T(spark, sf), cutoffs=(14,))
+    return D.ranked(TR.score_with_bundle(fm, today, ["id_student", "cutoff"]), "risk_score")
+
+
+register("blended_risk")(lambda spark, sf: TR.score_with_bundle(
+    _bundle(spark, sf)[0], variants.snapshot_v8(T(spark, sf)), ["id_student", "cutoff"]))
+
+
+def _v11_features(spark, sf):
+    return variants.snapshot_v11(H.learner_histories(T(spark, sf)))
+
+
+register("score_raw_history")(lambda spark, sf: _score_single(spark, sf))
+
+
+def _score_single(spark, sf):
+    """Raw histories -> row-local features -> model -> fixed tiers 0.30 / 0.60."""
+    fm, _ = _bundle(spark, sf)
+    feats = _v11_features(spark, sf)
+    x = clean_features(feats, FEATURES_15, "ratio_only", keep=["student_id"])
+    s = fm.transform(x, keep=["student_id"])
+    return s.select("student_id", F.col("proba").alias("dropout_probability"),
+                    rules.tier(F.col("proba"), *C.TIERS_SINGLE).alias("risk_level"))
+
+
+register("score_raw_batch")(lambda spark, sf: _score_batch(spark, sf))
+
+
+def _score_batch(spark, sf):
+    """R9 + S13: rows with errors pass through with the error; the rest are scored."""
+    fm, _ = _bundle(spark, sf)
+    b = VAL.batch_with_errors(_all_histories(spark, sf))
+    ok = b.where(F.col("error").isNull()).select(
+        "student_id", F.col("cutoff").cast("int").alias("days_since_registration"), "vle_activities")
+    feats = clean_features(variants.snapshot_v11(ok), FEATURES_15, "ratio_only", keep=["student_id"])
+    s = fm.transform(feats, keep=["student_id"]).select(
+        "student_id", F.col("proba").alias("dropout_probability"),
+        rules.tier(F.col("proba"), *C.TIERS_SINGLE).alias("risk_level"), F.lit(None).cast("string").alias("error"))
+    bad = b.where(F.col("error").isNotNull()).select(
+        "student_id", F.lit(None).cast("double").alias("dropout_probability"),
+        F.lit(None).cast("string").alias("risk_level"), "error")
+    return s.unionByName(bad)
+
+
+register("score_feature_batch")(lambda spark, sf: _score_features(spark, sf))
+
+
+def _score_features(spark, sf):
+    """Pre-computed feature rows (S4) -> model in feature order -> tiers 0.35 / 0.60."""
+    fm, _ = _bundle(spark, sf)
+    rows = _feature_rows(spark, sf)
+    x = clean_features(rows, FEATURES_15, "ratio_only", keep=["student_id"])
+    return fm.transform(x, keep=["student_id"]).select(
+        "student_id", F.col("proba").alias("dropout_probability"),
+        rules.tier(F.col("proba"), *C.TIERS_BATCH).alias("risk_level"))
+
+
+register("score_with_threshold")(lambda spark, sf: _score_thr(spark, sf, 0.5))
+
+
+def _score_thr(spark, sf, thr):
+    """Decision at a caller threshold plus run metadata columns."""
+    fm, p = _bundle(spark, sf)
+    s = fm.transform(p, keep=["id_student", "cutoff"])
+    return s.select("id_student", "cutoff", "proba", rules.decision(F.col("proba"), thr).alias("prediction"),
+                    F.lit(float(thr)).alias("threshold"), F.lit(fm.name).alias("model_name"),
+                    F.lit(len(fm.kept)).alias("n_features"))
+
+
+register("score_calibrated")(lambda spark, sf: _score_cal(spark, sf))
+
+
+def _score_cal(spark, sf):
+    """Raw, Platt-calibrated (fitted on out-of-fold scores), display sigmoid, decision."""
+    p = _panel(spark, sf)
+    oof = TR.evaluate(p, models=("rf",), k=3)[1]
+    platt = CAL.fit_platt(oof, "proba", "y_short")
+    fm = fit_model(p, FEATURES_15, "y_short", "rf", TR.ID)
+    s = fm.transform(p, keep=["id_student", "cutoff"]).withColumn("proba_cal", CAL.apply_platt(F.col("proba"), platt))
+    return s.select("id_student", "cutoff", F.col("proba").alias("proba_raw"), "proba_cal",
+                    rules.display_sigmoid(F.col("proba_cal")).alias("display"),
+                    rules.decision(F.col("proba_cal"), C.DEFAULT_THRESHOLD).alias("decision"))
+
+
+register("threshold_rule_relative")(lambda spark, sf: _relative(spark, sf))
+
+
+def _relative(spark, sf):
+    """Tiers relative to the learnt F1-grid threshold (the scalar is the only value
+    that reaches the driver)."""
+    s = _scored(spark, sf)
+    best = TH.f1_grid(s.withColumn("_g", F.lit(1)), ["_g"], "score", "y_short", _GC, 0.0).collect()[0]
+    t = float(best["best_threshold"])
+    return s.select("id_student", "cutoff", "score", rules.relative_tier(F.col("score"), F.lit(t)).alias("risk_level"))
+
+
+register("learner_features")(lambda spark, sf: variants.snapshot_v4(T(spark, sf)))
