@@ -665,11 +665,13 @@ register("label_profile", _on_v8("""SELECT cutoff, CAST(count(*) AS BIGINT) AS n
   FROM p GROUP BY cutoff"""))(
     lambda spark, sf: M.label_profile(_v8(spark, sf), ["cutoff"], "y_short", "id_student"))
 
-register("panel_union", W(O.reg_panel("silent", 7)[0].replace("b AS (", "b7 AS (", 0), "") + "\nSELECT 1 AS x" if False
-         else None)(lambda spark, sf: variants.snapshot_v7(T(spark, sf)).select(
-             "id_student", "cutoff", F.col("y_short").alias("label"), F.lit("silent_7").alias("variant"))
-         .unionByName(_v8(spark, sf).select("id_student", "cutoff", F.col("y_short").alias("label"),
-                                             F.lit("low_activity_14").alias("variant"))))
+register("panel_union", "SELECT * FROM (" + _wrap(O.reg_panel("silent", 7), """SELECT id_student, cutoff,
+  y_short AS label, 'silent_7' AS variant FROM p""") + ") UNION ALL SELECT * FROM (" + _wrap(O.v8_panel(), """SELECT
+  id_student, cutoff, y_short AS label, 'low_activity_14' AS variant FROM p""") + ")")(
+    lambda spark, sf: variants.snapshot_v7(T(spark, sf)).select(
+        "id_student", "cutoff", F.col("y_short").alias("label"), F.lit("silent_7").alias("variant"))
+    .unionByName(_v8(spark, sf).select("id_student", "cutoff", F.col("y_short").alias("label"),
+                                        F.lit("low_activity_14").alias("variant"))))
 
 # ---------------------------------------------------------------- evaluation on the deterministic score
 
@@ -1247,4 +1249,11 @@ def _relative(spark, sf):
     return s.select("id_student", "cutoff", "score", rules.relative_tier(F.col("score"), F.lit(t)).alias("risk_level"))
 
 
-register("learner_features")(lambda spark, sf: variants.snapshot_v4(T(spark, sf)))
+register("learner_features", "SELECT * FROM (" + _sql(O.v4_panel()) + ") JOIN (" + W(_V4_ASS) + """
+SELECT CAST(b.id_student AS BIGINT) AS id_student, CAST(b.cutoff AS BIGINT) AS cutoff,
+  CAST(coalesce(ac.n, 0) AS DOUBLE) AS num_assessments, CAST(coalesce(ac.avg_score, 0) AS DOUBLE) AS avg_score,
+  CAST(coalesce(ac.pass_count, 0) AS DOUBLE) AS pass_count, CAST(coalesce(al.score, 0) AS DOUBLE) AS last_score,
+  CAST(coalesce(aw.n14, 0) AS DOUBLE) AS num_assessments_14, CAST(coalesce(aw.avg14, 0) AS DOUBLE) AS avg_score_14
+FROM b LEFT JOIN ac USING (id_student, cutoff) LEFT JOIN al USING (id_student, cutoff)
+LEFT JOIN aw USING (id_student, cutoff)) USING (id_student, cutoff)""")(
+    lambda spark, sf: variants.snapshot_v4(T(spark, sf)))
