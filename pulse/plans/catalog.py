@@ -1257,3 +1257,18 @@ SELECT CAST(b.id_student AS BIGINT) AS id_student, CAST(b.cutoff AS BIGINT) AS c
 FROM b LEFT JOIN ac USING (id_student, cutoff) LEFT JOIN al USING (id_student, cutoff)
 LEFT JOIN aw USING (id_student, cutoff)) USING (id_student, cutoff)""")(
     lambda spark, sf: variants.snapshot_v4(T(spark, sf)))
+
+
+# ---------------------------------------------------------------- streaming upkeep of the daily table
+
+from ..streaming.daily_rollup import run_daily_rollup  # noqa: E402
+
+register("daily_rollup_stream")(lambda spark, sf: _rollup(spark, sf))
+
+
+def _rollup(spark, sf):
+    """Structured Streaming (file source, 1-day windows, watermark, append file sink) over
+    the events table; returns the closed learner-days written so far."""
+    base = scratch_path(spark, f"rollup_{abs(hash(sf))}")
+    run_daily_rollup(spark, sf, os.path.join(base, "out"), os.path.join(base, "ck"), file_glob="events.parquet")
+    return spark.read.parquet(os.path.join(base, "out")).select("id_student", "day", "clicks")
