@@ -1149,6 +1149,13 @@ def _train_job(spark, sf):
 # scoring paths with a saved bundle
 
 register("daily_scores")(lambda spark, sf: _daily_model(spark, sf))
+register("score_rows")(lambda spark, sf: _score_rows(spark, sf))
+
+
+def _score_rows(spark, sf):
+    """Ids, scores and labels stay in one row (no positional zip)."""
+    fm, p = _bundle(spark, sf)
+    return fm.transform(p, keep=["id_student", "cutoff", "y_short"])
 
 
 def _daily_model(spark, sf):
@@ -1237,7 +1244,11 @@ def _score_cal(spark, sf):
                     rules.decision(F.col("proba_cal"), C.DEFAULT_THRESHOLD).alias("decision"))
 
 
-register("threshold_rule_relative")(lambda spark, sf: _relative(spark, sf))
+_GRID_ALL = _grid_sql(_GC, 0.0, 0.5).replace("SELECT s.cutoff, gr.t", "SELECT 1 AS cutoff, gr.t")
+register("risk_tiers_relative", _on_v8("""SELECT s.id_student, s.cutoff, s.score,
+  CASE WHEN s.score >= t.thr THEN 'HIGH' WHEN s.score >= t.thr * 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
+FROM s, (SELECT round(CASE WHEN bf > 0 THEN bt ELSE 0.5 END, 6) AS thr FROM best) t""", _SCORED_SQL, _GRID_ALL))(
+    lambda spark, sf: _relative(spark, sf))
 
 
 def _relative(spark, sf):
