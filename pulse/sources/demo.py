@@ -47,14 +47,38 @@ class LearnerTables:
     assessments: DataFrame
 
 
-def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
+# Replication factor for scaling runs: copy r of the log gets learner ids shifted by
+# r * ID_SHIFT (and event ids by r * EVENT_SHIFT), so every copy is a disjoint set of learners
+# with the same click behaviour. 1 means the table as given.
+ID_SHIFT = 10_000_000
+EVENT_SHIFT = 10_000_000_000
+
+
+def events(spark: SparkSession, sf_dir: str, columns, replicate: int = 1) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", list(columns))
+    if replicate <= 1:
+        return ev
+    r = F.explode(F.sequence(F.lit(0), F.lit(replicate - 1))).alias("_rep")
+    ev = ev.select("*", r)
+    out = []
+    for c in columns:
+        if c == "user_id":
+            out.append((F.col("user_id") + F.col("_rep") * ID_SHIFT).alias("user_id"))
+        elif c == "event_id":
+            out.append((F.col("event_id") + F.col("_rep") * EVENT_SHIFT).alias("event_id"))
+        else:
+            out.append(F.col(c))
+    return ev.select(*out)
+
+
+def _events(spark: SparkSession, sf_dir: str, kind: str, replicate: int = 1) -> DataFrame:
+    ev = events(spark, sf_dir, ["event_id", "ts", "user_id", "event_type", "props"], replicate)
     return ev.where(F.col("event_type") == kind)
 
 
-def student_vle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def student_vle(spark: SparkSession, sf_dir: str, replicate: int = 1) -> DataFrame:
     uid = F.col("user_id")
-    return _events(spark, sf_dir, "click").select(
+    return _events(spark, sf_dir, "click", replicate).select(
         uid.alias("id_student"),
         module_of(uid).alias("code_module"),
         presentation_of(uid).alias("code_presentation"),
@@ -64,9 +88,9 @@ def student_vle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def student_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def student_assessment(spark: SparkSession, sf_dir: str, replicate: int = 1) -> DataFrame:
     eid = F.col("event_id")
-    return _events(spark, sf_dir, "purchase").select(
+    return _events(spark, sf_dir, "purchase", replicate).select(
         F.pmod(eid, F.lit(7)).alias("id_assessment"),
         F.col("user_id").alias("id_student"),
         F.when(F.pmod(eid, F.lit(13)) == 0, F.lit(None)).otherwise(day_of(F.col("ts"))).cast("int")
@@ -78,8 +102,8 @@ def student_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def student_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "event_type"])
+def student_registration(spark: SparkSession, sf_dir: str, replicate: int = 1) -> DataFrame:
+    ev = events(spark, sf_dir, ["ts", "user_id", "event_type"], replicate)
     uid = F.col("user_id")
     per_user = ev.groupBy(uid).agg(
         F.min(F.when(F.col("event_type") == "signup", day_of(F.col("ts")))).alias("date_registration"))
@@ -118,22 +142,22 @@ def student_info(spark: SparkSession, sf_dir: str, registration: DataFrame | Non
     )
 
 
-def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assessment dimension: every assessment id seen in submissions, in both presentations."""
-    ids = student_assessment(spark, sf_dir).select("id_assessment").distinct()
-    pres = ids.select(F.explode(F.array(F.lit("2024A"), F.lit("2024B"))).alias("code_presentation")).distinct()
-    return ids.crossJoin(pres).select(
+def assessments(spark: SparkSession, sf_dir: str, replicate: int = 1) -> DataFrame:
+    """Assessment dimension: every assessment id seen in submissions, in both presentations
+    (a Generate over the two presentation labels, no join)."""
+    ids = student_assessment(spark, sf_dir, replicate).select("id_assessment").distinct()
+    return ids.select("id_assessment", F.explode(F.array(F.lit("2024A"), F.lit("2024B"))).alias("code_presentation")).select(
         F.when(F.pmod(F.col("id_assessment"), F.lit(2)) == 0, F.lit("AAA")).otherwise(F.lit("BBB"))
         .alias("code_module"),
         F.col("code_presentation"), F.col("id_assessment"))
 
 
-def learner_tables(spark: SparkSession, sf_dir: str) -> LearnerTables:
-    reg = student_registration(spark, sf_dir)
+def learner_tables(spark: SparkSession, sf_dir: str, replicate: int = 1) -> LearnerTables:
+    reg = student_registration(spark, sf_dir, replicate)
     return LearnerTables(
         student_info=student_info(spark, sf_dir, reg),
         student_registration=reg,
-        student_vle=student_vle(spark, sf_dir),
-        student_assessment=student_assessment(spark, sf_dir),
-        assessments=assessments(spark, sf_dir),
+        student_vle=student_vle(spark, sf_dir, replicate),
+        student_assessment=student_assessment(spark, sf_dir, replicate),
+        assessments=assessments(spark, sf_dir, replicate),
     )
