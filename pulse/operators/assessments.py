@@ -75,18 +75,22 @@ def assessment_snapshot(panel: DataFrame, subs: DataFrame, window_days: int = C.
     """
     c = F.col("cutoff")
     ws = F.greatest(c - (window_days - 1), F.lit(0))
-    s = subs.where(F.col("date_submitted").isNotNull()).select(
-        F.col(key).alias("_k"), "id_assessment", "date_submitted", "score", "id_submission")
+    # Collapse to (learner, assessment, day) first: a learner with a huge share of the
+    # submissions becomes at most assessments x days rows before the cutoff join.
+    s = (subs.where(F.col("date_submitted").isNotNull())
+         .groupBy(F.col(key).alias("_k"), "id_assessment", "date_submitted")
+         .agg(F.sum("score").alias("_s0"), F.count("score").alias("_n0"),
+              F.count_if(F.col("score") >= C.PASS_MARK).alias("_p0"),
+              F.max(F.when(F.col("score").isNotNull(),
+                           F.struct(_last_key().alias("k"), F.col("score").alias("s")))).alias("_l0")))
     j = panel.select(key, "cutoff").join(s, (F.col(key) == F.col("_k")) & (F.col("date_submitted") <= c))
     win = F.col("date_submitted") >= ws
     lvl1 = j.groupBy(key, "cutoff", "id_assessment").agg(
-        F.sum("score").alias("_s"), F.count("score").alias("_n"),
-        F.count_if(F.col("score") >= C.PASS_MARK).alias("_pass"),
-        F.max(F.when(F.col("score").isNotNull(),
-                     F.struct(_last_key().alias("k"), F.col("score").alias("s")))).alias("_last"),
+        F.sum("_s0").alias("_s"), F.sum("_n0").alias("_n"), F.sum("_p0").alias("_pass"),
+        F.max("_l0").alias("_last"),
         F.count(F.when(win, F.lit(1))).alias("_w"),
-        F.sum(F.when(win, F.col("score"))).alias("_s14"),
-        F.count(F.when(win, F.col("score"))).alias("_n14"),
+        F.sum(F.when(win, F.col("_s0"))).alias("_s14"),
+        F.sum(F.when(win, F.col("_n0"))).alias("_n14"),
     )
     lvl2 = lvl1.groupBy(key, "cutoff").agg(
         F.count(F.lit(1)).alias("num_assessments"),
