@@ -771,6 +771,14 @@ register("threshold_f1_curve", _on_v8("""SELECT cutoff, threshold, round(f1, 6)
                             threshold ASC) AS rn FROM pts) WHERE rn = 1""", _SCORED_SQL, _CUM))(
     lambda spark, sf: TH.f1_curve(_scored(spark, sf), ["cutoff"], "score", "y_short"))
 
+register("threshold_median", _on_v8("""SELECT round(median(threshold), 6) AS median_threshold,
+  CAST(count(*) AS BIGINT) AS n_groups FROM (
+  SELECT cutoff, threshold, row_number() OVER (PARTITION BY cutoff ORDER BY
+         2 * precision * recall / (precision + recall + 1e-12) DESC, threshold ASC) AS rn FROM pts) WHERE rn = 1""",
+                                      _SCORED_SQL, _CUM))(
+    lambda spark, sf: TH.f1_curve(_scored(spark, sf), ["cutoff"], "score", "y_short").agg(
+        F.round(F.median("threshold"), 6).alias("median_threshold"), F.count(F.lit(1)).alias("n_groups")))
+
 register("threshold_recall_target", _on_v8("""SELECT o.cutoff,
   CASE WHEN ok.threshold IS NOT NULL THEN ok.threshold ELSE f.threshold END AS threshold,
   CASE WHEN ok.threshold IS NOT NULL THEN 'recall_target' ELSE 'max_f1' END AS rule

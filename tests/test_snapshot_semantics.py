@@ -11,14 +11,10 @@ from pulse.operators.variants import snapshot_v11, snapshot_v11_panel
 
 
 def loop_streak(days, start, end):
-    if not days:
-        return end - start + 1
-    s, d = 0, end
+    """Brute force: length of the run of inactive days that ends at ``end``."""
+    from itertools import takewhile
     active = set(days)
-    while d >= start and d not in active:
-        s += 1
-        d -= 1
-    return s
+    return sum(1 for _ in takewhile(lambda d: d not in active, range(end, start - 1, -1)))
 
 
 def test_streak_closed_form_matches_loop():
