@@ -1291,3 +1291,7 @@ def _rollup(spark, sf):
     base = scratch_path(spark, f"rollup_{abs(hash(sf))}")
     run_daily_rollup(spark, sf, os.path.join(base, "out"), os.path.join(base, "ck"), file_glob="events.parquet")
     return spark.read.parquet(os.path.join(base, "out")).select("id_student", "day", "clicks")
+
+from .holdout import holdout_v2  # noqa: E402
+
+register("holdout_eval")(lambda spark, sf: holdout_v2(spark, sf))
