@@ -1295,3 +1295,44 @@ def _rollup(spark, sf):
 from .holdout import holdout_v2  # noqa: E402
 
 register("holdout_eval")(lambda spark, sf: holdout_v2(spark, sf))
+
+register("top_features")(lambda spark, sf: _top_features(spark, sf))
+
+
+def _top_features(spark, sf):
+    """Union of each model's top-10 features (native importance), de-duplicated."""
+    imp = _importance(spark, sf)
+    from pyspark.sql import Window
+    w = Window.partitionBy("model").orderBy(F.col("native").desc(), F.col("feature"))
+    top = imp.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 10)
+    return top.select("feature").distinct()
+
+
+register("train_serve_skew")(lambda spark, sf: _skew(spark, sf))
+
+
+def _skew(spark, sf):
+    """Q4/Q14: the same learners at the same cutoff, featurised the training way (zero fill,
+    registration-clock panel) and the serving way (row-local, worst-case fill); per feature
+    the two means and the number of learners whose value differs."""
+    t = T(spark, sf)
+    serve = variants.snapshot_v11(H.learner_histories(t)).select(
+        F.col("student_id").cast("bigint").alias("id_student"), "cutoff",
+        *[F.col(c).alias(f"s_{c}") for c in FEATURES_15])
+    learners, daily = variants.registration_clock(t, MOD, PRES)
+    cut = serve.select("id_student", F.col("cutoff").cast("int").alias("cutoff"))
+    from ..operators.snapshot import V7 as _V7
+    train_p = build_panel_per_row(_V7, learners.join(cut, "id_student"), daily)
+    j = train_p.join(serve, ["id_student", "cutoff"])
+    aggs = []
+    for c in FEATURES_15:
+        aggs += [F.avg(c).alias(f"t_{c}"), F.avg(f"s_{c}").alias(f"v_{c}"),
+                 F.count_if(F.col(c) != F.col(f"s_{c}")).alias(f"n_{c}")]
+    row = j.agg(*aggs)
+    stack = ", ".join(f"'{c}', t_{c}, v_{c}, n_{c}" for c in FEATURES_15)
+    return row.selectExpr(f"stack({len(FEATURES_15)}, {stack}) as (feature, mean_train, mean_serve, n_differ)")
+
+
+def build_panel_per_row(spec, learners, daily):
+    from ..operators.snapshot import build_panel
+    return build_panel(spec.with_cutoffs(None), learners, daily)
