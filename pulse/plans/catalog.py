@@ -1104,8 +1104,12 @@ def _bundle(spark, sf, name="rf"):
     return TR.load_bundle(spark, path), p
 
 
-register("model_roundtrip")(lambda spark, sf: _bundle(spark, sf)[0].transform(
-    _bundle(spark, sf)[1], keep=["id_student", "cutoff"]))
+register("model_roundtrip")(lambda spark, sf: _roundtrip(spark, sf))
+
+
+def _roundtrip(spark, sf):
+    fm, p = _bundle(spark, sf)
+    return fm.transform(p, keep=["id_student", "cutoff"])
 register("refit_best")(lambda spark, sf: _refit(spark, sf))
 
 
