@@ -196,7 +196,7 @@ l3 AS (SELECT id_student, sum(sum_click) AS v FROM v7 WHERE dsr >= 5 GROUP BY 1)
 a03 AS (SELECT id_student, sum(sum_click) AS v FROM v7 WHERE dsr <= 3 GROUP BY 1),
 a47 AS (SELECT id_student, sum(sum_click) AS v FROM v7 WHERE dsr >= 4 GROUP BY 1)
 SELECT CAST(s.id_student AS BIGINT) AS id_student, CAST(s.dropout AS BIGINT) AS dropout,
-  CASE WHEN agg.id_student IS NULL THEN NULL ELSE 8.0 END AS days_elapsed_since_reg,
+  CASE WHEN agg.id_student IS NULL THEN NULL ELSE 8.0::DOUBLE END AS days_elapsed_since_reg,
   CAST(coalesce(agg.total, 0) AS DOUBLE) / 8 AS clicks_per_day_total,
   CAST(coalesce(agg.days, 0) AS DOUBLE) / 8 AS active_ratio_total,
   CASE WHEN agg.days > 0 THEN CAST(agg.total AS DOUBLE) / agg.days ELSE 0.0 END AS avg_clicks_per_active_day_total,
