@@ -37,8 +37,13 @@ def test_query_matches_oracle(spark, duck, name):
     con = getattr(test_query_matches_oracle, "_con", None)
     if con is None:
         con = test_query_matches_oracle._con = duck(SF)
-    got = registry.queries()[name](spark, SF).toPandas()
+    sdf = registry.queries()[name](spark, SF)
+    got = sdf.toPandas()
     exp = con.execute(registry.oracle_sql()[name]).df()
+    types = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+    dtypes = {r[0]: types.get(str(r[1]), str(r[1]))
+              for r in con.execute("DESCRIBE " + registry.oracle_sql()[name]).fetchall()}
+    assert dtypes == {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
     assert sorted(got.columns) == sorted(exp.columns)
     assert len(got) == len(exp)
     assert _rows(got) == _rows(exp)
