@@ -1,9 +1,10 @@
 """Minority oversampling (M9), distributed.
 
 Neighbour candidates come from a random 1-d projection: rows are sorted by the projection
-inside (block, projection-bucket) window partitions and the 2k rows around each row are the
-candidates; the k nearest of them by exact Euclidean distance are its neighbours. Work per
-row is O(k) and no pairs are enumerated, at the price of approximate neighbours (rows near a
+inside (block, projection-bucket, salt) window partitions (the salt splits buckets larger
+than ROWS_PER_BUCKET rows) and the 2k rows around each row are the candidates; the k nearest
+of them by exact Euclidean distance are its neighbours. Work per row is O(k) and no pairs are
+enumerated, at the price of approximate neighbours (rows near a
 bucket edge see fewer candidates). Synthetic rows interpolate between a base row and one
 of its neighbours with a hash-derived u in [0, 1), so results do not depend on partitioning.
 """
@@ -56,7 +57,13 @@ def smote(df: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[
     nb = max(1, n_min // ROWS_PER_BUCKET)
     width = (hi - lo) / nb if hi > lo else 1.0
     mino = mino.withColumn("_pb", F.least(F.floor((F.col("_p") - lo) / width), F.lit(nb - 1)))
-    w = Window.partitionBy(*block, "_pb").orderBy("_p", *id_cols)
+    # Hot buckets (e.g. many identical inactive rows) are split by a hash salt so that no
+    # window partition holds more than about ROWS_PER_BUCKET rows.
+    sizes = mino.groupBy(*block, "_pb").agg(F.count(F.lit(1)).alias("_bn"))
+    mino = mino.join(sizes, [*block, "_pb"]).withColumn(
+        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed + 3)),
+                        F.ceil(F.col("_bn") / F.lit(ROWS_PER_BUCKET))))
+    w = Window.partitionBy(*block, "_pb", "_salt").orderBy("_p", *id_cols)
     vec = F.array(*[F.col(c).cast("double") for c in feats])
     mino = mino.withColumn("_x", vec)
     cands = [F.lag("_x", i).over(w) for i in range(1, k + 1)] + [F.lead("_x", i).over(w) for i in range(1, k + 1)]
@@ -81,6 +88,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[
         F.zip_with(F.col("_x"), F.col("_nbv"), lambda a, b: a + F.col("_u") * (b - a)))
     gen = gen.withColumn("_new", new_x)
     other = [c for c in df.columns if c not in feats]
+    gen = gen.drop("_bn", "_salt")
     synth = gen.select(*[F.col(c) for c in other],
                        *[F.col("_new")[i].alias(c) for i, c in enumerate(feats)],
                        F.lit(1).alias("is_synthetic"))

@@ -25,11 +25,14 @@ def registration_clock(t: LearnerTables, module: str = C.MODULE,
 
 
 def snapshot_v4(t: LearnerTables, module: str = C.MODULE, presentations: Sequence[str] = C.PRESENTATIONS,
-                cutoffs: Sequence[int] = C.CUTOFFS_COURSE, spec: SnapshotSpec = V4) -> DataFrame:
+                cutoffs: Sequence[int] = C.CUTOFFS_COURSE, spec: SnapshotSpec = V4,
+                with_assessments: bool = True) -> DataFrame:
     """Course clock, no lower day bound, withdrew label, plus assessment block."""
     learners = cohort.learners_prestart(t, module, presentations)
     daily = cohort.collapse_daily(cohort.module_vle(t, module, presentations))
     panel = build_panel(spec.with_cutoffs(cutoffs), learners, daily)
+    if not with_assessments:
+        return panel
     subs = cohort.scoped_submissions(t, module, presentations).join(
         learners.select("id_student"), "id_student", "left_semi")
     return assessment_snapshot(panel, subs)

@@ -164,8 +164,8 @@ def _sql(parts):
     return W(ctes) + select
 
 
-register("snapshot_v4", _sql(O.v4_panel()) + " ")(lambda spark, sf: variants.snapshot_v4(T(spark, sf)).drop(
-    "num_assessments", "avg_score", "pass_count", "last_score", "num_assessments_14", "avg_score_14"))
+register("snapshot_v4", _sql(O.v4_panel()))(
+    lambda spark, sf: variants.snapshot_v4(T(spark, sf), with_assessments=False))
 register("snapshot_v5", _sql(O.reg_panel("silent", 7, eligible=True)))(
     lambda spark, sf: variants.snapshot_v5(T(spark, sf)))
 register("snapshot_v6", _sql(O.reg_panel("silent", 14)))(lambda spark, sf: variants.snapshot_v6(T(spark, sf)))
