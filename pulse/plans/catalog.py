@@ -116,17 +116,20 @@ SELECT column_name, CAST(null_count AS BIGINT) AS null_count FROM (
     .select("column_name", F.col("null_count").cast("bigint")))
 
 register("coerce_numeric", """
-SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k_num,
-       TRY_CAST(event_type AS INTEGER) AS type_num
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_num,
+       TRY_CAST(event_type AS DOUBLE) AS type_num
 FROM events""")(
     lambda spark, sf: _coerce(spark, sf))
 
 
 def _coerce(spark, sf):
+    """Numeric coercion where unparsable text becomes NULL (a double, like a coercing
+    numeric read), never an error."""
+    from ..functions.clean import coerce_double
     from ..sources.tables import read_table
     ev = read_table(spark, sf, "events", ["event_id", "event_type", "props"])
-    return ev.select("event_id", F.expr("try_cast(get_json_object(props, '$.k') AS INT)").alias("k_num"),
-                     F.expr("try_cast(event_type AS INT)").alias("type_num"))
+    return ev.select("event_id", coerce_double(F.get_json_object("props", "$.k")).alias("k_num"),
+                     coerce_double(F.col("event_type")).alias("type_num"))
 
 
 register("registration_features", W() + f"""
@@ -422,13 +425,13 @@ FROM sv WHERE date >= 0 AND date <= 14 GROUP BY id_student""")(
 
 register("banded_clicks_100", W(_SINGLE) + """
 SELECT id_student,
-  CAST(sum(CASE WHEN date BETWEEN 0 AND 7 THEN sum_click END) AS BIGINT) AS clicks_0_7,
-  CAST(sum(CASE WHEN date BETWEEN 8 AND 14 THEN sum_click END) AS BIGINT) AS clicks_8_14,
-  CAST(sum(CASE WHEN date BETWEEN 15 AND 28 THEN sum_click END) AS BIGINT) AS clicks_15_28,
-  CAST(sum(CASE WHEN date BETWEEN 29 AND 100 THEN sum_click END) AS BIGINT) AS clicks_29_100
+  CAST(sum(CASE WHEN date BETWEEN 0 AND 7 THEN sum_click END) AS DOUBLE) AS clicks_0_7,
+  CAST(sum(CASE WHEN date BETWEEN 8 AND 14 THEN sum_click END) AS DOUBLE) AS clicks_8_14,
+  CAST(sum(CASE WHEN date BETWEEN 15 AND 28 THEN sum_click END) AS DOUBLE) AS clicks_15_28,
+  CAST(sum(CASE WHEN date BETWEEN 29 AND 100 THEN sum_click END) AS DOUBLE) AS clicks_29_100
 FROM sv WHERE date BETWEEN 0 AND 100 GROUP BY id_student""")(
     lambda spark, sf: early.band_pivot(_single_daily(spark, sf), early.V1.bands).select(
-        "id_student", *[F.col(b[2]).cast("bigint").alias(b[2]) for b in early.V1.bands]))
+        "id_student", *[F.col(b[2]).cast("double").alias(b[2]) for b in early.V1.bands]))
 
 register("activity_outer", W(_SINGLE) + """,
 w AS (SELECT * FROM sv WHERE date >= 0 AND date <= 14),
@@ -723,10 +726,12 @@ pts AS (SELECT cutoff, score AS threshold, cp, cn, "P", "N",
                CASE WHEN cp + cn = 0 THEN 0.0 ELSE cp::DOUBLE / (cp + cn) END AS precision,
                CASE WHEN "P" = 0 THEN 0.0 ELSE cp::DOUBLE / "P" END AS recall FROM c)"""
 
-register("roc_auc", _on_v8("""SELECT cutoff, round(sum(pos * ("N" - cn + 0.5 * neg)) / (max("P") * max("N")), 6) AS auc
+register("roc_auc", _on_v8("""SELECT cutoff, round(CASE WHEN max("P") * max("N") = 0 THEN NULL
+  ELSE sum(pos * ("N" - cn + 0.5 * neg)) / (max("P") * max("N")) END, 6) AS auc
   FROM c GROUP BY cutoff""", _SCORED_SQL, _CUM))(lambda spark, sf: M.roc_auc(_scored(spark, sf), ["cutoff"], "score", "y_short"))
 
-register("average_precision", _on_v8("""SELECT cutoff, round(sum(pos::DOUBLE / "P" * (cp::DOUBLE / (cp + cn))), 6)
+register("average_precision", _on_v8("""SELECT cutoff, round(sum(CASE WHEN "P" = 0 THEN NULL
+  ELSE pos::DOUBLE / "P" END * (cp::DOUBLE / (cp + cn))), 6)
   AS average_precision FROM c GROUP BY cutoff""", _SCORED_SQL, _CUM))(
     lambda spark, sf: M.average_precision(_scored(spark, sf), ["cutoff"], "score", "y_short"))
 

@@ -19,7 +19,7 @@ def _norm(v):
         except Exception:  # noqa: BLE001
             pass
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9)
+        return "NaN" if math.isnan(v) else round(v, 9)
     return v
 
 
