@@ -1159,8 +1159,9 @@ def _train_job(spark, sf):
     path = scratch_path(spark, f"train_job_{abs(hash(sf))}")
     res = TR.train_job(spark, sf, path)
     return spark.createDataFrame([(res["best"], res["risk_thresholds"]["medium"], res["risk_thresholds"]["high"],
-                                   res["platt"]["a"], res["platt"]["b"])],
-                                 "best_model string, thr_medium double, thr_high double, platt_a double, platt_b double")
+                                   res["platt"]["a"], res["platt"]["b"], res["mean_score_shift"])],
+                                 "best_model string, thr_medium double, thr_high double, platt_a double, "
+                                 "platt_b double, mean_score_shift double")
 
 
 # scoring paths with a saved bundle

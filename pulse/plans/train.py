@@ -113,7 +113,11 @@ def train_job(spark: SparkSession, sf_dir: str, out_path: str, models: Sequence[
     thr_high = TH.precision_floor(scored, ["_g"], "risk", "y_short", C.PRECISION_FLOOR_HIGH).collect()[0]
     thr_med = TH.precision_floor(scored, ["_g"], "risk", "y_short", C.PRECISION_FLOOR_MEDIUM).collect()[0]
     fm = fit_model(panel, FEATURES_15, "y_short", name, ID, oversample=False)
-    extra = {"platt": platt, "alpha": C.BLEND_B_ALPHA,
+    # Q22: calibrator and thresholds come from the oversampled out-of-fold pipeline but are
+    # applied to the refit without oversampling; report the mean-score shift between the two.
+    shift = (fm.transform(panel, keep=ID).agg(F.avg("proba").alias("p")).collect()[0]["p"]
+             - best_oof.agg(F.avg("proba").alias("p")).collect()[0]["p"])
+    extra = {"platt": platt, "alpha": C.BLEND_B_ALPHA, "mean_score_shift": float(shift),
              "risk_thresholds": {"medium": float(thr_med["threshold"]), "high": float(thr_high["threshold"])}}
     save_bundle(spark, fm, out_path, extra)
     return {"best": name, "bundle": out_path, **extra}
