@@ -833,7 +833,7 @@ FROM students s LEFT JOIN d ON d.id_student = s.id_student GROUP BY 1, 2""")(lam
 
 def _nested(spark, sf):
     """S3 round trip: histories written as JSON lines, read back with the declared schema."""
-    path = scratch_path(spark, f"histories_{abs(hash(sf))}")
+    path = scratch_path(spark, "histories")
     H.learner_histories(T(spark, sf)).write.mode("overwrite").json(path)
     h = H.read_histories(spark, path)
     return h.select("student_id", F.col("days_since_registration").cast("bigint"),
@@ -848,7 +848,7 @@ register("feature_rows_source", W(_V11_CTES, f"p AS ({_V11_SELECT})") + "\nSELEC
 
 def _feature_rows(spark, sf):
     """S4 round trip: pre-computed 15-feature rows written as parquet, read with the declared schema."""
-    path = scratch_path(spark, f"feature_rows_{abs(hash(sf))}")
+    path = scratch_path(spark, "feature_rows")
     variants.snapshot_v11(H.learner_histories(T(spark, sf))).drop("cutoff").write.mode("overwrite").parquet(path)
     return H.read_feature_rows(spark, path)
 
@@ -935,7 +935,7 @@ register("scored_snapshot", _on_v8(f"""SELECT id_student, cutoff, {O.DECLINE_A}
 
 def _scored_snapshot(spark, sf):
     """Daily rule scores written to a score_date partition (dynamic overwrite) and read back."""
-    path = scratch_path(spark, f"scores_{abs(hash(sf))}")
+    path = scratch_path(spark, "scores")
     D.write_scores(D.daily_rule_scores(spark, sf, 14), path, "2024-01-22")
     return (spark.read.parquet(path).where(F.col("score_date") == F.lit("2024-01-22").cast("date"))
             .select("id_student", "cutoff", "decline_score", "risk_level",
@@ -953,7 +953,7 @@ def _config_latest(spark, sf):
     """A versioned threshold table (one version per cutoff) appended to the config
     folder; the latest version wins via max_by."""
     cfg = TH.precision_floor(_scored(spark, sf), ["cutoff"], "score", "y_short", C.PRECISION_FLOOR_MEDIUM)
-    path = scratch_path(spark, f"config_{abs(hash(sf))}")
+    path = scratch_path(spark, "config")
     cfg.select(F.col("cutoff").alias("version"), "threshold").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).agg(F.max_by("threshold", "version").alias("threshold"),
                                         F.max("version").cast("bigint").alias("version"))
@@ -1101,7 +1101,7 @@ def _bundle(spark, sf, name="rf"):
     """Fit on the full panel, save (pyspark.ml writer + config row), load back."""
     p = _panel(spark, sf)
     fm = fit_model(p, FEATURES_15, "y_short", name, TR.ID)
-    path = scratch_path(spark, f"bundle_{name}_{abs(hash(sf))}")
+    path = scratch_path(spark, f"bundle_{name}")
     TR.save_bundle(spark, fm, path, {"platt": {"a": 1.0, "b": 0.0}, "alpha": C.BLEND_B_ALPHA,
                                      "risk_thresholds": {"medium": C.BLEND_A["thr_medium"],
                                                          "high": C.BLEND_A["thr_high"]},
@@ -1147,7 +1147,7 @@ register("threshold_config")(lambda spark, sf: _thr_config(spark, sf))
 def _thr_config(spark, sf):
     """The chosen threshold and rule written as a one-row JSON file, read back."""
     sel = TH.recall_target(_scored(spark, sf).withColumn("_g", F.lit(1)), ["_g"], "score", "y_short").drop("_g")
-    path = scratch_path(spark, f"threshold_{abs(hash(sf))}")
+    path = scratch_path(spark, "threshold")
     sel.coalesce(1).write.mode("overwrite").json(path)
     return spark.read.schema("threshold double, rule string").json(path)
 
@@ -1156,7 +1156,7 @@ register("train_job")(lambda spark, sf: _train_job(spark, sf))
 
 
 def _train_job(spark, sf):
-    path = scratch_path(spark, f"train_job_{abs(hash(sf))}")
+    path = scratch_path(spark, "train_job")
     res = TR.train_job(spark, sf, path)
     return spark.createDataFrame([(res["best"], res["risk_thresholds"]["medium"], res["risk_thresholds"]["high"],
                                    res["platt"]["a"], res["platt"]["b"], res["mean_score_shift"])],
@@ -1298,7 +1298,7 @@ register("daily_rollup_stream")(lambda spark, sf: _rollup(spark, sf))
 def _rollup(spark, sf):
     """Structured Streaming (file source, 1-day windows, watermark, append file sink) over
     the events table; returns the closed learner-days written so far."""
-    base = scratch_path(spark, f"rollup_{abs(hash(sf))}")
+    base = scratch_path(spark, "rollup")
     run_daily_rollup(spark, sf, os.path.join(base, "out"), os.path.join(base, "ck"), file_glob="events.parquet")
     return spark.read.parquet(os.path.join(base, "out")).select("id_student", "day", "clicks")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,8 +56,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     """A table location under the shared checkpoint folder (never a machine-local temp dir
-    on a cluster: the folder comes from the session)."""
+    on a cluster: the folder comes from the session). ``unique`` appends a random suffix so
+    two lazily evaluated DataFrames never read a location the other one overwrites."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "pulse", name)
+    suffix = f"-{uuid.uuid4().hex[:12]}" if unique else ""
+    return os.path.join(base, "pulse", name + suffix)
