@@ -162,3 +162,18 @@ def test_repartition_invariance(spark):
     a = sorted(tuple(r) for r in build_panel(V8, L, D).collect())
     b = sorted(tuple(r) for r in build_panel(V8, L.repartition(3), D.repartition(5, "day")).collect())
     assert a == b
+
+
+def test_prefix_strategy_equals_join_strategy(spark):
+    from pulse.operators.snapshot import V4 as S4, V5 as S5, V9 as S9
+    acts = [(i % 9, (i * 7) % 40 - 5, i % 13 + 1) for i in range(300)]
+    L = spark.createDataFrame([(i, 1, 20 + i) for i in range(10)],
+                              "id_student long, dropout int, date_unregistration int")
+    D = spark.createDataFrame(acts, "id_student long, day int, clicks long") \
+        .groupBy("id_student", "day").agg(F.sum("clicks").alias("clicks"))
+    for spec in (V7, V8, S5, S4, S9):
+        for cuts in ((3, 7, 14), tuple(range(0, 30))):
+            s = spec.with_cutoffs(cuts)
+            a = build_panel(s, L, D, strategy="join")
+            b = build_panel(s, L, D, strategy="prefix").select(*a.columns)
+            assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
