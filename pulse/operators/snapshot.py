@@ -198,7 +198,7 @@ def label_column(spec: SnapshotSpec, c: Column) -> Column | None:
     return y.cast("bigint").alias(spec.label_name)
 
 
-PREFIX_MIN_CUTOFFS = 20
+PREFIX_MIN_CUTOFFS = 64  # join is cheaper while days x cutoffs per learner stays small
 
 
 def _prefix_aggregates(spec: SnapshotSpec, panel: DataFrame, daily: DataFrame, key: str,

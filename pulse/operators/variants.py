@@ -40,11 +40,11 @@ def snapshot_v4(t: LearnerTables, module: str = C.MODULE, presentations: Sequenc
 
 def snapshot_registration(spec: SnapshotSpec, t: LearnerTables, module: str = C.MODULE,
                           presentations: Sequence[str] = C.PRESENTATIONS,
-                          cutoffs: Sequence[int] | None = None) -> DataFrame:
+                          cutoffs: Sequence[int] | None = None, strategy: str = "auto") -> DataFrame:
     """Registration clock panels differing only in their spec."""
     learners, daily = registration_clock(t, module, presentations)
     s = spec if cutoffs is None else spec.with_cutoffs(cutoffs)
-    return build_panel(s, learners, daily)
+    return build_panel(s, learners, daily, strategy=strategy)
 
 
 def snapshot_v9(t: LearnerTables, module: str = C.MODULE, presentations: Sequence[str] = C.PRESENTATIONS,
@@ -76,8 +76,8 @@ def snapshot_v7(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None)
     return snapshot_registration(V7, t, module, presentations, cutoffs)
 
 
-def snapshot_v8(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None):
-    return snapshot_registration(V8, t, module, presentations, cutoffs)
+def snapshot_v8(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None, strategy="auto"):
+    return snapshot_registration(V8, t, module, presentations, cutoffs, strategy)
 
 
 def snapshot_v11(histories: DataFrame, window_days: int = C.WINDOW_DAYS,

@@ -178,7 +178,7 @@ register("snapshot_v8_short", _sql(O.v8_panel(C.CUTOFFS_SHORT)))(
     lambda spark, sf: variants.snapshot_v8(T(spark, sf), cutoffs=C.CUTOFFS_SHORT))
 _DAILY_CUTS = tuple(range(0, 30))
 register("snapshot_v8_daily", _sql(O.v8_panel(_DAILY_CUTS)))(
-    lambda spark, sf: variants.snapshot_v8(T(spark, sf), cutoffs=_DAILY_CUTS))
+    lambda spark, sf: variants.snapshot_v8(T(spark, sf), cutoffs=_DAILY_CUTS, strategy="prefix"))
 register("snapshot_v9", _sql(O.v9_panel()))(lambda spark, sf: variants.snapshot_v9(T(spark, sf)))
 
 # early single-window snapshots (P1-P3) and the day-7 / per-row-cutoff panels
