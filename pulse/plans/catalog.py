@@ -6,15 +6,35 @@ grows with ``events``/``customer``; the SQL next to it is the DuckDB oracle.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from .. import config as C
 from .. import oracle as O
+from ..functions import rules
+from ..functions.clean import clean_features, safe_div
+from ..ml import calibrate as CAL
+from ..ml import folds as FO
+from ..ml import importance as IMP
+from ..ml import metrics as M
+from ..ml import prep as PREP
+from ..ml import thresholds as TH
+from ..ml.models import fit_model, kept_columns
+from ..ml.smote import smote as _smote
+from ..operators import assessments as A
 from ..operators import cohort, early, variants
-from ..operators.snapshot import FEATURES_15
+from ..operators.snapshot import FEATURES_15, V5, cutoff_panel, window_bounds
 from ..registry import register
+from ..session import scratch_path
+from ..sources import history as H
+from ..sources import validate as VAL
 from ..sources.demo import learner_tables
 from ..sources.history import learner_histories
+from ..streaming.daily_rollup import run_daily_rollup
+from . import daily as D
+from . import train as TR
+from .holdout import holdout_v2
 
 W = O.with_demo
 MOD, PRES, PRES1 = C.MODULE, C.PRESENTATIONS, C.PRESENTATION
@@ -161,7 +181,6 @@ WHERE id_assessment IN (SELECT id_assessment FROM assessments
 # ---------------------------------------------------------------- point-in-time panels
 
 
-
 def _sql(parts):
     ctes, select = parts
     return W(ctes) + select
@@ -242,13 +261,6 @@ register("label_unregister", _wrap(_V9, "SELECT id_student, cutoff, target FROM
 
 # ---------------------------------------------------------------- joins / aggregates on the panel grain
 
-from ..functions import rules  # noqa: E402
-from ..functions.clean import clean_features, safe_div  # noqa: E402
-from ..ml import metrics as M  # noqa: E402
-from ..ml import thresholds as TH  # noqa: E402
-from ..operators import assessments as A  # noqa: E402
-from ..operators.snapshot import V5, cutoff_panel, window_bounds  # noqa: E402
-from . import daily as D  # noqa: E402
 
 CUTS = C.CUTOFFS_REG
 _CUT_SQL = O.cutoffs_cte(CUTS)
@@ -810,11 +822,6 @@ LEFT JOIN (SELECT cutoff, threshold, recall FROM (SELECT cutoff, threshold, reca
 
 # ---------------------------------------------------------------- sources, validation, sinks
 
-import os  # noqa: E402
-
-from ..session import scratch_path  # noqa: E402
-from ..sources import history as H  # noqa: E402
-from ..sources import validate as VAL  # noqa: E402
 
 _V11_CTES, _V11_SELECT = O.v11_panel()
 
@@ -964,14 +971,6 @@ def _config_latest(spark, sf):
 
 # ---------------------------------------------------------------- learning (M1-M28, R7-R14): rows-only checks
 
-from ..ml import calibrate as CAL  # noqa: E402
-from ..ml import folds as FO  # noqa: E402
-from ..ml import importance as IMP  # noqa: E402
-from ..ml import prep as PREP  # noqa: E402
-from ..ml.models import fit_model, kept_columns  # noqa: E402
-from ..ml.smote import smote as _smote  # noqa: E402
-from . import train as TR  # noqa: E402
-
 
 def _panel(spark, sf):
     return TR.training_panel(spark, sf)
@@ -1293,7 +1292,6 @@ LEFT JOIN aw USING (id_student, cutoff)) USING (id_student, cutoff)""")(
 
 # ---------------------------------------------------------------- streaming upkeep of the daily table
 
-from ..streaming.daily_rollup import run_daily_rollup  # noqa: E402
 
 register("daily_rollup_stream")(lambda spark, sf: _rollup(spark, sf))
 
@@ -1305,7 +1303,6 @@ def _rollup(spark, sf):
     run_daily_rollup(spark, sf, os.path.join(base, "out"), os.path.join(base, "ck"), file_glob="events.parquet")
     return spark.read.parquet(os.path.join(base, "out")).select("id_student", "day", "clicks")
 
-from .holdout import holdout_v2  # noqa: E402
 
 register("holdout_eval")(lambda spark, sf: holdout_v2(spark, sf))
 
