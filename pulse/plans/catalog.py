@@ -1242,6 +1242,7 @@ register("score_with_threshold")(lambda spark, sf: _score_thr(spark, sf, 0.5))
 
 def _score_thr(spark, sf, thr):
     """Decision at a caller threshold plus run metadata columns."""
+    thr = VAL.check_threshold(thr)
     fm, p = _bundle(spark, sf)
     s = fm.transform(p, keep=["id_student", "cutoff"])
     return s.select("id_student", "cutoff", "proba", rules.decision(F.col("proba"), thr).alias("prediction"),

@@ -55,3 +55,19 @@ def batch_with_errors(histories: DataFrame) -> DataFrame:
     err = F.when(F.col("days_since_registration").isNull(), F.lit("days_since_registration is missing"))
     return histories.select("student_id", F.col("days_since_registration").cast("bigint").alias("cutoff"),
                             "vle_activities", err.alias("error"))
+
+
+def check_threshold(threshold: float) -> float:
+    """A caller-supplied decision threshold must be a number in [0, 1] (request-level
+    check on the driver, before any job runs)."""
+    t = float(threshold)
+    if not 0.0 <= t <= 1.0:
+        raise ValueError(f"threshold must be in [0, 1], got {threshold!r}")
+    return t
+
+
+def check_non_empty(df: DataFrame) -> DataFrame:
+    """An empty batch is a request error; ``isEmpty`` reads at most one row."""
+    if df.isEmpty():
+        raise ValueError("empty batch")
+    return df

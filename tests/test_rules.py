@@ -96,3 +96,13 @@ def test_validation_strict_and_lenient(spark):
     lenient = {r["student_id"]: r for r in validate_feature_rows(df, FEATURES_15, strict=False).collect()}
     assert lenient["low"]["is_valid"] == 1 and lenient["low"]["clicks_0_7"] == 0.0
     assert lenient["high"]["error"] == "active_ratio_total out of [0,1]"
+
+
+def test_request_level_checks(spark):
+    from pulse.sources.validate import check_non_empty, check_threshold
+    assert check_threshold(0.45) == 0.45
+    for bad in (-0.1, 1.5, "x"):
+        with pytest.raises(ValueError):
+            check_threshold(bad)
+    with pytest.raises(ValueError):
+        check_non_empty(feature_rows(spark, ROWS).limit(0))
