@@ -31,13 +31,15 @@ class EarlySpec:
     pass_rate: bool = True
     numeric_extra: tuple = ()         # student_info counters carried as features
     categorical: tuple = ("gender", "age_band")
+    fill_min_std: bool = False        # min_score / score_std filled for learners without submissions
 
 
 V1 = EarlySpec("v1", 0, 100, 100, ((0, 7, "clicks_0_7"), (8, 14, "clicks_8_14"),
                                    (15, 28, "clicks_15_28"), (29, 100, "clicks_29_100")),
                recency=False, pass_rate=False,
                numeric_extra=("num_of_prev_attempts", "studied_credits"),
-               categorical=("gender", "region", "age_band", "highest_education", "imd_band", "disability"))
+               categorical=("gender", "region", "age_band", "highest_education", "imd_band", "disability"),
+               fill_min_std=True)
 V2 = EarlySpec("v2", 0, 14, 14, ((0, 7, "clicks_0_7"), (8, 14, "clicks_8_14")))
 
 
@@ -106,7 +108,7 @@ def early_snapshot(spec: EarlySpec, t: LearnerTables, module: str, presentation:
     cols["avg_score"] = z(F.col("avg_score"))
     cols["max_score"] = z(F.col("max_score"))
     # Learners with submissions: NaN -> 0; learners without: left as NULL.
-    has_subs = F.col("num_assessments").isNotNull()
+    has_subs = F.col("num_assessments").isNotNull() | F.lit(spec.fill_min_std)
     cols["min_score"] = F.when(has_subs, z(F.col("min_score")))
     cols["score_std"] = F.when(has_subs, F.round(z(F.col("score_std")), 6))
     cols["last_score"] = z(F.col("last_score"))

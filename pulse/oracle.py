@@ -267,7 +267,7 @@ def v11_panel():
 
 
 def early_sql(*, start: int, end: int, per_day: int, bands, recency: bool = True, pass_rate: bool = True,
-              extra=(), cats=("gender", "age_band"), presentation: str = PRES1) -> str:
+              extra=(), cats=("gender", "age_band"), presentation: str = PRES1, fill_min_std: bool = False) -> str:
     """Single-window learner snapshot, block by block as the reference builds it."""
     ex = "".join(f", {c}" for c in extra)
     ca = "".join(f", {c}" for c in cats)
@@ -295,8 +295,10 @@ def early_sql(*, start: int, end: int, per_day: int, bands, recency: bool = True
                  f"{z(f'{end} - va.last')} AS inactivity_streak"]
     cols += [f"{z('aa.n')} AS num_assessments", f"{z('aa.avg_score')} AS avg_score",
              f"{z('aa.max_score')} AS max_score",
-             "CASE WHEN aa.id_student IS NULL THEN NULL ELSE CAST(coalesce(aa.min_score, 0) AS DOUBLE) END AS min_score",
-             "CASE WHEN aa.id_student IS NULL THEN NULL ELSE round(CAST(coalesce(aa.sd, 0) AS DOUBLE), 6) END AS score_std",
+             f"CASE WHEN aa.id_student IS NULL AND NOT {fill_min_std} THEN NULL "
+             "ELSE CAST(coalesce(aa.min_score, 0) AS DOUBLE) END AS min_score",
+             f"CASE WHEN aa.id_student IS NULL AND NOT {fill_min_std} THEN NULL "
+             "ELSE round(CAST(coalesce(aa.sd, 0) AS DOUBLE), 6) END AS score_std",
              f"{z('ls.score')} AS last_score"]
     if pass_rate:
         cols.append(f"{z('aa.pass_rate')} AS pass_rate")

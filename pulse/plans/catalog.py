@@ -206,13 +206,13 @@ register("snapshot_v9", _sql(O.v9_panel()))(lambda spark, sf: variants.snapshot_
 def _early_sql(spec, **kw):
     return O.early_sql(start=spec.start, end=spec.end, per_day=spec.per_day, bands=spec.bands,
                        recency=spec.recency, pass_rate=spec.pass_rate, extra=spec.numeric_extra,
-                       cats=spec.categorical, **kw)
+                       cats=spec.categorical, fill_min_std=spec.fill_min_std, **kw)
 
 
 register("snapshot_v1", _early_sql(early.V1))(lambda spark, sf: early.early_snapshot(early.V1, T(spark, sf), MOD, PRES1))
 register("snapshot_v2", _early_sql(early.V2))(lambda spark, sf: early.early_snapshot(early.V2, T(spark, sf), MOD, PRES1))
-register("snapshot_v3", _early_sql(early.v3_spec(14)))(
-    lambda spark, sf: early.early_snapshot(early.v3_spec(14), T(spark, sf), MOD, PRES1))
+register("snapshot_v3", _early_sql(early.V3))(
+    lambda spark, sf: early.early_snapshot(early.V3, T(spark, sf), MOD, PRES1))
 
 register("snapshot_v10", W(O.REG_CLOCK) + """,
 v7 AS (SELECT * FROM vle_mod WHERE dsr >= 0 AND dsr <= 7),
