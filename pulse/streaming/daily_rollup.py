@@ -6,7 +6,8 @@ streaming aggregation: tumbling one-day windows on the event time, a watermark b
 late a click may arrive, append output (each learner-day row is written once, when its day
 closes) into a parquet table partitioned by day. The file sink plus the query checkpoint give
 exactly-once output across restarts and lost executors. The batch snapshot operator reads the
-table exactly as it reads ``cohort.collapse_daily`` output.
+table exactly as it reads ``cohort.collapse_daily`` output. Day boundaries follow the log's own
+wall clock, independent of the session time zone.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.demo import DAY_ZERO, k_of
+from ..sources.demo import day_of, k_of
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -29,15 +30,18 @@ def daily_clicks_stream(spark: SparkSession, events_dir: str, file_glob: str = "
     """Streaming (learner, day, clicks) with a watermark of ``late`` on the event time."""
     src = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", file_glob)
            .option("maxFilesPerTrigger", 64).parquet(events_dir))
+    ts = F.col("ts")
+    # Event time as an instant whose UTC wall clock is the log's wall clock, so one-day windows
+    # (aligned to UTC midnight) are the log's calendar days whatever the session time zone.
+    event_time = F.make_timestamp_ltz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts),
+                                      F.second(ts).cast("decimal(8,6)"), F.lit("UTC"))
     clicks = src.where(F.col("event_type") == "click").select(
-        F.col("user_id").alias("id_student"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("user_id").alias("id_student"), event_time.alias("et"), day_of(ts).alias("day"),
         k_of(F.col("props")).alias("k"))
-    agg = (clicks.withWatermark("ts", late)
-           .groupBy(F.col("id_student"), F.window("ts", "1 day").alias("w"))
-           .agg(F.sum("k").cast("bigint").alias("clicks")))
-    return agg.select("id_student",
-                      F.datediff(F.to_date(F.col("w.start")), F.lit(DAY_ZERO).cast("date")).alias("day"),
-                      "clicks")
+    agg = (clicks.withWatermark("et", late)
+           .groupBy(F.col("id_student"), F.window("et", "1 day").alias("w"))
+           .agg(F.min("day").alias("day"), F.sum("k").cast("bigint").alias("clicks")))
+    return agg.select("id_student", "day", "clicks")
 
 
 def run_daily_rollup(spark: SparkSession, events_dir: str, out_dir: str, checkpoint_dir: str,

@@ -20,3 +20,17 @@ def test_stream_rollup_equals_batch_collapse_for_closed_days(spark):
     # a second run over the same files adds nothing (exactly-once file sink)
     run_daily_rollup(spark, sf, d + "/out", d + "/ck", file_glob="events.parquet")
     assert spark.read.parquet(d + "/out").count() == s.count()
+
+
+def test_stream_days_do_not_depend_on_session_time_zone(spark):
+    sf = "/root/testdata/sf0.001"
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        d = tempfile.mkdtemp(prefix="pulse-roll-tz-", dir="/tmp")
+        run_daily_rollup(spark, sf, d + "/out", d + "/ck", file_glob="events.parquet")
+        s = spark.read.parquet(d + "/out").select("id_student", "day", "clicks")
+        b = collapse_daily(learner_tables(spark, sf).student_vle).select("id_student", "day", "clicks")
+        assert s.count() > 0 and s.exceptAll(b).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
