@@ -1046,8 +1046,30 @@ def _yj(spark, sf):
     return spark.createDataFrame(rows, "feature string, lambda double, mean double, std double")
 
 
-register("smote")(lambda spark, sf: _smote(_panel(spark, sf), FEATURES_15, "y_short", ["id_student", "cutoff"])
-                  .groupBy("y_short", "is_synthetic").agg(F.count(F.lit(1)).alias("n")))
+register("smote", _on_v8("""SELECT CAST(y_short AS BIGINT) AS y_short, 0 AS is_synthetic, CAST(n AS BIGINT) AS n FROM cnt
+UNION ALL
+SELECT CAST(mi.y_short AS BIGINT), 1, CAST(ma.n - mi.n AS BIGINT) FROM
+  (SELECT * FROM cnt ORDER BY n ASC, y_short ASC LIMIT 1) mi,
+  (SELECT * FROM cnt ORDER BY n DESC, y_short DESC LIMIT 1) ma WHERE ma.n > mi.n""",
+                         "cnt AS (SELECT y_short, count(*) AS n FROM p GROUP BY y_short)"))(
+    lambda spark, sf: _smote(_panel(spark, sf), FEATURES_15, "y_short", ["id_student", "cutoff"])
+    .groupBy("y_short", "is_synthetic").agg(F.count(F.lit(1)).alias("n")))
+
+register("stratified_split_counts", _on_v8("""SELECT CAST(y_short AS BIGINT) AS y_short, true AS is_train,
+  CAST(floor(n * 0.7) AS BIGINT) AS n FROM cnt WHERE floor(n * 0.7) > 0
+UNION ALL SELECT CAST(y_short AS BIGINT), false, CAST(n - floor(n * 0.7) AS BIGINT) FROM cnt
+  WHERE n - floor(n * 0.7) > 0""", "cnt AS (SELECT y_short, count(*) AS n FROM p GROUP BY y_short)"))(
+    lambda spark, sf: FO.stratified_split(_panel(spark, sf), "y_short", ["id_student", "cutoff"])
+    .groupBy("y_short", "is_train").agg(F.count(F.lit(1)).alias("n")))
+
+register("strat_group_fold_sizes", _on_v8("""SELECT CAST(l.y AS BIGINT) AS y, CAST(f.fold AS INTEGER) AS fold,
+  CAST(l.n // 5 + CASE WHEN f.fold < l.n % 5 THEN 1 ELSE 0 END AS BIGINT) AS n_learners
+FROM (SELECT y, count(*) AS n FROM (SELECT id_student, max(y_short) AS y FROM p GROUP BY 1) GROUP BY y) l,
+     (SELECT unnest([0, 1, 2, 3, 4]) AS fold) f
+WHERE l.n // 5 + CASE WHEN f.fold < l.n % 5 THEN 1 ELSE 0 END > 0"""))(
+    lambda spark, sf: FO.strat_group_folds(_panel(spark, sf).drop("fold"), "id_student", "y_short")
+    .groupBy("id_student").agg(F.max("y_short").alias("y"), F.first("fold").alias("fold"))
+    .groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n_learners")))
 
 
 def _fit_predict(name):
