@@ -40,7 +40,7 @@ def test_query_matches_oracle(spark, duck, name):
     sdf = registry.queries()[name](spark, SF)
     got = sdf.toPandas()
     exp = con.execute(registry.oracle_sql()[name]).df()
-    types = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+    types = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
     dtypes = {r[0]: types.get(str(r[1]), str(r[1]))
               for r in con.execute("DESCRIBE " + registry.oracle_sql()[name]).fetchall()}
     assert dtypes == {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
