@@ -60,27 +60,29 @@ def learners_registered(t: LearnerTables, module: str, presentations: Sequence[s
 
 
 def collapse_daily(vle: DataFrame, day_col: str = "date", clicks_col: str = "sum_click",
-                   key: str = "id_student") -> DataFrame:
+                   key="id_student") -> DataFrame:
     """One row per (learner, day) with the day's clicks.
 
     Partial aggregation happens map-side, so a learner holding a large share of the log
     is reduced to at most one row per day before anything is shuffled; afterwards a
     distinct-day count is a plain ``count``.
     """
-    return (vle.groupBy(key, F.col(day_col).alias("day"))
+    keys = [key] if isinstance(key, str) else list(key)
+    return (vle.groupBy(*keys, F.col(day_col).alias("day"))
             .agg(F.coalesce(F.sum(clicks_col), F.lit(0)).cast("bigint").alias("clicks")))
 
 
 def rebase_daily(daily: DataFrame, reg_lookup: DataFrame, min_day: int | None = 0,
-                 key: str = "id_student") -> DataFrame:
+                 key="id_student") -> DataFrame:
     """J2 + F12 + F6: shift course days onto each learner's registration clock.
 
     Inner join on the learner key (one registration row per learner; two rows fan out
     exactly as the reference's merge does). NULL registration days drop out.
     """
-    reg = reg_lookup.select(key, "date_registration").where(F.col("date_registration").isNotNull())
-    out = (daily.join(reg, key, "inner")
-           .select(key, (F.col("day") - F.col("date_registration")).alias("day"), "clicks"))
+    keys = [key] if isinstance(key, str) else list(key)
+    reg = reg_lookup.select(*keys, "date_registration").where(F.col("date_registration").isNotNull())
+    out = (daily.join(reg, keys, "inner")
+           .select(*keys, (F.col("day") - F.col("date_registration")).alias("day"), "clicks"))
     if min_day is not None:
         out = out.where(F.col("day") >= min_day)
     return out

@@ -114,9 +114,14 @@ def _denominator(spec: SnapshotSpec, c: Column) -> Column:
     return F.lit(float(spec.denominator))
 
 
-def learner_last_day(daily: DataFrame, key: str = "id_student") -> DataFrame:
+def _keys(key) -> list[str]:
+    """A learner key is one column or several (e.g. id, module, presentation)."""
+    return [key] if isinstance(key, str) else list(key)
+
+
+def learner_last_day(daily: DataFrame, key="id_student") -> DataFrame:
     """J9 input: each learner's last active day (a per-key aggregate of the daily table)."""
-    return daily.groupBy(key).agg(F.max("day").alias("last_day"))
+    return daily.groupBy(*_keys(key)).agg(F.max("day").alias("last_day"))
 
 
 def activity_aggregates(spec: SnapshotSpec, c: Column, d: Column, n: Column) -> list[Column]:
@@ -201,7 +206,7 @@ def label_column(spec: SnapshotSpec, c: Column) -> Column | None:
 PREFIX_MIN_CUTOFFS = 64  # join is cheaper while days x cutoffs per learner stays small
 
 
-def _prefix_aggregates(spec: SnapshotSpec, panel: DataFrame, daily: DataFrame, key: str,
+def _prefix_aggregates(spec: SnapshotSpec, panel: DataFrame, daily: DataFrame, key,
                        group_cols: Sequence[str]) -> DataFrame:
     """The same aggregate columns as ``activity_aggregates`` from prefix sums.
 
@@ -217,18 +222,19 @@ def _prefix_aggregates(spec: SnapshotSpec, panel: DataFrame, daily: DataFrame, k
               "rc": c - spec.recent_days}
     if spec.horizon:
         bounds["fu"] = c + spec.horizon
-    carry = [x for x in group_cols if x not in (key, "cutoff")]
+    ks = _keys(key)
+    carry = [x for x in group_cols if x not in (*ks, "cutoff")]
     arr = F.array(*[F.struct(F.lit(n).alias("bt"), b.cast("int").alias("pos")) for n, b in bounds.items()])
-    q = panel.select(key, c.cast("int").alias("cutoff"), *carry, F.explode(arr).alias("_q")).select(
-        key, "cutoff", *carry, F.col("_q.bt").alias("_bt"), F.col("_q.pos").alias("_pos"),
+    q = panel.select(*ks, c.cast("int").alias("cutoff"), *carry, F.explode(arr).alias("_q")).select(
+        *ks, "cutoff", *carry, F.col("_q.bt").alias("_bt"), F.col("_q.pos").alias("_pos"),
         F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_n"), F.lit(None).cast("int").alias("_d"))
     types = dict(q.dtypes)
-    d = daily.select(key, F.lit(None).cast("int").alias("cutoff"),
+    d = daily.select(*ks, F.lit(None).cast("int").alias("cutoff"),
                      *[F.lit(None).cast(types[x]).alias(x) for x in carry],
                      F.lit(None).cast("string").alias("_bt"), F.col("day").cast("int").alias("_pos"),
                      F.lit(0).alias("_kind"), F.col("clicks").cast("bigint").alias("_n"),
                      F.col("day").cast("int").alias("_d"))
-    run = Window.partitionBy(key).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*ks).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     u = (d.unionByName(q)
          .withColumn("_P", F.coalesce(F.sum("_n").over(run), F.lit(0)))
          .withColumn("_N", F.count("_d").over(run))
@@ -241,11 +247,11 @@ def _prefix_aggregates(spec: SnapshotSpec, panel: DataFrame, daily: DataFrame, k
     for n in bounds:
         aggs += [at("_P", n).alias(f"_P_{n}"), at("_N", n).alias(f"_N_{n}")]
     aggs.append(at("_L", "c").alias("_L_c"))
-    g = u.groupBy(key, "cutoff").agg(*aggs)
+    g = u.groupBy(*ks, "cutoff").agg(*aggs)
     P = {n: F.col(f"_P_{n}") for n in bounds}
     N = {n: F.col(f"_N_{n}") for n in bounds}
     last_c = F.col("_L_c")
-    out = [F.col(key), F.col("cutoff"), *[F.col(x) for x in carry],
+    out = [*[F.col(k) for k in ks], F.col("cutoff"), *[F.col(x) for x in carry],
            F.when(N["c"] > 0, P["c"]).alias("_total"), N["c"].alias("_days"),
            F.when(N["c"] > 0, last_c).alias("_last"),
            F.when(N["c"] - N["ws"] > 0, P["c"] - P["ws"]).alias("_c14"), (N["c"] - N["ws"]).alias("_d14"),
@@ -258,9 +264,12 @@ def _prefix_aggregates(spec: SnapshotSpec, panel: DataFrame, daily: DataFrame, k
 
 
 def build_panel(spec: SnapshotSpec, learners: DataFrame, daily: DataFrame,
-                key: str = "id_student", keep: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
+                key="id_student", keep: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
     """Build the (learner, cutoff) panel for one variant.
 
+    key       the learner key: one column, or several such as (id, module, presentation) so
+              that a learner registered twice is two panel learners (the one-column id key
+              reproduces the reference's fan-out of clicks across registrations).
     learners  one row per learner: ``key`` plus, depending on the label, ``dropout``
               or ``date_unregistration``; a ``cutoff`` column when spec.cutoffs is None.
     daily     (key, day, clicks), one row per learner and active day, on the variant's
@@ -272,7 +281,8 @@ def build_panel(spec: SnapshotSpec, learners: DataFrame, daily: DataFrame,
                        learner: active days + 6 x cutoffs); for long cutoff lists.
               'auto'   'prefix' from PREFIX_MIN_CUTOFFS cutoffs on, else 'join'.
     """
-    base_cols = [key] + [k for k in keep]
+    ks = _keys(key)
+    base_cols = ks + [k for k in keep]
     if spec.label == "withdrawn":
         base_cols.append("dropout")
     base = learners
@@ -287,8 +297,8 @@ def build_panel(spec: SnapshotSpec, learners: DataFrame, daily: DataFrame,
     if spec.label == "unregister":  # still enrolled at the cutoff
         panel = panel.where(F.col("_unreg") > F.col("cutoff"))
     if spec.eligible:  # F8 / J9: learner's last day (default -1) >= c + horizon
-        last = learner_last_day(daily, key)
-        panel = (panel.join(last, key, "left")
+        last = learner_last_day(daily, ks)
+        panel = (panel.join(last, ks, "left")
                  .where(F.coalesce(F.col("last_day"), F.lit(-1)) >= F.col("cutoff") + spec.horizon)
                  .drop("last_day"))
     group_cols = list(dict.fromkeys(panel.columns))
@@ -298,11 +308,14 @@ def build_panel(spec: SnapshotSpec, learners: DataFrame, daily: DataFrame,
     if strategy == "prefix":
         agg = _prefix_aggregates(spec, panel, daily, key, group_cols)
     else:
-        act = daily.select(F.col(key).alias("_k"), F.col("day").alias("_d"), F.col("clicks").alias("_n"))
-        cond = (F.col(key) == F.col("_k")) & (F.col("_d") <= c + spec.horizon)
+        act = daily.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col("day").alias("_d"),
+                           F.col("clicks").alias("_n"))
+        cond = F.col("_d") <= c + spec.horizon
+        for i, k in enumerate(ks):
+            cond = cond & (F.col(k) == F.col(f"_k{i}"))
         joined = panel.join(act, cond, "left")
         agg = joined.groupBy(*group_cols).agg(*activity_aggregates(spec, c, F.col("_d"), F.col("_n")))
-    out_cols = [F.col(key), c.cast("bigint").alias("cutoff")]
+    out_cols = [*[F.col(k) for k in ks], c.cast("bigint").alias("cutoff")]
     out_cols += [F.col(k) for k in keep if k != "cutoff"]
     lab = label_column(spec, c)
     if lab is not None:

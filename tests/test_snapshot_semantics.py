@@ -177,3 +177,22 @@ def test_prefix_strategy_equals_join_strategy(spark):
             a = build_panel(s, L, D, strategy="join")
             b = build_panel(s, L, D, strategy="prefix").select(*a.columns)
             assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_composite_learner_key_avoids_registration_fan_out(spark):
+    # Q6: one learner, two presentations with different registration days.
+    from pulse.operators.cohort import collapse_daily, rebase_daily
+    vle = spark.createDataFrame([(1, "A", 0, 10), (1, "A", 2, 10), (1, "B", 5, 7)],
+                                "id_student long, code_presentation string, date int, sum_click int")
+    reg = spark.createDataFrame([(1, "A", 0), (1, "B", 4)],
+                                "id_student long, code_presentation string, date_registration int")
+    ks = ["id_student", "code_presentation"]
+    legacy = rebase_daily(collapse_daily(vle), reg, min_day=None)     # id only: every click twice
+    assert legacy.agg(F.sum("clicks")).collect()[0][0] == 2 * 27
+    comp = rebase_daily(collapse_daily(vle, key=ks), reg, key=ks)
+    assert comp.agg(F.sum("clicks")).collect()[0][0] == 27
+    learners = reg.select(*ks)
+    for strategy in ("join", "prefix"):
+        p = {r["code_presentation"]: r for r in build_panel(V7.with_cutoffs([3]), learners, comp, key=ks,
+                                                              strategy=strategy).collect()}
+        assert p["A"]["clicks_last_14_days"] == 20.0 and p["B"]["clicks_last_14_days"] == 7.0
