@@ -49,14 +49,16 @@ def main(argv=None) -> None:
         print(json.dumps(train_job(spark, a.sf, a.out, models=tuple(a.models.split(",")), k=a.folds)))
     elif a.command == "daily":
         from .operators import variants
-        from .plans.daily import ranked, write_scores
+        from .plans.daily import ranked, write_alerts, write_scores
         from .plans.train import load_bundle, score_with_bundle
         from .sources.demo import learner_tables
         fm = load_bundle(spark, a.bundle)
         today = variants.snapshot_v8(learner_tables(spark, a.sf), cutoffs=(a.cutoff,))
         scored = ranked(score_with_bundle(fm, today, ["id_student", "cutoff"]), "risk_score")
-        write_scores(scored, a.out, a.date or "1970-01-01")
-        n_alerts = scored.where(F.col("risk_level") == "HIGH").count()
+        day = a.date or "1970-01-01"
+        write_scores(scored, a.out + "/scores", day)
+        write_alerts(scored, a.out + "/alerts", day)
+        n_alerts = spark.read.parquet(a.out + "/alerts").where(F.col("score_date") == F.lit(day).cast("date")).count()
         print(json.dumps({"alerts_high": n_alerts}))
     elif a.command == "query":
         from . import registry

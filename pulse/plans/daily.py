@@ -69,3 +69,11 @@ def write_scores(df: DataFrame, path: str, score_date: str) -> None:
     (df.withColumn("score_date", F.lit(score_date).cast("date"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("score_date").parquet(path))
+
+
+def write_alerts(scored: DataFrame, path: str, score_date: str, score: str = "risk_score",
+                 threshold: float | None = None, level: str = "HIGH") -> None:
+    """R15 sink: the day's alert rows (by threshold on ``score``, or by tier) in their own
+    score_date partition, replaced on re-run like the scores."""
+    rows = alerts(scored, score, threshold) if threshold is not None else scored.where(F.col("risk_level") == level)
+    write_scores(rows, path, score_date)
