@@ -57,7 +57,10 @@ def main(argv=None) -> None:
         scored = ranked(score_with_bundle(fm, today, ["id_student", "cutoff"]), "risk_score")
         day = a.date or "1970-01-01"
         write_scores(scored, a.out + "/scores", day)
-        write_alerts(scored, a.out + "/alerts", day)
+        # alerts come from the written partition: the scoring plan runs once
+        written = (spark.read.parquet(a.out + "/scores").where(F.col("score_date") == F.lit(day).cast("date"))
+                   .drop("score_date"))
+        write_alerts(written, a.out + "/alerts", day)
         n_alerts = spark.read.parquet(a.out + "/alerts").where(F.col("score_date") == F.lit(day).cast("date")).count()
         print(json.dumps({"alerts_high": n_alerts}))
     elif a.command == "query":
