@@ -92,7 +92,13 @@ def fit_model(train: DataFrame, features: Sequence[str], label: str, name: str,
         # materialise once: the oversampled rows feed three fitting passes and the fit itself
         t = smote(t, kept, label, id_cols, ratio=smote_ratio, seed=seed).checkpoint(eager=True)
     yj = fit_yeo_johnson(t, kept)
-    x = apply_yeo_johnson(t, yj, keep=[label]).withColumn("label", F.col(label).cast("double"))
+    syn = ["is_synthetic"] if "is_synthetic" in t.columns else []
+    x = apply_yeo_johnson(t, yj, keep=[label, *id_cols, *syn]).withColumn("label", F.col(label).cast("double"))
+    # Deterministic layout (hash partitions of the ids, sorted inside): bootstrap sampling and
+    # any order-dependent step then give the same model on every run and every task retry.
+    order = [*id_cols, *syn, F.xxhash64(*kept)]
+    n_parts = max(1, train.sparkSession.sparkContext.defaultParallelism)
+    x = x.repartition(n_parts, *id_cols).sortWithinPartitions(*order)
     x = VectorAssembler(inputCols=kept, outputCol="features", handleInvalid="keep").transform(x)
     n = yj[kept[0]]["n"] if kept else x.count()
     clf = make_classifier(name, len(kept), n, seed=seed)
