@@ -46,6 +46,8 @@ def holdout_eval(data: DataFrame, numeric: Sequence[str], categorical: Sequence[
     asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     tr = asm.transform(enc.transform(tr)).withColumn("label", F.col(label).cast("double"))
     tr = P.class_weight_col(tr, label, weights)
+    n_parts = max(1, data.sparkSession.sparkContext.defaultParallelism)
+    tr = tr.repartition(n_parts, key).sortWithinPartitions(key)  # same fit on every run
     te = asm.transform(enc.transform(te))
     n_feat = len(tr.select("features").first()["features"])
     n = tr.count()
