@@ -21,11 +21,16 @@ def duck():
     import duckdb
     from pulse.sources.tables import DRIVER_TABLES
 
+    made = []
+
     def make(sf):
         con = duckdb.connect()
         for t in DRIVER_TABLES:
             p = os.path.join(sf, f"{t}.parquet")
             if os.path.exists(p):
                 con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+        made.append(con)
         return con
-    return make
+    yield make
+    for con in made:
+        con.close()
