@@ -1,6 +1,6 @@
 """Command line for the batch jobs.
 
-    python -m pulse snapshot --sf DIR --variant v8 --out PATH [--cutoffs 3,7,14]
+    python -m pulse snapshot --sf DIR --variant v8 --out PATH [--cutoffs 3,7,14] [--csv]
     python -m pulse train    --sf DIR --out PATH [--models rf,gbt] [--folds 5]
     python -m pulse daily    --sf DIR --bundle PATH --out PATH --cutoff 14 --date 2024-01-22
     python -m pulse query    --sf DIR --name snapshot_v8 --out PATH
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="pulse")
     ap.add_argument("command", choices=["snapshot", "train", "daily", "query"])
-    ap.add_argument("--sf", required=True, help="folder with the driver tables (parquet)")
+    ap.add_argument("--sf", required=True, help="folder with the driver tables (parquet), or with the "
+                    "five learner CSV files when --csv is given")
+    ap.add_argument("--csv", action="store_true", help="read studentInfo.csv ... assessments.csv")
     ap.add_argument("--out", required=True)
     ap.add_argument("--master", default=None)
     ap.add_argument("--variant", default="v8")
@@ -39,7 +41,8 @@ def main(argv=None) -> None:
     if a.command == "snapshot":
         from .operators import variants
         from .sources.demo import learner_tables
-        t = learner_tables(spark, a.sf)
+        from .sources.tables import learner_tables_from_csv
+        t = learner_tables_from_csv(spark, a.sf) if a.csv else learner_tables(spark, a.sf)
         cuts = [int(x) for x in a.cutoffs.split(",")] if a.cutoffs else None
         fn = getattr(variants, f"snapshot_{a.variant}")
         df = fn(t) if cuts is None else fn(t, cutoffs=cuts)

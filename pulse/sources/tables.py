@@ -82,3 +82,20 @@ def read_learner_csv(spark: SparkSession, data_dir: str, name: str, columns=None
 def load_learner_csvs(spark: SparkSession, data_dir: str) -> dict:
     """All five learner tables from CSV files."""
     return {name: read_learner_csv(spark, data_dir, name) for name in CSV_SCHEMAS}
+
+
+def learner_tables_from_csv(spark: SparkSession, data_dir: str):
+    """The five learner tables in their original CSV layout -> ``LearnerTables``.
+
+    Columns are read with the declared schemas (unparsable values become NULL). Submissions
+    carry no id of their own in that layout; ``id_submission`` is a hash of the row, used only
+    as the last tie-breaker when ordering submissions of the same day and assessment.
+    """
+    from pyspark.sql import functions as F
+
+    from .demo import LearnerTables
+    t = load_learner_csvs(spark, data_dir)
+    sa = t["studentAssessment"]
+    sa = sa.withColumn("id_submission", F.xxhash64(*[F.col(c) for c in sa.columns]))
+    return LearnerTables(student_info=t["studentInfo"], student_registration=t["studentRegistration"],
+                         student_vle=t["studentVle"], student_assessment=sa, assessments=t["assessments"])

@@ -38,3 +38,22 @@ def test_nested_history_json_round_trip(spark):
     a = sorted((r["student_id"], r["days_since_registration"], len(r["vle_activities"])) for r in h.collect())
     b = sorted((r["student_id"], r["days_since_registration"], len(r["vle_activities"])) for r in back.collect())
     assert a == b
+
+
+def test_learner_tables_from_csv_give_the_same_panel(spark):
+    from pulse.operators import variants
+    from pulse.sources.tables import CSV_SCHEMAS, learner_tables_from_csv
+    d = tempfile.mkdtemp(prefix="pulse-csvall-", dir="/tmp")
+    t = learner_tables(spark, SF)
+    frames = {"studentInfo": t.student_info, "studentRegistration": t.student_registration,
+              "studentVle": t.student_vle, "studentAssessment": t.student_assessment,
+              "assessments": t.assessments}
+    for name, df in frames.items():
+        df.select(*CSV_SCHEMAS[name].names).coalesce(1).write.option("header", True).csv(os.path.join(d, f"{name}.csv"))
+    c = learner_tables_from_csv(spark, d)
+    a = variants.snapshot_v8(t)
+    b = variants.snapshot_v8(c).select(*a.columns)
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    a4 = variants.snapshot_v4(t)
+    b4 = variants.snapshot_v4(c).select(*a4.columns)
+    assert a4.exceptAll(b4).count() == 0
