@@ -50,16 +50,28 @@ def training_panel(spark: SparkSession, sf_dir: str, cutoffs: Sequence[int] | No
 
 
 def evaluate(panel: DataFrame, features: Sequence[str] = FEATURES_15, label: str = "y_short",
-             models: Sequence[str] = EVAL_MODELS, k: int = 5, oversample: bool = True):
-    """Per (model, fold) metrics and the out-of-fold prediction table."""
-    fold_rows, oof = [], None
-    for name in models:
-        for f in range(k):
-            tr = panel.where(F.col("fold") != f)
-            te = panel.where(F.col("fold") == f)
-            fm = fit_model(tr, features, label, name, ID, oversample=oversample)
-            pred = fm.transform(te, keep=[*ID, label, "fold"]).withColumn("model", F.lit(name))
-            oof = pred if oof is None else oof.unionByName(pred)
+             models: Sequence[str] = EVAL_MODELS, k: int = 5, oversample: bool = True, parallelism: int = 4):
+    """Per (model, fold) metrics and the out-of-fold prediction table.
+
+    The (model, fold) fits are independent distributed jobs; up to ``parallelism`` of them are
+    submitted concurrently from driver threads (the counterpart of CrossValidator's
+    parallelism), and their predictions are unioned in a fixed order.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(task):
+        name, f = task
+        tr = panel.where(F.col("fold") != f)
+        te = panel.where(F.col("fold") == f)
+        fm = fit_model(tr, features, label, name, ID, oversample=oversample)
+        return fm.transform(te, keep=[*ID, label, "fold"]).withColumn("model", F.lit(name))
+
+    tasks = [(name, f) for name in models for f in range(k)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        preds = list(pool.map(one, tasks))
+    oof = preds[0]
+    for pred in preds[1:]:
+        oof = oof.unionByName(pred)
     conf = M.confusion(oof, ["model", "fold"], "proba", label, C.DEFAULT_THRESHOLD)
     auc = M.roc_auc(oof, ["model", "fold"], "proba", label)
     per_fold = conf.join(auc, ["model", "fold"]).select(
