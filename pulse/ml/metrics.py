@@ -114,7 +114,7 @@ def roc_auc(df: DataFrame, group: Sequence[str], score: str, label: str) -> Data
     """Exact AUC with ties counted one half."""
     c = cumulative_desc(score_counts(df, group, score, label), group, score)
     term = F.col("pos") * (F.col("N") - F.col("cn") + 0.5 * F.col("neg"))
-    return c.groupBy(*group).agg(_r(F.try_divide(F.sum(term), F.first("P") * F.first("N"))).alias("auc"))
+    return c.groupBy(*group).agg(_r(F.try_divide(F.sum(term), F.max("P") * F.max("N"))).alias("auc"))
 
 
 def average_precision(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:

@@ -85,12 +85,12 @@ def assessment_snapshot(panel: DataFrame, subs: DataFrame, window_days: int = C.
                            F.struct(_last_key().alias("k"), F.col("score").alias("s")))).alias("_l0")))
     # LEFT join from the panel and two aggregates on keys that start with the learner id: both
     # reuse the join's learner partitioning, so no (id, cutoff) re-shuffle and no second join.
-    # Panel columns are carried with first() (constant within a (learner, cutoff) group).
+    # Panel columns are carried with max() (constant within a (learner, cutoff) group).
     carry = [x for x in panel.columns if x not in (key, "cutoff")]
     j = panel.join(s, (F.col(key) == F.col("_k")) & (F.col("date_submitted") <= c), "left")
     win = F.col("date_submitted") >= ws
     lvl1 = j.groupBy(key, "cutoff", "id_assessment").agg(
-        *[F.first(x).alias(x) for x in carry],
+        *[F.max(x).alias(x) for x in carry],
         F.sum("_s0").alias("_s"), F.sum("_n0").alias("_n"), F.sum("_p0").alias("_pass"),
         F.max("_l0").alias("_last"),
         F.count(F.when(win, F.lit(1))).alias("_w"),
@@ -98,7 +98,7 @@ def assessment_snapshot(panel: DataFrame, subs: DataFrame, window_days: int = C.
         F.sum(F.when(win, F.col("_n0"))).alias("_n14"),
     )
     lvl2 = lvl1.groupBy(key, "cutoff").agg(
-        *[F.first(x).alias(x) for x in carry],
+        *[F.max(x).alias(x) for x in carry],
         F.count("id_assessment").alias("num_assessments"),
         (F.sum("_s") / F.sum("_n")).alias("avg_score"),
         F.sum("_pass").alias("pass_count"),

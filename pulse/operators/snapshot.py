@@ -243,7 +243,7 @@ def _prefix_aggregates(spec: SnapshotSpec, panel: DataFrame, daily: DataFrame, k
 
     def at(col, name):
         return F.max(F.when(F.col("_bt") == name, F.col(col)))
-    aggs = [F.first(x, ignorenulls=True).alias(x) for x in carry]
+    aggs = [F.max(x).alias(x) for x in carry]  # constant within a (learner, cutoff) group
     for n in bounds:
         aggs += [at("_P", n).alias(f"_P_{n}"), at("_N", n).alias(f"_N_{n}")]
     aggs.append(at("_L", "c").alias("_L_c"))

@@ -1019,7 +1019,7 @@ def _std(spark, sf):
 register("class_weights", _on_v8("""SELECT CAST(y_short AS BIGINT) AS y_short, CAST(count(*) AS BIGINT) AS n,
   round((SELECT count(*) FROM p) / (2.0 * count(*)), 6) AS weight FROM p GROUP BY y_short"""))(
     lambda spark, sf: PREP.class_weight_col(_v8(spark, sf), "y_short").groupBy("y_short").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.first("weight"), 6).alias("weight")))
+        F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight")))
 
 register("onehot")(lambda spark, sf: _onehot(spark, sf))
 
@@ -1068,7 +1068,7 @@ FROM (SELECT y, count(*) AS n FROM (SELECT id_student, max(y_short) AS y FROM p
      (SELECT unnest([0, 1, 2, 3, 4]) AS fold) f
 WHERE l.n // 5 + CASE WHEN f.fold < l.n % 5 THEN 1 ELSE 0 END > 0"""))(
     lambda spark, sf: FO.strat_group_folds(_panel(spark, sf).drop("fold"), "id_student", "y_short")
-    .groupBy("id_student").agg(F.max("y_short").alias("y"), F.first("fold").alias("fold"))
+    .groupBy("id_student").agg(F.max("y_short").alias("y"), F.max("fold").alias("fold"))
     .groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n_learners")))
 
 

@@ -34,7 +34,7 @@ def holdout_eval(data: DataFrame, numeric: Sequence[str], categorical: Sequence[
     test = split.where(~F.col("is_train"))
     std = P.fit_standard(train, numeric)
     train_w = P.class_weight_col(train, label)
-    weights = {r[0]: r[1] for r in train_w.groupBy(label).agg(F.first("weight")).collect()}
+    weights = {r[0]: r[1] for r in train_w.groupBy(label).agg(F.max("weight")).collect()}
 
     def prepare(df):
         z = P.standardize(df, numeric, keep=[key, label, *categorical], params=std)

@@ -127,7 +127,7 @@ def student_info(spark: SparkSession, sf_dir: str, registration: DataFrame | Non
             .join(region, F.col("n_regionkey") == region.r_regionkey, "left"))
     # One row per customer key, stated as an aggregate: the optimizer then knows the key is
     # unique and drops the whole demographic join from plans that use no demographic column.
-    demo = demo.groupBy("c_custkey").agg(*[F.first(c).alias(c) for c in ("n_name", "r_name", "c_acctbal",
+    demo = demo.groupBy("c_custkey").agg(*[F.max(c).alias(c) for c in ("n_name", "r_name", "c_acctbal",
                                                                          "c_mktsegment")])
     joined = reg.join(demo, reg.id_student == demo.c_custkey, "left")
     return joined.select(
