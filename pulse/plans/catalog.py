@@ -1035,14 +1035,61 @@ def _onehot(spark, sf):
                                       .alias(f"{c}_onehot") for c in cats])
 
 
-register("yeo_johnson")(lambda spark, sf: _yj(spark, sf))
+def _yj_sql() -> str:
+    """M8 in SQL: (feature, value, count) rows, log-likelihood over the same three grids
+    (step 0.25 on [-3, 3], then 21 points of step 0.025 and 0.0025 around the best)."""
+    longs = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x FROM q" for c in O.FEATURES_15)
+
+    def yj(lam):
+        return (f"CASE WHEN x >= 0 THEN (CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + x) "
+                f"ELSE (pow(x + 1, {lam}) - 1) / {lam} END) "
+                f"ELSE (CASE WHEN abs({lam} - 2) < 1e-12 THEN -ln(1 - x) "
+                f"ELSE -(pow(1 - x, 2 - {lam}) - 1) / (2 - {lam}) END) END")
+
+    def stage(name, grid_sql):
+        return f"""
+{name}_g AS ({grid_sql}),
+{name}_ll AS (
+  SELECT vc.feature, g.lam, sum(vc.n) AS "N", sum(vc.n * ({yj('g.lam')})) AS s1,
+         sum(vc.n * ({yj('g.lam')}) * ({yj('g.lam')})) AS s2,
+         sum(vc.n * sign(vc.x) * ln(1 + abs(vc.x))) AS sl
+  FROM vc JOIN {name}_g g ON g.feature = vc.feature GROUP BY 1, 2),
+{name}_b AS (
+  SELECT feature, lam FROM (
+    SELECT feature, lam, row_number() OVER (PARTITION BY feature ORDER BY
+      CASE WHEN (s2 - s1 * s1 / "N") / "N" <= 1e-300 THEN -1e308
+           ELSE -"N" / 2.0 * ln((s2 - s1 * s1 / "N") / "N") + (lam - 1) * sl END DESC, abs(lam - 1) ASC) AS rn
+    FROM {name}_ll) WHERE rn = 1)"""
+    g1 = ("SELECT k.feature, round(-3.0 + i * 0.25, 10) AS lam FROM kept k, "
+          "(SELECT unnest(range(0, 25)) AS i) r")
+    g2 = ("SELECT b.feature, round((b.lam - 10 * 0.025) + i * 0.025, 10) AS lam FROM s1_b b, "
+          "(SELECT unnest(range(0, 21)) AS i) r")
+    g3 = ("SELECT b.feature, round((b.lam - 10 * 0.0025) + i * 0.0025, 10) AS lam FROM s2_b b, "
+          "(SELECT unnest(range(0, 21)) AS i) r")
+    ctes = f"""q AS (SELECT {O.clean_sql('all_nonneg')} FROM p),
+long AS ({longs}),
+kept AS (SELECT feature FROM long GROUP BY feature HAVING var_pop(x) > 0),
+vc AS (SELECT feature, x, count(*) AS n FROM long WHERE feature IN (SELECT feature FROM kept) GROUP BY 1, 2),
+{stage('s1', g1).strip()},
+{stage('s2', g2).strip()},
+{stage('s3', g3).strip()},
+fin AS (SELECT vc.feature, b.lam, sum(vc.n) AS "N", sum(vc.n * ({yj('b.lam')})) AS s1,
+               sum(vc.n * ({yj('b.lam')}) * ({yj('b.lam')})) AS s2
+        FROM vc JOIN s3_b b ON b.feature = vc.feature GROUP BY 1, 2)"""
+    return _on_v8("""SELECT feature, round(lam, 6) AS lambda, round(s1 / "N", 6) AS mean,
+  round(CASE WHEN sqrt(greatest(s2 / "N" - (s1 / "N") * (s1 / "N"), 0)) > 1e-12
+             THEN sqrt(greatest(s2 / "N" - (s1 / "N") * (s1 / "N"), 0)) ELSE 1.0 END, 6) AS std FROM fin""", ctes)
+
+
+register("yeo_johnson", _yj_sql())(lambda spark, sf: _yj(spark, sf))
 
 
 def _yj(spark, sf):
     p = _panel(spark, sf)
     kept = kept_columns(p, FEATURES_15)
     params = PREP.fit_yeo_johnson(p, kept)
-    rows = [(c, float(v["lambda"]), float(v["mean"]), float(v["std"])) for c, v in params.items()]
+    rows = [(c, round(float(v["lambda"]), 6), round(float(v["mean"]), 6), round(float(v["std"]), 6))
+            for c, v in params.items()]
     return spark.createDataFrame(rows, "feature string, lambda double, mean double, std double")
 
 
