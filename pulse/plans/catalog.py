@@ -1060,11 +1060,11 @@ def _yj_sql() -> str:
       CASE WHEN (s2 - s1 * s1 / "N") / "N" <= 1e-300 THEN -1e308
            ELSE -"N" / 2.0 * ln((s2 - s1 * s1 / "N") / "N") + (lam - 1) * sl END DESC, abs(lam - 1) ASC) AS rn
     FROM {name}_ll) WHERE rn = 1)"""
-    g1 = ("SELECT k.feature, round(-3.0 + i * 0.25, 10) AS lam FROM kept k, "
+    g1 = ("SELECT k.feature, CAST(round(-3.0 + i * 0.25, 10) AS DOUBLE) AS lam FROM kept k, "
           "(SELECT unnest(range(0, 25)) AS i) r")
-    g2 = ("SELECT b.feature, round((b.lam - 10 * 0.025) + i * 0.025, 10) AS lam FROM s1_b b, "
+    g2 = ("SELECT b.feature, CAST(round((b.lam - 10 * 0.025) + i * 0.025, 10) AS DOUBLE) AS lam FROM s1_b b, "
           "(SELECT unnest(range(0, 21)) AS i) r")
-    g3 = ("SELECT b.feature, round((b.lam - 10 * 0.0025) + i * 0.0025, 10) AS lam FROM s2_b b, "
+    g3 = ("SELECT b.feature, CAST(round((b.lam - 10 * 0.0025) + i * 0.0025, 10) AS DOUBLE) AS lam FROM s2_b b, "
           "(SELECT unnest(range(0, 21)) AS i) r")
     ctes = f"""q AS (SELECT {O.clean_sql('all_nonneg')} FROM p),
 long AS ({longs}),
