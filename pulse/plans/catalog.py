@@ -1021,7 +1021,11 @@ register("class_weights", _on_v8("""SELECT CAST(y_short AS BIGINT) AS y_short, C
     lambda spark, sf: PREP.class_weight_col(_v8(spark, sf), "y_short").groupBy("y_short").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight")))
 
-register("onehot")(lambda spark, sf: _onehot(spark, sf))
+register("onehot", W(f"si AS (SELECT * FROM student_info WHERE code_module = '{MOD}' AND code_presentation IN {O.PRES})", "gender_lv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS pos, count(*) OVER () AS n\n  FROM (SELECT DISTINCT coalesce(gender, '(null)') AS v FROM si))", "age_band_lv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS pos, count(*) OVER () AS n\n  FROM (SELECT DISTINCT coalesce(age_band, '(null)') AS v FROM si))", "imd_band_lv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS pos, count(*) OVER () AS n\n  FROM (SELECT DISTINCT coalesce(imd_band, '(null)') AS v FROM si))") + """
+SELECT id_student, (SELECT array_to_string(list_transform(range(gender_lv.n + 1), lambda j: CASE WHEN j = gender_lv.pos THEN '1.0' ELSE '0.0' END), ',')
+    FROM gender_lv WHERE gender_lv.v = coalesce(si.gender, '(null)')) AS gender_onehot, (SELECT array_to_string(list_transform(range(age_band_lv.n + 1), lambda j: CASE WHEN j = age_band_lv.pos THEN '1.0' ELSE '0.0' END), ',')
+    FROM age_band_lv WHERE age_band_lv.v = coalesce(si.age_band, '(null)')) AS age_band_onehot, (SELECT array_to_string(list_transform(range(imd_band_lv.n + 1), lambda j: CASE WHEN j = imd_band_lv.pos THEN '1.0' ELSE '0.0' END), ',')
+    FROM imd_band_lv WHERE imd_band_lv.v = coalesce(si.imd_band, '(null)')) AS imd_band_onehot FROM si""")(lambda spark, sf: _onehot(spark, sf))
 
 
 def _onehot(spark, sf):
