@@ -2,6 +2,12 @@
 
 Each entry reads the driver tables through the demo mapping (``sources.demo``), so its work
 grows with ``events``/``customer``; the SQL next to it is the DuckDB oracle.
+
+Sections, in order: scans and sources; filters and cohort; point-in-time panels (V1-V11) and
+labels; panel-grain joins and aggregates; course-clock blocks; assessment statistics;
+cleaning, rule scores and tiers; evaluation on the deterministic score (metrics, curves,
+threshold searches); sources, validation and sinks; learning (folds, preprocessing, SMOTE,
+models, calibration, importance, bundle scoring); streaming upkeep; hold-out evaluation.
 """
 
 from __future__ import annotations
