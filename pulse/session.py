@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -47,12 +46,25 @@ def get_spark(master: str | None = None, app: str = "pulse",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a local one only when unset (tests)."""
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, else the one set on the context.
+
+    Only a local master (tests) gets a folder of its own when neither is set; on a cluster a
+    folder of one machine would lose rows, so that raises.
+    """
+    context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="pulse-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    held = context._jsc.sc().getCheckpointDir()
+    if path:
+        # The context appends a folder of its own to the configured one; set it once.
+        if not held.isDefined() or path.rstrip("/").removeprefix("file:") not in held.get():
+            context.setCheckpointDir(path)
+        return path
+    if held.isDefined():
+        return held.get()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="pulse-ckpt-")
+    context.setCheckpointDir(path)
     return path
 
 
@@ -62,4 +74,4 @@ def scratch_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     two lazily evaluated DataFrames never read a location the other one overwrites."""
     base = ensure_checkpoint_dir(spark)
     suffix = f"-{uuid.uuid4().hex[:12]}" if unique else ""
-    return os.path.join(base, "pulse", name + suffix)
+    return f"{base.rstrip('/')}/pulse/{name}{suffix}"
