@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, simhash_bk
 from .common import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,8 @@ SELECT DISTINCT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept,
 FROM d JOIN g ON d.norm = g.norm""")
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.near_groups(read(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
