@@ -119,9 +119,12 @@ def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
 
 
 def sub_masks(fixed: int, radius: int) -> list[int]:
-    """``fixed`` (bits already shared) with each of radius + 1 blocks of the other bits added."""
+    """``fixed`` (bits already shared) with each of radius + 1 blocks of the other bits added;
+    with no more than ``radius`` open bits everything links, and there is nothing to cut."""
     open_bits = [i for i in range(64) if not fixed >> i & 1]
-    return [fixed | sum(1 << int(i) for i in part) for part in np.array_split(open_bits, radius + 1) if len(part)]
+    if len(open_bits) <= radius:
+        return [fixed]
+    return [fixed | sum(1 << int(i) for i in part) for part in np.array_split(open_bits, radius + 1)]
 
 
 def _signed(x: int) -> int:
@@ -138,7 +141,7 @@ def shards(fps: DataFrame, radius: int, most: int = SHARD) -> DataFrame:
 
     level = sub_masks(0, radius)
     rows = deal(fps, F.array(*[F.lit(_signed(m)) for m in level]))
-    while any(m != 2**64 - 1 and 2 ** (64 - m.bit_count()) > most for m in level):
+    while any(64 - m.bit_count() > max(radius, most.bit_length() - 1) for m in level):
         large = stage_table(rows.groupBy("mask", "key").count().filter(F.col("count") > most)
                             .withColumnRenamed("count", "n"), "large-shards")
         if large.isEmpty():
