@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash_bk
+from . import exact_dedup, mbs_packing, simhash_bk
 from .common import read
 
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -36,3 +38,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_groups(read(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mbs_packing.pack_documents(read(spark, sf_dir, "documents"), BPE, capacity=1024, end_id=2)
