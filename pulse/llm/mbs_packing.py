@@ -22,6 +22,7 @@ import pyarrow as pa
 import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import documents, stage_table, text_slices
 
@@ -171,7 +172,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     plan, _ = plan_bins(histogram, capacity)
     by_length = {n: g.reset_index(drop=True) for n, g in plan.groupby("length")}
     rows = ranked(pieces)
-    schema = rows.drop("rank").schema.add("sequence_id", "bigint").add("offset", "bigint")
+    schema = rows.drop("rank").schema.add("sequence_id", LongType()).add("offset", LongType())
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
