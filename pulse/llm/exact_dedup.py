@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, name
+from .common import SPACES, documents, name, stage_table
 
 
 def normalised(text: Column) -> Column:
@@ -42,29 +42,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = documents(docs, id_col, text_col).select("doc_id", normalise(F.col("text")).alias("norm"))
     d = d.withColumn("h", content_hash(F.col("norm")))
 
-    groups = (d.groupBy("h", "norm")
-              .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-              .select("h", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")))
-    per_hash = (groups.groupBy("h")
-                .agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"),
-                     F.min("group_size").alias("group_size"), F.min("text_sha256").alias("text_sha256")))
-    single = per_hash.filter("texts = 1").drop("texts")
-    collided = per_hash.filter("texts > 1").select("h")
+    groups = stage_table(
+        d.groupBy("h", "norm")
+        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .select("h", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")), "text-groups")
+    collided = stage_table(groups.groupBy("h").count().filter("count > 1").select("h"), "collided")
+    clean = collided.isEmpty()
 
     members = d.select("doc_id", "h").distinct()
-    by_hash = members.join(single, "h")
-
-    # Under a collided hash the text itself is the key; sha2 of it carries the comparison's
-    # result to the members, which are grouped by their bytes above and here.
+    found = members.join(groups if clean else groups.join(collided, "h", "left_anti"), "h")
+    columns = ["doc_id", "keep_id", "group_size",
+               F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    if clean:
+        return found.select(*columns)
+    # Two texts share a hash: their members are grouped and found by the bytes themselves.
     clash = d.join(collided, "h", "left_semi")
     clash_groups = clash.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"),
                                                   F.count(F.lit(1)).alias("group_size"))
     by_text = (clash.distinct().join(clash_groups, ["h", "norm"])
                .withColumn("text_sha256", F.sha2("norm", 256)))
-
-    columns = ["doc_id", "keep_id", "group_size",
-               F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
-    return by_hash.select(*columns).unionByName(by_text.select(*columns))
+    return found.select(*columns).unionByName(by_text.select(*columns))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
