@@ -123,16 +123,12 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
             cell = d2.argmin(1)
             dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(cell, pa.int32()), pa.array(dist), pa.array(np.sqrt(sq)),
-                 pa.array([r.tobytes() for r in m.astype(dtype)], pa.binary())], ["id", "cell", "dist", "norm", "vec"])
+                [b.column("id"), b.column("query"), pa.array(cell, pa.int32()), pa.array(dist), pa.array(np.sqrt(sq)),
+                 pa.array([r.tobytes() for r in m.astype(dtype)], pa.binary())], ["id", "query", "cell", "dist", "norm", "vec"])
 
     assigned = stage_table(
         rows.withColumn("query", F.coalesce(is_query(F.col("id")), F.lit(False)))
-        .select("id", "vec", "query").transform(
-            lambda d: d.filter("query").mapInArrow(assign, "id bigint, cell int, dist double, norm double, vec binary")
-            .withColumn("query", F.lit(True))
-            .unionByName(d.filter("not query").mapInArrow(assign, "id bigint, cell int, dist double, norm double, vec binary")
-                         .withColumn("query", F.lit(False)))), "assigned")
+        .mapInArrow(assign, "id bigint, query boolean, cell int, dist double, norm double, vec binary"), "assigned")
 
     # Summaries: pivots x (k + 1) distances.
     nearest = Window.partitionBy("cell").orderBy("dist", "id")
@@ -183,7 +179,7 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
     blocks_of = F.create_map(*[F.lit(int(x)) for pair in zip(g_cell, g_blocks, strict=True) for x in pair])
     asked = keyed.filter("query").select(
         "cell", F.pmod(F.xxhash64("id", F.lit(1)), blocks_of[F.col("cell")]).cast("int").alias("q_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).cast("int").alias("d_block"), "id", "vec")
+        F.explode(F.sequence(F.lit(0).cast("int"), F.lit(d_blocks - 1).cast("int"))).alias("d_block"), "id", "vec")
 
     def local(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
