@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mbs_packing, simhash_bk, voronoi_knn
+from . import ctw, exact_dedup, mbs_packing, simhash_bk, voronoi_knn
 from .common import read
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,3 +55,8 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_knn.top_k(read(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20, scale=64)
+
+
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.ctw_scores(read(spark, sf_dir, "documents"), ctw.one_in_seven, depth=5)
