@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, exact_dedup, mbs_packing, simhash_bk, voronoi_knn
+from . import ctw, exact_dedup, mbs_packing, recompression, simhash_bk, voronoi_knn
 from .common import read
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,3 +60,8 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lm_scoring")
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.ctw_scores(read(spark, sf_dir, "documents"), ctw.one_in_seven, depth=5)
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeats(read(spark, sf_dir, "documents"), window=50).drop("spans")
