@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, exact_dedup, mbs_packing, recompression, simhash_bk, voronoi_knn
+from . import ctw, exact_dedup, mbs_packing, recompression, sentencepiece_viterbi, simhash_bk, voronoi_knn
 from .common import read
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -65,3 +66,8 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.repeats(read(spark, sf_dir, "documents"), window=50).drop("spans")
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.digests(read(spark, sf_dir, "documents"), PIECES)
