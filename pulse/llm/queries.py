@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ctw, exact_dedup, mbs_packing, recompression, sentencepiece_viterbi, simhash_bk, voronoi_knn
+from . import chat_preference, ctw, exact_dedup, mbs_packing, recompression, sentencepiece_viterbi, simhash_bk, voronoi_knn
 from .common import read
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,3 +72,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_sentencepiece")
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.digests(read(spark, sf_dir, "documents"), PIECES)
+
+
+@query("op3_chat_preference", """
+WITH t AS (SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+reply AS (SELECT pair_id, turn AS last_turn, text AS reply FROM
+          (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC NULLS LAST, text DESC) AS k FROM t WHERE role = 'assistant') WHERE k = 1),
+chosen AS (SELECT t.* FROM t JOIN reply r USING (pair_id) WHERE NOT t.turn > r.last_turn),
+rejected AS (SELECT t.* FROM t JOIN reply r USING (pair_id) WHERE t.turn < r.last_turn
+             UNION SELECT r.pair_id, r.last_turn, 'assistant', n.reply FROM reply r JOIN reply n ON n.pair_id = xor(r.pair_id, 1)),
+a AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS pos FROM chosen),
+b AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS pos FROM rejected),
+pairs AS (SELECT pair_id FROM a INTERSECT SELECT pair_id FROM b),
+pos AS (SELECT pair_id, pos FROM a UNION SELECT pair_id, pos FROM b),
+cut AS (SELECT p.pair_id, coalesce(min(CASE WHEN a.role = b.role AND a.text = b.text THEN NULL ELSE p.pos END), max(p.pos) + 1) - 1 AS common
+        FROM pos p LEFT JOIN a ON a.pair_id = p.pair_id AND a.pos = p.pos LEFT JOIN b ON b.pair_id = p.pair_id AND b.pos = p.pos GROUP BY p.pair_id),
+sides AS (SELECT 'a' AS side, * FROM a UNION ALL SELECT 'b', * FROM b),
+lines AS (SELECT s.side, s.pair_id, s.pos, s.pos <= c.common AS shared, s.role, '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10) AS line,
+                 length(s.role) + 5 AS head FROM sides s JOIN cut c USING (pair_id)),
+placed AS (SELECT *, sum(length(line)) OVER (PARTITION BY side, pair_id, shared ORDER BY pos) - length(line) AS at FROM lines),
+done AS (SELECT side, pair_id, coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE shared), '') AS prompt,
+                coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE NOT shared), '') AS rest,
+                coalesce(string_agg((at + head) || ':' || (at + length(line)), ';' ORDER BY pos) FILTER (WHERE NOT shared AND role = 'assistant'), '') AS mask
+         FROM placed GROUP BY side, pair_id)
+SELECT x.pair_id, CAST(c.common AS BIGINT) AS common_turns, x.prompt, x.rest AS chosen, y.rest AS rejected, x.mask AS chosen_mask, y.mask AS rejected_mask
+FROM pairs JOIN done x ON x.pair_id = pairs.pair_id AND x.side = 'a' JOIN done y ON y.pair_id = pairs.pair_id AND y.side = 'b' JOIN cut c ON c.pair_id = pairs.pair_id""")
+def op3_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = chat_preference.reply_pairs(chat_preference.turns(read(spark, sf_dir, "conversations")))
+    rows = chat_preference.preference_rows(chosen, rejected)
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.cast("array<string>"))), ";")
+    return rows.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
