@@ -48,9 +48,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op7_exact_top_k", """
-WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
       FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
@@ -90,10 +90,10 @@ cut AS (SELECT p.pair_id, coalesce(min(CASE WHEN a.role = b.role AND a.text = b.
 sides AS (SELECT 'a' AS side, * FROM a UNION ALL SELECT 'b', * FROM b),
 lines AS (SELECT s.side, s.pair_id, s.pos, s.pos <= c.common AS shared, s.role, '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10) AS line,
                  length(s.role) + 5 AS head FROM sides s JOIN cut c USING (pair_id)),
-placed AS (SELECT *, sum(length(line)) OVER (PARTITION BY side, pair_id, shared ORDER BY pos) - length(line) AS at FROM lines),
+placed AS (SELECT *, sum(length(line)) OVER (PARTITION BY side, pair_id, shared ORDER BY pos) - length(line) AS begins FROM lines),
 done AS (SELECT side, pair_id, coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE shared), '') AS prompt,
                 coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE NOT shared), '') AS rest,
-                coalesce(string_agg((at + head) || ':' || (at + length(line)), ';' ORDER BY pos) FILTER (WHERE NOT shared AND role = 'assistant'), '') AS mask
+                coalesce(string_agg((begins + head) || ':' || (begins + length(line)), ';' ORDER BY pos) FILTER (WHERE NOT shared AND role = 'assistant'), '') AS mask
          FROM placed GROUP BY side, pair_id)
 SELECT x.pair_id, CAST(c.common AS BIGINT) AS common_turns, x.prompt, x.rest AS chosen, y.rest AS rejected, x.mask AS chosen_mask, y.mask AS rejected_mask
 FROM pairs JOIN done x ON x.pair_id = pairs.pair_id AND x.side = 'a' JOIN done y ON y.pair_id = pairs.pair_id AND y.side = 'b' JOIN cut c ON c.pair_id = pairs.pair_id""")
