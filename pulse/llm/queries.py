@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_preference, ctw, exact_dedup, mbs_packing, recompression, sentencepiece_viterbi, simhash_bk, voronoi_knn
+from . import chat_preference, ctw, exact_dedup, mbs_packing, quality, recompression, sentencepiece_viterbi, simhash_bk, voronoi_knn
 from .common import read
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,3 +102,8 @@ def op3_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_preference.preference_rows(chosen, rejected)
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.cast("array<string>"))), ";")
     return rows.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"))
