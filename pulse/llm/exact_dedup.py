@@ -66,11 +66,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document stays, with all their columns; of rows that repeat
-    id and text one stays (the first by all its columns' text)."""
-    keep = (exact_groups(docs, id_col, text_col).filter("kept")
-            .select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha")))
+    id and text one stays."""
+    def key(sha, doc_id):  # one text key for both sides, so that the join's shuffle is the only one
+        return F.concat_ws(":", sha, doc_id.cast("string"))
+
+    keep = exact_groups(docs, id_col, text_col).filter("kept").select(key(F.col("text_sha256"), F.col("doc_id")).alias("__key"))
     sha = F.sha2(normalised(F.coalesce(name(text_col), F.lit(""))), 256)
-    rows = docs.withColumn("__id", name(id_col).cast("long")).withColumn("__sha", sha)
-    kept = rows.join(keep, F.col("__id").eqNullSafe(F.col("__keep_id"))
-                     & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-    return kept.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    kept = docs.withColumn("__key", key(sha, name(id_col).cast("long"))).join(keep, "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*[name(c) for c in docs.columns])

@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, name, stage_table, text_slices, texts_of
+from .common import documents, stage_table, text_slices, texts_of
 
 TRAIN_ROWS = 4000  # bound of the documents that fit the scorer
+PRIOR = (np.array([20.0, 20.0]), np.array([0.5, 49.5]))  # votes (junk, clean) about a junk, a clean document
 BITS = 16          # hashed features: 2^BITS
 CACHE = 500_000    # words whose weight a task keeps
 
@@ -111,7 +112,7 @@ def votes(text: bytes) -> tuple[int, int]:
 def pattern_of(text: bytes, words: list[bytes], counts: Counter) -> int:
     code = 0
     for labeller in LABELLERS:
-        code = code * 3 + labeller(text, words, counts) + 1
+        code = code * 3 + (labeller(text, words, counts) if words else 0) + 1
     return code
 
 
@@ -119,7 +120,7 @@ def posterior(patterns: dict[int, int], labellers: int = len(LABELLERS), rounds:
     """Probability of clean for each pattern {code: documents} by expectation-maximisation, with
     the votes independent given the class; a labeller that says nothing tells nothing (most do
     on short texts). It starts from labellers that are mostly right, which fixes the meaning of
-    the two classes; counts are smoothed by one document."""
+    the two classes; ``PRIOR`` documents smooth the counts."""
     if not patterns:
         return {}
     codes = np.array(sorted(patterns))
@@ -135,7 +136,7 @@ def posterior(patterns: dict[int, int], labellers: int = len(LABELLERS), rounds:
         prior = (n @ p + 1) / (n.sum() + 2)
         for k in range(labellers):
             for c, weight in ((1, n * p), (0, n * (1 - p))):
-                seen = np.bincount(said[:, k], weight, 3)[[0, 2]] + 0.5
+                seen = np.bincount(said[:, k], weight, 3)[[0, 2]] + PRIOR[c]
                 table[c, k, [0, 2]] = seen / seen.sum()
     return dict(zip(codes.tolist(), p.tolist(), strict=True))
 
@@ -188,15 +189,9 @@ def fit(slots: list[np.ndarray], shares: list[np.ndarray], label: np.ndarray, ro
     return w
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS,
-            threshold: float = 0.5) -> DataFrame:
-    """One row per input row: doc_id, n_words, weak_label (posterior probability of clean from the
-    labellers), score (probability of clean from the scorer), kept (score >= threshold).
-
-    Null text is empty; a text without words teaches nothing and is rejected with weak_label and
-    score 0. Repeated rows are counted and judged each, null ids too. With nothing to learn from
-    the result is empty or all rejected. Other input columns are ignored.
-    """
+def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[dict[int, float], np.ndarray]:
+    """(posterior by pattern, weights of the scorer) from all documents' votes and at most
+    ``train_rows`` documents."""
     d = documents(docs, id_col, text_col)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,40 +223,71 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tra
     weights = np.zeros((1 << BITS) + 1)
     if last is not None:
         sample = hashed.filter(F.col("row") <= last).limit(train_rows).select("text")
-        fitted = (sample.mapInArrow(prepare, "label double, slots binary, shares binary").groupBy(F.lit(0))
+        fitted = (sample.mapInArrow(prepare, "label double, slots binary, shares binary").groupBy()
                   .applyInPandas(train, "slot int, weight double")).collect()  # at most 2^BITS + 1 rows
         weights[[r.slot for r in fitted]] = [r.weight for r in fitted]
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
-        repeats: dict[int, float] = {}
+    return weak, weights
+
+
+class Judge:
+    """Scores documents one after the other; keeps the weights of words it has seen."""
+
+    def __init__(self, weak: dict[int, float], weights: np.ndarray, threshold: float):
+        self.weak, self.weights, self.threshold = weak, weights, threshold
+        self.known: dict[bytes, float] = {}
+        self.repeats: dict[int, float] = {}
+
+    def __call__(self, text: bytes) -> tuple[int, float, float, bool]:
+        """(words, weak label, score, kept)"""
+        words = text.split()
+        if not words:
+            return 0, 0.0, 0.0, False
+        weights, known, repeats, counts = self.weights, self.known, self.repeats, Counter(words)
+        total = float(weights[STUTTER]) * repeats_of(words)
+        for w, c in counts.items():
+            if (x := known.get(w)) is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                a, b = word_slots(w)
+                x = known[w] = float(weights[a] + weights[b])
+            if (r := repeats.get(c)) is None:
+                r = repeats[c] = float(weights[repeat_slot(c)])
+            total += c * (x + r)
+        p = float(1 / (1 + np.exp(-np.clip(total / len(words) + weights[-1], -500, 500))))
+        return len(words), self.weak.get(pattern_of(text, words, counts), 0.0), p, p >= self.threshold
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS,
+            threshold: float = 0.5) -> DataFrame:
+    """One row per input row: doc_id, n_words, weak_label (posterior probability of clean from the
+    labellers), score (probability of clean from the scorer), kept (score >= threshold).
+
+    Null text is empty; a text without words teaches nothing and is rejected with weak_label and
+    score 0. Repeated rows are counted and judged each, null ids too. With nothing to learn from
+    the result is empty or all rejected. Other input columns are ignored.
+    """
+    weak, weights = fit_quality(docs, id_col, text_col, train_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(weak, weights, threshold)
+        types = [pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
         for whole in batches:
             for batch in text_slices(whole):
-                out = []
-                for t in texts_of(batch):
-                    words = t.split()
-                    counts = Counter(words)
-                    total = float(weights[STUTTER]) * repeats_of(words)
-                    for w, c in counts.items():
-                        if (x := known.get(w)) is None:
-                            if len(known) >= CACHE:
-                                known.clear()
-                            a, b = word_slots(w)
-                            x = known[w] = float(weights[a] + weights[b])
-                        if (r := repeats.get(c)) is None:
-                            r = repeats[c] = float(weights[repeat_slot(c)])
-                        total += c * (x + r)
-                    p = 1 / (1 + np.exp(-np.clip(total / len(words) + weights[-1], -500, 500))) if words else 0.0
-                    # The row's pattern is counted anew: cheaper than a join.
-                    out.append((len(words), weak.get(pattern_of(t, words, counts), 0.0) if words else 0.0, float(p), bool(words) and bool(p >= threshold)))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.float64(), pa.float64(), pa.bool_()], strict=True))],
+                cols = zip(*map(judge, texts_of(batch)), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))],
                                                  ["doc_id", "n_words", "weak_label", "score", "kept"])
-    return d.mapInArrow(judge, "doc_id bigint, n_words bigint, weak_label double, score double, kept boolean")
+    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_words bigint, weak_label double, score double, kept boolean")
+
 
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS,
+                    threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns, in one pass
+    without a shuffle."""
+    weak, weights = fit_quality(docs, id_col, text_col, train_rows)
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, all columns. Rows that share an id stay
-    or go together: they stay if one of them is kept."""
-    kept = quality(docs, id_col, text_col, **settings).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, name(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(weak, weights, threshold)
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t)[3] for t in texts_of(batch, text_col)], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_preference, ctw, exact_dedup, mbs_packing, quality, recompression, sentencepiece_viterbi, simhash_bk, voronoi_knn
+from . import chat_preference, ctw, exact_dedup, mbs_packing, quality, recompression, secret_forest, sentencepiece_viterbi, simhash_bk, voronoi_knn
 from .common import read
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,3 +107,11 @@ def op3_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality_classifier")
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings without the secrets themselves."""
+    found = secret_forest.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("word_index").cast("long").alias("word_index"), "length", "label", "score", "is_secret",
+                        F.sha2("candidate", 256).alias("candidate_sha256"))

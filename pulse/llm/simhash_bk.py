@@ -187,7 +187,9 @@ def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` whose id names their component, one row per id, all columns kept.
     Rows that share an id count as one document."""
     groups = near_groups(docs, id_col, text_col, **settings)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"))
-    rows = docs.withColumn("__id", name(id_col).cast("long"))
-    kept = rows.join(keep, F.col("__id").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates(["__id"]).drop("__id")
+    def key(doc_id):  # null ids have a key, too; the join's shuffle serves the last step as well
+        return F.coalesce(doc_id.cast("string"), F.lit("null"))
+
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("__key"))
+    kept = docs.withColumn("__key", key(name(id_col).cast("long"))).join(keep, "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*[name(c) for c in docs.columns])
