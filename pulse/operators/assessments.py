@@ -85,8 +85,10 @@ def assessment_snapshot(panel: DataFrame, subs: DataFrame, window_days: int = C.
                            F.struct(_last_key().alias("k"), F.col("score").alias("s")))).alias("_l0")))
     # LEFT join from the panel and two aggregates on keys that start with the learner id: both
     # reuse the join's learner partitioning, so no (id, cutoff) re-shuffle and no second join.
-    # Panel columns are carried with max() (constant within a (learner, cutoff) group).
-    carry = [x for x in panel.columns if x not in (key, "cutoff")]
+    # Panel rows travel as one list per (learner, cutoff), so several rows of a learner stay several.
+    others = [x for x in panel.columns if x not in (key, "cutoff")]
+    panel = panel.groupBy(key, "cutoff").agg(F.collect_list(F.struct(*others)).alias("_rows"))
+    carry = ["_rows"]
     j = panel.join(s, (F.col(key) == F.col("_k")) & (F.col("date_submitted") <= c), "left")
     win = F.col("date_submitted") >= ws
     lvl1 = j.groupBy(key, "cutoff", "id_assessment").agg(
@@ -107,5 +109,6 @@ def assessment_snapshot(panel: DataFrame, subs: DataFrame, window_days: int = C.
         (F.sum("_s14") / F.sum("_n14")).alias("avg_score_14"),
     )
     cols = ["num_assessments", "avg_score", "pass_count", "last_score", "num_assessments_14", "avg_score_14"]
-    return lvl2.select(*[c_ for c_ in panel.columns],
+    lvl2 = lvl2.withColumn("_row", F.explode("_rows"))
+    return lvl2.select(key, "cutoff", *[F.col("_row")[x].alias(x) for x in others],
                        *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x) for x in cols])

@@ -45,18 +45,29 @@ def learners_prestart(t: LearnerTables, module: str, presentations: Sequence[str
             .select("id_student", "final_result", withdrawn_label().alias("dropout")))
 
 
-def registration_lookup(t: LearnerTables, module: str, presentations: Sequence[str]) -> DataFrame:
-    """Distinct (id, registration day) rows of the cohort (the reference's reg_lookup)."""
+REGISTRATION_KEY = ("id_student", "code_module", "code_presentation")
+
+
+def registration_lookup(t: LearnerTables, module: str, presentations: Sequence[str], key="id_student") -> DataFrame:
+    """Distinct (key, registration day) rows of the scope: the clock(s) of each learner."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return scope(t.student_registration, module, presentations).select(*keys, "date_registration").distinct()
+
+
+def registration_rows(t: LearnerTables, module: str, presentations: Sequence[str]) -> DataFrame:
+    """Distinct (id, registration day, unregister day) rows of the scope."""
     return (scope(t.student_registration, module, presentations)
             .select("id_student", "date_registration", "date_unregistration").distinct())
 
 
-def learners_registered(t: LearnerTables, module: str, presentations: Sequence[str]) -> DataFrame:
-    """Registration-clock cohort: student_info rows of the scope that have a registration row."""
-    reg = registration_lookup(t, module, presentations)
+def learners_registered(t: LearnerTables, module: str, presentations: Sequence[str], key="id_student") -> DataFrame:
+    """Registration-clock cohort: distinct (key, dropout) of the scope's student_info rows whose
+    key has a registration row."""
+    keys = [key] if isinstance(key, str) else list(key)
+    reg = registration_lookup(t, module, presentations, keys)
     info = scope(t.student_info, module, presentations)
-    return (info.join(reg.select("id_student"), "id_student", "left_semi")
-            .select("id_student", "final_result", withdrawn_label().alias("dropout")).distinct())
+    return (info.join(reg.select(*keys), keys, "left_semi")
+            .select(*keys, withdrawn_label().alias("dropout")).distinct())
 
 
 def collapse_daily(vle: DataFrame, day_col: str = "date", clicks_col: str = "sum_click",
@@ -76,8 +87,9 @@ def rebase_daily(daily: DataFrame, reg_lookup: DataFrame, min_day: int | None =
                  key="id_student") -> DataFrame:
     """J2 + F12 + F6: shift course days onto each learner's registration clock.
 
-    Inner join on the learner key (one registration row per learner; two rows fan out
-    exactly as the reference's merge does). NULL registration days drop out.
+    Inner join on the learner key. Two registration days shift the log twice; what falls on
+    the same day again is one row (clicks add up, the day counts once), so the result has one
+    row per (key, day). The regrouping reuses the join's partitioning. NULL days drop out.
     """
     keys = [key] if isinstance(key, str) else list(key)
     reg = reg_lookup.select(*keys, "date_registration").where(F.col("date_registration").isNotNull())
@@ -85,7 +97,7 @@ def rebase_daily(daily: DataFrame, reg_lookup: DataFrame, min_day: int | None =
            .select(*keys, (F.col("day") - F.col("date_registration")).alias("day"), "clicks"))
     if min_day is not None:
         out = out.where(F.col("day") >= min_day)
-    return out
+    return out.groupBy(*keys, "day").agg(F.sum("clicks").alias("clicks"))
 
 
 def module_vle(t: LearnerTables, module: str, presentations: Sequence[str]) -> DataFrame:

@@ -15,7 +15,10 @@ aggregate share the learner-key partitioning, so the panel costs one shuffle of
 
 For long cutoff lists (a snapshot for every day) the same columns come from per-learner
 prefix sums read at each cutoff's window boundaries (``strategy='prefix'``): O(days +
-cutoffs) rows per learner instead of O(days x cutoffs). Both strategies are tested equal.
+cutoffs) rows per learner instead of O(days x cutoffs). The features of a (learner, cutoff) are
+computed once whatever the number of learner rows: what a row carries (label inputs, kept
+columns) travels as one list per learner outside the aggregates, so both strategies give the
+same rows for learners with several rows, too.
 """
 
 from __future__ import annotations
@@ -268,10 +271,11 @@ def build_panel(spec: SnapshotSpec, learners: DataFrame, daily: DataFrame,
     """Build the (learner, cutoff) panel for one variant.
 
     key       the learner key: one column, or several such as (id, module, presentation) so
-              that a learner registered twice is two panel learners (the one-column id key
-              reproduces the reference's fan-out of clicks across registrations).
-    learners  one row per learner: ``key`` plus, depending on the label, ``dropout``
-              or ``date_unregistration``; a ``cutoff`` column when spec.cutoffs is None.
+              that a learner registered twice is two panel learners.
+    learners  ``key`` plus, depending on the label, ``dropout`` or ``date_unregistration``; a
+              ``cutoff`` column when spec.cutoffs is None. One panel row per learner row and
+              cutoff if a column is carried (label input or ``keep``), else one per key; the
+              features are those of the key.
     daily     (key, day, clicks), one row per learner and active day, on the variant's
               clock and already restricted to its lower day bound.
     keep      extra learner columns carried to the output.
@@ -279,42 +283,46 @@ def build_panel(spec: SnapshotSpec, learners: DataFrame, daily: DataFrame,
                        (rows per learner: active days x cutoffs); best for short cutoff lists.
               'prefix' per-learner prefix sums read at each cutoff's boundaries (rows per
                        learner: active days + 6 x cutoffs); for long cutoff lists.
-              'auto'   'prefix' from PREFIX_MIN_CUTOFFS cutoffs on, else 'join'.
+              'auto'   'prefix' from PREFIX_MIN_CUTOFFS cutoffs on, else 'join': a choice of
+                       plan only, the rows are the same.
     """
     ks = _keys(key)
-    base_cols = ks + [k for k in keep]
-    if spec.label == "withdrawn":
-        base_cols.append("dropout")
+    carry = [k for k in keep if k not in (*ks, "cutoff")]
     base = learners
+    if spec.label == "withdrawn" and "dropout" not in carry:
+        carry.append("dropout")
     if spec.label == "unregister":
         base = base.withColumn("_unreg", F.coalesce(F.col("date_unregistration"), F.lit(999)))
-        base_cols.append("_unreg")
-    if spec.cutoffs is None:
-        base_cols.append("cutoff")
-        panel = base.select(*dict.fromkeys(base_cols))
+        carry.append("_unreg")
+    at = ks if spec.cutoffs is not None else [*ks, "cutoff"]
+    if carry:  # one row per key; its learner rows come back after the aggregate
+        base = base.groupBy(*at).agg(F.collect_list(F.struct(*carry)).alias("_rows"))
     else:
-        panel = cutoff_panel(base.select(*dict.fromkeys(base_cols)), spec.cutoffs)
+        base = base.select(*at).distinct()
+    panel = base if spec.cutoffs is None else cutoff_panel(base, spec.cutoffs)
+    c = F.col("cutoff")
     if spec.label == "unregister":  # still enrolled at the cutoff
-        panel = panel.where(F.col("_unreg") > F.col("cutoff"))
+        panel = panel.withColumn("_rows", F.filter("_rows", lambda r: r["_unreg"] > F.col("cutoff"))).where(F.size("_rows") > 0)
     if spec.eligible:  # F8 / J9: learner's last day (default -1) >= c + horizon
         last = learner_last_day(daily, ks)
         panel = (panel.join(last, ks, "left")
                  .where(F.coalesce(F.col("last_day"), F.lit(-1)) >= F.col("cutoff") + spec.horizon)
                  .drop("last_day"))
-    group_cols = list(dict.fromkeys(panel.columns))
-    c = F.col("cutoff")
     if strategy == "auto":
         strategy = "prefix" if spec.cutoffs is not None and len(spec.cutoffs) >= PREFIX_MIN_CUTOFFS else "join"
     if strategy == "prefix":
-        agg = _prefix_aggregates(spec, panel, daily, key, group_cols)
+        agg = _prefix_aggregates(spec, panel, daily, key, panel.columns)
     else:
         act = daily.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col("day").alias("_d"),
                            F.col("clicks").alias("_n"))
         cond = F.col("_d") <= c + spec.horizon
         for i, k in enumerate(ks):
             cond = cond & (F.col(k) == F.col(f"_k{i}"))
-        joined = panel.join(act, cond, "left")
-        agg = joined.groupBy(*group_cols).agg(*activity_aggregates(spec, c, F.col("_d"), F.col("_n")))
+        rows = [F.max("_rows").alias("_rows")] if carry else []  # constant within (key, cutoff)
+        agg = panel.join(act, cond, "left").groupBy(*ks, "cutoff").agg(
+            *rows, *activity_aggregates(spec, c, F.col("_d"), F.col("_n")))
+    if carry:
+        agg = agg.withColumn("_row", F.explode("_rows")).select("*", "_row.*").drop("_row", "_rows")
     out_cols = [*[F.col(k) for k in ks], c.cast("bigint").alias("cutoff")]
     out_cols += [F.col(k) for k in keep if k != "cutoff"]
     lab = label_column(spec, c)

@@ -16,11 +16,14 @@ from ..sources.demo import LearnerTables
 
 
 def registration_clock(t: LearnerTables, module: str = C.MODULE,
-                       presentations: Sequence[str] = C.PRESENTATIONS):
-    """Cohort learners and their daily activity on the registration clock (days >= 0)."""
-    learners = cohort.learners_registered(t, module, presentations)
-    reg = cohort.registration_lookup(t, module, presentations)
-    daily = cohort.rebase_daily(cohort.collapse_daily(cohort.module_vle(t, module, presentations)), reg)
+                       presentations: Sequence[str] = C.PRESENTATIONS, key="id_student"):
+    """Cohort learners and their daily activity on the registration clock (days >= 0).
+
+    ``key`` is the id (a learner's registrations share one log) or ``cohort.REGISTRATION_KEY``
+    (each registration is a learner of its own with its own presentation's log)."""
+    learners = cohort.learners_registered(t, module, presentations, key)
+    reg = cohort.registration_lookup(t, module, presentations, key)
+    daily = cohort.rebase_daily(cohort.collapse_daily(cohort.module_vle(t, module, presentations), key=key), reg, key=key)
     return learners, daily
 
 
@@ -40,18 +43,19 @@ def snapshot_v4(t: LearnerTables, module: str = C.MODULE, presentations: Sequenc
 
 def snapshot_registration(spec: SnapshotSpec, t: LearnerTables, module: str = C.MODULE,
                           presentations: Sequence[str] = C.PRESENTATIONS,
-                          cutoffs: Sequence[int] | None = None, strategy: str = "auto") -> DataFrame:
+                          cutoffs: Sequence[int] | None = None, strategy: str = "auto", key="id_student") -> DataFrame:
     """Registration clock panels differing only in their spec."""
-    learners, daily = registration_clock(t, module, presentations)
+    learners, daily = registration_clock(t, module, presentations, key)
     s = spec if cutoffs is None else spec.with_cutoffs(cutoffs)
-    return build_panel(s, learners, daily, strategy=strategy)
+    return build_panel(s, learners, daily, key=key, strategy=strategy)
 
 
 def snapshot_v9(t: LearnerTables, module: str = C.MODULE, presentations: Sequence[str] = C.PRESENTATIONS,
                 cutoffs: Sequence[int] = C.CUTOFFS_UNREG) -> DataFrame:
     """Unregister label. Learners are the registration rows (NULL unregister -> 999,
-    NULL registration day -> 0); the click log is not restricted to the module (Q8)."""
-    reg = cohort.registration_lookup(t, module, presentations).select(
+    NULL registration day -> 0); the click log is not restricted to the module (Q8). The log is
+    joined per registration row: two rows of one day add the clicks up, its days count once."""
+    reg = cohort.registration_rows(t, module, presentations).select(
         "id_student", F.coalesce(F.col("date_registration"), F.lit(0)).alias("date_registration"),
         "date_unregistration").distinct()
     daily = cohort.rebase_daily(cohort.collapse_daily(t.student_vle), reg)
@@ -76,8 +80,8 @@ def snapshot_v7(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None)
     return snapshot_registration(V7, t, module, presentations, cutoffs)
 
 
-def snapshot_v8(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None, strategy="auto"):
-    return snapshot_registration(V8, t, module, presentations, cutoffs, strategy)
+def snapshot_v8(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None, strategy="auto", key="id_student"):
+    return snapshot_registration(V8, t, module, presentations, cutoffs, strategy, key)
 
 
 def snapshot_v11(histories: DataFrame, window_days: int = C.WINDOW_DAYS,

@@ -63,16 +63,29 @@ assessments AS (
        (SELECT unnest(['2024A', '2024B']) AS code_presentation) p)"""
 
 
-def with_demo(*ctes: str) -> str:
+# The same tables with a second registration for every fifth learner.
+DEMO_REPEATS = DEMO.replace("student_registration AS (", "first_registration AS (", 1).replace("""FROM ev GROUP BY user_id),
+""", """FROM ev GROUP BY user_id),
+student_registration AS (
+  SELECT * FROM first_registration
+  UNION ALL
+  SELECT id_student, code_module, CASE code_presentation WHEN '2024A' THEN '2024B' ELSE '2024A' END,
+         CAST(date_registration + CASE WHEN id_student % 10 = 0 THEN 0 ELSE 3 END AS INTEGER),
+         CAST(CASE WHEN date_unregistration IS NULL THEN 20 END AS INTEGER)
+  FROM first_registration WHERE id_student % 5 = 0),
+""", 1)
+
+
+def with_demo(*ctes: str, repeats: bool = False) -> str:
     """WITH <demo tables>, <extra ctes>"""
-    parts = [DEMO.strip()] + [c.strip() for c in ctes if c]
+    parts = [(DEMO_REPEATS if repeats else DEMO).strip()] + [c.strip() for c in ctes if c]
     return "WITH " + ",\n".join(parts)
 
 
 # Registration-clock cohort (P12) for the multi-presentation scope.
 REG_CLOCK = f"""
 reg_lookup AS (
-  SELECT DISTINCT id_student, date_registration, date_unregistration FROM student_registration
+  SELECT DISTINCT id_student, date_registration FROM student_registration
   WHERE code_module = '{MOD}' AND code_presentation IN {PRES}),
 students AS (
   SELECT DISTINCT id_student, CASE WHEN final_result = 'Withdrawn' THEN 1 ELSE 0 END AS dropout
@@ -135,29 +148,30 @@ maxday AS (SELECT id_student, max(dsr) AS md FROM vle_mod GROUP BY id_student),"
 b AS (
   SELECT {base_cols}, c.cutoff, {ws} AS ws, {fe} AS fe, {ss} AS ss
   FROM {base_from} {wsql}),
+kb AS (SELECT DISTINCT id_student, cutoff, ws, fe, ss FROM b),
 cum AS (
   SELECT b.id_student, b.cutoff, sum(v.sum_click) AS total_clicks, count(DISTINCT v.dsr) AS active_days_total,
          max(v.dsr) AS last_active
-  FROM b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr <= b.cutoff GROUP BY 1, 2),
+  FROM kb b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr <= b.cutoff GROUP BY 1, 2),
 win AS (
   SELECT b.id_student, b.cutoff, sum(v.sum_click) AS clicks_last_14_days, count(DISTINCT v.dsr) AS active_days_14,
          max(v.dsr) AS last_win
-  FROM b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr <= b.cutoff AND v.dsr >= b.ws GROUP BY 1, 2),
+  FROM kb b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr <= b.cutoff AND v.dsr >= b.ws GROUP BY 1, 2),
 h1 AS (
   SELECT b.id_student, b.cutoff, sum(v.sum_click) AS clicks_0_7
-  FROM b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr >= b.ws AND v.dsr <= b.fe AND v.dsr <= b.cutoff
+  FROM kb b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr >= b.ws AND v.dsr <= b.fe AND v.dsr <= b.cutoff
   GROUP BY 1, 2),
 h2 AS (
   SELECT b.id_student, b.cutoff, sum(v.sum_click) AS clicks_8_14
-  FROM b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr >= b.ss AND v.dsr <= b.cutoff AND v.dsr >= b.ws
+  FROM kb b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr >= b.ss AND v.dsr <= b.cutoff AND v.dsr >= b.ws
   GROUP BY 1, 2),
 l7 AS (
   SELECT b.id_student, b.cutoff, sum(v.sum_click) AS clicks_last_7_days
-  FROM b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr <= b.cutoff AND v.dsr > b.cutoff - {recent}
+  FROM kb b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr <= b.cutoff AND v.dsr > b.cutoff - {recent}
   GROUP BY 1, 2),
 fut AS (
   SELECT b.id_student, b.cutoff, sum(v.sum_click) AS fc, count(DISTINCT v.dsr) AS fd
-  FROM b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr > b.cutoff AND v.dsr <= b.cutoff + {max(horizon, 0)}
+  FROM kb b JOIN vle_mod v ON v.id_student = b.id_student AND v.dsr > b.cutoff AND v.dsr <= b.cutoff + {max(horizon, 0)}
   GROUP BY 1, 2)"""
     worst = fill == "worst_case"
     since_fill = "b.cutoff" if worst else "0"
@@ -221,13 +235,39 @@ def v4_panel(cutoffs=C.CUTOFFS_COURSE):
                      label="withdrawn", label_name="dropout", elapsed="days_elapsed_program")
 
 
+# V5-V8 take every id once.
+UNIQUE_IDS = "(SELECT DISTINCT id_student FROM students) s, cut c"
+
+
 def v8_panel(cutoffs=C.CUTOFFS_REG):
-    return panel_sql(cohort=REG_CLOCK, cutoffs=cutoffs, den="(b.cutoff + 1)", label="low_activity",
+    return panel_sql(cohort=REG_CLOCK, cutoffs=cutoffs, base_from=UNIQUE_IDS, den="(b.cutoff + 1)", label="low_activity",
                      horizon=14, clip=True)
 
 
 def reg_panel(label, horizon, cutoffs=C.CUTOFFS_REG, eligible=False):
-    return panel_sql(cohort=REG_CLOCK, cutoffs=cutoffs, label=label, horizon=horizon, eligible=eligible)
+    return panel_sql(cohort=REG_CLOCK, cutoffs=cutoffs, base_from=UNIQUE_IDS, label=label, horizon=horizon, eligible=eligible)
+
+
+# One learner per registration: the id of the shared blocks is the pair (id, presentation).
+COMPOSITE = f"""
+reg_lookup AS (
+  SELECT DISTINCT id_student || '/' || code_presentation AS id_student, date_registration FROM student_registration
+  WHERE code_module = '{MOD}' AND code_presentation IN {PRES}),
+students AS (
+  SELECT DISTINCT id_student || '/' || code_presentation AS id_student FROM student_info
+  WHERE code_module = '{MOD}' AND code_presentation IN {PRES}
+    AND id_student || '/' || code_presentation IN (SELECT id_student FROM reg_lookup)),
+vle_mod AS (
+  SELECT r.id_student, v.date - r.date_registration AS dsr, v.sum_click
+  FROM student_vle v JOIN reg_lookup r ON v.id_student || '/' || v.code_presentation = r.id_student
+  WHERE v.code_module = '{MOD}' AND v.code_presentation IN {PRES}
+    AND r.date_registration IS NOT NULL AND v.date - r.date_registration >= 0)"""
+
+
+def v8_composite(cutoffs=C.CUTOFFS_REG):
+    return panel_sql(cohort=COMPOSITE, cutoffs=cutoffs, base_from=UNIQUE_IDS, den="(b.cutoff + 1)", label="low_activity", horizon=14, clip=True,
+                     id_out=f"CAST(split_part(b.id_student, '/', 1) AS BIGINT) AS id_student, '{MOD}' AS code_module, "
+                            "split_part(b.id_student, '/', 2) AS code_presentation")
 
 
 V9_COHORT = f"""

@@ -206,6 +206,32 @@ register("snapshot_v8_daily", _sql(O.v8_panel(_DAILY_CUTS)))(
     lambda spark, sf: variants.snapshot_v8(T(spark, sf), cutoffs=_DAILY_CUTS, strategy="prefix"))
 register("snapshot_v9", _sql(O.v9_panel()))(lambda spark, sf: variants.snapshot_v9(T(spark, sf)))
 
+# The panels over tables in which every fifth learner has a second registration (another
+# presentation, other registration and unregister days).
+
+
+def TR2(spark, sf):
+    return learner_tables(spark, sf, repeats=True)
+
+
+def _sql2(parts):
+    ctes, select = parts
+    return O.with_demo(ctes, repeats=True) + select
+
+
+register("repeat_snapshot_v4", _sql2(O.v4_panel()))(
+    lambda spark, sf: variants.snapshot_v4(TR2(spark, sf), with_assessments=False))
+register("repeat_snapshot_v5", _sql2(O.reg_panel("silent", 7, eligible=True)))(
+    lambda spark, sf: variants.snapshot_v5(TR2(spark, sf)))
+register("repeat_snapshot_v6", _sql2(O.reg_panel("silent", 14)))(lambda spark, sf: variants.snapshot_v6(TR2(spark, sf)))
+register("repeat_snapshot_v7", _sql2(O.reg_panel("silent", 7)))(lambda spark, sf: variants.snapshot_v7(TR2(spark, sf)))
+register("repeat_snapshot_v8", _sql2(O.v8_panel()))(lambda spark, sf: variants.snapshot_v8(TR2(spark, sf)))
+register("snapshot_v8_prefix", _sql2(O.v8_panel()))(
+    lambda spark, sf: variants.snapshot_v8(TR2(spark, sf), strategy="prefix"))
+register("repeat_snapshot_v9", _sql2(O.v9_panel()))(lambda spark, sf: variants.snapshot_v9(TR2(spark, sf)))
+register("snapshot_v8_composite_key", _sql2(O.v8_composite()))(
+    lambda spark, sf: variants.snapshot_v8(TR2(spark, sf), key=cohort.REGISTRATION_KEY))
+
 # early single-window snapshots (P1-P3) and the day-7 / per-row-cutoff panels
 
 
@@ -220,7 +246,7 @@ register("snapshot_v2", _early_sql(early.V2))(lambda spark, sf: early.early_snap
 register("snapshot_v3", _early_sql(early.V3))(
     lambda spark, sf: early.early_snapshot(early.V3, T(spark, sf), MOD, PRES1))
 
-register("snapshot_v10", W(O.REG_CLOCK) + """,
+_V10_SQL = """,
 v7 AS (SELECT * FROM vle_mod WHERE dsr >= 0 AND dsr <= 7),
 agg AS (SELECT id_student, sum(sum_click) AS total, count(DISTINCT dsr) AS days, max(dsr) AS last FROM v7 GROUP BY 1),
 l3 AS (SELECT id_student, sum(sum_click) AS v FROM v7 WHERE dsr >= 5 GROUP BY 1),
@@ -239,8 +265,11 @@ SELECT CAST(s.id_student AS BIGINT) AS id_student, CAST(s.dropout AS BIGINT) AS
   (CAST(coalesce(a47.v, 0) AS DOUBLE) + 1) / (CAST(coalesce(a03.v, 0) AS DOUBLE) + 1) AS ratio_click_7,
   CAST(coalesce(7 - agg.last, 0) AS DOUBLE) AS inactivity_streak_7
 FROM students s LEFT JOIN agg USING (id_student) LEFT JOIN l3 USING (id_student)
-LEFT JOIN a03 USING (id_student) LEFT JOIN a47 USING (id_student)""")(
+LEFT JOIN a03 USING (id_student) LEFT JOIN a47 USING (id_student)"""
+register("snapshot_v10", W(O.REG_CLOCK) + _V10_SQL)(
     lambda spark, sf: variants.snapshot_v10(T(spark, sf)))
+register("repeat_snapshot_v10", O.with_demo(O.REG_CLOCK, repeats=True) + _V10_SQL)(
+    lambda spark, sf: variants.snapshot_v10(TR2(spark, sf)))
 
 register("snapshot_v11", _sql(O.v11_panel()))(
     lambda spark, sf: variants.snapshot_v11(learner_histories(T(spark, sf))))

@@ -102,12 +102,15 @@ def student_assessment(spark: SparkSession, sf_dir: str, replicate: int = 1) ->
     )
 
 
-def student_registration(spark: SparkSession, sf_dir: str, replicate: int = 1) -> DataFrame:
+def student_registration(spark: SparkSession, sf_dir: str, replicate: int = 1, repeats: bool = False) -> DataFrame:
+    """``repeats``: every fifth learner registers for the other presentation as well: three days
+    later (every tenth: on the same day), unregistering on day 20 if and only if the first
+    registration stays."""
     ev = events(spark, sf_dir, ["ts", "user_id", "event_type"], replicate)
     uid = F.col("user_id")
     per_user = ev.groupBy(uid).agg(
         F.min(F.when(F.col("event_type") == "signup", day_of(F.col("ts")))).alias("date_registration"))
-    return per_user.select(
+    first = per_user.select(
         uid.alias("id_student"),
         module_of(uid).alias("code_module"),
         presentation_of(uid).alias("code_presentation"),
@@ -115,6 +118,15 @@ def student_registration(spark: SparkSession, sf_dir: str, replicate: int = 1) -
         F.when(F.pmod(uid, F.lit(3)) == 0, F.lit(8) + F.pmod(uid * 7, F.lit(14)))
         .cast("int").alias("date_unregistration"),
     )
+    if not repeats:
+        return first
+    sid, cols = F.col("id_student"), ["code_presentation", "date_registration", "date_unregistration"]
+    second = F.struct(
+        F.when(F.col("code_presentation") == "2024A", F.lit("2024B")).otherwise(F.lit("2024A")).alias("code_presentation"),
+        (F.col("date_registration") + F.when(F.pmod(sid, F.lit(10)) == 0, F.lit(0)).otherwise(F.lit(3))).cast("int").alias("date_registration"),
+        F.when(F.col("date_unregistration").isNull(), F.lit(20)).cast("int").alias("date_unregistration"))
+    rows = F.when(F.pmod(sid, F.lit(5)) == 0, F.array(F.struct(*cols), second)).otherwise(F.array(F.struct(*cols)))
+    return first.select("id_student", "code_module", F.explode(rows).alias("r")).select("id_student", "code_module", "r.*")
 
 
 def student_info(spark: SparkSession, sf_dir: str, registration: DataFrame | None = None) -> DataFrame:
@@ -156,8 +168,8 @@ def assessments(spark: SparkSession, sf_dir: str, replicate: int = 1) -> DataFra
         F.col("code_presentation"), F.col("id_assessment"))
 
 
-def learner_tables(spark: SparkSession, sf_dir: str, replicate: int = 1) -> LearnerTables:
-    reg = student_registration(spark, sf_dir, replicate)
+def learner_tables(spark: SparkSession, sf_dir: str, replicate: int = 1, repeats: bool = False) -> LearnerTables:
+    reg = student_registration(spark, sf_dir, replicate, repeats)
     return LearnerTables(
         student_info=student_info(spark, sf_dir, reg),
         student_registration=reg,

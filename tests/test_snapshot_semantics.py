@@ -196,3 +196,57 @@ def test_composite_learner_key_avoids_registration_fan_out(spark):
         p = {r["code_presentation"]: r for r in build_panel(V7.with_cutoffs([3]), learners, comp, key=ks,
                                                               strategy=strategy).collect()}
         assert p["A"]["clicks_last_14_days"] == 20.0 and p["B"]["clicks_last_14_days"] == 7.0
+
+
+# One learner with two registrations in the scope: expected values worked out by hand from the
+# definition (features per id, log shifted by every registration day, days counted once).
+
+def _repeat_tables(spark, reg_days, clicks, results=("Pass", "Withdrawn")):
+    from pulse.sources.demo import LearnerTables
+    pres = ("2024A", "2024B")
+    info = spark.createDataFrame([("AAA", p, 1, r) for p, r in zip(pres, results)],
+                                 "code_module string, code_presentation string, id_student long, final_result string")
+    reg = spark.createDataFrame([(1, "AAA", p, d, u) for p, d, u in zip(pres, reg_days, (None, 20))],
+                                "id_student long, code_module string, code_presentation string, "
+                                "date_registration int, date_unregistration int")
+    vle = spark.createDataFrame([(1, "AAA", "2024A", 0, d, n) for d, n in clicks],
+                                "id_student long, code_module string, code_presentation string, id_site int, date int, sum_click int")
+    return LearnerTables(info, reg, vle, None, None)
+
+
+def test_two_presentations_same_day_count_once_in_both_strategies(spark):
+    from pulse.operators import variants
+    t = _repeat_tables(spark, (0, 0), [(0, 5), (5, 5), (20, 5)])
+    for strategy in ("join", "prefix"):
+        rows = variants.snapshot_v8(t, "AAA", ("2024A", "2024B"), (14,), strategy).collect()
+        assert len(rows) == 1
+        assert (rows[0]["clicks_last_14_days"], rows[0]["active_ratio_total"] * 15, rows[0]["y_short"]) == (5.0, 2.0, 1)
+        assert rows[0]["clicks_per_day_total"] * 15 == 10.0
+
+
+def test_course_clock_keeps_one_row_per_info_row(spark):
+    from pulse.operators import variants
+    t = _repeat_tables(spark, (0, 0), [(0, 5), (5, 5)])
+    rows = variants.snapshot_v4(t, "AAA", ("2024A", "2024B"), (10,), with_assessments=False).collect()
+    assert sorted(r["dropout"] for r in rows) == [0, 1]
+    assert all(r["clicks_per_day_total"] * 10 == 10.0 and r["active_days_14"] == 2.0 for r in rows)
+
+
+def test_two_registration_days_shift_the_log_twice(spark):
+    from pulse.operators import variants
+    # Days 0, 3, 6 on one clock and -3, 0, 3 on the other: distinct days 0, 3, 6; clicks add up.
+    t = _repeat_tables(spark, (0, 3), [(0, 1), (3, 1), (6, 1)])
+    for strategy in ("join", "prefix"):
+        r = variants.snapshot_v8(t, "AAA", ("2024A", "2024B"), (7,), strategy).collect()[0]
+        assert (r["active_days_14"], r["clicks_last_14_days"]) == (3.0, 5.0)
+    r10 = variants.snapshot_v10(t, "AAA", ("2024A", "2024B")).collect()
+    assert len(r10) == 2 and all(r["active_ratio_total"] == 3 / 8 for r in r10)
+    r9 = variants.snapshot_v9(t, "AAA", ("2024A", "2024B"), (7,)).collect()
+    assert sorted(r["target"] for r in r9) == [0, 1] and all(r["active_days_14"] == 3.0 for r in r9)
+
+
+def test_composite_key_gives_a_row_per_registration(spark):
+    from pulse.operators import cohort, variants
+    t = _repeat_tables(spark, (0, 3), [(0, 1), (3, 1), (6, 1)])
+    rows = {r["code_presentation"]: r for r in variants.snapshot_v8(t, "AAA", ("2024A", "2024B"), (7,), key=cohort.REGISTRATION_KEY).collect()}
+    assert rows["2024A"]["clicks_last_14_days"] == 3.0 and rows["2024B"]["clicks_last_14_days"] == 0.0
