@@ -38,18 +38,6 @@ PASS_MARK = 40.0
 LOW_ACTIVITY_MAX_DAYS = 1
 LOW_ACTIVITY_MAX_CLICKS = 3
 
-DECLINE_A = {
-    "norm_trend": 30.0, "bad_ratio14": 0.60, "norm_streak": 7.0, "bad_ar14": 0.30,
-    "bad_click14": 10.0, "norm_dsl": 7.0, "bad_recent_ratio": 0.35,
-    "weights": {"streak": 0.30, "ar14": 0.20, "click14": 0.20, "dsl": 0.10,
-                "recent": 0.15, "trend": 0.03, "ratio14": 0.02},
-}
-
-DECLINE_B_WEIGHTS = {"drop_ratio": 0.30, "drop_trend": 0.25, "low_last7": 0.20,
-                     "high_streak": 0.15, "high_since": 0.10}
-
-HEURISTIC_WEIGHTS = {"streak": 0.45, "low_click14": 0.30, "last7_zero": 0.15, "days_last": 0.10}
-
 BLEND_A = {"alpha_model": 0.35, "thr_medium": 0.22, "thr_high": 0.50}
 BLEND_B_ALPHA = 0.70
 BLEND_H = {"alpha_model": 0.55, "heur_boost": 1.15, "k": 8.0, "c": 0.50}

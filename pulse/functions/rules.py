@@ -2,72 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
 
 
-def _c(name: str) -> Column:
-    return F.col(name).cast("double")
-
-
 def clip01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
-def decline_score_a(cfg: dict = C.DECLINE_A) -> Column:
-    """Seven clipped terms; high = declining. Missing inputs use the reference defaults."""
-    trend = F.coalesce(_c("trend_click_14"), F.lit(0.0))
-    ratio14 = F.coalesce(_c("ratio_click_14"), F.lit(1.0))
-    streak = F.coalesce(_c("inactivity_streak_14"), F.lit(0.0))
-    ar14 = F.coalesce(_c("active_ratio_14"), F.lit(0.0))
-    clicks14 = F.coalesce(_c("clicks_last_14_days"), F.lit(0.0))
-    dsl = F.coalesce(_c("days_since_last_active"), F.lit(0.0))
-    last7 = F.coalesce(_c("clicks_last_7_days"), F.lit(0.0))
-    c814 = F.coalesce(_c("clicks_8_14"), F.lit(0.0))
-    recent = (last7 + 1.0) / (c814 + 1.0)
-    s_trend = clip01((-trend) / cfg["norm_trend"])
-    s_ratio = clip01((cfg["bad_ratio14"] - ratio14) / cfg["bad_ratio14"])
-    s_streak = clip01(streak / cfg["norm_streak"])
-    s_ar14 = clip01((cfg["bad_ar14"] - ar14) / cfg["bad_ar14"])
-    s_click14 = clip01((cfg["bad_click14"] - clicks14) / cfg["bad_click14"])
-    s_dsl = clip01(dsl / cfg["norm_dsl"])
-    s_recent = clip01((cfg["bad_recent_ratio"] - recent) / cfg["bad_recent_ratio"])
-    w = cfg["weights"]
-    score = (F.lit(w["streak"]) * s_streak + F.lit(w["ar14"]) * s_ar14 + F.lit(w["click14"]) * s_click14
-             + F.lit(w["dsl"]) * s_dsl + F.lit(w["recent"]) * s_recent + F.lit(w["trend"]) * s_trend
-             + F.lit(w["ratio14"]) * s_ratio)
-    return clip01(score)
-
-
-def decline_score_b(weights: dict = C.DECLINE_B_WEIGHTS) -> Column:
-    """R2: five terms on pre-clipped inputs."""
-    ratio = F.least(F.greatest(_c("ratio_click_14"), F.lit(0.0)), F.lit(3.0))
-    trend = F.least(F.greatest(_c("trend_click_14"), F.lit(-50.0)), F.lit(50.0))
-    last7 = F.least(F.greatest(_c("clicks_last_7_days"), F.lit(0.0)), F.lit(200.0))
-    streak = F.least(F.greatest(_c("inactivity_streak_14"), F.lit(0.0)), F.lit(14.0))
-    since = F.least(F.greatest(_c("days_since_last_active"), F.lit(0.0)), F.lit(60.0))
-    drop_ratio = clip01(1.0 - ratio / 1.0)
-    drop_trend = clip01(-trend / 30.0)
-    low_last7 = clip01(1.0 - last7 / 20.0)
-    high_streak = clip01(streak / 14.0)
-    high_since = clip01(since / 14.0)
-    score = (F.lit(weights["drop_ratio"]) * drop_ratio + F.lit(weights["drop_trend"]) * drop_trend
-             + F.lit(weights["low_last7"]) * low_last7 + F.lit(weights["high_streak"]) * high_streak
-             + F.lit(weights["high_since"]) * high_since)
-    return clip01(score)
-
-
-def heuristic_risk(w: dict = C.HEURISTIC_WEIGHTS) -> Column:
-    """Streak, low recent clicks, silent last week, days since last activity."""
-    streak = _c("inactivity_streak_14") / 14.0
-    low_click14 = 1.0 - F.tanh(_c("clicks_last_14_days") / 10.0)
-    last7_zero = F.when(_c("clicks_last_7_days") <= 1, F.lit(1.0)).otherwise(F.lit(0.0))
-    days_last = F.tanh(_c("days_since_last_active") / 5.0)
-    score = (F.lit(w["streak"]) * streak + F.lit(w["low_click14"]) * low_click14
-             + F.lit(w["last7_zero"]) * last7_zero + F.lit(w["days_last"]) * days_last)
-    return clip01(score)
+# What a term makes of its input and its scale.
+SHAPES: dict[str, Callable[[Column, float], Column]] = {
+    "share": lambda x, s: x / s,
+    "rise": lambda x, s: clip01(x / s),
+    "lack": lambda x, s: clip01((s - x) / s),
+    "fall": lambda x, s: clip01((-x) / s),
+    "grow": lambda x, s: F.tanh(x / s),
+    "fade": lambda x, s: 1.0 - F.tanh(x / s),
+    "at_most": lambda x, s: F.when(x <= s, F.lit(1.0)).otherwise(F.lit(0.0)),
+}
+
+
+@dataclass(frozen=True)
+class Term:
+    """One weighted term of a rule score: ``weight * shape(input, scale)``.
+
+    default  stands for a NULL input (None: NULL falls to the lower bound).
+    bounds   the input is clipped to them first.
+    over     the input is the smoothed ratio (feature + 1) / (over + 1).
+    """
+
+    weight: float
+    feature: str
+    shape: str
+    scale: float
+    default: float | None = 0.0
+    bounds: tuple[float, float] | None = None
+    over: str | None = None
+
+    def _read(self, name: str) -> Column:
+        x = F.col(name).cast("double")
+        return x if self.default is None else F.coalesce(x, F.lit(self.default))
+
+    def column(self) -> Column:
+        x = self._read(self.feature)
+        if self.over:
+            x = (x + 1.0) / (self._read(self.over) + 1.0)
+        if self.bounds:
+            x = F.least(F.greatest(x, F.lit(self.bounds[0])), F.lit(self.bounds[1]))
+        return F.lit(self.weight) * SHAPES[self.shape](x, self.scale)
+
+
+def rule_score(terms: Sequence[Term]) -> Column:
+    """The clipped sum of a rule's terms; high means risk."""
+    return clip01(reduce(add, [t.column() for t in terms]))
+
+
+# R1-R3 as data (the numbers are the fixed values listed in config.py).
+DECLINE_A = (
+    Term(0.30, "inactivity_streak_14", "rise", 7.0),
+    Term(0.20, "active_ratio_14", "lack", 0.30),
+    Term(0.20, "clicks_last_14_days", "lack", 10.0),
+    Term(0.10, "days_since_last_active", "rise", 7.0),
+    Term(0.15, "clicks_last_7_days", "lack", 0.35, over="clicks_8_14"),
+    Term(0.03, "trend_click_14", "fall", 30.0),
+    Term(0.02, "ratio_click_14", "lack", 0.60, default=1.0),
+)
+DECLINE_B = (
+    Term(0.30, "ratio_click_14", "lack", 1.0, None, (0.0, 3.0)),
+    Term(0.25, "trend_click_14", "fall", 30.0, None, (-50.0, 50.0)),
+    Term(0.20, "clicks_last_7_days", "lack", 20.0, None, (0.0, 200.0)),
+    Term(0.15, "inactivity_streak_14", "rise", 14.0, None, (0.0, 14.0)),
+    Term(0.10, "days_since_last_active", "rise", 14.0, None, (0.0, 60.0)),
+)
+HEURISTIC = (
+    Term(0.45, "inactivity_streak_14", "share", 14.0, None),
+    Term(0.30, "clicks_last_14_days", "fade", 10.0, None),
+    Term(0.15, "clicks_last_7_days", "at_most", 1.0, None),
+    Term(0.10, "days_since_last_active", "grow", 5.0, None),
+)
+
+
+def decline_score_a() -> Column:
+    return rule_score(DECLINE_A)
+
+
+def decline_score_b() -> Column:
+    return rule_score(DECLINE_B)
+
+
+def heuristic_risk() -> Column:
+    return rule_score(HEURISTIC)
 
 
 def blend(p: Column, rule: Column, alpha: float) -> Column:

@@ -400,9 +400,9 @@ def _cl(x, lo, hi):
 
 
 DECLINE_B = "(" + clip01(
-    f"0.3::DOUBLE * {clip01('1.0::DOUBLE - ' + _cl('ratio_click_14', 0, 3) + ' / 1.0::DOUBLE')}"
+    f"0.3::DOUBLE * {clip01('(1.0::DOUBLE - ' + _cl('ratio_click_14', 0, 3) + ') / 1.0::DOUBLE')}"
     f" + 0.25::DOUBLE * {clip01('(-' + _cl('trend_click_14', -50, 50) + ') / 30.0::DOUBLE')}"
-    f" + 0.2::DOUBLE * {clip01('1.0::DOUBLE - ' + _cl('clicks_last_7_days', 0, 200) + ' / 20.0::DOUBLE')}"
+    f" + 0.2::DOUBLE * {clip01('(20.0::DOUBLE - ' + _cl('clicks_last_7_days', 0, 200) + ') / 20.0::DOUBLE')}"
     f" + 0.15::DOUBLE * {clip01(_cl('inactivity_streak_14', 0, 14) + ' / 14.0::DOUBLE')}"
     f" + 0.1::DOUBLE * {clip01(_cl('days_since_last_active', 0, 60) + ' / 14.0::DOUBLE')}") + ")"
 

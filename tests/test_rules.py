@@ -32,27 +32,19 @@ def clip(x, lo=0.0, hi=1.0):
     return max(lo, min(hi, x))
 
 
-def py_a(f, cfg=C.DECLINE_A):
+def py_a(f):
     recent = (f["clicks_last_7_days"] + 1) / (f["clicks_8_14"] + 1)
-    w = cfg["weights"]
-    return clip(w["streak"] * clip(f["inactivity_streak_14"] / cfg["norm_streak"])
-                + w["ar14"] * clip((cfg["bad_ar14"] - f["active_ratio_14"]) / cfg["bad_ar14"])
-                + w["click14"] * clip((cfg["bad_click14"] - f["clicks_last_14_days"]) / cfg["bad_click14"])
-                + w["dsl"] * clip(f["days_since_last_active"] / cfg["norm_dsl"])
-                + w["recent"] * clip((cfg["bad_recent_ratio"] - recent) / cfg["bad_recent_ratio"])
-                + w["trend"] * clip(-f["trend_click_14"] / cfg["norm_trend"])
-                + w["ratio14"] * clip((cfg["bad_ratio14"] - f["ratio_click_14"]) / cfg["bad_ratio14"]))
-
-
-def py_b(f, w=C.DECLINE_B_WEIGHTS):
-    ratio = clip(f["ratio_click_14"], 0, 3)
-    trend = clip(f["trend_click_14"], -50, 50)
-    last7 = clip(f["clicks_last_7_days"], 0, 200)
-    streak = clip(f["inactivity_streak_14"], 0, 14)
-    since = clip(f["days_since_last_active"], 0, 60)
-    return clip(w["drop_ratio"] * clip(1 - ratio) + w["drop_trend"] * clip(-trend / 30)
-                + w["low_last7"] * clip(1 - last7 / 20) + w["high_streak"] * clip(streak / 14)
-                + w["high_since"] * clip(since / 14))
+    parts = [(0.30, f["inactivity_streak_14"] / 7), (0.20, 1 - f["active_ratio_14"] / 0.30),
+             (0.20, 1 - f["clicks_last_14_days"] / 10), (0.10, f["days_since_last_active"] / 7),
+             (0.15, 1 - recent / 0.35), (0.03, -f["trend_click_14"] / 30), (0.02, 1 - f["ratio_click_14"] / 0.60)]
+    return clip(sum(w * clip(x) for w, x in parts))
+
+
+def py_b(f):
+    parts = [(0.30, 1 - clip(f["ratio_click_14"], 0, 3)), (0.25, -clip(f["trend_click_14"], -50, 50) / 30),
+             (0.20, 1 - clip(f["clicks_last_7_days"], 0, 200) / 20), (0.15, clip(f["inactivity_streak_14"], 0, 14) / 14),
+             (0.10, clip(f["days_since_last_active"], 0, 60) / 14)]
+    return clip(sum(w * clip(x) for w, x in parts))
 
 
 def py_h(f):
