@@ -21,8 +21,8 @@ def native_importance(spark: SparkSession, fm: FittedModel) -> DataFrame:
     elif hasattr(m, "coefficients"):
         vals = [abs(v) for v in m.coefficients.toArray().tolist()]
     else:
-        vals = [0.0] * len(fm.kept)
-    rows = [(fm.name, f, float(v)) for f, v in zip(fm.kept, vals)]
+        vals = [None] * len(fm.kept)  # no importance of its own
+    rows = [(fm.name, f, None if v is None else float(v)) for f, v in zip(fm.kept, vals)]
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
@@ -32,8 +32,8 @@ def permutation_importance(fm: FittedModel, df: DataFrame, label: str, id_cols:
 
     Permutation r maps the row at id-order position i to the row at position i in the
     order of hash(ids, seed + r); both positions are exact distributed ranks, and the
-    permuted values arrive through one equi-join on (repeat, position). All
-    (feature, repeat) copies are scored in a single exploded DataFrame.
+    permuted values arrive through one equi-join on (repeat, position): what is shuffled is
+    rows x repeats. The copies per feature are made after the join and never shuffled.
     """
     feats = list(fm.kept)
     ids = list(id_cols)
@@ -44,9 +44,8 @@ def permutation_importance(fm: FittedModel, df: DataFrame, label: str, id_cols:
         "_repeat", F.col("_rank").alias("_pos"),
         F.array(*[F.col(f).cast("double") for f in feats]).alias("_vals"))
     pairs = F.array(*[F.struct(F.lit(i + 1).alias("fi"), F.lit(f).alias("fn")) for i, f in enumerate(feats)])
-    ex = (base.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-          .withColumn("_f", F.explode(pairs)))
-    j = ex.join(src, ["_repeat", "_pos"])
+    ex = base.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    j = ex.join(src, ["_repeat", "_pos"]).withColumn("_f", F.explode(pairs))
     perm = F.element_at(F.col("_vals"), F.col("_f.fi"))
     j = j.select(*[c for c in df.columns if c not in feats],
                  *[F.when(F.col("_f.fn") == f, perm).otherwise(F.col(f).cast("double")).alias(f) for f in feats],
@@ -58,4 +57,4 @@ def permutation_importance(fm: FittedModel, df: DataFrame, label: str, id_cols:
     ref_f1 = ref.collect()[0]["f1"]
     return (f1s.groupBy("_feature").agg(F.avg("f1").alias("_f1"))
             .select(F.lit(fm.name).alias("model"), F.col("_feature").alias("feature"),
-                    F.round(F.lit(ref_f1) - F.col("_f1"), 6).alias("importance")))
+                    (F.lit(ref_f1) - F.col("_f1")).alias("importance")))

@@ -13,11 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1000
+from ..session import ensure_checkpoint_dir
 
-
-def _r(c: Column, nd: int = 6) -> Column:
-    return F.round(c, nd)
+BUCKETS = 128
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -38,38 +36,33 @@ def confusion(df: DataFrame, group: Sequence[str], score: str, label: str, thres
     recall = _div0(tp, tp + fn)
     return agg.select(
         *group, "tp", "fp", "tn", "fn",
-        _r(_div0(tp + tn, tp + fp + tn + fn)).alias("accuracy"),
-        _r(precision).alias("precision"), _r(recall).alias("recall"),
-        _r(_div0(2 * tp, 2 * tp + fp + fn)).alias("f1"),
-        _r(tn / (tn + fp + F.lit(1e-9))).alias("specificity"))
+        (_div0(tp + tn, tp + fp + tn + fn)).alias("accuracy"),
+        (precision).alias("precision"), (recall).alias("recall"),
+        (_div0(2 * tp, 2 * tp + fp + fn)).alias("f1"),
+        (tn / (tn + fp + F.lit(1e-9))).alias("specificity"))
 
 
 def class_report(df: DataFrame, group: Sequence[str], pred: str, label: str) -> DataFrame:
-    """Per-class precision/recall/F1/support plus macro and weighted averages."""
-    rows = []
+    """Per-class precision/recall/F1/support plus macro and weighted averages.
+
+    One aggregate counts both classes; a Generate turns each group's row into its four lines."""
+    aggs = []
+    for cls in (0, 1):
+        p, y = F.col(pred) == cls, F.col(label) == cls
+        aggs += [F.count_if(p & y).alias(f"_tp{cls}"), F.count_if(p).alias(f"_np{cls}"), F.count_if(y).alias(f"_n{cls}")]
+    one = df.groupBy(*group).agg(*aggs)
+    lines, names = [], ("precision", "recall", "f1")
     for cls in (0, 1):
-        p = F.col(pred) == cls
-        y = F.col(label) == cls
-        rows.append(df.groupBy(*group).agg(
-            F.lit(str(cls)).alias("class"), F.count_if(p & y).alias("tp"),
-            F.count_if(p).alias("npred"), F.count_if(y).alias("support")))
-    per = rows[0].unionByName(rows[1])
-    prec = _div0(F.col("tp"), F.col("npred"))
-    rec = _div0(F.col("tp"), F.col("support"))
-    per = per.select(*group, "class", prec.alias("precision"), rec.alias("recall"),
-                     _div0(2 * prec * rec, prec + rec).alias("f1"), F.col("support"))
-    macro = per.groupBy(*group).agg(
-        F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
-        F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.sum("support").alias("support"))
-    wsum = F.sum("support")
-    weighted = per.groupBy(*group).agg(
-        F.lit("weighted avg").alias("class"),
-        (F.sum(F.col("precision") * F.col("support")) / wsum).alias("precision"),
-        (F.sum(F.col("recall") * F.col("support")) / wsum).alias("recall"),
-        (F.sum(F.col("f1") * F.col("support")) / wsum).alias("f1"), wsum.alias("support"))
-    out = per.unionByName(macro).unionByName(weighted)
-    return out.select(*group, "class", *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")],
-                      F.col("support").cast("bigint").alias("support"))
+        tp, npred, n = (F.col(f"_{k}{cls}") for k in ("tp", "np", "n"))
+        prec, rec = _div0(tp, npred), _div0(tp, n)
+        lines.append(dict(zip(names, (prec, rec, _div0(2 * prec * rec, prec + rec)), strict=True), support=n))
+    n0, n1 = lines[0]["support"], lines[1]["support"]
+    macro = {k: (lines[0][k] + lines[1][k]) / 2 for k in names} | {"support": n0 + n1}
+    weighted = {k: (lines[0][k] * n0 + lines[1][k] * n1) / (n0 + n1) for k in names} | {"support": n0 + n1}
+    rows = [F.struct(F.lit(name).alias("class"), *[line[k].cast("double").alias(k) for k in names],
+                     line["support"].cast("bigint").alias("support"))
+            for name, line in (("0", lines[0]), ("1", lines[1]), ("macro avg", macro), ("weighted avg", weighted))]
+    return one.select(*group, F.inline(F.array(*rows)))
 
 
 def score_counts(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
@@ -78,14 +71,19 @@ def score_counts(df: DataFrame, group: Sequence[str], score: str, label: str) ->
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def cumulative_desc(counts: DataFrame, group: Sequence[str], score: str,
-                    buckets: int = BUCKETS) -> DataFrame:
+def cumulative_desc(counts: DataFrame, group: Sequence[str], score: str, buckets: int = BUCKETS) -> DataFrame:
     """Add cp/cn = positives/negatives with score >= this score, and P/N totals per group.
 
-    Bucket prefix sums run over <= buckets+1 rows per group; the running sums inside a
+    The counts are checkpointed: what made the scores runs once. Buckets are cut at approximate
+    quantiles of the distinct scores, so they stay even however the scores crowd together;
+    prefix sums run over <= buckets + 1 bucket totals per group, and the running sums inside a
     bucket are windows partitioned by (group, bucket), so no single task sees all scores.
     """
-    b = counts.withColumn("_b", F.floor(F.col(score) * buckets))
+    ensure_checkpoint_dir(counts.sparkSession)
+    counts = counts.checkpoint()
+    cuts = sorted(set(counts.approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda q: q <= F.col(score))) if cuts else F.lit(0)
+    b = counts.withColumn("_b", bucket)
     bt = b.groupBy(*group, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     above = Window.partitionBy(*group).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
@@ -114,33 +112,33 @@ def roc_auc(df: DataFrame, group: Sequence[str], score: str, label: str) -> Data
     """Exact AUC with ties counted one half."""
     c = cumulative_desc(score_counts(df, group, score, label), group, score)
     term = F.col("pos") * (F.col("N") - F.col("cn") + 0.5 * F.col("neg"))
-    return c.groupBy(*group).agg(_r(F.try_divide(F.sum(term), F.max("P") * F.max("N"))).alias("auc"))
+    return c.groupBy(*group).agg((F.try_divide(F.sum(term), F.max("P") * F.max("N"))).alias("auc"))
 
 
 def average_precision(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
     """Step-wise AP = sum over thresholds of (recall gain) x precision."""
     c = cumulative_desc(score_counts(df, group, score, label), group, score)
     term = F.try_divide(F.col("pos"), F.col("P")) * (F.col("cp") / (F.col("cp") + F.col("cn")))
-    return c.groupBy(*group).agg(_r(F.sum(term)).alias("average_precision"))
+    return c.groupBy(*group).agg((F.sum(term)).alias("average_precision"))
 
 
 def pr_curve(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
     """precision/recall at every distinct score threshold."""
     p = curve_points(df, group, score, label)
     return p.select(*group, "threshold", F.col("cp").alias("tp"), F.col("cn").alias("fp"),
-                    _r(F.col("precision")).alias("precision"), _r(F.col("recall")).alias("recall"))
+                    (F.col("precision")).alias("precision"), (F.col("recall")).alias("recall"))
 
 
 def roc_curve(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
     """TPR/FPR at every distinct score threshold."""
     p = curve_points(df, group, score, label)
-    return p.select(*group, "threshold", _r(_div0(F.col("cp"), F.col("P"))).alias("tpr"),
-                    _r(_div0(F.col("cn"), F.col("N"))).alias("fpr"))
+    return p.select(*group, "threshold", (_div0(F.col("cp"), F.col("P"))).alias("tpr"),
+                    (_div0(F.col("cn"), F.col("N"))).alias("fpr"))
 
 
 def label_profile(df: DataFrame, group: Sequence[str], label: str, key: str) -> DataFrame:
     """Rows, positive rate, distinct learners, class counts per group."""
     return df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_rows"), _r(F.avg(F.col(label).cast("double"))).alias("positive_rate"),
+        F.count(F.lit(1)).alias("n_rows"), (F.avg(F.col(label).cast("double"))).alias("positive_rate"),
         F.count_distinct(key).alias("n_learners"),
         F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) != 1).alias("n_neg"))

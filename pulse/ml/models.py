@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import ensure_checkpoint_dir
 from .prep import apply_yeo_johnson, fit_yeo_johnson
 from .smote import smote
 
@@ -84,12 +85,26 @@ class FittedModel:
         return out.select(*keep, vector_to_array(F.col("probability"))[1].alias("proba"))
 
 
-def fit_model(train: DataFrame, features: Sequence[str], label: str, name: str, id_cols: Sequence[str],
-              oversample: bool = False, smote_ratio: float = 1.0, seed: int = C.SEED) -> FittedModel:
+@dataclass
+class Prepared:
+    """Training rows after variance filter, oversampling and Yeo-Johnson: what every model of a
+    fold has in common."""
+
+    features: list
+    kept: list
+    yj: dict
+    rows: DataFrame
+    n: int
+
+
+def prepare(train: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[str],
+            oversample: bool = False, smote_ratio: float = 1.0, seed: int = C.SEED) -> Prepared:
+    """``rows`` is checkpointed: any number of models read it."""
+    ensure_checkpoint_dir(train.sparkSession)
     kept = kept_columns(train, features)
     t = train
     if oversample:
-        # materialise once: the oversampled rows feed three fitting passes and the fit itself
+        # materialise once: the oversampled rows feed the fitting passes and the transform
         t = smote(t, kept, label, id_cols, ratio=smote_ratio, seed=seed).checkpoint(eager=True)
     yj = fit_yeo_johnson(t, kept)
     syn = ["is_synthetic"] if "is_synthetic" in t.columns else []
@@ -97,9 +112,17 @@ def fit_model(train: DataFrame, features: Sequence[str], label: str, name: str,
     # Deterministic layout (hash partitions of the ids, sorted inside): bootstrap sampling and
     # any order-dependent step then give the same model on every run and every task retry.
     order = [*id_cols, *syn, F.xxhash64(*kept)]
-    n_parts = max(1, train.sparkSession.sparkContext.defaultParallelism)
+    n_parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = x.repartition(n_parts, *id_cols).sortWithinPartitions(*order)
-    x = VectorAssembler(inputCols=kept, outputCol="features", handleInvalid="keep").transform(x)
-    n = yj[kept[0]]["n"] if kept else x.count()
-    clf = make_classifier(name, len(kept), n, seed=seed)
-    return FittedModel(name, list(features), kept, yj, clf.fit(x))
+    x = VectorAssembler(inputCols=kept, outputCol="features", handleInvalid="keep").transform(x).checkpoint()
+    return Prepared(list(features), kept, yj, x, yj[kept[0]]["n"] if kept else x.count())
+
+
+def fit_prepared(p: Prepared, name: str, seed: int = C.SEED) -> FittedModel:
+    clf = make_classifier(name, len(p.kept), p.n, seed=seed)
+    return FittedModel(name, p.features, p.kept, p.yj, clf.fit(p.rows))
+
+
+def fit_model(train: DataFrame, features: Sequence[str], label: str, name: str, id_cols: Sequence[str],
+              oversample: bool = False, smote_ratio: float = 1.0, seed: int = C.SEED) -> FittedModel:
+    return fit_prepared(prepare(train, features, label, id_cols, oversample, smote_ratio, seed), name, seed)

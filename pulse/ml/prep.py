@@ -31,68 +31,74 @@ def yj_expr(x: Column, lam) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature index, value, count): the only pass over the training rows. Features are
-    counts and ratios, so distinct values are far fewer than rows."""
-    arr = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])
-    return (df.select(F.explode(arr).alias("_v")).select("_v.f", "_v.x").where(F.col("x").isNotNull())
-            .groupBy("f", "x").agg(F.count(F.lit(1)).alias("n")))
-
-
-def _loglik(vc: DataFrame, cols: Sequence[str], grids: dict) -> dict:
-    """Log-likelihood of every (feature, lambda) from one aggregate over the value counts
-    exploded by the candidate lambdas of their feature."""
-    grid_map = F.create_map(*[v for i, c in enumerate(cols)
-                              for v in (F.lit(i), F.array(*[F.lit(float(l)) for l in grids[c]]))])
-    g = vc.withColumn("lam", F.explode(F.element_at(grid_map, F.col("f"))))
+def _by_lambda(df: DataFrame, cols: Sequence[str], grids: dict) -> DataFrame:
+    """(f, lam) -> n, mean, std of the transformed column, and the Jacobian's sum. Every row is
+    transformed where it lies; what is shuffled is one partial result per task, feature and
+    lambda. Variances are the aggregate's own (centred), not differences of sums."""
+    values = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])
+    grid = F.create_map(*[v for i, c in enumerate(cols) for v in (F.lit(i), F.array(*[F.lit(float(x)) for x in grids[c]]))])
+    rows = (df.select(F.explode(values).alias("v")).select("v.f", "v.x").where(F.col("x").isNotNull())
+            .withColumn("lam", F.explode(F.element_at(grid, F.col("f")))))
     y = yj_expr(F.col("x"), F.col("lam"))
-    n = F.col("n").cast("double")
-    agg = g.groupBy("f", "lam").agg(
-        F.sum(n).alias("N"), F.sum(n * y).alias("S1"), F.sum(n * y * y).alias("S2"),
-        F.sum(n * F.signum(F.col("x")) * F.log1p(F.abs(F.col("x")))).alias("SL")).collect()
+    return rows.groupBy("f", "lam").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"),
+        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("jac"))
+
+
+def _likelihoods(df: DataFrame, cols: Sequence[str], grids: dict) -> dict:
+    """{column: {lambda: log-likelihood}} for the grids; not finite counts as minus infinity."""
     out = {c: {} for c in cols}
-    for r in agg:
-        c = cols[r["f"]]
-        N, S1, S2, SL = r["N"], r["S1"], r["S2"], r["SL"]
-        var = (S2 - S1 * S1 / N) / N if N else 0.0
-        out[c][round(r["lam"], 10)] = -np.inf if var <= 1e-300 else -N / 2.0 * np.log(var) + (r["lam"] - 1.0) * SL
+    for r in _by_lambda(df, cols, grids).collect():  # columns x grid rows
+        std = r["std"] or 0.0
+        ll = -np.inf if not 1e-150 < std < 1e150 else -r["n"] * np.log(std) + (r["lam"] - 1.0) * r["jac"]
+        out[cols[r["f"]]][r["lam"]] = ll if np.isfinite(ll) else -np.inf
     return out
 
 
-def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], lo: float = -3.0, hi: float = 3.0,
-                    step: float = 0.25, refinements: int = 2) -> dict:
-    """MLE lambda per column: coarse grid, then two x10 refinements around the best point.
+# Steps of the lambda lattices: multiples of each are searched around the best of the one before.
+YJ_STEPS = (0.5, 0.025, 0.0025)
+
+
+def _lattice(lo: float, hi: float, step: float) -> list[float]:
+    return [float(np.round(i * step, 10)) for i in range(int(np.round(lo / step)), int(np.round(hi / step)) + 1)]
 
-    Works on (feature, value, count) rows, checkpointed once. Returns
-    {col: {"lambda", "mean", "std", "n"}} with mean/std (population, 0 -> 1) of the
+
+def fit_yeo_johnson(df: DataFrame, cols: Sequence[str]) -> dict:
+    """MLE lambda per column, without bounds: multiples of 0.5 are tried over a range that is
+    widened (by twice as much each time) until the best one lies inside it, then multiples of
+    0.025 and 0.0025 between its neighbours. ``df`` is read once per step: give a written or
+    checkpointed frame.
+
+    Returns {col: {"lambda", "mean", "std", "n"}} with mean/std (population, 0 -> 1) of the
     transformed column for the standardisation that follows the transform.
     """
     cols = list(cols)
-    vc = value_counts(df, cols).checkpoint(eager=True)
-    grids = {c: list(np.round(np.arange(lo, hi + step / 2, step), 10)) for c in cols}
-    best = {}
-    for r in range(refinements + 1):
-        ll = _loglik(vc, cols, grids)
-        for c in cols:
-            cand = ll[c]
-            best[c] = float(max(cand, key=lambda l: (cand[l], -abs(l - 1.0)))) if cand else 1.0
-        if r < refinements:
-            step /= 10.0
-            grids = {c: list(np.round(np.arange(best[c] - 10 * step, best[c] + 10.5 * step, step), 10))
-                     for c in cols}
-    lam_map = F.create_map(*[v for i, c in enumerate(cols) for v in (F.lit(i), F.lit(best[c]))])
-    y = yj_expr(F.col("x"), F.element_at(lam_map, F.col("f")))
-    n = F.col("n").cast("double")
-    rows = vc.groupBy("f").agg(F.sum(n).alias("N"), F.sum(n * y).alias("S1"), F.sum(n * y * y).alias("S2")).collect()
-    out = {}
-    for r in rows:
-        c = cols[r["f"]]
-        mean = r["S1"] / r["N"]
-        var = max(r["S2"] / r["N"] - mean * mean, 0.0)
-        sd = float(np.sqrt(var))
-        out[c] = {"lambda": best[c], "mean": float(mean), "std": sd if sd > 1e-12 else 1.0, "n": int(r["N"])}
-    for c in cols:
-        out.setdefault(c, {"lambda": 1.0, "mean": 0.0, "std": 1.0, "n": 0})
+
+    def top(c: str) -> float:
+        cand = seen[c]
+        return max(cand, key=lambda x: (cand[x], -abs(x - 1.0))) if cand else 1.0
+
+    seen: dict = {c: {} for c in cols}
+    grids, reach = {c: _lattice(-3, 3, YJ_STEPS[0]) for c in cols}, 6.0
+    while grids:
+        for c, found in _likelihoods(df, list(grids), grids).items():
+            seen[c].update(found)
+        at_edge = {}
+        for c in grids:
+            lo, hi, best = min(seen[c], default=0.0), max(seen[c], default=0.0), top(c)
+            if seen[c] and seen[c][best] > -np.inf and best in (lo, hi):
+                step = YJ_STEPS[0]
+                at_edge[c] = _lattice(lo - reach, lo - step, step) if best == lo else _lattice(hi + step, hi + reach, step)
+        grids, reach = at_edge, reach * 2
+    for wide, step in zip(YJ_STEPS, YJ_STEPS[1:]):
+        best = {c: top(c) for c in cols}
+        fine = {c: _lattice(best[c] - wide, best[c] + wide, step) for c in cols}
+        seen = _likelihoods(df, cols, fine)
+    best = {c: float(top(c)) for c in cols}
+    out = {c: {"lambda": best[c], "mean": 0.0, "std": 1.0, "n": 0} for c in cols}
+    for r in _by_lambda(df, cols, {c: [best[c]] for c in cols}).collect():
+        sd = float(r["std"] or 0.0)
+        out[cols[r["f"]]].update(mean=float(r["mean"]), std=sd if sd > 1e-12 else 1.0, n=int(r["n"]))
     return out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .metrics import _div0, _r, curve_points, score_counts
+from .metrics import _div0, curve_points
 
 
 def grid(spec: tuple = C.GRID_COARSE) -> list[float]:
@@ -29,10 +29,14 @@ def grid(spec: tuple = C.GRID_COARSE) -> list[float]:
 def f1_grid(df: DataFrame, group: Sequence[str], score: str, label: str, values: Sequence[float],
             init_best: float = 0.0, default: float = C.DEFAULT_THRESHOLD) -> DataFrame:
     """Best F1 over a fixed grid of thresholds; keep ``default`` unless F1 > init_best."""
-    counts = score_counts(df, group, score, label)
+    # A score counts for every grid value not above it: rows collapse to one cell per highest
+    # such value first, and only the cells (at most grid + 1 per group) meet the grid.
     arr = F.array(*[F.lit(v) for v in values])
-    g = counts.select(*group, score, "pos", "neg", F.explode(arr).alias("t"))
-    above = F.col(score) >= F.col("t")
+    cell = F.size(F.filter(arr, lambda t: t <= F.col(score)))
+    cells = df.groupBy(*group, cell.alias("cell")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    g = cells.select(*group, "cell", "pos", "neg", F.posexplode(arr).alias("i", "t"))
+    above = F.col("cell") > F.col("i")
     agg = g.groupBy(*group, "t").agg(
         F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
@@ -42,8 +46,8 @@ def f1_grid(df: DataFrame, group: Sequence[str], score: str, label: str, values:
     best = scored.groupBy(*group).agg(
         F.max_by(F.struct("t", "f1"), F.struct(F.col("f1"), -F.col("t"))).alias("b"))
     keep = F.col("b.f1") > init_best
-    return best.select(*group, _r(F.when(keep, F.col("b.t")).otherwise(F.lit(default))).alias("best_threshold"),
-                       _r(F.when(keep, F.col("b.f1")).otherwise(F.lit(init_best))).alias("best_f1"))
+    return best.select(*group, (F.when(keep, F.col("b.t")).otherwise(F.lit(default))).alias("best_threshold"),
+                       (F.when(keep, F.col("b.f1")).otherwise(F.lit(init_best))).alias("best_f1"))
 
 
 def f1_curve(df: DataFrame, group: Sequence[str], score: str, label: str, eps: float = 1e-12) -> DataFrame:
@@ -52,7 +56,7 @@ def f1_curve(df: DataFrame, group: Sequence[str], score: str, label: str, eps: f
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + eps)
     best = p.select(*group, "threshold", f1.alias("f1")).groupBy(*group).agg(
         F.max_by(F.struct("threshold", "f1"), F.struct(F.col("f1"), -F.col("threshold"))).alias("b"))
-    return best.select(*group, F.col("b.threshold").alias("threshold"), _r(F.col("b.f1")).alias("f1"))
+    return best.select(*group, F.col("b.threshold").alias("threshold"), (F.col("b.f1")).alias("f1"))
 
 
 def recall_target(df: DataFrame, group: Sequence[str], score: str, label: str,
@@ -80,4 +84,4 @@ def precision_floor(df: DataFrame, group: Sequence[str], score: str, label: str,
         F.max_by(F.when(ok, F.struct(F.col("threshold").alias("t"), F.col("recall").alias("r"))),
                  F.when(ok, F.struct(F.col("recall"), -F.col("threshold")))).alias("b"))
     return best.select(*group, F.coalesce(F.col("b.t"), F.lit(default)).alias("threshold"),
-                       _r(F.coalesce(F.col("b.r"), F.lit(-1.0))).alias("recall"))
+                       (F.coalesce(F.col("b.r"), F.lit(-1.0))).alias("recall"))

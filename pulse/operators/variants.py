@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from . import cohort
 from .assessments import assessment_snapshot
 from .early import snapshot_day7
-from .snapshot import V4, V5, V6, V7, V8, V9, V11, SnapshotSpec, build_panel
+from .snapshot import V4, V5, V6, V7, V8, V9, V11, SnapshotSpec, build_panel, feature_columns
 from .. import config as C
 from ..sources.demo import LearnerTables
 
@@ -112,35 +113,13 @@ def snapshot_v11(histories: DataFrame, window_days: int = C.WINDOW_DAYS,
     def ndays(a):
         return F.size(F.array_distinct(F.transform(a, lambda x: x["date"])))
 
-    total = clicks(cum).cast("double")
-    days = ndays(cum).cast("double")
-    last = F.array_max(F.transform(cum, lambda x: x["date"]))
-    c14 = clicks(win).cast("double")
-    d14 = ndays(win).cast("double")
-    last14 = F.array_max(F.transform(win, lambda x: x["date"]))
-    h1 = clicks(F.filter(win, lambda x: x["date"] <= fe)).cast("double")
-    h2 = clicks(F.filter(win, lambda x: x["date"] >= ss)).cast("double")
-    last7 = clicks(F.filter(cum, lambda x: x["date"] > c - 7)).cast("double")
-    den = F.greatest(c, F.lit(1))
-    cols = {
-        "days_elapsed_since_reg": c,
-        "clicks_per_day_total": total / den,
-        "active_ratio_total": days / den,
-        "avg_clicks_per_active_day_total": F.when(days > 0, total / days).otherwise(F.lit(0.0)),
-        "days_since_last_active": F.when(days > 0, c - last).otherwise(c),
-        "clicks_last_14_days": c14,
-        "active_days_14": d14,
-        "clicks_per_day_14": c14 / W,
-        "active_ratio_14": d14 / W,
-        "clicks_last_7_days": last7,
-        "clicks_0_7": h1,
-        "clicks_8_14": h2,
-        "trend_click_14": h2 - h1,
-        "ratio_click_14": (h2 + 1) / (h1 + 1),
-        "inactivity_streak_14": F.when(d14 > 0, c - last14).otherwise(F.lit(W)),
-    }
-    return histories.select(F.col("student_id"), c.cast("bigint").alias("cutoff"),
-                            *[v.cast("double").alias(k) for k, v in cols.items()])
+    spec = replace(V11, window_days=W, half_window=H, window_denominator=W)
+    rows = histories.select("student_id", c.alias("cutoff"), *[v.alias(k) for k, v in {
+        "_total": clicks(cum), "_days": ndays(cum), "_last": F.array_max(F.transform(cum, lambda x: x["date"])),
+        "_c14": clicks(win), "_d14": ndays(win), "_last14": F.array_max(F.transform(win, lambda x: x["date"])),
+        "_h1": clicks(F.filter(win, lambda x: x["date"] <= fe)), "_h2": clicks(F.filter(win, lambda x: x["date"] >= ss)),
+        "_last7": clicks(F.filter(cum, lambda x: x["date"] > c - spec.recent_days))}.items()])
+    return rows.select("student_id", F.col("cutoff").cast("bigint").alias("cutoff"), *feature_columns(spec, F.col("cutoff")))
 
 
 def snapshot_v11_panel(histories: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ are the driver's views; the five learner tables are CTEs of the demo mapping.
 from __future__ import annotations
 
 from . import config as C
+from .operators.snapshot import FEATURES_15
 
 MOD = C.MODULE
 PRES = "('" + "','".join(C.PRESENTATIONS) + "')"
@@ -412,12 +413,6 @@ HEURISTIC = "(" + clip01(
     " + 0.15::DOUBLE * (CASE WHEN clicks_last_7_days <= 1 THEN 1.0 ELSE 0.0 END)"
     " + 0.1::DOUBLE * tanh(days_since_last_active / 5.0::DOUBLE)") + ")"
 
-FEATURES_15 = ("days_elapsed_since_reg", "clicks_per_day_total", "active_ratio_total",
-               "avg_clicks_per_active_day_total", "days_since_last_active", "clicks_last_14_days",
-               "active_days_14", "clicks_per_day_14", "active_ratio_14", "clicks_last_7_days",
-               "clicks_0_7", "clicks_8_14", "trend_click_14", "ratio_click_14", "inactivity_streak_14")
-
-
 def clean_sql(mode: str, cols=FEATURES_15) -> str:
     """Select list of the X9 cleaner over a relation that has the feature columns."""
     out = []

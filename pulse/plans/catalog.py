@@ -12,8 +12,9 @@ models, calibration, importance, bundle scoring); streaming upkeep; hold-out eva
 
 from __future__ import annotations
 
-import os
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -37,7 +38,7 @@ from ..sources import history as H
 from ..sources import validate as VAL
 from ..sources.demo import learner_tables
 from ..sources.history import learner_histories
-from ..streaming.daily_rollup import run_daily_rollup
+from ..streaming.daily_rollup import read_daily_rollup, run_daily_rollup
 from . import daily as D
 from . import train as TR
 from .holdout import holdout_v2
@@ -50,6 +51,11 @@ def T(spark, sf):
     return learner_tables(spark, sf)
 
 
+def R6(df, *cols):
+    """Round to six places for the comparison; the operators return unrounded values."""
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
 # ---------------------------------------------------------------- scans / sources
 
 register("scan_tables", W() + """
@@ -241,10 +247,10 @@ def _early_sql(spec, **kw):
                        cats=spec.categorical, fill_min_std=spec.fill_min_std, **kw)
 
 
-register("snapshot_v1", _early_sql(early.V1))(lambda spark, sf: early.early_snapshot(early.V1, T(spark, sf), MOD, PRES1))
-register("snapshot_v2", _early_sql(early.V2))(lambda spark, sf: early.early_snapshot(early.V2, T(spark, sf), MOD, PRES1))
+register("snapshot_v1", _early_sql(early.V1))(lambda spark, sf: R6(early.early_snapshot(early.V1, T(spark, sf), MOD, PRES1), "score_std"))
+register("snapshot_v2", _early_sql(early.V2))(lambda spark, sf: R6(early.early_snapshot(early.V2, T(spark, sf), MOD, PRES1), "score_std"))
 register("snapshot_v3", _early_sql(early.V3))(
-    lambda spark, sf: early.early_snapshot(early.V3, T(spark, sf), MOD, PRES1))
+    lambda spark, sf: R6(early.early_snapshot(early.V3, T(spark, sf), MOD, PRES1), "score_std"))
 
 _V10_SQL = """,
 v7 AS (SELECT * FROM vle_mod WHERE dsr >= 0 AND dsr <= 7),
@@ -716,7 +722,7 @@ register("label_profile", _on_v8("""SELECT cutoff, CAST(count(*) AS BIGINT) AS n
   round(avg(CAST(y_short AS DOUBLE)), 6) AS positive_rate, CAST(count(DISTINCT id_student) AS BIGINT) AS n_learners,
   CAST(count(*) FILTER (WHERE y_short = 1) AS BIGINT) AS n_pos, CAST(count(*) FILTER (WHERE y_short <> 1) AS BIGINT) AS n_neg
   FROM p GROUP BY cutoff"""))(
-    lambda spark, sf: M.label_profile(_v8(spark, sf), ["cutoff"], "y_short", "id_student"))
+    lambda spark, sf: R6(M.label_profile(_v8(spark, sf), ["cutoff"], "y_short", "id_student"), "positive_rate"))
 
 register("panel_union", "SELECT * FROM (" + _wrap(O.reg_panel("silent", 7), """SELECT id_student, cutoff,
   y_short AS label, 'silent_7' AS variant FROM p""") + ") UNION ALL SELECT * FROM (" + _wrap(O.v8_panel(), """SELECT
@@ -739,7 +745,7 @@ FROM (SELECT cutoff, count(*) FILTER (WHERE score >= 0.5 AND y_short = 1) AS tp,
              count(*) FILTER (WHERE score >= 0.5 AND y_short <> 1) AS fp,
              count(*) FILTER (WHERE score < 0.5 AND y_short <> 1) AS tn,
              count(*) FILTER (WHERE score < 0.5 AND y_short = 1) AS fn FROM s GROUP BY cutoff)""", _SCORED_SQL))(
-    lambda spark, sf: M.confusion(_scored(spark, sf), ["cutoff"], "score", "y_short", 0.5))
+    lambda spark, sf: R6(M.confusion(_scored(spark, sf), ["cutoff"], "score", "y_short", 0.5), "accuracy", "precision", "recall", "f1", "specificity"))
 
 register("class_report", _on_v8("""SELECT cutoff, class, round(precision, 6) AS precision, round(recall, 6) AS recall,
   round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM (
@@ -763,8 +769,8 @@ per AS (SELECT cutoff, CAST(cls AS VARCHAR) AS class,
                     / ((CASE WHEN npred = 0 THEN 0.0 ELSE tp::DOUBLE / npred END)
                       + (CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support END)) END AS f1,
           support FROM cnt)"""))(
-    lambda spark, sf: M.class_report(_scored(spark, sf).withColumn("pred", rules.decision(F.col("score"), 0.5)),
-                                     ["cutoff"], "pred", "y_short"))
+    lambda spark, sf: R6(M.class_report(_scored(spark, sf).withColumn("pred", rules.decision(F.col("score"), 0.5)),
+                                     ["cutoff"], "pred", "y_short"), "precision", "recall", "f1"))
 
 _CUM = """
 g AS (SELECT cutoff, score, count(*) FILTER (WHERE y_short = 1) AS pos, count(*) FILTER (WHERE y_short <> 1) AS neg
@@ -778,20 +784,20 @@ pts AS (SELECT cutoff, score AS threshold, cp, cn, "P", "N",
 
 register("roc_auc", _on_v8("""SELECT cutoff, round(CASE WHEN max("P") * max("N") = 0 THEN NULL
   ELSE sum(pos * ("N" - cn + 0.5 * neg)) / (max("P") * max("N")) END, 6) AS auc
-  FROM c GROUP BY cutoff""", _SCORED_SQL, _CUM))(lambda spark, sf: M.roc_auc(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+  FROM c GROUP BY cutoff""", _SCORED_SQL, _CUM))(lambda spark, sf: R6(M.roc_auc(_scored(spark, sf), ["cutoff"], "score", "y_short"), "auc"))
 
 register("average_precision", _on_v8("""SELECT cutoff, round(sum(CASE WHEN "P" = 0 THEN NULL
   ELSE pos::DOUBLE / "P" END * (cp::DOUBLE / (cp + cn))), 6)
   AS average_precision FROM c GROUP BY cutoff""", _SCORED_SQL, _CUM))(
-    lambda spark, sf: M.average_precision(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+    lambda spark, sf: R6(M.average_precision(_scored(spark, sf), ["cutoff"], "score", "y_short"), "average_precision"))
 
 register("pr_curve", _on_v8("""SELECT cutoff, threshold, CAST(cp AS BIGINT) AS tp, CAST(cn AS BIGINT) AS fp,
   round(precision, 6) AS precision, round(recall, 6) AS recall FROM pts""", _SCORED_SQL, _CUM))(
-    lambda spark, sf: M.pr_curve(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+    lambda spark, sf: R6(M.pr_curve(_scored(spark, sf), ["cutoff"], "score", "y_short"), "precision", "recall"))
 
 register("roc_curve", _on_v8("""SELECT cutoff, threshold, round(CASE WHEN "P" = 0 THEN 0.0 ELSE cp::DOUBLE / "P" END, 6) AS tpr,
   round(CASE WHEN "N" = 0 THEN 0.0 ELSE cn::DOUBLE / "N" END, 6) AS fpr FROM pts""", _SCORED_SQL, _CUM))(
-    lambda spark, sf: M.roc_curve(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+    lambda spark, sf: R6(M.roc_curve(_scored(spark, sf), ["cutoff"], "score", "y_short"), "tpr", "fpr"))
 
 
 def _grid_sql(values, init_best, default):
@@ -814,17 +820,17 @@ _GF = TH.grid(C.GRID_FINE)
 
 register("threshold_f1_grid", _on_v8("""SELECT cutoff, round(CASE WHEN bf > 0 THEN bt ELSE 0.5 END, 6) AS best_threshold,
   round(CASE WHEN bf > 0 THEN bf ELSE 0.0 END, 6) AS best_f1 FROM best""", _SCORED_SQL, _grid_sql(_GC, 0.0, 0.5)))(
-    lambda spark, sf: TH.f1_grid(_scored(spark, sf), ["cutoff"], "score", "y_short", _GC, 0.0))
+    lambda spark, sf: R6(TH.f1_grid(_scored(spark, sf), ["cutoff"], "score", "y_short", _GC, 0.0), "best_threshold", "best_f1"))
 
 register("threshold_f1_grid_fine", _on_v8("""SELECT cutoff, round(bt, 6) AS best_threshold, round(bf, 6) AS best_f1
   FROM best""", _SCORED_SQL, _grid_sql(_GF, -1.0, 0.5)))(
-    lambda spark, sf: TH.f1_grid(_scored(spark, sf), ["cutoff"], "score", "y_short", _GF, -1.0))
+    lambda spark, sf: R6(TH.f1_grid(_scored(spark, sf), ["cutoff"], "score", "y_short", _GF, -1.0), "best_threshold", "best_f1"))
 
 register("threshold_f1_curve", _on_v8("""SELECT cutoff, threshold, round(f1, 6) AS f1 FROM (
   SELECT cutoff, threshold, 2 * precision * recall / (precision + recall + 1e-12) AS f1,
          row_number() OVER (PARTITION BY cutoff ORDER BY 2 * precision * recall / (precision + recall + 1e-12) DESC,
                             threshold ASC) AS rn FROM pts) WHERE rn = 1""", _SCORED_SQL, _CUM))(
-    lambda spark, sf: TH.f1_curve(_scored(spark, sf), ["cutoff"], "score", "y_short"))
+    lambda spark, sf: R6(TH.f1_curve(_scored(spark, sf), ["cutoff"], "score", "y_short"), "f1"))
 
 register("threshold_median", _on_v8("""SELECT round(median(threshold), 6) AS median_threshold,
   CAST(count(*) AS BIGINT) AS n_groups FROM (
@@ -852,7 +858,7 @@ FROM (SELECT DISTINCT cutoff FROM pts) o
 LEFT JOIN (SELECT cutoff, threshold, recall FROM (SELECT cutoff, threshold, recall, row_number() OVER (
              PARTITION BY cutoff ORDER BY recall DESC, threshold ASC) AS rn FROM pts WHERE precision >= 0.3)
            WHERE rn = 1) ok ON ok.cutoff = o.cutoff""", _SCORED_SQL, _CUM))(
-    lambda spark, sf: TH.precision_floor(_scored(spark, sf), ["cutoff"], "score", "y_short", C.PRECISION_FLOOR_MEDIUM))
+    lambda spark, sf: R6(TH.precision_floor(_scored(spark, sf), ["cutoff"], "score", "y_short", C.PRECISION_FLOOR_MEDIUM), "recall"))
 
 
 # ---------------------------------------------------------------- sources, validation, sinks
@@ -997,7 +1003,7 @@ register("config_latest", _on_v8("""SELECT arg_max(threshold, cutoff) AS thresho
 def _config_latest(spark, sf):
     """A versioned threshold table (one version per cutoff) appended to the config
     folder; the latest version wins via max_by."""
-    cfg = TH.precision_floor(_scored(spark, sf), ["cutoff"], "score", "y_short", C.PRECISION_FLOOR_MEDIUM)
+    cfg = R6(TH.precision_floor(_scored(spark, sf), ["cutoff"], "score", "y_short", C.PRECISION_FLOOR_MEDIUM), "recall")
     path = scratch_path(spark, "config")
     cfg.select(F.col("cutoff").alias("version"), "threshold").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).agg(F.max_by("threshold", "version").alias("threshold"),
@@ -1075,8 +1081,7 @@ def _onehot(spark, sf):
 
 
 def _yj_sql() -> str:
-    """M8 in SQL: (feature, value, count) rows, log-likelihood over the same three grids
-    (step 0.25 on [-3, 3], then 21 points of step 0.025 and 0.0025 around the best)."""
+    """M8 in SQL: the same lambda lattices, the first over [-50, 50] at once."""
     longs = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x FROM q" for c in O.FEATURES_15)
 
     def yj(lam):
@@ -1089,35 +1094,29 @@ def _yj_sql() -> str:
         return f"""
 {name}_g AS ({grid_sql}),
 {name}_ll AS (
-  SELECT vc.feature, g.lam, sum(vc.n) AS "N", sum(vc.n * ({yj('g.lam')})) AS s1,
-         sum(vc.n * ({yj('g.lam')}) * ({yj('g.lam')})) AS s2,
-         sum(vc.n * sign(vc.x) * ln(1 + abs(vc.x))) AS sl
-  FROM vc JOIN {name}_g g ON g.feature = vc.feature GROUP BY 1, 2),
+  SELECT r.feature, g.lam, count(*) AS n, stddev_pop({yj('g.lam')}) AS sd, sum(sign(x) * ln(1 + abs(x))) AS jac
+  FROM rws r JOIN {name}_g g ON g.feature = r.feature GROUP BY 1, 2),
 {name}_b AS (
   SELECT feature, lam FROM (
     SELECT feature, lam, row_number() OVER (PARTITION BY feature ORDER BY
-      CASE WHEN (s2 - s1 * s1 / "N") / "N" <= 1e-300 THEN -1e308
-           ELSE -"N" / 2.0 * ln((s2 - s1 * s1 / "N") / "N") + (lam - 1) * sl END DESC, abs(lam - 1) ASC) AS rn
+      CASE WHEN sd > 1e-150 AND sd < 1e150 THEN -n * ln(sd) + (lam - 1) * jac ELSE -1e308 END DESC, abs(lam - 1) ASC) AS rn
     FROM {name}_ll) WHERE rn = 1)"""
-    g1 = ("SELECT k.feature, CAST(round(-3.0 + i * 0.25, 10) AS DOUBLE) AS lam FROM kept k, "
-          "(SELECT unnest(range(0, 25)) AS i) r")
-    g2 = ("SELECT b.feature, CAST(round((b.lam - 10 * 0.025) + i * 0.025, 10) AS DOUBLE) AS lam FROM s1_b b, "
-          "(SELECT unnest(range(0, 21)) AS i) r")
-    g3 = ("SELECT b.feature, CAST(round((b.lam - 10 * 0.0025) + i * 0.0025, 10) AS DOUBLE) AS lam FROM s2_b b, "
-          "(SELECT unnest(range(0, 21)) AS i) r")
+    g1 = "SELECT k.feature, CAST(i * 0.5 AS DOUBLE) AS lam FROM kept k, (SELECT unnest(range(-100, 101)) AS i) r"
+
+    def around(best, step, half):
+        return (f"SELECT b.feature, CAST(round((round(b.lam / {step}) + i) * {step}, 10) AS DOUBLE) AS lam FROM {best} b, "
+                f"(SELECT unnest(range(-{half}, {half + 1})) AS i) r")
     ctes = f"""q AS (SELECT {O.clean_sql('all_nonneg')} FROM p),
 long AS ({longs}),
 kept AS (SELECT feature FROM long GROUP BY feature HAVING var_pop(x) > 0),
-vc AS (SELECT feature, x, count(*) AS n FROM long WHERE feature IN (SELECT feature FROM kept) GROUP BY 1, 2),
+rws AS (SELECT feature, x FROM long WHERE feature IN (SELECT feature FROM kept)),
 {stage('s1', g1).strip()},
-{stage('s2', g2).strip()},
-{stage('s3', g3).strip()},
-fin AS (SELECT vc.feature, b.lam, sum(vc.n) AS "N", sum(vc.n * ({yj('b.lam')})) AS s1,
-               sum(vc.n * ({yj('b.lam')}) * ({yj('b.lam')})) AS s2
-        FROM vc JOIN s3_b b ON b.feature = vc.feature GROUP BY 1, 2)"""
-    return _on_v8("""SELECT feature, round(lam, 6) AS lambda, round(s1 / "N", 6) AS mean,
-  round(CASE WHEN sqrt(greatest(s2 / "N" - (s1 / "N") * (s1 / "N"), 0)) > 1e-12
-             THEN sqrt(greatest(s2 / "N" - (s1 / "N") * (s1 / "N"), 0)) ELSE 1.0 END, 6) AS std FROM fin""", ctes)
+{stage('s2', around('s1_b', '0.025', 20)).strip()},
+{stage('s3', around('s2_b', '0.0025', 10)).strip()},
+fin AS (SELECT r.feature, b.lam, avg({yj('b.lam')}) AS mean, stddev_pop({yj('b.lam')}) AS sd
+        FROM rws r JOIN s3_b b ON b.feature = r.feature GROUP BY 1, 2)"""
+    return _on_v8("""SELECT feature, round(lam, 6) AS lambda, round(mean, 6) AS mean,
+  round(CASE WHEN sd > 1e-12 THEN sd ELSE 1.0 END, 6) AS std FROM fin""", ctes)
 
 
 register("yeo_johnson", _yj_sql())(lambda spark, sf: _yj(spark, sf))
@@ -1177,7 +1176,7 @@ register("best_model")(lambda spark, sf: _best(spark, sf))
 
 def _best(spark, sf):
     board = TR.leaderboard(TR.evaluate(_panel(spark, sf), models=("rf", "gbt", "logreg_l1"), k=3)[0])
-    return board.agg(F.max_by("model", "mean_f1").alias("best_model"), F.max("mean_f1").alias("mean_f1"))
+    return board.select(F.col("model").alias("best_model"), "mean_f1").limit(1)  # the board's order breaks ties by name
 
 
 register("platt_calibration")(lambda spark, sf: _platt(spark, sf))
@@ -1240,18 +1239,22 @@ register("feature_importance")(lambda spark, sf: _importance(spark, sf))
 
 
 def _importance(spark, sf):
+    """Every model's own importance where it has one, permutation importance (all rows) for
+    the forest and for the perceptron, which has none of its own (NULL)."""
     p = _panel(spark, sf)
-    rf = fit_model(p, FEATURES_15, "y_short", "rf", TR.ID)
-    lr = fit_model(p, FEATURES_15, "y_short", "logreg_l1", TR.ID)
-    a = IMP.native_importance(spark, rf).select("model", "feature", F.col("importance").alias("native"))
-    b = IMP.native_importance(spark, lr).select("model", "feature", F.col("importance").alias("native"))
-    sample = FO.hash_sample(p, ["id_student", "cutoff"], 5000)
-    perm = IMP.permutation_importance(rf, sample, "y_short", ["id_student", "cutoff"], repeats=8)
-    return a.unionByName(b).join(perm.withColumnRenamed("importance", "permutation"), ["model", "feature"], "full_outer") \
-        .fillna(0.0, subset=["native", "permutation"])
+    models = {n: fit_model(p, FEATURES_15, "y_short", n, TR.ID) for n in ("rf", "logreg_l1", "gbt", "mlp")}
+    own = [IMP.native_importance(spark, m).withColumnRenamed("importance", "native") for m in models.values()]
+    perm = [IMP.permutation_importance(models[n], p, "y_short", ["id_student", "cutoff"], repeats=8) for n in ("rf", "mlp")]
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return union(own).join(union(perm).withColumnRenamed("importance", "permutation"), ["model", "feature"], "left")
 
 
-register("threshold_config")(lambda spark, sf: _thr_config(spark, sf))
+_CUM_ALL = _CUM.replace("SELECT cutoff, score, count(*)", "SELECT 1 AS cutoff, score, count(*)")
+register("threshold_config", _on_v8("""SELECT
+  coalesce((SELECT threshold FROM pts WHERE recall >= 0.8 ORDER BY precision DESC, threshold ASC LIMIT 1),
+           (SELECT threshold FROM pts ORDER BY 2 * precision * recall / (precision + recall + 1e-9) DESC, threshold ASC LIMIT 1)) AS threshold,
+  CASE WHEN EXISTS (SELECT 1 FROM pts WHERE recall >= 0.8) THEN 'recall_target' ELSE 'max_f1' END AS rule""",
+                                    _SCORED_SQL, _CUM_ALL))(lambda spark, sf: _thr_config(spark, sf))
 
 
 def _thr_config(spark, sf):
@@ -1385,7 +1388,7 @@ def _relative(spark, sf):
     that reaches the driver)."""
     s = _scored(spark, sf)
     best = TH.f1_grid(s.withColumn("_g", F.lit(1)), ["_g"], "score", "y_short", _GC, 0.0).collect()[0]
-    t = float(best["best_threshold"])
+    t = round(float(best["best_threshold"]), 6)
     return s.select("id_student", "cutoff", "score", rules.relative_tier(F.col("score"), F.lit(t)).alias("risk_level"))
 
 
@@ -1402,15 +1405,17 @@ LEFT JOIN aw USING (id_student, cutoff)) USING (id_student, cutoff)""")(
 # ---------------------------------------------------------------- streaming upkeep of the daily table
 
 
-register("daily_rollup_stream")(lambda spark, sf: _rollup(spark, sf))
+register("daily_rollup_stream", W() + """
+SELECT id_student, date AS day, CAST(sum(sum_click) AS BIGINT) AS clicks FROM student_vle GROUP BY 1, 2""")(
+    lambda spark, sf: _rollup(spark, sf))
 
 
 def _rollup(spark, sf):
-    """Structured Streaming (file source, 1-day windows, watermark, append file sink) over
-    the events table; returns the closed learner-days written so far."""
+    """Structured Streaming (file source, totals per micro-batch) over the events table, and the
+    learner-day table read from what it wrote."""
     base = scratch_path(spark, "rollup")
-    run_daily_rollup(spark, sf, os.path.join(base, "out"), os.path.join(base, "ck"), file_glob="events.parquet")
-    return spark.read.parquet(os.path.join(base, "out")).select("id_student", "day", "clicks")
+    run_daily_rollup(spark, sf, f"{base}/out", f"{base}/ck", file_glob="events*.parquet")
+    return read_daily_rollup(spark, f"{base}/out")
 
 
 register("holdout_eval")(lambda spark, sf: holdout_v2(spark, sf))
@@ -1422,8 +1427,8 @@ def _top_features(spark, sf):
     """Union of each model's top-10 features (native importance), de-duplicated."""
     imp = _importance(spark, sf)
     from pyspark.sql import Window
-    w = Window.partitionBy("model").orderBy(F.col("native").desc(), F.col("feature"))
-    top = imp.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 10)
+    w = Window.partitionBy("model").orderBy(F.coalesce("native", "permutation").desc(), F.col("feature"))
+    top = imp.where("native IS NOT NULL OR permutation IS NOT NULL").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 10)
     return top.select("feature").distinct()
 
 

@@ -2,7 +2,8 @@
 
 Stratified 70/30 split by learner hash -> numeric columns standardised with train-fold
 population statistics -> categorical columns one-hot encoded (levels learnt on the train
-fold, unseen levels all-zero) -> class-weighted classifiers -> metrics at 0.5, AUC, step-wise
+fold, unseen levels all-zero) -> class-weighted logistic model and forest, unweighted boosting and
+perceptron -> metrics at 0.5, AUC, step-wise
 AP and the F1-grid threshold on the test fold.
 """
 
@@ -22,6 +23,7 @@ from ..ml import thresholds as TH
 from ..ml.folds import stratified_split
 from ..ml.models import make_classifier
 from ..operators import early
+from ..session import ensure_checkpoint_dir
 from ..sources.demo import learner_tables
 
 MODELS = ("logreg_l2", "rf", "gbt", "mlp")
@@ -29,6 +31,7 @@ MODELS = ("logreg_l2", "rf", "gbt", "mlp")
 
 def holdout_eval(data: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str = "dropout",
                  key: str = "id_student", models: Sequence[str] = MODELS) -> DataFrame:
+    ensure_checkpoint_dir(data.sparkSession)
     split = stratified_split(data, label, [key]).checkpoint(eager=True)
     train = split.where(F.col("is_train"))
     test = split.where(~F.col("is_train"))
@@ -46,14 +49,14 @@ def holdout_eval(data: DataFrame, numeric: Sequence[str], categorical: Sequence[
     asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     tr = asm.transform(enc.transform(tr)).withColumn("label", F.col(label).cast("double"))
     tr = P.class_weight_col(tr, label, weights)
-    n_parts = max(1, data.sparkSession.sparkContext.defaultParallelism)
+    n_parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tr = tr.repartition(n_parts, key).sortWithinPartitions(key)  # same fit on every run
     te = asm.transform(enc.transform(te))
     n_feat = len(tr.select("features").first()["features"])
     n = tr.count()
     out = None
     for name in models:
-        clf = make_classifier(name, n_feat, n, weight_col=None if name == "mlp" else "weight")
+        clf = make_classifier(name, n_feat, n, weight_col=None if name in ("mlp", "gbt") else "weight")
         pred = clf.fit(tr).transform(te).select(
             key, label, vector_to_array(F.col("probability"))[1].alias("proba")).withColumn("model", F.lit(name))
         out = pred if out is None else out.unionByName(pred)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import (GBTClassificationModel, LogisticRegressionModel,
                                        MultilayerPerceptronClassificationModel, RandomForestClassificationModel)
@@ -25,11 +26,11 @@ from ..ml import metrics as M
 from ..ml import thresholds as TH
 from ..ml.calibrate import apply_platt, fit_platt
 from ..ml.folds import group_folds
-from ..ml.models import FittedModel, fit_model
+from ..ml.models import FittedModel, fit_model, fit_prepared, prepare
 from ..operators import variants
 from ..operators.snapshot import FEATURES_15
 from ..session import ensure_checkpoint_dir
-from ..sources.demo import learner_tables
+from ..sources.demo import LearnerTables, learner_tables
 
 ID = ["id_student", "cutoff"]
 EVAL_MODELS = ("logreg_l1", "rf", "gbt", "mlp")
@@ -38,11 +39,17 @@ _MODEL_CLASSES = {"logreg_l1": LogisticRegressionModel, "logreg_l2": LogisticReg
                   "mlp": MultilayerPerceptronClassificationModel}
 
 
-def training_panel(spark: SparkSession, sf_dir: str, cutoffs: Sequence[int] | None = None,
-                   k: int = 5) -> DataFrame:
-    """V8 panel, cleaned as in training (non-negative), with a group fold per learner."""
-    t = learner_tables(spark, sf_dir)
-    panel = variants.snapshot_v8(t, cutoffs=cutoffs)
+def tables(spark: SparkSession, source: str | LearnerTables) -> LearnerTables:
+    """The learner tables as given, or those of a folder with the driver tables."""
+    return source if isinstance(source, LearnerTables) else learner_tables(spark, source)
+
+
+def training_panel(spark: SparkSession, source: str | LearnerTables, cutoffs: Sequence[int] | None = None,
+                   k: int = 5, **scope) -> DataFrame:
+    """V8 panel, cleaned as in training (non-negative), with a group fold per learner. ``scope``:
+    module and presentations of the cohort."""
+    t = tables(spark, source)
+    panel = variants.snapshot_v8(t, cutoffs=cutoffs, **scope)
     x = clean_features(panel, FEATURES_15, "all_nonneg", keep=["id_student", "cutoff", "y_short"])
     x = group_folds(x, "id_student", k)
     ensure_checkpoint_dir(spark)
@@ -53,25 +60,27 @@ def evaluate(panel: DataFrame, features: Sequence[str] = FEATURES_15, label: str
              models: Sequence[str] = EVAL_MODELS, k: int = 5, oversample: bool = True, parallelism: int = 4):
     """Per (model, fold) metrics and the out-of-fold prediction table.
 
-    The (model, fold) fits are independent distributed jobs; up to ``parallelism`` of them are
-    submitted concurrently from driver threads (the counterpart of CrossValidator's
-    parallelism), and their predictions are unioned in a fixed order.
+    What depends on the fold only (variance filter, oversampling, Yeo-Johnson) is prepared once
+    per fold and written; all models of the fold read it. Preparations and fits are independent
+    distributed jobs, up to ``parallelism`` of them submitted concurrently from driver threads
+    (the counterpart of CrossValidator's parallelism); the predictions are unioned in a fixed
+    order and checkpointed before the metrics read them twice.
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    def fold(f):
+        return prepare(panel.where(F.col("fold") != f), features, label, ID, oversample=oversample)
+
     def one(task):
         name, f = task
-        tr = panel.where(F.col("fold") != f)
-        te = panel.where(F.col("fold") == f)
-        fm = fit_model(tr, features, label, name, ID, oversample=oversample)
-        return fm.transform(te, keep=[*ID, label, "fold"]).withColumn("model", F.lit(name))
+        fm = fit_prepared(prepared[f], name)
+        return (fm.transform(panel.where(F.col("fold") == f), keep=[*ID, label, "fold"])
+                .withColumn("model", F.lit(name)))
 
-    tasks = [(name, f) for name in models for f in range(k)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        preds = list(pool.map(one, tasks))
-    oof = preds[0]
-    for pred in preds[1:]:
-        oof = oof.unionByName(pred)
+        prepared = list(pool.map(fold, range(k)))
+        preds = list(pool.map(one, [(name, f) for name in models for f in range(k)]))
+    oof = reduce(DataFrame.unionByName, preds).checkpoint(eager=True)
     conf = M.confusion(oof, ["model", "fold"], "proba", label, C.DEFAULT_THRESHOLD)
     auc = M.roc_auc(oof, ["model", "fold"], "proba", label)
     per_fold = conf.join(auc, ["model", "fold"]).select(
@@ -81,15 +90,15 @@ def evaluate(panel: DataFrame, features: Sequence[str] = FEATURES_15, label: str
 
 def leaderboard(per_fold: DataFrame) -> DataFrame:
     """Mean metrics per model; best first (mean F1, then name)."""
-    return (per_fold.groupBy("model").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in
-                                             ("accuracy", "f1", "sensitivity", "specificity", "auc")])
+    return (per_fold.groupBy("model").agg(*[F.avg(c).alias(f"mean_{c}") for c in
+                                             ("accuracy", "f1", "sensitivity", "specificity", "auc")],
+                                           F.median("f1").alias("median_f1"))
             .orderBy(F.col("mean_f1").desc(), "model"))
 
 
 def best_model(board: DataFrame) -> str:
     """Argmax of mean F1 (ties by name) — one row reaches the driver."""
-    row = board.agg(F.max_by("model", F.struct(F.col("mean_f1"), F.lit(0))).alias("m")).collect()[0]
-    return row["m"]
+    return board.orderBy(F.col("mean_f1").desc(), "model").first()["model"]
 
 
 def save_bundle(spark: SparkSession, fm: FittedModel, path: str, extra: dict) -> None:
@@ -108,13 +117,12 @@ def load_bundle(spark: SparkSession, path: str) -> FittedModel:
                        {k: v for k, v in cfg.items() if k not in ("name", "features", "kept", "yj")})
 
 
-def train_job(spark: SparkSession, sf_dir: str, out_path: str, models: Sequence[str] = EVAL_MODELS,
-              k: int = 5) -> dict:
+def train_job(spark: SparkSession, source: str | LearnerTables, out_path: str, models: Sequence[str] = EVAL_MODELS,
+              k: int = 5, **scope) -> dict:
     """Panel -> group-fold evaluation -> best model -> Platt on OOF -> thresholds on the
     blended OOF risk -> refit without oversampling -> save bundle."""
-    panel = training_panel(spark, sf_dir, k=k)
+    panel = training_panel(spark, source, k=k, **scope)
     per_fold, oof = evaluate(panel, models=models, k=k)
-    oof = oof.checkpoint(eager=True)
     board = leaderboard(per_fold)
     name = best_model(board)
     best_oof = oof.where(F.col("model") == name)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..operators import cohort
+from ..operators.snapshot import FEATURES_15
 from .demo import DAY_ZERO, LearnerTables
 
 ACTIVITY = T.StructType([T.StructField("date", T.IntegerType()), T.StructField("sum_click", T.IntegerType())])
@@ -31,11 +32,7 @@ RAW_HISTORY = T.StructType([
 
 FEATURE_ROW_15 = T.StructType(
     [T.StructField("student_id", T.StringType())]
-    + [T.StructField(c, T.DoubleType()) for c in (
-        "days_elapsed_since_reg", "clicks_per_day_total", "active_ratio_total",
-        "avg_clicks_per_active_day_total", "days_since_last_active", "clicks_last_14_days",
-        "active_days_14", "clicks_per_day_14", "active_ratio_14", "clicks_last_7_days",
-        "clicks_0_7", "clicks_8_14", "trend_click_14", "ratio_click_14", "inactivity_streak_14")])
+    + [T.StructField(c, T.DoubleType()) for c in FEATURES_15])
 
 # The demo's "today" for scoring: course day 14 (2024-01-22).
 SCORING_DAY = 14

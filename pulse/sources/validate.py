@@ -28,7 +28,7 @@ def _first_error(checks: Sequence[tuple[Column, str]]) -> Column:
 
 
 def validate_feature_rows(df: DataFrame, features: Sequence[str], strict: bool = True) -> DataFrame:
-    """type/NULL/range checks per row. With ``strict=False`` missing columns are added
+    """type/NULL/range checks per row; a NULL required feature is an error (strict). With ``strict=False`` missing columns are added
     as 0 (Q24: the request model defaults absent features); with strict they are errors."""
     missing = missing_columns(df, features)
     x = df
@@ -39,7 +39,9 @@ def validate_feature_rows(df: DataFrame, features: Sequence[str], strict: bool =
         checks.append((F.lit(True), "missing features: " + ",".join(missing)))
     for c in features:
         v = F.col(c).try_cast("double")
-        checks.append((F.col(c).isNotNull() & v.isNull(), f"{c} is not numeric"))
+        if strict:
+            checks.append((F.col(c).isNull(), f"{c} is missing"))
+        checks.append((F.col(c).isNotNull() & (v.isNull() | F.isnan(v)), f"{c} is not numeric"))
     for c in RATIO_COLS:
         if c in features:
             v = F.col(c).try_cast("double")
@@ -50,9 +52,14 @@ def validate_feature_rows(df: DataFrame, features: Sequence[str], strict: bool =
 
 
 def batch_with_errors(histories: DataFrame) -> DataFrame:
-    """Raw-history rows that cannot be scored carry an error and no features; the
-    others go on. Here: a missing ``days_since_registration``."""
-    err = F.when(F.col("days_since_registration").isNull(), F.lit("days_since_registration is missing"))
+    """Raw-history rows that cannot be scored carry an error and no features; the others go
+    on. Required: id, cutoff, the activity list, and day and clicks of every activity."""
+    err = _first_error([
+        (F.col("student_id").isNull(), "student_id is missing"),
+        (F.col("days_since_registration").isNull(), "days_since_registration is missing"),
+        (F.col("vle_activities").isNull(), "vle_activities is missing"),
+        (F.exists("vle_activities", lambda a: a.isNull() | a["date"].isNull() | a["sum_click"].isNull()),
+         "an activity has no date or clicks")])
     return histories.select("student_id", F.col("days_since_registration").cast("bigint").alias("cutoff"),
                             "vle_activities", err.alias("error"))
 

@@ -139,3 +139,31 @@ def test_smote_balances_and_interpolates(spark):
         assert 20.0 <= r["a"] <= 29.0 and 5.0 <= r["b"] <= 9.5
     again = smote(df, ["a", "b"], "y", ["id"], k=3).where("is_synthetic = 1")
     assert sorted(tuple(x) for x in again.collect()) == sorted(tuple(x) for x in syn)
+
+
+def test_yeo_johnson_finds_an_optimum_far_outside_the_first_range(spark):
+    rng = np.random.RandomState(3)
+    for x in (np.append(rng.beta(0.6, 8.0, 600) * 0.4, [0.9]), 1.0 + 0.02 * rng.gamma(1.0, 1.0, 500), 1.0 - 0.01 * rng.gamma(1.0, 1.0, 400)):
+        df = spark.createDataFrame([(float(v),) for v in x], "x double").checkpoint()
+        got = fit_yeo_johnson(df, ["x"])["x"]
+
+        def ll(lam):
+            y = np.log1p(x) if abs(lam) < 1e-12 else ((x + 1) ** lam - 1) / lam
+            return -len(x) / 2 * np.log(np.var(y)) + (lam - 1) * np.sum(np.log1p(x))
+        coarse = np.arange(-400, 400, 0.5)
+        best = coarse[np.argmax([ll(v) for v in coarse])]
+        fine = np.arange(best - 0.5, best + 0.5, 0.0005)
+        best = fine[np.argmax([ll(v) for v in fine])]
+        assert abs(best) > 3 and abs(got["lambda"] - best) <= 0.003
+
+
+def test_curves_when_all_scores_crowd_together(spark):
+    from pulse.ml import metrics as M
+    rng = np.random.RandomState(5)
+    s, y = 0.5 + rng.rand(2000) / 1000, rng.rand(2000) < 0.4
+    df = spark.createDataFrame([(1, float(a), int(b)) for a, b in zip(s, y)], "g int, s double, y int")
+    pos, neg = np.sort(s[y]), np.sort(s[~y])
+    want = np.mean([(neg < p).mean() + 0.5 * (neg == p).mean() for p in pos])
+    assert abs(M.roc_auc(df, ["g"], "s", "y").first()["auc"] - want) < 1e-12
+    c = M.cumulative_desc(M.score_counts(df, ["g"], "s", "y"), ["g"], "s", buckets=16)
+    assert c.count() == len(set(s))
