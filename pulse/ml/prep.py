@@ -40,8 +40,12 @@ def _by_lambda(df: DataFrame, cols: Sequence[str], grids: dict) -> DataFrame:
     rows = (df.select(F.explode(values).alias("v")).select("v.f", "v.x").where(F.col("x").isNotNull())
             .withColumn("lam", F.explode(F.element_at(grid, F.col("f")))))
     y = yj_expr(F.col("x"), F.col("lam"))
+    # Far from 1 all transformed values crowd at -1/lambda, and their spread is lost to rounding.
+    # Without negative values it is that of (x + 1)^lambda over |lambda|, which keeps it.
+    spread = F.when(F.abs("lam") < 1e-12, F.log1p("x")).otherwise(F.pow(F.col("x") + 1.0, F.col("lam")) / F.col("lam"))
     return rows.groupBy("f", "lam").agg(
         F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"),
+        F.max(F.abs(y)).alias("largest"), F.min("x").alias("least"), F.stddev_pop(spread).alias("spread"),
         F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("jac"))
 
 
@@ -49,7 +53,9 @@ def _likelihoods(df: DataFrame, cols: Sequence[str], grids: dict) -> dict:
     """{column: {lambda: log-likelihood}} for the grids; not finite counts as minus infinity."""
     out = {c: {} for c in cols}
     for r in _by_lambda(df, cols, grids).collect():  # columns x grid rows
-        std = r["std"] or 0.0
+        std = (r["spread"] if r["least"] >= 0 else r["std"]) or 0.0
+        if r["least"] < 0 and std < 1e-10 * r["largest"]:
+            std = 0.0  # rounding, no spread
         ll = -np.inf if not 1e-150 < std < 1e150 else -r["n"] * np.log(std) + (r["lam"] - 1.0) * r["jac"]
         out[cols[r["f"]]][r["lam"]] = ll if np.isfinite(ll) else -np.inf
     return out

@@ -1081,7 +1081,8 @@ def _onehot(spark, sf):
 
 
 def _yj_sql() -> str:
-    """M8 in SQL: the same lambda lattices, the first over [-50, 50] at once."""
+    """M8 in SQL (the cleaned features are not negative): the same lambda lattices, the first over
+    [-50, 50] at once."""
     longs = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x FROM q" for c in O.FEATURES_15)
 
     def yj(lam):
@@ -1094,7 +1095,8 @@ def _yj_sql() -> str:
         return f"""
 {name}_g AS ({grid_sql}),
 {name}_ll AS (
-  SELECT r.feature, g.lam, count(*) AS n, stddev_pop({yj('g.lam')}) AS sd, sum(sign(x) * ln(1 + abs(x))) AS jac
+  SELECT r.feature, g.lam, count(*) AS n,
+         stddev_pop(CASE WHEN abs(g.lam) < 1e-12 THEN ln(1 + x) ELSE pow(x + 1, g.lam) / g.lam END) AS sd, sum(sign(x) * ln(1 + abs(x))) AS jac
   FROM rws r JOIN {name}_g g ON g.feature = r.feature GROUP BY 1, 2),
 {name}_b AS (
   SELECT feature, lam FROM (
