@@ -1,7 +1,7 @@
 """Deterministic splits (M1-M3) and a distributed exact rank.
 
-Randomness comes from ``xxhash64(key, seed)``, never from ``rand()``, so assignments do not
-depend on partitioning and survive task retries. Exact per-stratum ranks are assembled from
+Randomness comes from an md5 prefix of (key, seed), never from ``rand()``, so assignments do
+not depend on partitioning, survive task retries, and any SQL engine can repeat them. Exact per-stratum ranks are assembled from
 bucket counts (<= 1024 per stratum, prefix-summed) plus row numbers inside each
 (stratum, bucket) window partition; no window ever spans a whole stratum.
 """
@@ -15,20 +15,23 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
-RANK_BUCKETS_BITS = 10  # 1024 buckets from the top bits of the 64-bit hash
+HASH_BITS = 60          # 15 hexadecimal digits of the md5
+RANK_BUCKETS_BITS = 10  # 1024 buckets from the top bits of the hash
 
 
 def hash_key(cols: Sequence[str], seed: int = C.SEED) -> Column:
-    return F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
+    """A hash of the columns as text, in [0, 2^60)."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def exact_rank(df: DataFrame, strata: Sequence[str], order: Column, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Add ``_rank`` (0-based) of each row within its stratum, ordered by ``order`` (a long).
+    """Add ``_rank`` (0-based) of each row within its stratum, ordered by ``order`` (a hash_key).
 
     Bucket = top bits of ``order`` (monotone in it), so
     rank = rows in lower buckets of the stratum + row_number inside the bucket - 1.
     """
-    shift = float(2 ** (64 - RANK_BUCKETS_BITS))
+    shift = float(2 ** (HASH_BITS - RANK_BUCKETS_BITS))
     b = df.withColumn("_ord", order).withColumn("_rb", F.floor(F.col("_ord") / F.lit(shift)))
     counts = b.groupBy(*strata, "_rb").agg(F.count(F.lit(1)).alias("_n"))
     below = Window.partitionBy(*strata).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)

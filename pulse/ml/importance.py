@@ -39,7 +39,7 @@ def permutation_importance(fm: FittedModel, df: DataFrame, label: str, id_cols:
     ids = list(id_cols)
     base = exact_rank(df, [], hash_key(ids, seed), ids).withColumnRenamed("_rank", "_pos")
     reps = df.select(*ids, *feats).withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = F.xxhash64(*[F.col(c) for c in ids], F.col("_repeat"), F.lit(seed + 1000))
+    order = hash_key([*ids, "_repeat"], seed + 1000)
     src = exact_rank(reps, ["_repeat"], order, ids).select(
         "_repeat", F.col("_rank").alias("_pos"),
         F.array(*[F.col(f).cast("double") for f in feats]).alias("_vals"))

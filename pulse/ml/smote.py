@@ -1,12 +1,13 @@
 """Minority oversampling (M9), distributed.
 
-Neighbour candidates come from a random 1-d projection: rows are sorted by the projection
-inside (block, projection-bucket, salt) window partitions (the salt splits buckets larger
-than ROWS_PER_BUCKET rows) and the 2k rows around each row are the candidates; the k nearest
-of them by exact Euclidean distance are its neighbours. Work per row is O(k) and no pairs are
-enumerated, at the price of approximate neighbours (rows near a
-bucket edge see fewer candidates). Synthetic rows interpolate between a base row and one
-of its neighbours with a hash-derived u in [0, 1), so results do not depend on partitioning.
+Neighbours: rows are put in order along several independent random projections. A row's
+candidates are the ``WIDTH`` rows before and behind it in each of these orders (blocks of the
+order overlap by as much, so a block's edge makes no difference), and in one further round the
+neighbours of its neighbours; exact Euclidean distance picks the k nearest among all of them.
+Work per row is O(k^2 + projections x WIDTH); no pairs are enumerated, and nothing depends on the
+size of the table or on its partitioning. A hash-sized nudge spreads equal projections, so many
+equal rows do not end up in one block. Synthetic rows interpolate between a base row and one of
+its neighbours with a hash-derived u in [0, 1).
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import ensure_checkpoint_dir
 from .folds import exact_rank, hash_key
 
-ROWS_PER_BUCKET = 4096
+PROJECTIONS, WIDTH, BLOCK = 8, 12, 1024
 
 
 def _u(cols, j, seed):
@@ -29,67 +31,113 @@ def _u(cols, j, seed):
     return F.pmod(h, F.lit(1 << 24)).cast("double") / float(1 << 24)
 
 
+def _distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def _nearest(cands: Column, k: int) -> Column:
+    """The k nearest of an array of (d, id, x), each id once."""
+    return F.slice(F.array_sort(F.array_distinct(cands)), 1, k)
+
+
+def _positions(rows: DataFrame, proj: str) -> DataFrame:
+    """``rows`` with ``_pos``, the exact place in the order of a projection column: quantile
+    buckets of the order, prefix sums of their sizes, row numbers inside."""
+    n = rows.count()
+    parts = max(1, -(-n // (4 * BLOCK)))
+    cuts = sorted(set(rows.approxQuantile(proj, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda q: q <= F.col(proj))) if cuts else F.lit(0)
+    b = rows.withColumn("_b", bucket)
+    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_b").orderBy(proj, "_id")
+    return (b.withColumn("_rn", F.row_number().over(inside)).join(starts, "_b")
+            .withColumn("_pos", F.col("_start") + F.col("_rn") - 1).drop("_b", "_rn", "_start"))
+
+
+def neighbours(rows: DataFrame, k: int, dim: int, seed: int = C.SEED) -> DataFrame:
+    """(_id, _nb): the k nearest other rows of each of ``rows`` (_id, _x array<double>) as an
+    array of (d, id, x), nearest first."""
+    rng = np.random.RandomState(seed)
+    x = F.transform("_x", lambda v: F.coalesce(v, F.lit(0.0)))
+    nudge = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 20)).cast("double") * 1e-15
+    names = [f"_p{t}" for t in range(PROJECTIONS)]
+    cols = []
+    for name in names:
+        w = F.array(*[F.lit(float(v)) for v in rng.normal(size=dim)])
+        p = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        cols.append((p + (F.abs(p) + 1.0) * nudge).alias(name))
+    rows = rows.select("_id", x.alias("_x"), *cols).checkpoint()
+    lists = []
+    for name in names:
+        placed = _positions(rows.select("_id", "_x", name), name)
+        own = F.floor(F.col("_pos") / BLOCK)
+        at = F.col("_pos") % BLOCK
+        # A row stands in its own block and, near an edge, in the one beyond it.
+        blocks = F.filter(F.array(own, F.when(at < WIDTH, own - 1), F.when(at >= BLOCK - WIDTH, own + 1)), lambda v: v.isNotNull())
+        near = Window.partitionBy("_block").orderBy("_pos").rowsBetween(-WIDTH, WIDTH)
+        seen = (placed.withColumn("_own", own).withColumn("_block", F.explode(blocks))
+                .withColumn("_c", F.collect_list(F.struct(F.col("_id").alias("id"), F.col("_x").alias("x"))).over(near))
+                .where(F.col("_block") == F.col("_own")))
+        lists.append(seen.select("_id", "_x", _nearest(F.transform(F.filter("_c", lambda c: c["id"] != F.col("_id")), lambda c: F.struct(
+            _distance(c["x"], F.col("_x")).alias("d"), c["id"].alias("id"), c["x"].alias("x"))), k).alias("_nb")))
+    merged = lists[0]
+    for part in lists[1:]:
+        merged = merged.unionByName(part)
+    first = merged.groupBy("_id").agg(F.first("_x").alias("_x"), F.flatten(F.collect_list("_nb")).alias("_nb"))
+    first = first.select("_id", "_x", _nearest(F.col("_nb"), k).alias("_nb")).checkpoint()
+    # One round over the neighbours' neighbours.
+    asked = first.select("_id", "_x", F.explode("_nb.id").alias("_of"))
+    other = first.select(F.col("_id").alias("_of"), F.col("_nb").alias("_more"))
+    more = asked.join(other, "_of").select("_id", F.transform(F.filter("_more", lambda c: c["id"] != F.col("_id")), lambda c: F.struct(
+        _distance(c["x"], F.col("_x")).alias("d"), c["id"].alias("id"), c["x"].alias("x"))).alias("_nb"))
+    both = first.select("_id", "_nb").unionByName(more).groupBy("_id").agg(F.flatten(F.collect_list("_nb")).alias("_nb"))
+    return both.select("_id", _nearest(F.col("_nb"), k).alias("_nb"))
+
+
 def smote(df: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[str], k: int = 5,
-          ratio: float = 1.0, seed: int = C.SEED, block: Sequence[str] = ()) -> DataFrame:
+          ratio: float = 1.0, seed: int = C.SEED, trace: bool = False) -> DataFrame:
     """Add synthetic minority rows until minority/majority == ratio.
 
     Output keeps the input columns (synthetic rows copy the id columns of their base row) and
-    adds ``is_synthetic`` (0/1).
+    adds ``is_synthetic`` (0/1); with ``trace`` also ``neighbour`` (the id columns of the
+    neighbour as a struct) and ``u``, both NULL for given rows. ``id_cols`` identify a row.
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}  # one row per class
+    extra = {"is_synthetic": F.lit(0)}
+    id_type = df.select(F.struct(*id_cols).alias("s")).schema["s"].dataType
+    if trace:
+        extra |= {"neighbour": F.lit(None).cast(id_type), "u": F.lit(None).cast("double")}
+    base = df.withColumns(extra)
     if len(counts) < 2:
-        return df.withColumn("is_synthetic", F.lit(0))
+        return base
     minority = min(counts, key=lambda c: (counts[c], c))
     majority = max(counts, key=lambda c: (counts[c], -c))
     n_min, n_maj = counts[minority], counts[majority]
     n_new = int(ratio * n_maj) - n_min
-    base = df.withColumn("is_synthetic", F.lit(0))
     if n_new <= 0:
         return base
+    ensure_checkpoint_dir(df.sparkSession)
     feats = list(features)
-    rng = np.random.RandomState(seed)
-    r = rng.normal(size=len(feats))
-    proj = sum((F.lit(float(w)) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for w, c in zip(r, feats)),
-               F.lit(0.0))
-    mino = df.where(F.col(label) == minority).withColumn("_p", proj)
-    st = mino.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).collect()[0]
-    lo, hi = float(st["lo"]), float(st["hi"])
-    nb = max(1, n_min // ROWS_PER_BUCKET)
-    width = (hi - lo) / nb if hi > lo else 1.0
-    mino = mino.withColumn("_pb", F.least(F.floor((F.col("_p") - lo) / width), F.lit(nb - 1)))
-    # Hot buckets (e.g. many identical inactive rows) are split by a hash salt so that no
-    # window partition holds more than about ROWS_PER_BUCKET rows.
-    sizes = mino.groupBy(*block, "_pb").agg(F.count(F.lit(1)).alias("_bn"))
-    mino = mino.join(sizes, [*block, "_pb"]).withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed + 3)),
-                        F.ceil(F.col("_bn") / F.lit(ROWS_PER_BUCKET))))
-    w = Window.partitionBy(*block, "_pb", "_salt").orderBy("_p", *id_cols)
-    vec = F.array(*[F.col(c).cast("double") for c in feats])
-    mino = mino.withColumn("_x", vec)
-    cands = [F.lag("_x", i).over(w) for i in range(1, k + 1)] + [F.lead("_x", i).over(w) for i in range(1, k + 1)]
-    mino = mino.withColumn("_cand", F.filter(F.array(*cands), lambda a: a.isNotNull()))
-
-    def dist(a):
-        return F.aggregate(F.zip_with(a, F.col("_x"), lambda p, q: (p - q) * (p - q)), F.lit(0.0),
-                           lambda acc, v: acc + v)
-
-    scored = F.transform(F.col("_cand"), lambda a: F.struct(dist(a).alias("d"), a.alias("v")))
-    mino = mino.withColumn("_nb", F.transform(F.slice(F.array_sort(scored), 1, k), lambda s: s["v"]))
+    mino = df.where(F.col(label) == minority).withColumn("_id", F.struct(*id_cols)).withColumn(
+        "_x", F.array(*[F.col(c).cast("double") for c in feats]))
+    near = neighbours(mino.select("_id", "_x"), k, len(feats), seed)
+    mino = mino.join(near, "_id", "left")
     ranked = exact_rank(mino, [], hash_key(list(id_cols), seed), list(id_cols))
-    per, extra = divmod(n_new, n_min)
-    m = F.lit(per) + F.when(F.col("_rank") < extra, F.lit(1)).otherwise(F.lit(0))
+    per, left = divmod(n_new, n_min)
+    m = F.lit(per) + F.when(F.col("_rank") < left, F.lit(1)).otherwise(F.lit(0))
     gen = ranked.where(m > 0).withColumn("_j", F.explode(F.sequence(F.lit(1), m)))
-    nsz = F.size("_nb")
-    pick = F.when(nsz > 0, F.element_at(F.col("_nb"),
-                                       (F.pmod(F.xxhash64(*[F.col(c) for c in id_cols], F.col("_j"),
-                                                          F.lit(seed + 7)), nsz) + 1).cast("int")))
-    gen = gen.withColumn("_nbv", pick).withColumn("_u", _u(id_cols, F.col("_j"), seed))
-    new_x = F.when(F.col("_nbv").isNull(), F.col("_x")).otherwise(
-        F.zip_with(F.col("_x"), F.col("_nbv"), lambda a, b: a + F.col("_u") * (b - a)))
+    nsz = F.coalesce(F.size("_nb"), F.lit(0))
+    pick = F.when(nsz > 0, F.element_at(F.col("_nb"), (F.pmod(F.xxhash64(*[F.col(c) for c in id_cols], F.col("_j"),
+                                                                        F.lit(seed + 7)), nsz) + 1).cast("int")))
+    gen = gen.withColumn("_pick", pick).withColumn("_u", _u(id_cols, F.col("_j"), seed))
+    new_x = F.when(F.col("_pick").isNull(), F.col("_x")).otherwise(
+        F.zip_with(F.col("_x"), F.col("_pick.x"), lambda a, b: a + F.col("_u") * (b - a)))
     gen = gen.withColumn("_new", new_x)
     other = [c for c in df.columns if c not in feats]
-    gen = gen.drop("_bn", "_salt")
-    synth = gen.select(*[F.col(c) for c in other],
-                       *[F.col("_new")[i].alias(c) for i, c in enumerate(feats)],
-                       F.lit(1).alias("is_synthetic"))
+    tail = [F.lit(1).alias("is_synthetic")]
+    if trace:
+        tail += [F.col("_pick.id").cast(id_type).alias("neighbour"), F.col("_u").alias("u")]
+    synth = gen.select(*[F.col(c) for c in other], *[F.col("_new")[i].alias(c) for i, c in enumerate(feats)], *tail)
     return base.unionByName(synth.select(*base.columns))

@@ -1017,15 +1017,26 @@ def _panel(spark, sf):
     return TR.training_panel(spark, sf)
 
 
-register("group_folds")(lambda spark, sf: _panel(spark, sf).select("id_student", "cutoff", "fold"))
-register("strat_group_folds")(
+def _hash_sql(*cols, seed=C.SEED):
+    """folds.hash_key in SQL."""
+    text = "concat_ws('|', " + ", ".join([f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols] + [f"'{seed}'"]) + ")"
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+register("group_folds", _on_v8(f"""SELECT id_student, cutoff, CAST({_hash_sql('id_student')} % 5 AS INTEGER) AS fold FROM p"""))(
+    lambda spark, sf: _panel(spark, sf).select("id_student", "cutoff", "fold"))
+register("strat_group_folds", _on_v8(f"""SELECT p.id_student, p.cutoff, f.fold FROM p JOIN (
+  SELECT id_student, CAST((row_number() OVER (PARTITION BY y ORDER BY {_hash_sql('id_student')}, id_student) - 1) % 5 AS INTEGER) AS fold
+  FROM (SELECT id_student, max(y_short) AS y FROM p GROUP BY 1)) f ON f.id_student = p.id_student"""))(
     lambda spark, sf: FO.strat_group_folds(_panel(spark, sf).drop("fold"), "id_student", "y_short")
     .select("id_student", "cutoff", "fold"))
-register("stratified_split")(
+register("stratified_split", _on_v8(f"""SELECT id_student, cutoff, y_short,
+  row_number() OVER (PARTITION BY y_short ORDER BY {_hash_sql('id_student', 'cutoff')}, id_student, cutoff) - 1
+    < floor(count(*) OVER (PARTITION BY y_short) * 0.7) AS is_train FROM p"""))(
     lambda spark, sf: FO.stratified_split(_panel(spark, sf), "y_short", ["id_student", "cutoff"])
     .select("id_student", "cutoff", "y_short", "is_train"))
-register("hash_sample")(lambda spark, sf: FO.hash_sample(_panel(spark, sf), ["id_student", "cutoff"], 500)
-                        .select("id_student", "cutoff"))
+register("hash_sample", _on_v8(f"""SELECT id_student, cutoff FROM p ORDER BY {_hash_sql('id_student', 'cutoff')}, id_student, cutoff LIMIT 500"""))(
+    lambda spark, sf: FO.hash_sample(_panel(spark, sf), ["id_student", "cutoff"], 500).select("id_student", "cutoff"))
 
 _VAR_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(var_pop({c}), 6) AS variance, "
@@ -1142,6 +1153,25 @@ SELECT CAST(mi.y_short AS BIGINT), 1, CAST(ma.n - mi.n AS BIGINT) FROM
     lambda spark, sf: _smote(_panel(spark, sf), FEATURES_15, "y_short", ["id_student", "cutoff"])
     .groupBy("y_short", "is_synthetic").agg(F.count(F.lit(1)).alias("n")))
 
+register("smote_segments", _on_v8("""SELECT CAST(max(n) - min(n) AS BIGINT) AS n_synthetic, CAST(0 AS BIGINT) AS n_off_segment,
+  CAST(0 AS BIGINT) AS n_far_from_minority FROM cnt""", "cnt AS (SELECT y_short, count(*) AS n FROM p GROUP BY y_short)"))(
+    lambda spark, sf: _smote_segments(_panel(spark, sf)))
+
+
+def _smote_segments(panel):
+    """Every synthetic row against its base and its named neighbour: it has to lie on the segment
+    between them at u, and both have to be minority rows."""
+    ids, vec = ["id_student", "cutoff"], F.array(*[F.col(c).cast("double") for c in FEATURES_15])
+    made = _smote(panel, FEATURES_15, "y_short", ids, trace=True).where("is_synthetic = 1")
+    rows = panel.select(F.struct(*ids).alias("id"), vec.alias("x"), F.col("y_short").alias("y"))
+    j = (made.select(F.struct(*ids).alias("base"), F.coalesce("neighbour", F.struct(*ids)).alias("nb"), "u", "y_short", vec.alias("new"))
+         .join(rows.toDF("base", "xb", "yb"), "base").join(rows.toDF("nb", "xn", "yn"), "nb"))
+    off = F.aggregate(F.zip_with("new", F.zip_with("xb", "xn", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda v, e: F.abs(
+        v - (e["a"] + F.col("u") * (e["b"] - e["a"])))), F.lit(0.0), lambda acc, v: F.greatest(acc, v))
+    return j.agg(F.count(F.lit(1)).alias("n_synthetic"), F.count_if(off > 1e-9).alias("n_off_segment"),
+                 F.count_if((F.col("yb") != F.col("y_short")) | (F.col("yn") != F.col("y_short"))).alias("n_far_from_minority"))
+
+
 register("stratified_split_counts", _on_v8("""SELECT CAST(y_short AS BIGINT) AS y_short, true AS is_train,
   CAST(floor(n * 0.7) AS BIGINT) AS n FROM cnt WHERE floor(n * 0.7) > 0
 UNION ALL SELECT CAST(y_short AS BIGINT), false, CAST(n - floor(n * 0.7) AS BIGINT) FROM cnt

@@ -167,3 +167,38 @@ def test_curves_when_all_scores_crowd_together(spark):
     assert abs(M.roc_auc(df, ["g"], "s", "y").first()["auc"] - want) < 1e-12
     c = M.cumulative_desc(M.score_counts(df, ["g"], "s", "y"), ["g"], "s", buckets=16)
     assert c.count() == len(set(s))
+
+
+def _recall(x, found, k):
+    """Share of the k neighbours that are as near as the true ones."""
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    kth = np.sort(d, axis=1)[:, k - 1]
+    return np.mean([np.mean([d[i, j] <= kth[i] + 1e-9 for j in js]) for i, js in found.items()])
+
+
+def test_oversampling_neighbours_against_brute_force(spark):
+    from pulse.ml import smote as S
+    from pulse.plans import train as TR
+    from pulse.operators.snapshot import FEATURES_15
+    panel = TR.training_panel(spark, "/root/testdata/sf0.01")
+    rows = panel.where("y_short = 0").select("id_student", "cutoff", *FEATURES_15).collect()
+    if len(rows) > panel.count() / 2:
+        rows = panel.where("y_short = 1").select("id_student", "cutoff", *FEATURES_15).collect()
+    x = np.array([[float(r[c]) for c in FEATURES_15] for r in rows])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "_id long, _x array<double>")
+    S.ensure_checkpoint_dir(spark)
+    found = {r["_id"]: [c["id"] for c in r["_nb"]] for r in S.neighbours(df, 5, x.shape[1]).collect()}
+    assert len(found) == len(x) and all(len(v) == 5 and i not in v for i, v in found.items())
+    assert _recall(x, found, 5) >= 0.9
+
+
+def test_oversampling_neighbours_across_blocks_and_ties(spark, monkeypatch):
+    from pulse.ml import smote as S
+    monkeypatch.setattr(S, "BLOCK", 64)
+    rng = np.random.RandomState(1)
+    x = np.concatenate([rng.normal(size=(700, 4)) * [5, 3, 1, 0.2], np.zeros((300, 4))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "_id long, _x array<double>")
+    S.ensure_checkpoint_dir(spark)
+    found = {r["_id"]: [c["id"] for c in r["_nb"]] for r in S.neighbours(df, 5, 4).collect()}
+    assert len(found) == 1000 and _recall(x, found, 5) >= 0.9
