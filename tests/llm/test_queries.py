@@ -17,8 +17,8 @@ def rows(pdf):
 
 
 @pytest.mark.parametrize("key", sorted(SQL))
-@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def test_sql(spark, key, sf):
+def test_sql(spark, key):
+    sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(sf, t)}.parquet')")
