@@ -106,6 +106,13 @@ def blend(p: Column, rule: Column, alpha: float) -> Column:
     return F.lit(alpha) * p + F.lit(1.0 - alpha) * rule
 
 
+def heuristic_blend(p: Column, alpha: float = C.BLEND_H["alpha_model"]) -> dict[str, Column]:
+    """R13, third form: model probability with the boosted heuristic, and its display value."""
+    heur = heuristic_risk()
+    raw = blend(p, boosted(heur), alpha)
+    return {"heuristic_risk": heur, "heur_boosted": boosted(heur), "risk_score": raw, "display": display_sigmoid(raw)}
+
+
 def boosted(rule: Column, boost: float = C.BLEND_H["heur_boost"]) -> Column:
     return clip01(rule * boost)
 

@@ -687,6 +687,13 @@ def _blend_rules(spark, sf):
         "risk_level", rules.tier(F.col("risk_score"), C.BLEND_A["thr_medium"], C.BLEND_A["thr_high"]))
 
 
+register("blended_heuristic", _on_v8(f"""SELECT id_student, cutoff, round({O.HEURISTIC}, 6) AS heuristic_risk, round(h2, 6) AS heur_boosted,
+  round(raw, 6) AS risk_score, round(1.0 / (1.0 + exp(-8.0 * (raw - 0.5))), 6) AS display
+FROM (SELECT *, 0.55::DOUBLE * {O.DECLINE_B} + (1 - 0.55::DOUBLE) * h2 AS raw FROM (
+  SELECT *, least(greatest({O.HEURISTIC} * 1.15, 0), 1) AS h2 FROM p))"""))(
+    lambda spark, sf: _v8(spark, sf).select("id_student", "cutoff", *[
+        F.round(v, 6).alias(k) for k, v in rules.heuristic_blend(rules.decline_score_b()).items()]))
+
 register("threshold_decision", _on_v8(f"""SELECT id_student, cutoff,
   CAST(CASE WHEN {O.DECLINE_A} >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS pred FROM p"""))(
     lambda spark, sf: _v8(spark, sf).select("id_student", "cutoff",
@@ -904,6 +911,23 @@ def _feature_rows(spark, sf):
     return H.read_feature_rows(spark, path)
 
 
+register("feature_cache", W(_V11_CTES, f"p AS ({_V11_SELECT})") + "\nSELECT * EXCLUDE (cutoff), '2024-01-22 06:00:00' AS calculated_at FROM p")(
+    lambda spark, sf: _feature_cache(spark, sf))
+
+
+def _feature_cache(spark, sf):
+    """Features cached on two days; the read takes each learner's latest row not older than
+    the bound (the earlier day's rows, all zero, must not come back)."""
+    path = scratch_path(spark, "feature_cache")
+    rows = variants.snapshot_v11(H.learner_histories(T(spark, sf))).drop("cutoff")
+    D.write_feature_cache(rows.select("student_id", *[F.lit(0.0).alias(c) for c in FEATURES_15]), path, "2024-01-20 06:00:00")
+    D.write_feature_cache(rows, path, "2024-01-22 06:00:00")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in H.FEATURE_ROW_15.fields)
+    schema += ", calculated_at timestamp_ntz, calculated_on date"
+    got = D.read_feature_cache(schema, spark, path, "student_id", "2024-01-20 00:00:00")
+    return got.withColumn("calculated_at", F.date_format("calculated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 register("feature_order", W(_V11_CTES, f"p AS ({_V11_SELECT})") + "\nSELECT student_id, "
          + ", ".join(FEATURES_15) + " FROM p")(
     lambda spark, sf: variants.snapshot_v11(H.learner_histories(T(spark, sf))).select("student_id", *FEATURES_15))
@@ -1327,6 +1351,10 @@ def _daily_model(spark, sf):
     return D.ranked(TR.score_with_bundle(fm, today, ["id_student", "cutoff"]), "risk_score")
 
 
+register("blended_risk_a")(lambda spark, sf: TR.score_with_bundle(
+    _bundle(spark, sf)[0], variants.snapshot_v8(T(spark, sf)), ["id_student", "cutoff"], "decline_a"))
+register("blended_risk_heuristic")(lambda spark, sf: TR.score_with_bundle(
+    _bundle(spark, sf)[0], variants.snapshot_v8(T(spark, sf)), ["id_student", "cutoff"], "heuristic"))
 register("blended_risk")(lambda spark, sf: TR.score_with_bundle(
     _bundle(spark, sf)[0], variants.snapshot_v8(T(spark, sf)), ["id_student", "cutoff"]))
 
@@ -1342,7 +1370,7 @@ def _score_single(spark, sf):
     """Raw histories -> row-local features -> model -> fixed tiers 0.30 / 0.60."""
     fm, _ = _bundle(spark, sf)
     feats = _v11_features(spark, sf)
-    x = clean_features(feats, FEATURES_15, "ratio_only", keep=["student_id"])
+    x = clean_features(feats, FEATURES_15, TR.clean_mode(fm), keep=["student_id"])
     s = fm.transform(x, keep=["student_id"])
     return s.select("student_id", F.col("proba").alias("dropout_probability"),
                     rules.tier(F.col("proba"), *C.TIERS_SINGLE).alias("risk_level"))
@@ -1357,7 +1385,7 @@ def _score_batch(spark, sf):
     b = VAL.batch_with_errors(_all_histories(spark, sf))
     ok = b.where(F.col("error").isNull()).select(
         "student_id", F.col("cutoff").cast("int").alias("days_since_registration"), "vle_activities")
-    feats = clean_features(variants.snapshot_v11(ok), FEATURES_15, "ratio_only", keep=["student_id"])
+    feats = clean_features(variants.snapshot_v11(ok), FEATURES_15, TR.clean_mode(fm), keep=["student_id"])
     s = fm.transform(feats, keep=["student_id"]).select(
         "student_id", F.col("proba").alias("dropout_probability"),
         rules.tier(F.col("proba"), *C.TIERS_SINGLE).alias("risk_level"), F.lit(None).cast("string").alias("error"))
@@ -1374,7 +1402,7 @@ def _score_features(spark, sf):
     """Pre-computed feature rows (S4) -> model in feature order -> tiers 0.35 / 0.60."""
     fm, _ = _bundle(spark, sf)
     rows = _feature_rows(spark, sf)
-    x = clean_features(rows, FEATURES_15, "ratio_only", keep=["student_id"])
+    x = clean_features(rows, FEATURES_15, TR.clean_mode(fm), keep=["student_id"])
     return fm.transform(x, keep=["student_id"]).select(
         "student_id", F.col("proba").alias("dropout_probability"),
         rules.tier(F.col("proba"), *C.TIERS_BATCH).alias("risk_level"))

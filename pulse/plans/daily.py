@@ -71,6 +71,23 @@ def write_scores(df: DataFrame, path: str, score_date: str) -> None:
      .partitionBy("score_date").parquet(path))
 
 
+def write_feature_cache(features: DataFrame, path: str, calculated_at: str) -> None:
+    """Computed feature rows with the time they were calculated, by day of calculation; a
+    re-run of a day replaces it."""
+    at = F.lit(calculated_at).cast("timestamp_ntz")
+    (features.withColumn("calculated_at", at).withColumn("calculated_on", at.cast("date"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("calculated_on").parquet(path))
+
+
+def read_feature_cache(schema: str, spark: SparkSession, path: str, key: str, not_before: str) -> DataFrame:
+    """The latest cached row per key that is not older than ``not_before``."""
+    rows = (spark.read.schema(schema).parquet(path)
+            .where((F.col("calculated_on") >= F.lit(not_before).cast("date")) & (F.col("calculated_at") >= F.lit(not_before).cast("timestamp_ntz"))))
+    others = [c for c in rows.columns if c not in (key, "calculated_on")]
+    return (rows.groupBy(key).agg(F.max_by(F.struct(*others), "calculated_at").alias("_r"))
+            .select(key, "_r.*"))
+
+
 def write_alerts(scored: DataFrame, path: str, score_date: str, score: str = "risk_score",
                  threshold: float | None = None, level: str = "HIGH") -> None:
     """R15 sink: the day's alert rows (by threshold on ``score``, or by tier) in their own

@@ -33,6 +33,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources.demo import LearnerTables, learner_tables
 
 ID = ["id_student", "cutoff"]
+CLEAN = "all_nonneg"  # cleaning of training rows; saved with the model and used for scoring
 EVAL_MODELS = ("logreg_l1", "rf", "gbt", "mlp")
 _MODEL_CLASSES = {"logreg_l1": LogisticRegressionModel, "logreg_l2": LogisticRegressionModel,
                   "rf": RandomForestClassificationModel, "gbt": GBTClassificationModel,
@@ -50,7 +51,7 @@ def training_panel(spark: SparkSession, source: str | LearnerTables, cutoffs: Se
     module and presentations of the cohort."""
     t = tables(spark, source)
     panel = variants.snapshot_v8(t, cutoffs=cutoffs, **scope)
-    x = clean_features(panel, FEATURES_15, "all_nonneg", keep=["id_student", "cutoff", "y_short"])
+    x = clean_features(panel, FEATURES_15, CLEAN, keep=["id_student", "cutoff", "y_short"])
     x = group_folds(x, "id_student", k)
     ensure_checkpoint_dir(spark)
     return x.checkpoint(eager=True)
@@ -137,18 +138,43 @@ def train_job(spark: SparkSession, source: str | LearnerTables, out_path: str, m
     # applied to the refit without oversampling; report the mean-score shift between the two.
     shift = (fm.transform(panel, keep=ID).agg(F.avg("proba").alias("p")).collect()[0]["p"]
              - best_oof.agg(F.avg("proba").alias("p")).collect()[0]["p"])
-    extra = {"platt": platt, "alpha": C.BLEND_B_ALPHA, "mean_score_shift": float(shift),
+    # Decision thresholds (best F1 on the out-of-fold curve) for raw and calibrated scores.
+    best = scored.withColumn("proba_cal", apply_platt(F.col("proba"), platt))
+    decide = {k: float(TH.f1_curve(best, ["_g"], c, "y_short").first()["threshold"]) for k, c in (("raw", "proba"), ("calibrated", "proba_cal"))}
+    extra = {"platt": platt, "alpha": C.BLEND_B_ALPHA, "mean_score_shift": float(shift), "clean": CLEAN,
+             "probability_thresholds": decide,
              "risk_thresholds": {"medium": float(thr_med["threshold"]), "high": float(thr_high["threshold"])}}
     save_bundle(spark, fm, out_path, extra)
     return {"best": name, "bundle": out_path, **extra}
 
 
-def score_with_bundle(fm: FittedModel, features: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Model probability, Platt-calibrated probability, decline score B, blended
-    risk and tier from the bundle's learnt thresholds."""
-    x = clean_features(features, FEATURES_15, "all_nonneg", keep=list(keep))
+def clean_mode(fm: FittedModel) -> str:
+    """How features are cleaned for a bundle: as its training rows were."""
+    return fm.extra.get("clean", CLEAN)
+
+
+def score_with_bundle(fm: FittedModel, features: DataFrame, keep: Sequence[str], form: str = "decline_b") -> DataFrame:
+    """Model probability, Platt-calibrated probability, rule score, blended risk, tier.
+
+    form  'decline_b'  calibrated probability with decline score B, the bundle's alpha and its
+                       learnt tier thresholds;
+          'decline_a'  calibrated probability with decline score A, fixed alpha and tiers;
+          'heuristic'  raw probability with the boosted heuristic, and a display value.
+    """
+    x = clean_features(features, FEATURES_15, clean_mode(fm), keep=list(keep))
     scored = fm.transform(x, keep=[*keep, *FEATURES_15])
     platt = fm.extra.get("platt", {"a": 1.0, "b": 0.0})
+    if form == "heuristic":
+        parts = rules.heuristic_blend(F.col("proba"))
+        return scored.select(*keep, "proba", *[v.alias(k) for k, v in parts.items()])
+    if form == "decline_a":
+        out = (scored.withColumn("proba_cal", apply_platt(F.col("proba"), platt))
+               .withColumn("decline_score", rules.decline_score_a())
+               .withColumn("risk_score", rules.blend(F.col("proba_cal"), F.col("decline_score"), C.BLEND_A["alpha_model"])))
+        return out.select(*keep, "proba", "proba_cal", "decline_score", "risk_score",
+                          rules.tier(F.col("risk_score"), C.BLEND_A["thr_medium"], C.BLEND_A["thr_high"]).alias("risk_level"))
+    if form != "decline_b":
+        raise ValueError(form)
     thr = fm.extra.get("risk_thresholds", {"medium": C.BLEND_A["thr_medium"], "high": C.BLEND_A["thr_high"]})
     alpha = fm.extra.get("alpha", C.BLEND_B_ALPHA)
     out = (scored.withColumn("proba_cal", apply_platt(F.col("proba"), platt))
