@@ -58,9 +58,9 @@ MODULES = {
 DEFAULT = {"S": "sources/", "F": "operators/cohort.py", "J": "operators/cohort.py", "X": "functions/rules.py",
            "A": "operators/snapshot.py (activity_aggregates)", "P": "operators/variants.py + snapshot.py",
            "W": "plans/", "R": "functions/rules.py", "M": "ml/", "U": "-"}
-EXTRA = {"M23": ["threshold_median"], "M1": ["stratified_split_counts"], "M3": ["strat_group_fold_sizes"], "M6": ["holdout_eval"], "M16": ["top_features"], "R4": ["blended_tiers"],
-         "X15": ["blended_tiers"], "Q4": ["train_serve_skew"], "P4": ["snapshot_v4", "learner_features"],
-         "S11": ["daily_rollup_stream"], "S10": ["model_roundtrip"], "W7": ["top_features"],
+EXTRA = {"M23": ["threshold_median"], "M9": ["smote_segments"], "P5": ["repeat_snapshot_v5"], "P6": ["repeat_snapshot_v6"], "P7": ["repeat_snapshot_v7"], "P8": ["repeat_snapshot_v8", "snapshot_v8_prefix", "snapshot_v8_composite_key"], "P9": ["repeat_snapshot_v9"], "P10": ["repeat_snapshot_v10"], "R13": ["blended_risk", "blended_risk_a", "blended_risk_heuristic", "blended_heuristic"], "M1": ["stratified_split_counts"], "M3": ["strat_group_fold_sizes"], "M6": ["holdout_eval"], "M16": ["top_features"], "R4": ["blended_tiers"],
+         "X15": ["blended_tiers"], "Q4": ["train_serve_skew"], "P4": ["snapshot_v4", "learner_features", "repeat_snapshot_v4"],
+         "S11": ["daily_rollup_stream", "feature_cache"], "S10": ["model_roundtrip"], "W7": ["top_features"],
          "X4": ["snapshot_v4", "snapshot_v8", "snapshot_v10"], "X5": ["snapshot_v8"], "X6": ["snapshot_v8"],
          "F10": ["registration_features"], "F11": ["snapshot_v4"], "W5": ["ranked_risk"], "W10": ["top10_risk"]}
 
