@@ -39,6 +39,7 @@ END = b"\xff"  # never part of UTF-8: ends a text, and stands before it as conte
 LOG2 = np.log(2.0)
 FACTS = "chunk int, bucket int, items binary, counts binary"
 BUCKETS = 256  # of n-grams, and as many of words
+UNMERGED = 3_000_000  # n-grams that a chunk holds in unmerged parts
 PART = 64      # chunks whose shares of a bucket are merged or answered at once
 
 
@@ -46,16 +47,48 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """n-grams of all bytes of the texts and their end: depth context bytes, the nearest in the
     highest place, then the byte itself. With them the number of n-grams of each text."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    flat = np.frombuffer(b"".join(chain.from_iterable((END * depth, t, END) for t in texts)), np.uint8)
-    stop = np.cumsum(lengths + depth)
-    keep = np.ones(len(flat), bool)
-    for d in range(depth):
-        keep[stop - lengths - 1 - d] = False
-    at = np.flatnonzero(keep)
-    key = flat[at - 1].astype(np.uint64)
-    for d in range(2, depth + 1):
-        key = key << np.uint64(8) | flat[at - d]
-    return key << np.uint64(8) | flat[at], lengths
+    joined = b"".join([END * 8, *chain.from_iterable((END * depth, t, END) for t in texts)])
+    byte = np.frombuffer(joined, np.uint8)[8:]
+    # The eight bytes before each place as one little-endian number: the nearest is its highest.
+    before = np.ndarray((len(byte),), "<u8", joined, strides=(1,))
+    keep = np.ones(len(byte), bool)
+    begin = np.cumsum(lengths + depth) - lengths
+    for d in range(1, depth + 1):
+        keep[begin - d] = False
+    return before[keep] >> np.uint64(64 - 8 * depth) << np.uint64(8) | byte[keep], lengths
+
+
+class Lookup:
+    """Values by key in an open-addressed table; every key asked for has to be there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
+        owner = np.full(1 << bits, -1)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = owner[slot] < 0
+            owner[slot[free]] = todo[free]
+            left = owner[slot] != todo
+            todo, slot = todo[left], slot[left] + 1 & self.mask
+        used = np.flatnonzero(owner >= 0)
+        self.keys[used], self.values[used] = keys[owner[used]], values[owner[used]]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.values[slot]
+        todo = np.flatnonzero(self.keys[slot] != keys)
+        slot = slot[todo]
+        while len(todo):
+            slot = slot + 1 & self.mask
+            out[todo] = self.values[slot]
+            left = self.keys[slot] != keys[todo]
+            todo, slot = todo[left], slot[left]
+        return out
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -143,6 +176,12 @@ def probabilities(levels: list[Level], gram: np.ndarray, depth: int, top: int, s
     return total
 
 
+def ascending(keys: np.ndarray) -> np.ndarray:
+    """Ascending distinct keys, by sorting (several times as fast as hashing here)."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def bucket_of(gram: np.ndarray, depth: int) -> np.ndarray:
     near = gram >> np.uint64(8 * (depth - 1))
     return ((near * np.uint64(40503) >> np.uint64(8)) % np.uint64(BUCKETS)).astype(np.int64)
@@ -164,18 +203,21 @@ class Chunk:
 
     def __init__(self, depth: int):
         self.depth = depth
-        self.grams = np.zeros(0, np.uint64)
-        self.counts = np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.words: Counter = Counter()
 
+    def settle(self) -> None:
+        """Merge the parts: ``grams`` in order and their ``counts``."""
+        if len(self.parts) != 1:
+            self.parts = [summed(self.parts or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))])]
+        self.grams, self.counts = self.parts[0]
+
     def add(self, texts: list[bytes], held: np.ndarray) -> None:
         key, lengths = grams(texts, self.depth)
         flag = np.repeat(~held, lengths)
-        parts = [(self.grams, self.counts)]
         for part, weight in ((key[flag], 1), (key[~flag], 0)):
             u, c = np.unique(part, return_counts=True)
-            parts.append((u, c * weight))
-        self.grams, self.counts = summed(parts)
+            self._keep(u, c * weight)
         other: set[bytes] = set()
         for t, h in zip(texts, held, strict=True):
             (other if h else self.words).update(t.split())
@@ -183,8 +225,23 @@ class Chunk:
         for w in other:
             self.words.setdefault(w, 0)
 
+    def see(self, texts: list[bytes]) -> None:
+        """Like ``add`` without counts: which n-grams and words there are."""
+        u = ascending(grams(texts, self.depth)[0])
+        self._keep(u, np.zeros(len(u), np.int64))
+        words = {b""}
+        for t in texts:
+            words.update(t.split())
+        dict.update(self.words, dict.fromkeys(words, 0))
+
+    def _keep(self, items: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((items, counts))
+        if sum(len(u) for u, _ in self.parts) > UNMERGED + 2 * len(self.parts[0][0]):
+            self.settle()
+
     def packed(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(bucket, items, counts): n-grams in buckets 0.., words in buckets ``BUCKETS``.."""
+        self.settle()
         bucket = bucket_of(self.grams, self.depth)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -318,7 +375,10 @@ def ctw_scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int
             levels[0].predict(reached[up], left[up])
             for above, level in zip(levels, levels[1:], strict=False):
                 level.predict(above.reached[level.to_parent], above.left[level.to_parent])
-            out = [probabilities(levels, unpack(i), depth, 2, shallow) for i in asked["items"]]
+            wanted = [unpack(i) for i in asked["items"]]  # chunks mostly ask for the same n-grams
+            every = ascending(np.concatenate(wanted))
+            logs = probabilities(levels, every, depth, 2, shallow)
+            out = [logs[np.searchsorted(every, w)] for w in wanted]
         else:
             c = dict(zip(has["items"].iloc[0].split(b" "), counts_of(has["counts"].iloc[0]).tolist(), strict=True)) if len(has) else {}
             out = [np.array([c.get(w, 0) for w in i.split(b" ")], float) for i in asked["items"]]
@@ -337,7 +397,8 @@ def ctw_scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int
         slices = [part for batch in texts.to_batches() for part in text_slices(batch)]
         own = Chunk(depth)
         for part in slices:
-            own.add([t.lower() for t in texts_of(part)], np.zeros(part.num_rows, bool))
+            own.see([t.lower() for t in texts_of(part)])
+        own.settle()
         got = {b: (m, a) for b, m, a in zip(*(answered.column(c).to_pylist() for c in ("bucket", "mark", "answers")), strict=True)}
         logs, worth, seen, unit = np.zeros(len(own.grams)), {}, set(), np.log10(total + distinct + 1.0)
         bucket = bucket_of(own.grams, depth)
@@ -352,15 +413,17 @@ def ctw_scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int
                 words = items.split(b" ")
                 worth.update(zip(words, (np.log10(value + 1.0) - unit).tolist(), strict=True))
                 seen.update(w for w, c in zip(words, value, strict=True) if c)
-        out = []
+        find, out = Lookup(own.grams, logs), []
         for part in slices:
-            for doc_id, held, raw in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), texts_of(part), strict=True):
-                text = raw.lower()
-                score = float(logs[np.searchsorted(own.grams, np.sort(grams([text], depth)[0]))].sum())
+            lowered = [t.lower() for t in texts_of(part)]
+            key, lengths = grams(lowered, depth)
+            scores = np.add.reduceat(find(key), np.cumsum(lengths) - lengths).tolist()
+            for doc_id, held, text, score in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), lowered, scores, strict=True):
                 tokens = text.split()
                 tokens.append(b"")
-                out.append((doc_id, held, len(tokens), sum([w in seen for w in tokens]), total,
-                            float(sum([worth[w] for w in tokens])), score, len(text), -score / np.log10(2) / (len(text) + 1)))
+                n_known = sum([w in seen for w in tokens]) if held else len(tokens)
+                out.append((doc_id, held, len(tokens), n_known, total, float(sum([worth[w] for w in tokens])), score,
+                            len(text), -score / np.log10(2) / (len(text) + 1)))
         cols = list(zip(*out, strict=True)) or [[]] * len(columns)
         return pa.table({n: pa.array(c, t) for n, c, t in zip(columns, cols, types, strict=True)})
 
