@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, name as column, stage_table, text_slices, texts_of
 
-ROUNDS = 3
+ROUNDS = 2
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd: invertible modulo 2^64
 
 
@@ -192,11 +192,12 @@ def repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, id_col: str
 
     facts = stage_table(d.mapInArrow(collect, FACTS), "anchors")
     chosen = facts.filter("name is not null").select("doc_id", "name", "place")
-    shared = stage_table(chosen.groupBy("name").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("place") != F.max("place")).alias("several"))
-        .filter("a < b").select("name", "several"), "shared-names")
+    shared = stage_table(chosen.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                         .filter("a < b").select("name"), "shared-names")
     found = stage_table(chosen.join(shared, "name"), "shared-anchors")
-    first = stage_table(found.groupBy("name", "place").agg(F.min("doc_id").alias("first_id")), "first-documents")
+    places = stage_table(found.groupBy("name", "place").agg(F.min("doc_id").alias("first_id")), "places")
+    several = places.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("several"))
+    first = stage_table(places.join(several, "name"), "first-documents")
     # check = 0: a smaller document has all windows of the symbol; 1: compare them one by one.
     decided = (found.join(first, ["name", "place"]).filter("first_id < doc_id or several")
                .select("doc_id", "name", "place", (F.col("first_id") == F.col("doc_id")).cast("long").alias("check")))
