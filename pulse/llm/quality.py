@@ -12,10 +12,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,91 +30,145 @@ from .common import documents, stage_table, text_slices, texts_of
 TRAIN_ROWS = 4000  # bound of the documents that fit the scorer
 PRIOR = (np.array([20.0, 20.0]), np.array([0.5, 49.5]))  # votes (junk, clean) about a junk, a clean document
 BITS = 16          # hashed features: 2^BITS
-CACHE = 500_000    # words whose weight a task keeps
+CACHE = 200_000    # shapes that a task keeps
+_MASK = (1 << BITS) - 1
 
 _LOWER, _UPPER, _DIGIT = (bytes(range(ord(a), ord(b) + 1)) for a, b in ("az", "AZ", "09"))
 _HIGH, _BLANK = bytes(range(128, 256)), b" \t\n\r\x0b\x0c"
 _PLAIN = b".,;:!?'\"()-"
-_WORDLIKE = re.compile(rb"[A-Za-z0-9\x80-\xff]")
 
 
 def _share(part: int, whole: int) -> float:
     return part / whole if whole else 0.0
 
 
+# A word's classes: a lower-case (and any non-ASCII) letter, A capital, 0 digit; signs stay.
+_CLASSES = bytes(97 if chr(b).islower() or b > 127 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
+_RUNS = re.compile(rb"(.)\1+", re.DOTALL)
+
+
+class Shapes(dict):
+    """Per classes of a word: what the labellers ask about it, as bits, and the slot of its
+    shape (runs of a class as one, runs of a sign as two). There are far fewer of them than
+    words; bounded all the same."""
+
+    BARE, TAIL, ENDS, SHORT = 1, 2, 4, 8
+
+    def __missing__(self, classes: bytes) -> tuple[int, int]:
+        if len(self) >= CACHE:
+            self.clear()
+        plain = any(c in b"aA0" for c in classes)
+        kind = self.BARE * (not plain) | self.SHORT * (plain and len(classes) < 4) | self.ENDS * (classes[-1:] in (b".", b"!", b"?"))
+        kind |= self.TAIL * (len(classes) > 2 and classes[-1:] in b"#$%&*!|~^=+<>@" and classes[-1] == classes[-2])
+        shape = _RUNS.sub(lambda m: m[1] if m[1] in b"aA0" else m[1] * 2, classes)
+        self[classes] = out = kind, _slot(b"s", shape)
+        return out
+
+
+@dataclass(slots=True)
+class Stats:
+    """Counts of one text: characters, and words by kind."""
+
+    solid: int
+    signs: int
+    upper: int
+    lower: int
+    words: int
+    distinct: int
+    length: int
+    stutter: int
+    bare: int
+    tails: int
+    ends: int
+    short: int
+
+
 def repeats_of(words: list[bytes]) -> int:
     return sum(map(bytes.__eq__, words, words[1:]))
 
 
-def symbols(t, w, c) -> int:
+def stats_of(text: bytes, n_words: int, distinct: int, stutters: int, classes: Counter, shapes: Shapes) -> Stats:
+    solid = text.translate(None, _BLANK)
+    tally = [0] * 16
+    for c, n in classes.items():
+        tally[shapes[c][0]] += n
+    of = lambda bit: sum(n for k, n in enumerate(tally) if k & bit)
+    return Stats(len(solid), len(solid.translate(None, _LOWER + _UPPER + _DIGIT + _HIGH + _PLAIN)), len(solid) - len(solid.translate(None, _UPPER)),
+                 len(solid) - len(solid.translate(None, _LOWER)), n_words, distinct, len(solid), stutters,
+                 of(Shapes.BARE), of(Shapes.TAIL), of(Shapes.ENDS), of(Shapes.SHORT))
+
+
+def symbols(s: Stats) -> int:
     """Share of unusual signs among the characters."""
-    solid = t.translate(None, _BLANK)
-    s = _share(len(solid.translate(None, _LOWER + _UPPER + _DIGIT + _HIGH + _PLAIN)), len(solid))
-    return -1 if s > 0.08 else 1 if s < 0.03 else 0
+    x = _share(s.signs, s.solid)
+    return -1 if x > 0.08 else 1 if x < 0.03 else 0
 
 
-def capitals(t, w, c) -> int:
+def capitals(s: Stats) -> int:
     """Share of capitals among ASCII letters."""
-    up, low = len(t) - len(t.translate(None, _UPPER)), len(t) - len(t.translate(None, _LOWER))
-    s = _share(up, up + low)
-    return 0 if up + low < 10 else -1 if s > 0.5 else 1 if s < 0.25 else 0
+    x = _share(s.upper, s.upper + s.lower)
+    return 0 if s.upper + s.lower < 10 else -1 if x > 0.5 else 1 if x < 0.25 else 0
 
 
-def variety(t, w, c) -> int:
+def variety(s: Stats) -> int:
     """Share of distinct words, which falls slowly with length in running text."""
-    s = _share(len(c), len(w))
-    return 0 if len(w) < 40 else -1 if s < 0.2 else 1 if s > 0.4 else 0
+    x = _share(s.distinct, s.words)
+    return 0 if s.words < 40 else -1 if x < 0.2 else 1 if x > 0.4 else 0
 
 
-def stutter(t, w, c) -> int:
+def stutter(s: Stats) -> int:
     """Share of words that repeat the one before."""
-    s = _share(repeats_of(w), len(w) - 1)
-    return 0 if len(w) < 8 else -1 if s > 0.06 else 1 if s < 0.03 else 0
+    x = _share(s.stutter, s.words - 1)
+    return 0 if s.words < 8 else -1 if x > 0.06 else 1 if x < 0.03 else 0
 
 
-def separators(t, w, c) -> int:
+def separators(s: Stats) -> int:
     """Share of words without any letter or digit."""
-    s = _share(sum(n for x, n in c.items() if not _WORDLIKE.search(x)), len(w))
-    return -1 if s > 0.12 else 1 if s < 0.03 else 0
+    x = _share(s.bare, s.words)
+    return -1 if x > 0.12 else 1 if x < 0.03 else 0
 
 
-def tails(t, w, c) -> int:
-    """Share of words that end in two or more signs."""
-    s = _share(sum(n for x, n in c.items() if len(x) > 2 and x[-1:] in b"#$%&*!|~^=+<>@" and x[-1] == x[-2]), len(w))
-    return -1 if s > 0.15 else 1 if s < 0.03 else 0
+def tails(s: Stats) -> int:
+    """Share of words that end in the same sign twice."""
+    x = _share(s.tails, s.words)
+    return -1 if x > 0.15 else 1 if x < 0.03 else 0
 
 
-def sentences(t, w, c) -> int:
+def sentences(s: Stats) -> int:
     """Words a sentence."""
-    ends = sum(n for x, n in c.items() if x[-1:] in (b".", b"!", b"?"))
-    return 0 if len(w) < 60 else -1 if ends * 80 < len(w) else 1 if ends * 3 < len(w) else 0
+    return 0 if s.words < 60 else -1 if s.ends * 80 < s.words else 1 if s.ends * 3 < s.words else 0
 
 
-def word_length(t, w, c) -> int:
+def word_length(s: Stats) -> int:
     """Mean length of words."""
-    s = _share(sum(map(len, w)), len(w))
-    return -1 if s > 20 or s < 1.5 else 1 if 2.5 < s < 12 else 0
+    x = _share(s.length, s.words)
+    return -1 if x > 20 or x < 1.5 else 1 if 2.5 < x < 12 else 0
 
 
-def short_words(t, w, c) -> int:
+def short_words(s: Stats) -> int:
     """Share of words of up to three letters: the function words of running text."""
-    s = _share(sum(n for x, n in c.items() if len(x) < 4 and _WORDLIKE.search(x)), len(w))
-    return 0 if len(w) < 40 else 1 if 0.15 < s < 0.75 else -1 if s < 0.05 else 0
+    x = _share(s.short, s.words)
+    return 0 if s.words < 40 else 1 if 0.15 < x < 0.75 else -1 if x < 0.05 else 0
 
 
 LABELLERS = (symbols, capitals, variety, stutter, separators, tails, sentences, word_length, short_words)
 
 
-def votes(text: bytes) -> tuple[int, int]:
+def classes_of(text: bytes) -> Counter:
+    """How often each word's classes occur."""
+    return Counter(text.translate(_CLASSES).split())
+
+
+def votes(text: bytes, shapes: Shapes) -> tuple[int, int]:
     """(pattern, words): the labellers' votes as a number in base 3."""
     words = text.split()
-    return pattern_of(text, words, Counter(words)), len(words)
+    return pattern_of(stats_of(text, len(words), len(set(words)), repeats_of(words), classes_of(text), shapes)), len(words)
 
 
-def pattern_of(text: bytes, words: list[bytes], counts: Counter) -> int:
+def pattern_of(stats: Stats) -> int:
     code = 0
     for labeller in LABELLERS:
-        code = code * 3 + (labeller(text, words, counts) if words else 0) + 1
+        code = code * 3 + (labeller(stats) if stats.words else 0) + 1
     return code
 
 
@@ -142,18 +198,10 @@ def posterior(patterns: dict[int, int], labellers: int = len(LABELLERS), rounds:
 
 
 def _slot(kind: bytes, key: bytes) -> int:
-    return zlib.crc32(key, zlib.crc32(kind)) & (1 << BITS) - 1
-
-
-_CLASSES = bytes(97 if chr(b).islower() or b > 127 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
-_RUNS = re.compile(rb"(.)\1+", re.DOTALL)
+    return zlib.crc32(key, zlib.crc32(kind)) & _MASK
 
 
-def word_slots(word: bytes) -> tuple[int, int]:
-    """Hashed features of a word: itself in lower case, and its shape (aA0 and signs, runs of a
-    class as one, runs of two and more signs kept apart from single ones)."""
-    shape = _RUNS.sub(lambda m: m[1] if m[1] in b"aA0" else m[1] * 2, word.translate(_CLASSES))
-    return _slot(b"w", word.lower()), _slot(b"s", shape)
+_WORD = zlib.crc32(b"w")  # the word itself, in lower case, hashes from here
 
 
 STUTTER = _slot(b"r", b"")
@@ -163,14 +211,16 @@ def repeat_slot(count: int) -> int:
     return _slot(b"c", b"%d" % min(count.bit_length(), 12))
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and their shares of a document's words."""
+def features(text: bytes, shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and their shares of a document's words: words, shapes, repeat counts, stutters."""
     words = text.split()
     slots: Counter = Counter({STUTTER: repeats_of(words)})
-    for w, c in Counter(words).items():
-        a, b = word_slots(w)
-        for s in (a, b, repeat_slot(c)):
-            slots[s] += c
+    for w in text.lower().split():
+        slots[zlib.crc32(w, _WORD) & _MASK] += 1
+    for c, n in classes_of(text).items():
+        slots[shapes[c][1]] += n
+    for c in Counter(words).values():
+        slots[repeat_slot(c)] += c
     return np.fromiter(slots.keys(), np.int32, len(slots)), np.fromiter(slots.values(), float, len(slots)) / max(1, len(words))
 
 
@@ -195,9 +245,10 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = documents(docs, id_col, text_col)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
         for whole in batches:
             for batch in text_slices(whole):
-                found = [votes(t) for t in texts_of(batch)]
+                found = [votes(t, shapes) for t in texts_of(batch)]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([p for p, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())],
                                                  ["row", "pattern", "n_words"])
 
@@ -207,12 +258,13 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = said.select("row").orderBy("row").limit(train_rows).agg(F.max("row")).first()[0]
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
         for whole in batches:
             for batch in text_slices(whole):
                 texts = [t for t in texts_of(batch) if t.split()]
-                found = [features(t) for t in texts]
+                found = [features(t, shapes) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([weak[votes(t)[0]] for t in texts], pa.float64()), pa.array([s.astype("<i4").tobytes() for s, _ in found], pa.binary()),
+                    [pa.array([weak[votes(t, shapes)[0]] for t in texts], pa.float64()), pa.array([s.astype("<i4").tobytes() for s, _ in found], pa.binary()),
                      pa.array([v.astype("<f8").tobytes() for _, v in found], pa.binary())], ["label", "slots", "shares"])
 
     def train(f: pd.DataFrame) -> pd.DataFrame:
@@ -222,8 +274,9 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     weights = np.zeros((1 << BITS) + 1)
     if last is not None:
-        sample = hashed.filter(F.col("row") <= last).limit(train_rows).select("text")
-        fitted = (sample.mapInArrow(prepare, "label double, slots binary, shares binary").groupBy()
+        # Rows of one hash are equal, so it does not matter which of them the bound leaves out.
+        sample = hashed.filter(F.col("row") <= last).select("text").mapInArrow(prepare, "label double, slots binary, shares binary")
+        fitted = (sample.limit(train_rows).groupBy()
                   .applyInPandas(train, "slot int, weight double")).collect()  # at most 2^BITS + 1 rows
         weights[[r.slot for r in fitted]] = [r.weight for r in fitted]
 
@@ -231,31 +284,25 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Judge:
-    """Scores documents one after the other; keeps the weights of words it has seen."""
+    """Scores documents one after the other."""
 
     def __init__(self, weak: dict[int, float], weights: np.ndarray, threshold: float):
-        self.weak, self.weights, self.threshold = weak, weights, threshold
-        self.known: dict[bytes, float] = {}
-        self.repeats: dict[int, float] = {}
+        self.weak, self.threshold, self.shapes, self.weights = weak, threshold, Shapes(), weights.tolist()
+        self.repeats = [self.weights[repeat_slot(1 << i >> 1)] for i in range(13)]  # by bit length of the count
 
     def __call__(self, text: bytes) -> tuple[int, float, float, bool]:
         """(words, weak label, score, kept)"""
         words = text.split()
         if not words:
             return 0, 0.0, 0.0, False
-        weights, known, repeats, counts = self.weights, self.known, self.repeats, Counter(words)
-        total = float(weights[STUTTER]) * repeats_of(words)
-        for w, c in counts.items():
-            if (x := known.get(w)) is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                a, b = word_slots(w)
-                x = known[w] = float(weights[a] + weights[b])
-            if (r := repeats.get(c)) is None:
-                r = repeats[c] = float(weights[repeat_slot(c)])
-            total += c * (x + r)
-        p = float(1 / (1 + np.exp(-np.clip(total / len(words) + weights[-1], -500, 500))))
-        return len(words), self.weak.get(pattern_of(text, words, counts), 0.0), p, p >= self.threshold
+        weight, repeats, shapes, crc = self.weights, self.repeats, self.shapes, zlib.crc32
+        counts, classes, stutters = Counter(words), classes_of(text), repeats_of(words)
+        total = (weight[STUTTER] * stutters + sum([weight[crc(w, _WORD) & _MASK] for w in text.lower().split()])
+                 + sum([weight[shapes[c][1]] * n for c, n in classes.items()])
+                 + sum([repeats[min(c.bit_length(), 12)] * c * n for c, n in Counter(counts.values()).items()]))
+        p = 1 / (1 + math.exp(-max(-500.0, min(500.0, total / len(words) + weight[-1]))))
+        pattern = pattern_of(stats_of(text, len(words), len(counts), stutters, classes, shapes))
+        return len(words), self.weak.get(pattern, 0.0), p, p >= self.threshold
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS,

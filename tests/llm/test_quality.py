@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulse.llm.quality import LABELLERS, clean_documents, features, fit, posterior, quality, votes
+from pulse.llm.quality import LABELLERS, Shapes, clean_documents, features, fit, posterior, quality, votes
 
 MID = "/root/testdata/sf0.01"
 
@@ -39,7 +39,7 @@ def test_em_recovers_the_labellers():
 
 def test_fit_separates():
     good, bad = [b"the cat sat on a mat ."], [b"BUY!! NOW!! BUY!! NOW!!"]
-    f = [features(t) for t in good * 5 + bad * 5]
+    f = [features(t, Shapes()) for t in good * 5 + bad * 5]
     w = fit([a for a, _ in f], [b for _, b in f], np.array([1.0] * 5 + [0.0] * 5))
     z = [w[a] @ b + w[-1] for a, b in f]
     assert min(z[:5]) > 0 > max(z[5:])
@@ -67,7 +67,7 @@ def test_empty_and_wordless_tables(docs):
 
 
 def test_patterns_are_votes():
-    code, n = votes(JUNK.encode())
+    code, n = votes(JUNK.encode(), Shapes())
     said = [code // 3**(len(LABELLERS) - 1 - k) % 3 - 1 for k in range(len(LABELLERS))]
     assert n == 80 and said[0] == -1 and said[5] == -1
-    assert votes(b"") == (sum(3**k for k in range(len(LABELLERS))), 0)
+    assert votes(b"", Shapes()) == (sum(3**k for k in range(len(LABELLERS))), 0)
