@@ -39,7 +39,8 @@ END = b"\xff"  # never part of UTF-8: ends a text, and stands before it as conte
 LOG2 = np.log(2.0)
 FACTS = "chunk int, bucket int, items binary, counts binary"
 BUCKETS = 256  # of n-grams, and as many of words
-UNMERGED = 3_000_000  # n-grams that a chunk holds in unmerged parts
+SLICE = 1 << 21         # bytes of text whose n-grams a task holds at once
+UNMERGED = 2_000_000  # n-grams that a chunk holds in unmerged parts
 PART = 64      # chunks whose shares of a bucket are merged or answered at once
 
 
@@ -62,7 +63,7 @@ class Lookup:
     """Values by key in an open-addressed table; every key asked for has to be there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(4 * len(keys)).bit_length())
+        bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
         owner = np.full(1 << bits, -1)
@@ -269,7 +270,7 @@ def facts(docs: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Chunk] = {}  # one: the task's own partition
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, SLICE):
                 chunk = batch.column("chunk")[0].as_py()
                 flags = np.array(batch.column("held_out").to_pylist(), bool)
                 held.setdefault(chunk, Chunk(depth)).add([t.lower() for t in texts_of(batch)], flags)
@@ -394,7 +395,7 @@ def ctw_scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
 
     def finish(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        slices = [part for batch in texts.to_batches() for part in text_slices(batch)]
+        slices = [part for batch in texts.to_batches() for part in text_slices(batch, SLICE)]
         own = Chunk(depth)
         for part in slices:
             own.see([t.lower() for t in texts_of(part)])
