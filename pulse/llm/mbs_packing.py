@@ -38,10 +38,12 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """A function text -> uint32 ids for a tokenizers file; special tokens' strings in a text are
-    ordinary text. A byte-level BPE whose ids follow its merges is run by tiktoken, which gives
-    the same ids several times faster; anything else by the tokenizers library."""
+def encoder(path: str, added_tokens: bool = False):
+    """A function text -> uint32 ids for a tokenizers file. With ``added_tokens`` the strings of
+    the file's added tokens get their own ids, as the library gives them by default; without, the
+    special ones among them are ordinary text. A byte-level BPE whose ids follow its merges is run by
+    tiktoken, which gives the same ids several times faster; anything else, and with
+    ``added_tokens`` a text that holds one of their strings, by the tokenizers library."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -57,10 +59,18 @@ def encoder(path: str):
         ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         bpe = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: bpe.encode_to_numpy(text, disallowed_special=())
+        if not added_tokens:
+            return lambda text: bpe.encode_to_numpy(text, disallowed_special=())
+        return lambda text: (_library(path, True)(text) if any(t in text for t in added)
+                             else bpe.encode_to_numpy(text, disallowed_special=()))
+    return _library(path, added_tokens)
+
+
+@lru_cache(maxsize=4)
+def _library(path: str, added_tokens: bool):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added_tokens
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -74,9 +84,10 @@ def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
                  id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (of the little-endian unsigned
-    32-bit ids) and, with ``with_ids``, the ids. ``tokenizer`` is a file that every executor has."""
+    32-bit ids) and, with ``with_ids``, the ids. ``tokenizer`` is a file that every executor has;
+    the ids are the tokenizers library's, those of the file's added tokens included."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added_tokens=True)
         for whole in batches:
             for batch in text_slices(whole):
                 rows, ids_out = [], []

@@ -32,6 +32,19 @@ def test_ids_of_special_texts(text):
     assert encoder(BPE)(text).tolist() + [2] == ids_of(text)
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext| > y", "é <|endoftext|>\n", "plain"])
+def test_added_tokens_are_the_plain_librarys(file, text):
+    plain = Tokenizer.from_file(P.path(file))
+    assert encoder(P.path(file), added_tokens=True)(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_packed_ids_hold_added_tokens(docs):
+    plain, text = Tokenizer.from_file(BPE), "a <|endoftext|> b"
+    row, = pack_documents(docs([(1, text)]), BPE, with_ids=True).collect()
+    assert row.ids == [*plain.encode(text, add_special_tokens=False).ids, 2] and 50256 in row.ids
+
+
 def test_word_tokenizer_file_goes_through_the_library():
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     t.encode_special_tokens = True
