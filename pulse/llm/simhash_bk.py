@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, name, stage_table, text_slices, texts_of
@@ -166,7 +166,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows. Other input columns are ignored.
     """
     seen = stage_table(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = stage_table(seen.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    rooted = rooted_fingerprints(seen, F.min("doc_id"), radius, shard)
+    smallest = stage_table(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    classes = stage_table(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
+    return seen.join(classes, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def rooted_fingerprints(seen: DataFrame, first: Column, radius: int = 2, shard: int = SHARD) -> DataFrame:
+    """(fp, first, root): every distinct ``fp`` of ``seen`` with the aggregate ``first`` of its rows
+    and the root fingerprint that names its component."""
+    distinct = stage_table(seen.groupBy("fp").agg(first.alias("first")), "distinct-fingerprints")
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -175,21 +185,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = shards(distinct.select("fp"), radius, shard).select("fps").mapInPandas(link, "a bigint, b bigint")
     roots = components(links)
-    rooted = stage_table(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                         .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
-    smallest = stage_table(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
-    classes = stage_table(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
-    return seen.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return stage_table(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+                       .select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
 
+def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         shingle: int = 3, radius: int = 2, seed: int = 42, shard: int = SHARD) -> DataFrame:
+    """One row of ``docs`` per component, all columns kept: the smallest doc_id (null last), of
+    texts under one id the one with the smallest md5. Components are told apart by their
+    fingerprints, so rows without an id and different texts under one id stay unless they are near
+    copies of a kept row; of rows that repeat id and text one stays."""
+    hashed = documents(docs, id_col, text_col).withColumn("hash", F.md5("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole):
+                fps = pa.array([fingerprint(t, shingle, seed) for t in texts_of(batch)], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), fps], ["doc_id", "hash", "fp"])
 
-def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one row per id, all columns kept.
-    Rows that share an id count as one document."""
-    groups = near_groups(docs, id_col, text_col, **settings)
-    def key(doc_id):  # null ids have a key, too; the join's shuffle serves the last step as well
-        return F.coalesce(doc_id.cast("string"), F.lit("null"))
+    def key(sha, doc_id):  # one text key for both sides, so that the join's shuffle is the only one
+        return F.concat_ws(":", sha, doc_id.cast("string"))
 
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("__key"))
-    kept = docs.withColumn("__key", key(name(id_col).cast("long"))).join(keep, "__key", "left_semi")
+    seen = stage_table(hashed.mapInArrow(run, "doc_id bigint, hash string, fp bigint"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    keep = (rooted_fingerprints(seen, F.min(order), radius, shard).groupBy("root").agg(F.min("first").alias("first"))
+            .select(key(F.col("first.hash"), F.col("first.doc_id")).alias("__key")))
+    text_hash = F.md5(F.coalesce(name(text_col), F.lit("")))
+    kept = docs.withColumn("__key", key(text_hash, name(id_col).cast("long"))).join(keep, "__key", "left_semi")
     return kept.dropDuplicates(["__key"]).select(*[name(c) for c in docs.columns])

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from itertools import combinations
 
@@ -59,6 +60,16 @@ def test_cases(docs):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, want))
 
 
+def test_rows_without_an_id_and_texts_under_one_id_are_kept(docs):
+    text = lambda n: " ".join(f"{n}word{i * n}" for i in range(50))
+    rows = [(None, text(n)) for n in range(1, 6)] + [(None, text(3)), (None, text(1).upper()), (7, text(8)), (7, text(9)), (7, text(8)), (8, text(9)),
+                                                     (9, text(5)), (None, None), (None, "")]
+    assert len({slow_fingerprint(text(n)) for n in range(1, 10)}) == 9
+    kept = sorted(((r.doc_id, r.text or "") for r in keep_first_of_groups(docs(rows)).collect()), key=str)
+    first = min((text(1), text(1).upper()), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert kept == sorted([(None, first), *((None, text(n)) for n in (2, 3, 4)), (9, text(5)), (7, text(8)), (7, text(9)), (None, "")], key=str)
+
+
 def test_table(table):
     df = table("documents")
     assert got(near_groups(df)) == brute([(r.doc_id, r.text) for r in df.collect()])
