@@ -84,14 +84,19 @@ def reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns made from a table of conversations: chosen is a conversation up
     to its last assistant turn, rejected the same with that turn's text replaced by the last
     reply of its neighbour (conv_id with the lowest bit flipped), or without the turn if the
-    neighbour has none. Conversations without an assistant turn make no pair; one whose single
-    turn is dropped on the rejected side has none there and is left out by ``preference_rows``."""
+    neighbour has none. Null turns come first, so they belong to both sides; if all assistant
+    turns are null, the last is the one with the largest text, only null turns are up to it, and
+    on the rejected side the other null turns stay. Conversations without an assistant turn make
+    no pair; one whose single turn is dropped on the rejected side has none there and is left out
+    by ``preference_rows``."""
     t = conversations
     last = (t.filter("role = 'assistant'").groupBy("pair_id")
             .agg(F.max(F.struct("turn", "text")).alias("reply")))
-    upto = t.join(last.select("pair_id", F.col("reply.turn").alias("last_turn")), "pair_id").filter("not turn > last_turn")
+    upto = t.join(last.select("pair_id", F.col("reply.turn").alias("last_turn"), F.col("reply.text").alias("last_text")), "pair_id").filter(
+        "coalesce(turn <= last_turn, turn is null)")
     chosen = upto.select("pair_id", "turn", "role", "text")
-    before = upto.filter("turn < last_turn or turn is null and last_turn is not null").select("pair_id", "turn", "role", "text")
+    before = upto.filter("turn < last_turn or turn is null and (last_turn is not null or role <> 'assistant' or text <> last_text)").select(
+        "pair_id", "turn", "role", "text")
     neighbour = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("reply.text").alias("text"))
     swapped = last.select("pair_id", F.col("reply.turn").alias("turn")).join(neighbour, "pair_id").select(
         "pair_id", "turn", F.lit("assistant").alias("role"), "text")

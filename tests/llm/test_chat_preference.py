@@ -54,6 +54,37 @@ def test_empty_and_clashing(spark, chat):
                     1: (0, "", "<|assistant|>\nc<|end|>\n", "<|assistant|>\nb<|end|>\n", [[14, 23]], [[14, 23]])}
 
 
+def brute_sides(rows):
+    """Chosen and rejected turns of each conversation, row by row."""
+    rows = {(i, n, r or "", t or "") for i, n, r, t in rows if i is not None}
+    place = lambda n: -1 if n is None else n
+    reply = {}
+    for i, n, r, t in rows:
+        if r == "assistant":
+            reply[i] = max(reply.get(i, (-2, "", None)), (place(n), t, n), key=lambda x: x[:2])
+    chosen, rejected = [], []
+    for i, n, r, t in rows:
+        if i in reply and place(n) <= reply[i][0]:
+            chosen.append((i, n, r, t))
+            if place(n) < reply[i][0] or n is None and (r, t) != ("assistant", reply[i][1]):
+                rejected.append((i, n, r, t))
+    rejected += [(i, n, "assistant", reply[i ^ 1][1]) for i, (_, _, n) in reply.items() if i ^ 1 in reply]
+    return chosen, rejected
+
+
+def test_null_turns(chat):
+    rows = [(0, None, "system", "s"), (0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 2, "user", "late"),
+            (1, None, "assistant", "c"), (1, None, "user", "u"), (1, 3, "user", "late"), (1, None, "assistant", "bb"), (1, None, "assistant", "c"),
+            (2, None, "assistant", "alone"), (3, 0, "user", "no reply"), (4, None, "assistant", None), (5, None, "user", None), (5, 0, "assistant", "x")]
+    chosen, rejected = reply_pairs(chat(rows))
+    sides = brute_sides(rows)
+    for side, want in zip((chosen, rejected), sides, strict=True):
+        assert {tuple(r) for r in side.collect()} == set(want)
+    want = brute(*sides)
+    assert got(preference_rows(chosen, rejected)) == want and set(want) == {0, 1, 4, 5}
+    assert want[0][:2] == (2, "<|system|>\ns<|end|>\n<|user|>\na<|end|>\n")
+
+
 def test_table(table):
     t = turns(table("conversations"))
     chosen, rejected = reply_pairs(t)
