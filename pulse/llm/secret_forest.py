@@ -3,8 +3,8 @@
 1. Candidates: runs of 12 and more token characters with a digit, or of 16 and more capitals. A cheap pattern
    passes over the whole texts; only documents that hold a candidate are cut into words.
 2. Features of a candidate: its length, its characters' classes and the transitions between
-   them, how much of its letters the corpus's own dictionary covers (words of all documents,
-   joined by word), the document's path or source, and the words around it.
+   them, how much of its letters the corpus's own dictionary covers (words outside candidates,
+   counted by distinct texts, joined by word), the document's path or source, and the words around it.
 3. Labelled findings train ``RandomForestClassifier``; its probability decides, so candidates
    that no rule knows are judged, too. Without findings of a person's, ``rule_labels`` labels
    the clear cases.
@@ -23,6 +23,8 @@ from .common import name, stage_table
 TOKEN = r"[A-Za-z0-9+/_\-]{12,}"
 WORTH = r"[0-9]|^[A-Z]{16,}$"  # a digit, or capitals only
 GATE = r"(?=[A-Za-z+/_\-]*[0-9]|[A-Z]{16})" + TOKEN
+RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|[A-Z]{16,}(?![A-Za-z0-9+/_\-]))" + TOKEN  # a whole candidate
+SHARE = 1e-4  # of the distinct texts hold a dictionary word
 TRAIN_FINDINGS = 20_000  # bound of the labelled findings that fit the forest
 MASK = "<SECRET>"
 
@@ -52,11 +54,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.withColumn("candidate", F.explode(F.array_distinct(tokens)))
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", least: int = 5) -> DataFrame:
-    """(part): lower-case words of four and more ASCII letters that all texts together hold at
-    least ``least`` times."""
-    words = docs.select(F.explode(F.split(F.lower(name(text_col)), "[^a-z]+")).alias("part"))
-    return words.filter(F.length("part") >= 4).groupBy("part").count().filter(F.col("count") >= least).select("part")
+def dictionary(docs: DataFrame, text_col: str = "text", least: int = 5, share: float = SHARE) -> DataFrame:
+    """(part): lower-case words of four and more ASCII letters outside candidates that at least
+    ``least`` distinct texts and ``share`` of them hold. Copies of a text count once, and a
+    secret's own letters never, however often it stands anywhere."""
+    text = F.coalesce(name(text_col), F.lit(""))
+    outside = F.when(text.rlike(GATE), F.regexp_replace(text, RUN, " ")).otherwise(text)
+    words = F.filter(F.array_distinct(F.split(F.lower(outside), "[^a-z]+")), lambda w: F.length(w) >= 4)
+    texts = docs.select(F.md5(text).alias("h"), F.array_join(words, " ").alias("words")).groupBy("h", "words").agg(F.lit(1))
+    # The empty word stands in every text and counts them.
+    counts = stage_table(texts.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("words", " ")))).alias("part"))
+                         .groupBy("part").agg(F.count(F.lit(1)).alias("n")), "words")
+    return counts.filter((F.col("part") != "") & (F.col("n") >= max(least, share * _texts(counts)))).select("part")
+
+
+def _texts(counts: DataFrame) -> int:
+    return counts.filter("part = ''").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
 def coverage(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -71,6 +71,20 @@ def test_rules_and_redaction(spark):
     assert [r.score for r in scan(spark.createDataFrame([(1, "number 4111111111111111 only", "a")], S)).collect()] == [0.0]
 
 
+def test_copied_secret_does_not_cover_itself(spark):
+    rnd = random.Random(3)
+    token = "qWertZuiOpasdFghJklYxcvBnmQwerTzuiop7aSd"  # nearly all of it in letter runs
+    rows, _ = make(rnd)
+    rows += [(1000 + i, f"Authorization: Bearer {token} number {i}", "a") for i in range(60)]
+    rows += [(2000 + i, "seldomword is written in one copied text", "a") for i in range(60)]
+    df = spark.createDataFrame(rows, S)
+    words = {r.part for r in dictionary(df).collect()}
+    assert {"authorization", "everywhere", "number"} <= words and not words & {"seldomword", *re.findall("[a-z]{4,}", token.lower())}
+    found = [r for r in scan(df).collect() if r.candidate == token]
+    assert len(found) == 60 and all(r.covered == 0 and r.label is None for r in found)
+    assert {r.part for r in dictionary(df, share=0.5).collect()} < words
+
+
 def test_table(table):
     df = table("documents", MID)
     rows = {r.doc_id: r.text for r in df.collect()}
