@@ -1,7 +1,9 @@
 """Secret scanning with a random forest against false positives (built-in functions only).
 
-1. Candidates: runs of 12 and more token characters with a digit, or of 16 and more capitals. A cheap pattern
-   passes over the whole texts; only documents that hold a candidate are cut into words.
+1. Candidates: runs of 12 and more token characters with a digit or in mixed case, or of 16 and more
+   capitals or 24 and more letters; whole values of six and more characters that are assigned to
+   a secret's name (by = or :); passwords of four and more in user:password@host addresses. A cheap
+   pattern passes over the whole texts; only documents that hold a candidate are cut into words.
 2. Features of a candidate: its length, its characters' classes and the transitions between
    them, how much of its letters the corpus's own dictionary covers (words outside candidates,
    counted by distinct texts, joined by word), the document's path or source, and the words around it.
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 from .common import name, stage_table
 
 TOKEN = r"[A-Za-z0-9+/_\-]{12,}"
-WORTH = r"[0-9]|^[A-Z]{16,}$"  # a digit, or capitals only
-GATE = r"(?=[A-Za-z+/_\-]*[0-9]|[A-Z]{16})" + TOKEN
-RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|[A-Z]{16,}(?![A-Za-z0-9+/_\-]))" + TOKEN  # a whole candidate
+WORTH = r"[0-9]|[a-z][A-Z]|^[A-Z]{16,}$|^[A-Za-z]{24,}$"
+GATE = r"(?=[A-Za-z+/_\-]*(?:[0-9]|[a-z][A-Z])|[A-Z]{16}|[A-Za-z]{24})" + TOKEN
+END = r"(?![A-Za-z0-9+/_\-])"
+RUN = (r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*(?:[0-9]|[a-z][A-Z])|[A-Z]{16,}" + END + "|[A-Za-z]{24,}" + END + ")" + TOKEN)  # a whole candidate
 SHARE = 1e-4  # of the distinct texts hold a dictionary word
 TRAIN_FINDINGS = 20_000  # bound of the labelled findings that fit the forest
 MASK = "<SECRET>"
@@ -31,6 +34,9 @@ MASK = "<SECRET>"
 # Formats of keys that providers publish, and names that stand before a value.
 FORMATS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35})$"
 SECRET_NAMES = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api_?key|access_?key|credential|bearer|private_?key)"
+ASSIGNED = "(?i:" + SECRET_NAMES.removeprefix("(?i)") + r""")[A-Za-z0-9_\-]*["'\])]{0,2}\s*[=:]+\s*(\S{6,})"""  # group 3: the value
+ADDRESS = r"://[^\s/:@]*:([^\s/]{4,})@"
+ANY = f"{GATE}|{ASSIGNED}|{ADDRESS}"
 HARMLESS_NAMES = r"(?i)(commit|sha[0-9]*|md5|checksum|digest|etag|uuid|guid|order|invoice|phone|card|isbn|build|version)"
 EXAMPLE_PATHS = r"(?i)(test|example|sample|fixture|mock|docs?/)"
 
@@ -39,19 +45,29 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per candidate: doc_id, path, word_index (words end at one white-space character),
     candidate, word, two words before it and one behind."""
     path = F.coalesce(name(path_col), F.lit("")) if path_col else F.lit("")
-    d = docs.filter(name(text_col).rlike(GATE)).select(
-        name(id_col).cast("long").alias("doc_id"), path.alias("path"),
+    d = docs.filter(name(text_col).rlike(ANY)).select(
+        name(id_col).cast("long").alias("doc_id"), path.alias("path"), name(text_col).rlike(ASSIGNED).alias("assigns"),
         F.split(F.translate(name(text_col), "\t\n\x0b\x0c\r", "     "), " ").alias("words"))
 
     def at(i: Column) -> Column:
         return F.coalesce(F.get("words", i), F.lit(""))
 
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: at(i).rlike(GATE))
+    def holds(i: Column) -> Column:
+        return (at(i).rlike(f"{GATE}|{ADDRESS}")
+                | (F.col("assigns") & F.concat_ws(" ", at(i - 2), at(i - 1), at(i)).rlike(ASSIGNED + "$")))
+
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), holds)
     seen = F.transform(places, lambda i: F.struct(i.alias("word_index"), at(i).alias("word"), at(i - 1).alias("before"),
                                                   at(i - 2).alias("second_before"), at(i + 1).alias("behind")))
     rows = d.select("doc_id", "path", F.explode(seen).alias("s")).select("doc_id", "path", "s.*")
     tokens = F.filter(F.regexp_extract_all("word", F.lit(TOKEN), F.lit(0)), lambda c: c.rlike(WORTH))
-    return rows.withColumn("candidate", F.explode(F.array_distinct(tokens)))
+    value = F.regexp_extract(F.concat_ws(" ", "second_before", "before", "word"), ASSIGNED + "$", 3)
+    # Between its quotes, or without the punctuation that ends a sentence or a bracket.
+    quoted = F.regexp_extract(value, r"""^(["'`])(.+?)\1""", 2)
+    value = F.when(quoted != "", quoted).otherwise(F.regexp_replace(value, r"""^["'`]+|["'`,;.)\]}>]+$""", ""))
+    values = F.filter(F.array(value), lambda c: F.length(c) >= 6)
+    passwords = F.filter(F.array(F.regexp_extract("word", ADDRESS, 1)), lambda c: c != "")
+    return rows.withColumn("candidate", F.explode(F.array_distinct(F.concat(tokens, values, passwords))))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", least: int = 5, share: float = SHARE) -> DataFrame:
@@ -59,7 +75,8 @@ def dictionary(docs: DataFrame, text_col: str = "text", least: int = 5, share: f
     ``least`` distinct texts and ``share`` of them hold. Copies of a text count once, and a
     secret's own letters never, however often it stands anywhere."""
     text = F.coalesce(name(text_col), F.lit(""))
-    outside = F.when(text.rlike(GATE), F.regexp_replace(text, RUN, " ")).otherwise(text)
+    without = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ADDRESS, " "), ASSIGNED, " "), RUN, " ")
+    outside = F.when(text.rlike(ANY), without).otherwise(text)
     words = F.filter(F.array_distinct(F.split(F.lower(outside), "[^a-z]+")), lambda w: F.length(w) >= 4)
     texts = docs.select(F.md5(text).alias("h"), F.array_join(words, " ").alias("words")).groupBy("h", "words").agg(F.lit(1))
     # The empty word stands in every text and counts them.
@@ -89,13 +106,22 @@ def _moves(classes: Column, a: str, b: str) -> Column:
     return (F.length(classes) - F.length(F.replace(classes, F.lit(a + b), F.lit(a)))) / F.length(classes)
 
 
+def _own(candidate: Column) -> Column:
+    """What stands before the candidate in its word."""
+    return F.call_function("substring_index", F.col("word"), candidate, F.lit(1))
+
+
+def _is_password(candidate: Column) -> Column:
+    return F.regexp_extract("word", ADDRESS, 1) == candidate
+
+
 def features(found: DataFrame, covered: DataFrame) -> tuple[DataFrame, list[str]]:
     """``found`` with numeric feature columns, and their names."""
     c = F.col("candidate")
     # One letter per class: a lower, A upper, 0 digit, - sign.
     classes = F.translate(F.translate(F.translate(F.translate(c, "bcdefghijklmnopqrstuvwxyz", "a" * 25), "BCDEFGHIJKLMNOPQRSTUVWXYZ", "A" * 25),
                                       "123456789", "0" * 9), "+/_", "---")
-    own = F.call_function("substring_index", F.col("word"), c, F.lit(1))
+    own = _own(c)
     columns = {
         "f_length": F.length(c), "f_digits": _share(c, "[^0-9]"), "f_upper": _share(c, "[^A-Z]"), "f_lower": _share(c, "[^a-z]"),
         "f_signs": _share(c, "[A-Za-z0-9]"), "f_hex": _share(c, "[^0-9a-f]"), "f_vowels": _share(c, "[^aeiouAEIOU]"),
@@ -108,7 +134,7 @@ def features(found: DataFrame, covered: DataFrame) -> tuple[DataFrame, list[str]
         "f_secret_name": F.concat_ws(" ", "second_before", "before", own).rlike(SECRET_NAMES),
         "f_harmless_name": F.concat_ws(" ", "second_before", "before", own).rlike(HARMLESS_NAMES),
         "f_assigned": own.rlike("[=:][\"']?$") | F.col("before").rlike("[=:]$"), "f_quoted": F.col("word").rlike("^[\"'].*[\"'][.,;]?$"),
-        "f_address": F.col("word").rlike("@|://|\\.(com|org|net)"), "f_behind": F.col("behind").rlike("^[a-z]+[.,]?$"),
+        "f_address": F.col("word").rlike("@|://|\\.(com|org|net)") & ~_is_password(c), "f_behind": F.col("behind").rlike("^[a-z]+[.,]?$"),
         "f_alone": c == F.col("word"),
     }
     rows = found.join(covered, "candidate", "left")
@@ -117,9 +143,10 @@ def features(found: DataFrame, covered: DataFrame) -> tuple[DataFrame, list[str]
 
 def rule_labels(rows: DataFrame) -> DataFrame:
     """``rows`` of ``features`` with label 1.0 (a provider's format, or a mixed value assigned to
-    a secret's name), 0.0 (digits only, an address, a harmless name, dictionary words) or null."""
+    a secret's name or in the password's place of an address), 0.0 (digits only, an address, a harmless name, dictionary words) or null."""
     mixed = F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]")
-    secret = F.col("candidate").rlike(FORMATS) | ((F.col("f_secret_name") == 1) & (F.col("f_assigned") == 1) & mixed)
+    named = ((F.col("f_secret_name") == 1) & (F.col("f_assigned") == 1)) | _is_password(F.col("candidate"))
+    secret = F.col("candidate").rlike(FORMATS) | (named & mixed)
     harmless = ((F.col("f_digits") == 1) | (F.col("f_address") == 1) | (F.col("f_covered") > 0.6)
                 | ((F.col("f_harmless_name") == 1) & (F.col("f_secret_name") == 0)))
     return rows.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
@@ -169,15 +196,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
                          F.col("f_covered").alias("covered"), "label", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
+def _whole(value: Column) -> Column:
+    """A pattern of the literal value that letters and digits do not go on around."""
+    literal = F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), literal, F.lit("\\E(?![A-Za-z0-9])"))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", **settings) -> DataFrame:
     """``docs`` with every secret that ``scan`` found under a document's id replaced by ``MASK``
-    in its text. All rows and columns stay; texts without candidates are not moved."""
+    in its text, values that are no token only where they are no part of a longer word. All rows
+    and columns stay; texts without candidates are not moved."""
     secrets = (scan(docs, id_col, text_col, path_col, **settings).filter("is_secret")
                .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("candidate").alias("__secrets")))
-    gate = F.coalesce(name(text_col).rlike(GATE), F.lit(False))
+    gate = F.coalesce(name(text_col).rlike(ANY), F.lit(False))
     # Longest first: a secret may be part of another.
     ordered = F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a))
     masked = F.aggregate(F.coalesce(ordered, F.array().cast("array<string>")), name(text_col),
-                         lambda t, s: F.replace(t, s, F.lit(MASK)))
+                         lambda t, s: F.when(s.rlike(f"^{TOKEN}$"), F.replace(t, s, F.lit(MASK)))
+                         .otherwise(F.regexp_replace(t, _whole(s), F.lit(MASK))))
     hit = docs.filter(gate).join(secrets, name(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
     return docs.filter(~gate).unionByName(hit.withColumn(text_col, masked).select(*[name(c) for c in docs.columns]))

@@ -85,6 +85,30 @@ def test_copied_secret_does_not_cover_itself(spark):
     assert {r.part for r in dictionary(df, share=0.5).collect()} < words
 
 
+SHORT = [("password=hunter2", "hunter2"), ("pwd: Tr0ub4dor&3", "Tr0ub4dor&3"), ("passwd = 'P@ssw0rd!2024#',", "P@ssw0rd!2024#"),
+         ('{"db_password":"x9$\\\\Ek2(m"}', "x9$\\\\Ek2(m"), ("see ftp://joe:s3cr@t@host.org/x", "s3cr@t"),
+         ("password=correcthorsebattery", "correcthorsebattery"), ("key qWertZuiOpasdFgh", "qWertZuiOpasdFgh"),
+         ("MIIEvgIBADANBgkqhkiG/wBAQEFAASCBKgwggSkAgEAAo".translate({ord(c): None for c in "0123456789"}),) * 2,
+         ("key " + "qwertzuiopasdfghjklyxcvbnm", "qwertzuiopasdfghjklyxcvbnm")]
+
+
+def test_short_values_and_letters_are_candidates(spark):
+    rows = [(i, f"some words {t} more words", "a") for i, (t, _) in enumerate(SHORT)]
+    rows += [(50, "the password is long: sixteen characters of http://host:80/x and Token: abc", "a")]
+    got = {(r.doc_id, r.candidate) for r in candidates(spark.createDataFrame(rows, S)).collect()}
+    assert got == {(i, c) for i, (_, c) in enumerate(SHORT)}
+
+
+def test_short_values_are_masked(spark):
+    rows, truth = make(random.Random(5))
+    rows += [(1000 + i, f"some words {t} more words hunter2000", "src1") for i, (t, _) in enumerate(SHORT[:6])]
+    df = spark.createDataFrame(rows, S)
+    out = {r.doc_id: r.text for r in redact(df).collect()}
+    for i, (t, c) in enumerate(SHORT[:6]):
+        assert out[1000 + i] == f"some words {t} more words hunter2000".replace(c + " ", MASK + " ").replace(t, t.replace(c, MASK))
+    assert all((c in out[i]) != secret for i, (c, secret) in truth.items())
+
+
 def test_table(table):
     df = table("documents", MID)
     rows = {r.doc_id: r.text for r in df.collect()}
