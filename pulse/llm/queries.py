@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_preference, ctw, exact_dedup, mbs_packing, quality, recompression, secret_forest, sentencepiece_viterbi, simhash_bk, voronoi_knn
+from . import chat_preference, ctw, exact_dedup, mbs_packing, quality, recompression, resync_counts, secret_forest, sentencepiece_viterbi, simhash_bk, voronoi_knn
 from .common import read
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -115,3 +116,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_forest.scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("word_index").cast("long").alias("word_index"), "length", "label", "score", "is_secret",
                         F.sha2("candidate", 256).alias("candidate_sha256"))
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resync_counts.token_counts(read(spark, sf_dir, "documents"), WORDS, limit=2048)

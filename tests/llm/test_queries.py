@@ -32,4 +32,4 @@ def test_sql(spark, key):
 
 def test_entry_lists_them():
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{i}" for i in range(1, 14)}
