@@ -1,6 +1,8 @@
 """Token counts of whole texts, huge ones by overlapping chunks that are spliced again.
 
-Texts of up to ``chunk`` characters are encoded whole. Longer ones are cut into chunks that
+Texts of up to ``chunk`` characters are counted whole; where the tokeniser drops white space between
+its pre-tokens, as the sum over white-space separated units, of which a task gives each distinct
+one to the library once. Longer ones are cut into chunks that
 overlap; every chunk is a row of its own, so one huge document is encoded by many tasks. Of two
 neighbouring chunks A and B, A's tokens before a position p and B's tokens from p on are joined.
 p is proven to be a boundary of the whole text's encoding if
@@ -36,6 +38,9 @@ CHUNK = 1 << 16      # characters of a chunk in the first round
 OVERLAP = 1 << 12    # characters that neighbours share
 WIDER = 4            # both grow by this factor a round
 LOOK = 2             # characters that an expression may look ahead
+UNIT, MEMO = 64, 1 << 19   # bytes of a unit, and units, that a task remembers
+# Fixed value: an expression none of whose matches holds white space.
+SEPARATED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @lru_cache(maxsize=4)
@@ -84,12 +89,52 @@ def word_starts(path: str, text: str) -> tuple[int, np.ndarray, np.ndarray]:
     return len(words), begins[first], first
 
 
-def _short_counts(path: str):
+def white_space_separates(path: str) -> bool:
+    """Whether ASCII white space ends every pre-token and is dropped: then a text's count is the
+    sum of the counts of its white-space separated units. Read from the file; False if unsure."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    norm = spec.get("normalizer") or {}
+    return (steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+            and steps[0].get("pattern") == {"Regex": SEPARATED}
+            and steps[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+            and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and norm["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+            and not any(c.isspace() for a in spec.get("added_tokens") or [] for c in a["content"])
+            and not any(a[k] for a in spec.get("added_tokens") or [] for k in ("lstrip", "rstrip", "single_word")))
+
+
+class _Units:
+    """Counts of texts as sums over their units; the library sees each distinct short unit once."""
+
+    def __init__(self, path: str):
+        self.path, self.known = path, {}
+
+    def __call__(self, texts: list[bytes]) -> list[int]:
+        if len(self.known) > MEMO:
+            self.known = {}
+        split = [t.split() for t in texts]
+        new = list({u for units in split for u in units}.difference(self.known))
+        found = tokenizer(self.path).encode_batch_fast([u.decode("utf-8", "replace") for u in new], add_special_tokens=False)
+        fresh = dict(zip(new, map(len, found)))
+        self.known.update((u, n) for u, n in fresh.items() if len(u) <= UNIT)
+        return [sum(self.known[u] if u in self.known else fresh[u] for u in units) for units in split]
+
+
+def _whole(path: str):
+    def run(texts: list[bytes]) -> list[int]:
+        found = tokenizer(path).encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [len(e) for e in found]
+    return run
+
+
+def _short_counts(path: str, separate: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _Units(path) if separate else _whole(path)
         for batch in batches:
             for part in text_slices(batch):
-                texts = [b.decode("utf-8", "replace") for b in texts_of(part)]
-                n = [len(e) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+                n = count(texts_of(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(n, pa.int64())],
                                                  ["doc_id", "n_bytes", "n_tokens"])
     return run
@@ -169,7 +214,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048, chunk: int = CHUNK
     if overlap < longest_added(path) + 2 * LOOK or chunk < 2 * overlap:
         raise ValueError("the overlap must exceed every added token, and the chunk twice the overlap")
     docs = documents(df, id_col, text_col).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
-    counted = docs.filter(F.length("text") <= chunk).mapInArrow(_short_counts(path), "doc_id long, n_bytes long, n_tokens long")
+    counted = docs.filter(F.length("text") <= chunk).mapInArrow(_short_counts(path, white_space_separates(path)), "doc_id long, n_bytes long, n_tokens long")
     # A written key stays the same however often a task is repeated.
     huge = stage_table(docs.filter(F.length("text") > chunk).withColumn("key", F.monotonically_increasing_id()), "huge")
     rest = huge

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pulse.llm.queries import QUERIES, WORDS
-from pulse.llm.resync_counts import begins_fresh, token_counts
+from pulse.llm.resync_counts import begins_fresh, token_counts, white_space_separates
 
 TEXTS = [
     None, "", "   \n\t ", "Plain words, it's 42's and 'twas; they'll 've 'VE.", "-" * 900, "ab " * 300, "a" * 1500,
@@ -61,6 +61,10 @@ def test_query_and_extra_columns(spark):
     assert token_counts(clash.limit(0), WORDS).count() == 0
 
 
+def test_units_only_where_white_space_separates():
+    assert white_space_separates(WORDS) and not white_space_separates(P.path("byte_bpe_50k.json"))
+
+
 def test_boundary_characters():
     assert all(map(begins_fresh, "a -<日é가"))
     assert not any(map(begins_fresh, "́ᅡᆨ̈́া"))
