@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_preference, ctw, exact_dedup, mbs_packing, quality, recompression, resync_counts, secret_forest, sentencepiece_viterbi, simhash_bk, voronoi_knn
+from . import chat_preference, ctw, exact_dedup, mbs_packing, quality, recompression, resync_counts, secret_forest, sentencepiece_viterbi, simhash_bk, variant_groups, voronoi_knn
 from .common import read
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -121,3 +121,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_token_counts")
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resync_counts.token_counts(read(spark, sf_dir, "documents"), WORDS, limit=2048)
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups.spelling_variants(read(spark, sf_dir, "documents"), shortest=6, least=5, rate=199, ratio=5)
