@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_preference, ctw, exact_dedup, mbs_packing, quality, recompression, resync_counts, secret_forest, sentencepiece_viterbi, simhash_bk, variant_groups, voronoi_knn
+from . import bag_search, chat_preference, ctw, exact_dedup, mbs_packing, quality, recompression, resync_counts, secret_forest, sentencepiece_viterbi, simhash_bk, variant_groups, voronoi_knn
 from .common import read
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -126,3 +126,26 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants")
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_groups.spelling_variants(read(spark, sf_dir, "documents"), shortest=6, least=5, rate=199, ratio=5)
+
+
+@query("op13_lexical_search", r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+d AS (SELECT r, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM t WHERE len(terms) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * s.docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+m AS (SELECT r, doc_id, 100 - 50 + ((50 * n * s.docs) // s.len) AS m FROM d, s),
+i AS (SELECT DISTINCT item, item_id, term FROM (SELECT item, item_id,
+             unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM (SELECT row_number() OVER () AS item, item_id, coalesce(text, '') AS text FROM benchmark))),
+score AS (SELECT i.item, i.item_id, m.r, m.doc_id, CAST(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * m.m))) AS BIGINT) AS score
+          FROM i JOIN tf ON tf.term = i.term JOIN w ON w.term = i.term JOIN m ON m.r = tf.r GROUP BY i.item, i.item_id, m.r, m.doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+           FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
