@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import documents, name, stage_table, text_slices, texts_of
 
 ENTRIES = 1 << 20    # (term, item) entries of a block of items; a single larger item is a block
-CELLS = 1 << 21      # scores, and additions to them, that a task holds at once
+CELLS = 1 << 18      # scores, and additions to them, that a task holds at once
+BAGS = 1 << 21       # bytes of packed bags that a task unpacks at once
 
 # UTF-8 bytes: A-Z to a-z; ASCII other than letters and digits to a space, all else stays.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -65,8 +66,9 @@ def unpacked(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        number, df = np.unique(unpacked(batch.column("bag").to_pylist())[1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(df.astype(np.int64))], ["number", "df"])
+        for part in text_slices(batch, BAGS, "bag"):
+            number, df = np.unique(unpacked(part.column("bag").to_pylist())[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(df.astype(np.int64))], ["number", "df"])
 
 
 class _Best:
@@ -94,7 +96,7 @@ def _best_classes(weight: np.ndarray, start: np.ndarray, items_of: np.ndarray, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(items, k)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, BAGS, "bag")):
             classes = batch.column("class").to_numpy(zero_copy_only=False)
             first = batch.column("first").fill_null(LAST).to_numpy(zero_copy_only=False)
             m = batch.column("m").to_numpy(zero_copy_only=False)

@@ -31,6 +31,25 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                      F.coalesce(name(text_col), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, wanted: str) -> str:
+    """A column name that ``df`` does not have: ``wanted``, lengthened where it is taken."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def one_per_key(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """One row per value of the helper column ``key``, which goes: the smallest by its raw text (null
+    first), then by its other columns as JSON. So the choice does not depend on the rows' order."""
+    columns = [c for c in rows.columns if c != key]
+    others = [name(c) for c in columns if c != text_col]
+    order = F.struct(name(text_col).alias("text"), (F.to_json(F.struct(*others)) if others else F.lit("")).alias("rest"))
+    # The key holds the id and the text's hash, so only repeated rows meet; they are combined before any shuffle.
+    picked = rows.groupBy(name(key)).agg(F.min_by(F.struct(*[name(c) for c in columns]), order).alias("row"))
+    return picked.select("row.*").select(*[name(c) for c in columns])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -59,14 +78,14 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def text_slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut an Arrow batch with a ``text`` column into slices of about ``most_bytes`` of text
+def text_slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut an Arrow batch with a ``text`` (or other) column into slices of about ``most_bytes`` of it
     (a longer single text is a slice of its own), which bounds what a task holds at once."""
     n = batch.num_rows
     if not n:
         return
     import pyarrow.compute as pc
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i in range(n):
         if held and held + sizes[i] > most_bytes:
