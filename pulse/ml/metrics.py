@@ -1,21 +1,18 @@
 """Evaluation metrics as aggregates.
 
 Curves and rank metrics never sort all rows in one partition. Scores are first collapsed to
-(group, score) counts (partial aggregation), then cumulative counts in descending score
-order are assembled from two small pieces: prefix sums over at most ``buckets + 1`` bucket
-totals per group, and running sums inside each (group, bucket) window partition.
+(group, score) counts (partial aggregation), then cumulative counts in descending score order come
+from ``ranks.running_sums``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-BUCKETS = 128
+from .ranks import PIECE, running_sums
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -71,38 +68,20 @@ def score_counts(df: DataFrame, group: Sequence[str], score: str, label: str) ->
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def cumulative_desc(counts: DataFrame, group: Sequence[str], score: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add cp/cn = positives/negatives with score >= this score, and P/N totals per group.
-
-    The counts are checkpointed: what made the scores runs once. Buckets are cut at approximate
-    quantiles of the distinct scores, so they stay even however the scores crowd together;
-    prefix sums run over <= buckets + 1 bucket totals per group, and the running sums inside a
-    bucket are windows partitioned by (group, bucket), so no single task sees all scores.
-    """
-    ensure_checkpoint_dir(counts.sparkSession)
-    counts = counts.checkpoint()
-    cuts = sorted(set(counts.approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda q: q <= F.col(score))) if cuts else F.lit(0)
-    b = counts.withColumn("_b", bucket)
-    bt = b.groupBy(*group, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    above = Window.partitionBy(*group).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    off = bt.select(*group, "_b",
-                    F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_op"),
-                    F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_on"),
-                    F.sum("_bp").over(whole).alias("P"), F.sum("_bn").over(whole).alias("N"))
-    inside = Window.partitionBy(*group, "_b").orderBy(F.col(score).desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    run = b.select(*group, "_b", score, "pos", "neg",
-                   F.sum("pos").over(inside).alias("_ip"), F.sum("neg").over(inside).alias("_in"))
-    j = run.join(off, [*group, "_b"])
-    return j.select(*group, score, "pos", "neg", (F.col("_ip") + F.col("_op")).alias("cp"),
-                    (F.col("_in") + F.col("_on")).alias("cn"), "P", "N")
+def cumulative_desc(counts: DataFrame, group: Sequence[str], score: str, piece: int = PIECE) -> DataFrame:
+    """Add cp/cn = positives/negatives with score >= this score, and P/N totals per group."""
+    done = running_sums(counts, group, [F.col(score).desc()], {"cp": F.col("pos"), "cn": F.col("neg")}, {"P": "cp", "N": "cn"}, piece)
+    return done.select(*group, score, "pos", "neg", "cp", "cn", "P", "N")
 
 
 def curve_points(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
     """Per distinct score: cumulative TP/FP at threshold = score, with precision and recall."""
-    c = cumulative_desc(score_counts(df, group, score, label), group, score)
+    return points_of_counts(score_counts(df, group, score, label), group, score)
+
+
+def points_of_counts(counts: DataFrame, group: Sequence[str], score: str) -> DataFrame:
+    """``curve_points`` from ``score_counts``."""
+    c = cumulative_desc(counts, group, score)
     return c.select(*group, F.col(score).alias("threshold"), "pos", "neg", "cp", "cn", "P", "N",
                     _div0(F.col("cp"), F.col("cp") + F.col("cn")).alias("precision"),
                     _div0(F.col("cp"), F.col("P")).alias("recall"))

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..session import ensure_checkpoint_dir
-from .folds import exact_rank, hash_key
+from .folds import exact_rank as hash_rank
+from .folds import hash_key
+from .ranks import exact_rank
 
 PROJECTIONS, WIDTH, BLOCK = 8, 12, 1024
 
@@ -40,51 +42,30 @@ def _nearest(cands: Column, k: int) -> Column:
     return F.slice(F.array_sort(F.array_distinct(cands)), 1, k)
 
 
-def _positions(rows: DataFrame, proj: str) -> DataFrame:
-    """``rows`` with ``_pos``, the exact place in the order of a projection column: quantile
-    buckets of the order, prefix sums of their sizes, row numbers inside."""
-    n = rows.count()
-    parts = max(1, -(-n // (4 * BLOCK)))
-    cuts = sorted(set(rows.approxQuantile(proj, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda q: q <= F.col(proj))) if cuts else F.lit(0)
-    b = rows.withColumn("_b", bucket)
-    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_b").orderBy(proj, "_id")
-    return (b.withColumn("_rn", F.row_number().over(inside)).join(starts, "_b")
-            .withColumn("_pos", F.col("_start") + F.col("_rn") - 1).drop("_b", "_rn", "_start"))
-
-
 def neighbours(rows: DataFrame, k: int, dim: int, seed: int = C.SEED) -> DataFrame:
     """(_id, _nb): the k nearest other rows of each of ``rows`` (_id, _x array<double>) as an
     array of (d, id, x), nearest first."""
     rng = np.random.RandomState(seed)
     x = F.transform("_x", lambda v: F.coalesce(v, F.lit(0.0)))
     nudge = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 20)).cast("double") * 1e-15
-    names = [f"_p{t}" for t in range(PROJECTIONS)]
-    cols = []
-    for name in names:
+    values = []
+    for t in range(PROJECTIONS):
         w = F.array(*[F.lit(float(v)) for v in rng.normal(size=dim)])
         p = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        cols.append((p + (F.abs(p) + 1.0) * nudge).alias(name))
-    rows = rows.select("_id", x.alias("_x"), *cols).checkpoint()
-    lists = []
-    for name in names:
-        placed = _positions(rows.select("_id", "_x", name), name)
-        own = F.floor(F.col("_pos") / BLOCK)
-        at = F.col("_pos") % BLOCK
-        # A row stands in its own block and, near an edge, in the one beyond it.
-        blocks = F.filter(F.array(own, F.when(at < WIDTH, own - 1), F.when(at >= BLOCK - WIDTH, own + 1)), lambda v: v.isNotNull())
-        near = Window.partitionBy("_block").orderBy("_pos").rowsBetween(-WIDTH, WIDTH)
-        seen = (placed.withColumn("_own", own).withColumn("_block", F.explode(blocks))
-                .withColumn("_c", F.collect_list(F.struct(F.col("_id").alias("id"), F.col("_x").alias("x"))).over(near))
-                .where(F.col("_block") == F.col("_own")))
-        lists.append(seen.select("_id", "_x", _nearest(F.transform(F.filter("_c", lambda c: c["id"] != F.col("_id")), lambda c: F.struct(
-            _distance(c["x"], F.col("_x")).alias("d"), c["id"].alias("id"), c["x"].alias("x"))), k).alias("_nb")))
-    merged = lists[0]
-    for part in lists[1:]:
-        merged = merged.unionByName(part)
+        values.append(F.struct(F.lit(t).alias("t"), (p + (F.abs(p) + 1.0) * nudge).alias("p")))
+    # All projections in one long table: one range sort and one window place them all.
+    long = rows.select("_id", x.alias("_x"), F.explode(F.array(*values)).alias("_v")).select("_id", "_x", "_v.t", "_v.p")
+    placed = exact_rank(long, ["t"], [F.col("p"), F.col("_id")], "_pos")
+    own = F.floor(F.col("_pos") / BLOCK)
+    at = F.col("_pos") % BLOCK
+    # A row stands in its own block and, near an edge, in the one beyond it.
+    blocks = F.filter(F.array(own, F.when(at < WIDTH, own - 1), F.when(at >= BLOCK - WIDTH, own + 1)), lambda v: v.isNotNull())
+    near = Window.partitionBy("t", "_block").orderBy("_pos").rowsBetween(-WIDTH, WIDTH)
+    seen = (placed.withColumn("_own", own).withColumn("_block", F.explode(blocks))
+            .withColumn("_c", F.collect_list(F.struct(F.col("_id").alias("id"), F.col("_x").alias("x"))).over(near))
+            .where(F.col("_block") == F.col("_own")))
+    merged = seen.select("_id", "_x", _nearest(F.transform(F.filter("_c", lambda c: c["id"] != F.col("_id")), lambda c: F.struct(
+        _distance(c["x"], F.col("_x")).alias("d"), c["id"].alias("id"), c["x"].alias("x"))), k).alias("_nb"))
     first = merged.groupBy("_id").agg(F.first("_x").alias("_x"), F.flatten(F.collect_list("_nb")).alias("_nb"))
     first = first.select("_id", "_x", _nearest(F.col("_nb"), k).alias("_nb")).checkpoint()
     # One round over the neighbours' neighbours.
@@ -124,7 +105,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[
         "_x", F.array(*[F.col(c).cast("double") for c in feats]))
     near = neighbours(mino.select("_id", "_x"), k, len(feats), seed)
     mino = mino.join(near, "_id", "left")
-    ranked = exact_rank(mino, [], hash_key(list(id_cols), seed), list(id_cols))
+    ranked = hash_rank(mino, [], hash_key(list(id_cols), seed), list(id_cols))
     per, left = divmod(n_new, n_min)
     m = F.lit(per) + F.when(F.col("_rank") < left, F.lit(1)).otherwise(F.lit(0))
     gen = ranked.where(m > 0).withColumn("_j", F.explode(F.sequence(F.lit(1), m)))

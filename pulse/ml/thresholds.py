@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .metrics import _div0, curve_points
+from ..session import ensure_checkpoint_dir
+from .metrics import _div0, curve_points, points_of_counts, score_counts
 
 
 def grid(spec: tuple = C.GRID_COARSE) -> list[float]:
@@ -29,12 +30,13 @@ def grid(spec: tuple = C.GRID_COARSE) -> list[float]:
 def f1_grid(df: DataFrame, group: Sequence[str], score: str, label: str, values: Sequence[float],
             init_best: float = 0.0, default: float = C.DEFAULT_THRESHOLD) -> DataFrame:
     """Best F1 over a fixed grid of thresholds; keep ``default`` unless F1 > init_best."""
-    # A score counts for every grid value not above it: rows collapse to one cell per highest
-    # such value first, and only the cells (at most grid + 1 per group) meet the grid.
+    # Rows collapse to score counts first: the score is computed once a row, not once a grid value.
+    # A score counts for every grid value not above it: counts collapse to one cell per highest
+    # such value, and only the cells (at most grid + 1 per group) meet the grid.
     arr = F.array(*[F.lit(v) for v in values])
     cell = F.size(F.filter(arr, lambda t: t <= F.col(score)))
-    cells = df.groupBy(*group, cell.alias("cell")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    cells = score_counts(df, group, score, label).groupBy(*group, cell.alias("cell")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     g = cells.select(*group, "cell", "pos", "neg", F.posexplode(arr).alias("i", "t"))
     above = F.col("cell") > F.col("i")
     agg = g.groupBy(*group, "t").agg(
@@ -52,7 +54,40 @@ def f1_grid(df: DataFrame, group: Sequence[str], score: str, label: str, values:
 
 def f1_curve(df: DataFrame, group: Sequence[str], score: str, label: str, eps: float = 1e-12) -> DataFrame:
     """Threshold of maximum F1 on the precision-recall curve."""
-    p = curve_points(df, group, score, label)
+    return _best_f1(curve_points(df, group, score, label), group, eps)
+
+
+def train_fold_thresholds(sides: DataFrame, group: Sequence[str], score: str, label: str, eps: float = 1e-12) -> DataFrame:
+    """M23 by folds: (group, fold, threshold, train_f1, test_f1).
+
+    ``sides`` holds, for every (group, fold), the scored rows of both sides (``side`` 'train' or
+    'test'). One pass collapses them to (group, fold, side, score) counts; the training side's
+    curve gives the threshold, at which the test side's counts are added up.
+    """
+    ensure_checkpoint_dir(sides.sparkSession)
+    keys = [*group, "fold"]
+    counts = score_counts(sides, [*keys, "side"], score, label).checkpoint()
+    best = _best_f1(points_of_counts(counts.where("side = 'train'").drop("side"), keys, score), keys, eps)
+    test = counts.where("side = 'test'").join(best.select(*keys, "threshold"), keys)
+    hit = F.col(score) >= F.col("threshold")
+    tp, fp, fn = (F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)) for c, n in ((hit, "pos"), (hit, "neg"), (~hit, "pos")))
+    tested = test.groupBy(*keys).agg(_div0(2 * tp, 2 * tp + fp + fn).alias("test_f1"))
+    return best.withColumnRenamed("f1", "train_f1").join(tested, keys, "left")
+
+
+def fold_sides(scored: DataFrame, k: int) -> DataFrame:
+    """Rows with one score each (a model that is not fitted per fold) on both sides of all k folds:
+    (fold, side) instead of the row's own ``fold``."""
+    return (scored.withColumnRenamed("fold", "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+            .withColumn("side", F.when(F.col("_own") == F.col("fold"), "test").otherwise("train")).drop("_own"))
+
+
+def median_threshold(by_fold: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, threshold, mean_f1): the folds' median threshold and mean test F1."""
+    return by_fold.groupBy(*group).agg(F.median("threshold").alias("threshold"), F.avg("test_f1").alias("mean_f1"))
+
+
+def _best_f1(p: DataFrame, group: Sequence[str], eps: float) -> DataFrame:
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + eps)
     best = p.select(*group, "threshold", f1.alias("f1")).groupBy(*group).agg(
         F.max_by(F.struct("threshold", "f1"), F.struct(F.col("f1"), -F.col("threshold"))).alias("b"))
