@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ from pyspark.sql.types import LongType
 
 from .common import documents, stage_table, text_slices
 
+RUN = 5_000
+SPACE_RUN = re.compile(r"\s{%d}" % (RUN + 1))
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -59,13 +62,18 @@ def encoder(path: str, added_tokens: bool = False):
         ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         bpe = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        if not added_tokens:
-            return lambda text: bpe.encode_to_numpy(text, disallowed_special=())
-        return lambda text: (_library(path, True)(text) if any(t in text for t in added)
+        own = _library(path, added_tokens)
+        # tiktoken fails on very long white space and is slow on very long words.
+        return lambda text: (own(text) if added_tokens and any(t in text for t in added) or long_run(text)
                              else bpe.encode_to_numpy(text, disallowed_special=()))
     return _library(path, added_tokens)
 
 
+def long_run(text: str) -> bool:
+    """Whether a text holds more than ``RUN`` characters of white space, or of none, in a row."""
+    return len(text) > RUN and (max(map(len, text.split()), default=0) > RUN or bool(SPACE_RUN.search(text)))
+
+
 @lru_cache(maxsize=4)
 def _library(path: str, added_tokens: bool):
     from tokenizers import Tokenizer
