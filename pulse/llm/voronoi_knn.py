@@ -31,15 +31,14 @@ STRIPE = 2048        # vectors multiplied at once inside a task
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, vec array<bigint>): floor(scale * x) of every component in double precision. Rows
-    with a null id, a null vector or null or non-finite components are left out; of rows under
-    one id the smallest vector stays."""
+    """(row, id, vec array<bigint>): floor(scale * x) of every component in double precision and a
+    number of the row's own, which holds once written. Rows with a null id, a null vector or null or
+    non-finite components are left out."""
     vec = F.transform(name(vector_col).cast("array<double>"), lambda x: x)
     ok = (name(id_col).isNotNull() & vec.isNotNull()
           & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    return (df.filter(ok).select(name(id_col).cast("long").alias("id"),
-                                 F.transform(vec, lambda x: F.floor(x * F.lit(float(scale)))).alias("vec"))
-            .groupBy("id").agg(F.min("vec").alias("vec")))
+    return df.filter(ok).select(F.monotonically_increasing_id().alias("row"), name(id_col).cast("long").alias("id"),
+                                F.transform(vec, lambda x: F.floor(x * F.lit(float(scale)))).alias("vec"))
 
 
 def _matrix(cells, dtype: str, dim: int) -> np.ndarray:
@@ -57,16 +56,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 NONE = np.int64(-(2**63) + 1)  # the score of no vector
 
 
-def solve(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """Top k of each query among the vectors, its own id excluded: (query_id, vec_id, score)."""
+def solve(q_rows: np.ndarray, q_ids: np.ndarray, q: np.ndarray, v_rows: np.ndarray, v_ids: np.ndarray, v: np.ndarray,
+          k: int) -> pd.DataFrame:
+    """Top k of each query row among the vectors, its own row excluded: (query_row, query_id, vec_id, score)."""
     order = np.argsort(v_ids, kind="stable")
-    v_ids, v = v_ids[order], v[order]
+    v_rows, v_ids, v = v_rows[order], v_ids[order], v[order]
     best = np.full((len(q_ids), k), NONE)
     best_ids = np.full((len(q_ids), k), np.iinfo(np.int64).max)
     for i in range(0, len(v_ids), STRIPE):
         ids = v_ids[i:i + STRIPE]
         s = (q @ v[i:i + STRIPE].T).astype(np.int64)
-        s[q_ids[:, None] == ids[None, :]] = NONE
+        s[q_rows[:, None] == v_rows[None, i:i + STRIPE]] = NONE
         if len(ids) > k:
             # Ids ascend inside a stripe, so (score, -place) as one integer breaks ties by id.
             if np.abs(s[s != NONE]).max(initial=0) < 2**50:
@@ -79,18 +79,18 @@ def solve(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k:
             found = np.broadcast_to(ids, s.shape)
         best, best_ids = _best(np.hstack([best, s]), np.hstack([best_ids, found]), k)
     row, col = np.nonzero(best != NONE)
-    yield pd.DataFrame({"query_id": q_ids[row], "vec_id": best_ids[row, col], "score": best[row, col]})
+    return pd.DataFrame({"query_row": q_rows[row], "query_id": q_ids[row], "vec_id": best_ids[row, col], "score": best[row, col]})
 
 
 def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, scale: int = 64,
           id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS,
           query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
-    """The k highest integer inner products of every query with all other vectors.
+    """The k highest integer inner products of every query row with all other rows.
 
     Columns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; fewer rows if
     there are fewer vectors. Components are floor(scale * x). Rows with a null id, null vector,
-    or null or non-finite components take no part; of rows repeated under one id the smallest
-    vector counts, once. Shorter vectors count as padded with zeros. Empty tables give no rows.
+    or null or non-finite components take no part. Every row is a vector of its own: rows under one
+    id find each other, and each query row under one id has ranks of its own. Shorter vectors count as padded with zeros. Empty tables give no rows.
     Other input columns are ignored.
     """
     spark = vectors.sparkSession
@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
         return out
 
     # Pivots: a bounded choice by hash, equal vectors once.
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    chosen = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(pivots).collect()
     p = np.unique(np.array([padded(r.vec) for r in chosen]), axis=0).astype(np.float64)
     p_sq = (p * p).sum(1)
 
@@ -123,15 +123,15 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
             cell = d2.argmin(1)
             dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("query"), pa.array(cell, pa.int32()), pa.array(dist), pa.array(np.sqrt(sq)),
-                 pa.array([r.tobytes() for r in m.astype(dtype)], pa.binary())], ["id", "query", "cell", "dist", "norm", "vec"])
+                [b.column("row"), b.column("id"), b.column("query"), pa.array(cell, pa.int32()), pa.array(dist), pa.array(np.sqrt(sq)),
+                 pa.array([r.tobytes() for r in m.astype(dtype)], pa.binary())], ["row", "id", "query", "cell", "dist", "norm", "vec"])
 
     assigned = stage_table(
         rows.withColumn("query", F.coalesce(is_query(F.col("id")), F.lit(False)))
-        .mapInArrow(assign, "id bigint, query boolean, cell int, dist double, norm double, vec binary"), "assigned")
+        .mapInArrow(assign, "row bigint, id bigint, query boolean, cell int, dist double, norm double, vec binary"), "assigned")
 
     # Summaries: pivots x (k + 1) distances.
-    nearest = Window.partitionBy("cell").orderBy("dist", "id")
+    nearest = Window.partitionBy("cell").orderBy("dist", "row")
     summary = (assigned.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1)
                .select("cell", "dist").collect())
     s_cell = np.array([r.cell for r in summary])
@@ -171,25 +171,26 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g_cell[group], pa.int32()), pa.array(block, pa.int32()), b.column("block").take(at),
-                     b.column("id").take(at), b.column("vec").take(at)], ["cell", "q_block", "d_block", "id", "vec"])
+                     b.column("row").take(at), b.column("id").take(at), b.column("vec").take(at)],
+                    ["cell", "q_block", "d_block", "row", "id", "vec"])
 
-    keyed = assigned.select("id", "cell", "vec", "norm", "query")
-    data = (keyed.select("id", "vec", "norm", F.pmod(F.xxhash64("id"), F.lit(d_blocks)).cast("int").alias("block"))
-            .mapInArrow(replicate, "cell int, q_block int, d_block int, id bigint, vec binary"))
+    keyed = assigned.select("row", "id", "cell", "vec", "norm", "query")
+    data = (keyed.select("row", "id", "vec", "norm", F.pmod(F.xxhash64("row"), F.lit(d_blocks)).cast("int").alias("block"))
+            .mapInArrow(replicate, "cell int, q_block int, d_block int, row bigint, id bigint, vec binary"))
     blocks_of = F.create_map(*[F.lit(int(x)) for pair in zip(g_cell, g_blocks, strict=True) for x in pair])
     asked = keyed.filter("query").select(
-        "cell", F.pmod(F.xxhash64("id", F.lit(1)), blocks_of[F.col("cell")]).cast("int").alias("q_block"),
-        F.explode(F.sequence(F.lit(0).cast("int"), F.lit(d_blocks - 1).cast("int"))).alias("d_block"), "id", "vec")
+        "cell", F.pmod(F.xxhash64("row", F.lit(1)), blocks_of[F.col("cell")]).cast("int").alias("q_block"),
+        F.explode(F.sequence(F.lit(0).cast("int"), F.lit(d_blocks - 1).cast("int"))).alias("d_block"), "row", "id", "vec")
 
     def local(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
-        return next(solve(q["id"].to_numpy(), _matrix(q["vec"], dtype, dim),
-                          v["id"].to_numpy(), _matrix(v["vec"], dtype, dim), k))
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_row", "query_id", "vec_id", "score")})
+        return solve(q["row"].to_numpy(), q["id"].to_numpy(), _matrix(q["vec"], dtype, dim),
+                     v["row"].to_numpy(), v["id"].to_numpy(), _matrix(v["vec"], dtype, dim), k)
 
     key = ["cell", "q_block", "d_block"]
     partial = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(
-        local, "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        local, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

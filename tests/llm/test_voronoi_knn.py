@@ -9,16 +9,12 @@ SCHEMA = "vec_id bigint, embedding array<float>"
 
 
 def brute(rows, k, every=20):
-    ints = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        ints.setdefault(i, []).append([math.floor(64 * x) for x in v])
-    ints = {i: min(v) for i, v in ints.items()}
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v in rows
+            if i is not None and v is not None and not any(x is None or not math.isfinite(x) for x in v)]
     out = []
-    for q, a in ints.items():
+    for n, (q, a) in enumerate(ints):
         if q % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ints.items() if i != q)[:k]
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(ints) if m != n)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -55,3 +51,15 @@ def test_few_large_and_no_vectors(spark):
     assert got(top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), lambda i: i % 20 == 0)) == brute(rows, 20)
     assert top_k(spark.createDataFrame([], SCHEMA), lambda i: i % 20 == 0).count() == 0
     assert top_k(spark.createDataFrame([(1, [1.0])], SCHEMA), lambda i: i % 20 == 0).count() == 0
+
+
+def test_rows_under_one_id(spark, tmp_path):
+    import duckdb
+    from pulse.llm.queries import QUERIES, SQL
+    rows = [(20, [1.0, 0.0]), (20, [9.0, 9.0]), (1, [3.0, 1.0]), (1, [5.0, 0.0]), (2, [2.0, 0.0]), (40, [0.5, 0.5]), (40, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(SQL["op7_exact_top_k"]).fetchall())
+    assert got(QUERIES["op7_exact_top_k"](spark, str(tmp_path))) == want == brute(rows, 20) and len(want) == 24
