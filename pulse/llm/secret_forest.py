@@ -20,11 +20,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import name, stage_table
+from .common import name, stage_table, unused
 
 TOKEN = r"[A-Za-z0-9+/_\-]{12,}"
 WORTH = r"[0-9]|[a-z][A-Z]|^[A-Z]{16,}$|^[A-Za-z]{24,}$"
-GATE = r"(?=[A-Za-z+/_\-]*(?:[0-9]|[a-z][A-Z])|[A-Z]{16}|[A-Za-z]{24})" + TOKEN
 END = r"(?![A-Za-z0-9+/_\-])"
 RUN = (r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*(?:[0-9]|[a-z][A-Z])|[A-Z]{16,}" + END + "|[A-Za-z]{24,}" + END + ")" + TOKEN)  # a whole candidate
 SHARE = 1e-4  # of the distinct texts hold a dictionary word
@@ -34,37 +33,40 @@ MASK = "<SECRET>"
 # Formats of keys that providers publish, and names that stand before a value.
 FORMATS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35})$"
 SECRET_NAMES = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api_?key|access_?key|credential|bearer|private_?key)"
-ASSIGNED = "(?i:" + SECRET_NAMES.removeprefix("(?i)") + r""")[A-Za-z0-9_\-]*["'\])]{0,2}\s*[=:]+\s*(\S{6,})"""  # group 3: the value
+# From the run's start to the first name in it and on to its end, each character once: long runs stay
+# linear. Group 1: what stands before the name; group 4: the value.
+ASSIGNED = (r"(?<![A-Za-z0-9_\-])(?>([A-Za-z0-9_\-]*?)(?i:" + SECRET_NAMES.removeprefix("(?i)")
+            + r"""))[A-Za-z0-9_\-]*+["'\])]{0,2}\s*+[=:]+\s*+(\S{6,})""")
 ADDRESS = r"://[^\s/:@]*:([^\s/]{4,})@"
-ANY = f"{GATE}|{ASSIGNED}|{ADDRESS}"
+ANY = f"{RUN}|{ASSIGNED}|{ADDRESS}"
 HARMLESS_NAMES = r"(?i)(commit|sha[0-9]*|md5|checksum|digest|etag|uuid|guid|order|invoice|phone|card|isbn|build|version)"
 EXAMPLE_PATHS = r"(?i)(test|example|sample|fixture|mock|docs?/)"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """One row per candidate: doc_id, path, word_index (words end at one white-space character),
-    candidate, word, two words before it and one behind."""
+    """One row per candidate: doc_id, path, text_hash, word_index (words end at one white-space
+    character), candidate, word, two words before it and one behind."""
     path = F.coalesce(name(path_col), F.lit("")) if path_col else F.lit("")
     d = docs.filter(name(text_col).rlike(ANY)).select(
-        name(id_col).cast("long").alias("doc_id"), path.alias("path"), name(text_col).rlike(ASSIGNED).alias("assigns"),
+        name(id_col).cast("long").alias("doc_id"), path.alias("path"), F.md5(name(text_col)).alias("text_hash"), name(text_col).rlike(ASSIGNED).alias("assigns"),
         F.split(F.translate(name(text_col), "\t\n\x0b\x0c\r", "     "), " ").alias("words"))
 
     def at(i: Column) -> Column:
         return F.coalesce(F.get("words", i), F.lit(""))
 
     def holds(i: Column) -> Column:
-        return (at(i).rlike(f"{GATE}|{ADDRESS}")
+        return (at(i).rlike(f"{RUN}|{ADDRESS}")
                 | (F.col("assigns") & F.concat_ws(" ", at(i - 2), at(i - 1), at(i)).rlike(ASSIGNED + "$")))
 
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), holds)
     seen = F.transform(places, lambda i: F.struct(i.alias("word_index"), at(i).alias("word"), at(i - 1).alias("before"),
                                                   at(i - 2).alias("second_before"), at(i + 1).alias("behind")))
-    rows = d.select("doc_id", "path", F.explode(seen).alias("s")).select("doc_id", "path", "s.*")
+    rows = d.select("doc_id", "path", "text_hash", F.explode(seen).alias("s")).select("doc_id", "path", "text_hash", "s.*")
     tokens = F.filter(F.regexp_extract_all("word", F.lit(TOKEN), F.lit(0)), lambda c: c.rlike(WORTH))
-    value = F.regexp_extract(F.concat_ws(" ", "second_before", "before", "word"), ASSIGNED + "$", 3)
+    value = F.regexp_extract(F.concat_ws(" ", "second_before", "before", "word"), ASSIGNED + "$", 4)
     # Between its quotes, or without the punctuation that ends a sentence or a bracket.
     quoted = F.regexp_extract(value, r"""^(["'`])(.+?)\1""", 2)
-    value = F.when(quoted != "", quoted).otherwise(F.regexp_replace(value, r"""^["'`]+|["'`,;.)\]}>]+$""", ""))
+    value = F.when(quoted != "", quoted).otherwise(F.regexp_replace(F.regexp_replace(value, r"""(?<!["'`,;.)\]}>])["'`,;.)\]}>]++$""", ""), r"""^["'`]+""", ""))
     values = F.filter(F.array(value), lambda c: F.length(c) >= 6)
     passwords = F.filter(F.array(F.regexp_extract("word", ADDRESS, 1)), lambda c: c != "")
     return rows.withColumn("candidate", F.explode(F.array_distinct(F.concat(tokens, values, passwords))))
@@ -72,17 +74,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dictionary(docs: DataFrame, text_col: str = "text", least: int = 5, share: float = SHARE) -> DataFrame:
     """(part): lower-case words of four and more ASCII letters outside candidates that at least
-    ``least`` distinct texts and ``share`` of them hold. Copies of a text count once, and a
+    ``least`` texts, and ``share`` of the distinct texts more than that, hold. Copies of a text count once, and a
     secret's own letters never, however often it stands anywhere."""
     text = F.coalesce(name(text_col), F.lit(""))
-    without = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ADDRESS, " "), ASSIGNED, " "), RUN, " ")
+    without = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ADDRESS, " "), ASSIGNED, "$1 "), RUN, " ")
     outside = F.when(text.rlike(ANY), without).otherwise(text)
     words = F.filter(F.array_distinct(F.split(F.lower(outside), "[^a-z]+")), lambda w: F.length(w) >= 4)
     texts = docs.select(F.md5(text).alias("h"), F.array_join(words, " ").alias("words")).groupBy("h", "words").agg(F.lit(1))
     # The empty word stands in every text and counts them.
     counts = stage_table(texts.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("words", " ")))).alias("part"))
                          .groupBy("part").agg(F.count(F.lit(1)).alias("n")), "words")
-    return counts.filter((F.col("part") != "") & (F.col("n") >= max(least, share * _texts(counts)))).select("part")
+    return counts.filter((F.col("part") != "") & (F.col("n") >= least + share * _texts(counts))).select("part")
 
 
 def _texts(counts: DataFrame) -> int:
@@ -165,17 +167,7 @@ def train(labelled: DataFrame, names: list[str], most: int = TRAIN_FINDINGS, see
     return forest.fit(vectors.repartition(1).sortWithinPartitions("h", "label").drop("h"))  # bounded: ``most`` rows
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
-         findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """Candidates with the forest's judgement: doc_id, word_index, candidate, before, behind,
-    length, covered, label (null: no rule knew it), score, is_secret (score >= threshold).
-
-    ``findings`` (doc_id, word_index, candidate, label) are a person's labels; without them
-    ``rule_labels`` are used. If only one class is labelled, its label (else 0) is the score.
-    Null text and texts without candidates give no rows; null paths are the empty path;
-    candidates of null ids are reported under the null id; repeated rows repeat their
-    candidates. An empty table gives no rows. Other input columns are ignored.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, path_col: str | None, findings: DataFrame | None, threshold: float) -> DataFrame:
     found = stage_table(candidates(docs, id_col, text_col, path_col), "candidates")
     covered = stage_table(coverage(found, dictionary(docs, text_col)), "coverage")
     rows, names = features(found, covered)
@@ -192,27 +184,48 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     else:
         vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
         judged = forest.transform(vectors).withColumn("score", vector_to_array("probability")[1])
-    return judged.select("doc_id", "word_index", "candidate", "before", "behind", F.length("candidate").alias("length"),
+    return judged.select("doc_id", "text_hash", "word_index", "candidate", "before", "behind", F.length("candidate").alias("length"),
                          F.col("f_covered").alias("covered"), "label", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
+         findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """Candidates with the forest's judgement: doc_id, word_index, candidate, before, behind,
+    length, covered, label (null: no rule knew it), score, is_secret (score >= threshold).
+
+    ``findings`` (doc_id, word_index, candidate, label) are a person's labels; without them
+    ``rule_labels`` are used. If only one class is labelled, its label (else 0) is the score.
+    Null text and texts without candidates give no rows; null paths are the empty path;
+    candidates of null ids are reported under the null id; repeated rows repeat their
+    candidates. An empty table gives no rows. Other input columns are ignored.
+    """
+    return _judged(docs, id_col, text_col, path_col, findings, threshold).drop("text_hash")
+
+
 def _whole(value: Column) -> Column:
     """A pattern of the literal value that letters and digits do not go on around."""
     literal = F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     return F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), literal, F.lit("\\E(?![A-Za-z0-9])"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", **settings) -> DataFrame:
-    """``docs`` with every secret that ``scan`` found under a document's id replaced by ``MASK``
-    in its text, values that are no token only where they are no part of a longer word. All rows
-    and columns stay; texts without candidates are not moved."""
-    secrets = (scan(docs, id_col, text_col, path_col, **settings).filter("is_secret")
-               .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("candidate").alias("__secrets")))
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
+           findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """``docs`` with every secret that ``scan`` found in a document's text replaced by ``MASK`` there,
+    values that are no token only where they are no part of a longer word. All rows and columns
+    stay, null texts and ids as they are and columns of any name; texts without candidates are not
+    moved. Secrets are kept by id and text, so rows without an id do not share theirs."""
+    key, held = unused(docs, "secret_key"), unused(docs, "secrets")
+
+    def key_of(doc_id: Column, text_hash: Column) -> Column:
+        return F.concat_ws(":", text_hash, doc_id.cast("string"))
+
+    secrets = (_judged(docs, id_col, text_col, path_col, findings, threshold).filter("is_secret")
+               .groupBy(key_of(F.col("doc_id"), F.col("text_hash")).alias(key)).agg(F.collect_set("candidate").alias(held)))
     gate = F.coalesce(name(text_col).rlike(ANY), F.lit(False))
     # Longest first: a secret may be part of another.
-    ordered = F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a))
+    ordered = F.array_sort(name(held), lambda a, b: F.length(b) - F.length(a))
     masked = F.aggregate(F.coalesce(ordered, F.array().cast("array<string>")), name(text_col),
                          lambda t, s: F.when(s.rlike(f"^{TOKEN}$"), F.replace(t, s, F.lit(MASK)))
                          .otherwise(F.regexp_replace(t, _whole(s), F.lit(MASK))))
-    hit = docs.filter(gate).join(secrets, name(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
+    hit = docs.filter(gate).withColumn(key, key_of(name(id_col).cast("long"), F.md5(name(text_col)))).join(secrets, key, "left")
     return docs.filter(~gate).unionByName(hit.withColumn(text_col, masked).select(*[name(c) for c in docs.columns]))
