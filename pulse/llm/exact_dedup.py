@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, name, stage_table
+from .common import SPACES, documents, name, one_per_key, stage_table, unused
 
 
 def normalised(text: Column) -> Column:
@@ -65,12 +65,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stays, with all their columns; of rows that repeat
-    id and text one stays."""
+    """The rows of ``docs`` whose document stays, with all their columns. Of rows that repeat the id
+    and the normalised text the one with the smallest raw text (null first) stays, of equal ones
+    the one whose other columns come first as JSON. Null and empty texts are one group; an empty
+    table gives no rows; columns of any name stay as they are."""
     def key(sha, doc_id):  # one text key for both sides, so that the join's shuffle is the only one
         return F.concat_ws(":", sha, doc_id.cast("string"))
 
-    keep = exact_groups(docs, id_col, text_col).filter("kept").select(key(F.col("text_sha256"), F.col("doc_id")).alias("__key"))
+    key_col = unused(docs, "keep_key")
+    keep = exact_groups(docs, id_col, text_col).filter("kept").select(key(F.col("text_sha256"), F.col("doc_id")).alias(key_col))
     sha = F.sha2(normalised(F.coalesce(name(text_col), F.lit(""))), 256)
-    kept = docs.withColumn("__key", key(sha, name(id_col).cast("long"))).join(keep, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*[name(c) for c in docs.columns])
+    kept = docs.withColumn(key_col, key(sha, name(id_col).cast("long"))).join(keep, key_col, "left_semi")
+    return one_per_key(kept.select(*[name(c) for c in docs.columns], key_col), key_col, text_col)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, name as column, stage_table, text_slices, texts_of
+from .common import documents, name as column, stage_table, text_slices, texts_of, unused
 
 ROUNDS = 2
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd: invertible modulo 2^64
@@ -275,7 +275,8 @@ def repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, id_col: str
 def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated words taken out of their texts (kept words joined by one
     space); rows that lose nothing keep their text as it is. Ids are taken to be unique."""
+    key, text = unused(docs, "repeat_id"), unused(docs, "repeat_text")
     kept = (repeats(docs, window, id_col=id_col, text_col=text_col, with_text=True).filter("n_removed > 0")
-            .select(F.col("doc_id").alias("__id"), F.col("kept_text").alias("__text")))
-    joined = docs.join(kept, column(id_col).cast("long") == F.col("__id"), "left")
-    return joined.withColumn(text_col, F.coalesce("__text", column(text_col))).drop("__id", "__text")
+            .select(F.col("doc_id").alias(key), F.col("kept_text").alias(text)))
+    joined = docs.join(kept, column(id_col).cast("long") == F.col(key), "left")
+    return joined.withColumn(text_col, F.coalesce(text, column(text_col))).drop(key, text)

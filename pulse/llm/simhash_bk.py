@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, name, stage_table, text_slices, texts_of
+from .common import documents, name, one_per_key, stage_table, text_slices, texts_of, unused
 from .components import components
 
 SHARD = 256
@@ -194,7 +194,9 @@ def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of ``docs`` per component, all columns kept: the smallest doc_id (null last), of
     texts under one id the one with the smallest md5. Components are told apart by their
     fingerprints, so rows without an id and different texts under one id stay unless they are near
-    copies of a kept row; of rows that repeat id and text one stays."""
+    copies of a kept row; of rows that repeat id and text the one whose other columns come first as
+    JSON stays (a null text before an empty one). An empty table gives no rows; columns of any
+    name stay as they are."""
     hashed = documents(docs, id_col, text_col).withColumn("hash", F.md5("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +209,10 @@ def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return F.concat_ws(":", sha, doc_id.cast("string"))
 
     seen = stage_table(hashed.mapInArrow(run, "doc_id bigint, hash string, fp bigint"), "fingerprints")
+    key_col = unused(docs, "keep_key")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
     keep = (rooted_fingerprints(seen, F.min(order), radius, shard).groupBy("root").agg(F.min("first").alias("first"))
-            .select(key(F.col("first.hash"), F.col("first.doc_id")).alias("__key")))
+            .select(key(F.col("first.hash"), F.col("first.doc_id")).alias(key_col)))
     text_hash = F.md5(F.coalesce(name(text_col), F.lit("")))
-    kept = docs.withColumn("__key", key(text_hash, name(id_col).cast("long"))).join(keep, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*[name(c) for c in docs.columns])
+    kept = docs.withColumn(key_col, key(text_hash, name(id_col).cast("long"))).join(keep, key_col, "left_semi")
+    return one_per_key(kept.select(*[name(c) for c in docs.columns], key_col), key_col, text_col)
