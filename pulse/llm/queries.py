@@ -49,12 +49,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op7_exact_top_k", """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH e AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
-      FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+s AS (SELECT q.row, q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+      FROM e q JOIN e d ON q.row <> d.row WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_knn.top_k(read(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20, scale=64)
@@ -79,11 +79,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 reply AS (SELECT pair_id, turn AS last_turn, text AS reply FROM
           (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC NULLS LAST, text DESC) AS k FROM t WHERE role = 'assistant') WHERE k = 1),
-chosen AS (SELECT t.* FROM t JOIN reply r USING (pair_id) WHERE NOT t.turn > r.last_turn),
-rejected AS (SELECT t.* FROM t JOIN reply r USING (pair_id) WHERE t.turn < r.last_turn
+chosen AS (SELECT t.* FROM t JOIN reply r USING (pair_id) WHERE coalesce(t.turn <= r.last_turn, t.turn IS NULL)),
+rejected AS (SELECT t.* FROM t JOIN reply r USING (pair_id)
+             WHERE t.turn < r.last_turn OR (t.turn IS NULL AND (r.last_turn IS NOT NULL OR t.role <> 'assistant' OR t.text <> r.reply))
              UNION SELECT r.pair_id, r.last_turn, 'assistant', n.reply FROM reply r JOIN reply n ON n.pair_id = xor(r.pair_id, 1)),
-a AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS pos FROM chosen),
-b AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS pos FROM rejected),
+a AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM chosen),
+b AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM rejected),
 pairs AS (SELECT pair_id FROM a INTERSECT SELECT pair_id FROM b),
 pos AS (SELECT pair_id, pos FROM a UNION SELECT pair_id, pos FROM b),
 cut AS (SELECT p.pair_id, coalesce(min(CASE WHEN a.role = b.role AND a.text = b.text THEN NULL ELSE p.pos END), max(p.pos) + 1) - 1 AS common

@@ -91,3 +91,19 @@ def test_table(table):
     raw = lambda d: [tuple(r) for r in d.select("pair_id", "turn", "role", "text").collect()]
     rows = got(preference_rows(chosen, rejected))
     assert rows == brute(raw(chosen), raw(rejected)) and len(rows) > 10
+
+
+def test_sql_with_null_turns(spark, tmp_path):
+    import duckdb
+    from pulse.llm.queries import QUERIES, SQL
+    rows = [(0, None, "user", "a"), (0, None, "assistant", "b"), (0, 2, "user", "c"), (0, 3, "assistant", "d"), (0, 4, "user", "late"),
+            (1, None, "assistant", "x"), (1, None, "assistant", "y"), (1, None, "user", "z"), (1, 1, "user", "after"),
+            (2, 1, "assistant", "only"), (3, 1, "user", "no reply"), (4, None, None, None), (4, None, "assistant", None), (5, 1, "assistant", "e")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    q = con.execute(SQL["op3_chat_preference"])
+    names = [d[0] for d in q.description]
+    got = QUERIES["op3_chat_preference"](spark, str(tmp_path)).select(names).collect()
+    want = sorted(q.fetchall())
+    assert sorted(map(tuple, got)) == want and {0, 1, 4, 5} <= {r[0] for r in want}

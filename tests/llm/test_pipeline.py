@@ -94,3 +94,27 @@ def test_run_and_empty_input(spark):
         out = f(spark, docs, SF)
         assert out.count() == 0
         docs = docs
+
+
+def test_ties_layouts_and_clashing_names(spark):
+    from pulse.llm import exact_dedup, recompression, secret_forest, simhash_bk
+    rows = [(1, "a  b", "x", 2), (1, "a b", "y", 1), (1, "a b", "w", 9), (1, "a b", "w", 9), (2, "", "p", 1), (2, None, "q", 1), (None, "n", "r", 2),
+            (None, "n", "r", 1), (None, 'token = "0123abcd0123abcd"', "s", 0), (None, 'token = "99ffabcd0123abcd"', "s", 0)]
+    schema = "doc_id long, text string, keep_key string, secrets int"
+    for step in (exact_dedup.drop_exact_copies, simhash_bk.keep_first_of_groups, secret_forest.redact):
+        want = None
+        for parts, order in ((1, rows), (4, rows[::-1])):
+            df = spark.createDataFrame(order, schema).repartition(parts)
+            df = df.withColumnsRenamed({}).withColumns({"__key": df.keep_key, "__id": df.secrets, "secret_key": df.keep_key, "keep_key_": df.secrets, "source": df.keep_key})
+            out = step(df)
+            assert out.columns == df.columns
+            got = sorted(map(str, out.collect()))
+            want = want or got
+            assert got == want
+            if step is exact_dedup.drop_exact_copies:
+                kept = {(r.doc_id, r.text, r.keep_key, r.secrets) for r in out.collect()}
+                assert kept == {(1, "a  b", "x", 2), (2, None, "q", 1), (None, "n", "r", 1), rows[8], rows[9]}
+            assert all(r["__id"] == r.secrets and r["__key"] == r.keep_key for r in out.collect())
+    df = spark.createDataFrame([(1, "one " * 60, 5, "t"), (2, "one " * 60, 6, "u")], "doc_id long, text string, repeat_id int, repeat_text string")
+    out = {r.doc_id: r for r in recompression.without_repeats(df, window=50).collect()}
+    assert (out[2].repeat_id, out[2].repeat_text, out[1].repeat_id) == (6, "u", 5)
