@@ -22,7 +22,10 @@ def fit_platt(oof: DataFrame, proba: str = "proba", label: str = "label") -> dic
     return {"a": float(m.coefficients[0]), "b": float(m.intercept)}
 
 
-def apply_platt(p: Column, params: dict) -> Column:
+def apply_platt(p: Column, params: dict | None) -> Column:
+    """The calibrated probability; without a calibrator (None) the score as it is."""
+    if params is None:
+        return p
     return 1.0 / (1.0 + F.exp(-(F.lit(params["a"]) * p + F.lit(params["b"]))))
 
 

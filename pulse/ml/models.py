@@ -6,9 +6,9 @@ The recipe mirrors the reference's two pipelines:
 Preprocessing is fitted with aggregates (a few numbers per feature reach the driver) and
 applied as column expressions; the classifiers are pyspark.ml estimators.
 
-Documented deviations: gradient boosting has logistic loss only (the reference also uses
-exponential loss); the perceptron uses sigmoid hidden units, gradient descent with step 0.3
-(the reference: SGD, rate 0.3, momentum) and no L2 or early stopping.
+``make_classifier`` gives pyspark.ml estimators with one setting each ("gbt" has logistic loss, "mlp"
+sigmoid units and plain descent). ``boost`` and ``perceptron`` have exponential loss, subsampling
+and early stop, and ReLU layers, L2, momentum, Adam and early stop; recipes choose among all.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..session import ensure_checkpoint_dir
-from .prep import apply_yeo_johnson, fit_yeo_johnson
+from .prep import apply_yeo_johnson, class_weight_col, fit_yeo_johnson
 from .smote import smote
 
+ROWS_A_PART = 1 << 12  # training rows of a partition, whatever the session is set to
+IDENTITY = {"lambda": 1.0, "mean": 0.0, "std": 1.0}  # Yeo-Johnson with lambda 1 gives x back
+
 MODEL_NAMES = ("gbt", "rf", "mlp", "logreg_l1")
 
 
@@ -87,8 +90,8 @@ class FittedModel:
 
 @dataclass
 class Prepared:
-    """Training rows after variance filter, oversampling and Yeo-Johnson: what every model of a
-    fold has in common."""
+    """Training rows after variance filter, oversampling, Yeo-Johnson (or none) and class weights:
+    what all models with the same preparation of a fold have in common."""
 
     features: list
     kept: list
@@ -98,24 +101,29 @@ class Prepared:
 
 
 def prepare(train: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[str],
-            oversample: bool = False, smote_ratio: float = 1.0, seed: int = C.SEED) -> Prepared:
-    """``rows`` is checkpointed: any number of models read it."""
+            oversample: bool = False, smote_ratio: float = 1.0, seed: int = C.SEED, power: bool = True,
+            weights=None) -> Prepared:
+    """``rows`` is checkpointed: any number of models read it. ``power=False`` leaves the features as
+    they are; ``weights`` ('balanced' or {class: weight}) adds a ``weight`` column."""
     ensure_checkpoint_dir(train.sparkSession)
     kept = kept_columns(train, features)
     t = train
     if oversample:
         # materialise once: the oversampled rows feed the fitting passes and the transform
         t = smote(t, kept, label, id_cols, ratio=smote_ratio, seed=seed).checkpoint(eager=True)
-    yj = fit_yeo_johnson(t, kept)
+    yj = fit_yeo_johnson(t, kept) if power else dict.fromkeys(kept, IDENTITY)
     syn = ["is_synthetic"] if "is_synthetic" in t.columns else []
     x = apply_yeo_johnson(t, yj, keep=[label, *id_cols, *syn]).withColumn("label", F.col(label).cast("double"))
+    if weights is not None:
+        x = class_weight_col(x, "label", weights)
     # Deterministic layout (hash partitions of the ids, sorted inside): bootstrap sampling and
-    # any order-dependent step then give the same model on every run and every task retry.
+    # any order-dependent step then give the same model on every run and every task retry. The
+    # number of partitions follows the rows, not the session's setting.
     order = [*id_cols, *syn, F.xxhash64(*kept)]
-    n_parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = x.repartition(n_parts, *id_cols).sortWithinPartitions(*order)
+    n = yj[kept[0]]["n"] if kept and power else x.count()
+    x = x.repartition(max(1, -(-n // ROWS_A_PART)), *id_cols).sortWithinPartitions(*order)
     x = VectorAssembler(inputCols=kept, outputCol="features", handleInvalid="keep").transform(x).checkpoint()
-    return Prepared(list(features), kept, yj, x, yj[kept[0]]["n"] if kept else x.count())
+    return Prepared(list(features), kept, yj, x, n)
 
 
 def fit_prepared(p: Prepared, name: str, seed: int = C.SEED) -> FittedModel:

@@ -69,10 +69,38 @@ def _lattice(lo: float, hi: float, step: float) -> list[float]:
     return [float(np.round(i * step, 10)) for i in range(int(np.round(lo / step)), int(np.round(hi / step)) + 1)]
 
 
-def fit_yeo_johnson(df: DataFrame, cols: Sequence[str]) -> dict:
+def _refine(df: DataFrame, cols: Sequence[str], best: dict, tol: float) -> dict:
+    """Parabolic steps for all columns at once, one aggregate a round: the vertex through three
+    points around the best lambda is the next, and the points draw together until the step is
+    below ``tol``. Where the three points bend upwards, the better side is taken."""
+    least = 1e-3  # nearer points differ by rounding
+    at, width = dict(best), dict.fromkeys(cols, YJ_STEPS[1])
+    live = [c for c in cols]
+    for _ in range(40):
+        if not live:
+            break
+        found = _likelihoods(df, live, {c: [at[c] - width[c], at[c], at[c] + width[c]] for c in live})
+        for c in list(live):
+            left, mid, right = (found[c].get(x, -np.inf) for x in (at[c] - width[c], at[c], at[c] + width[c]))
+            bend = left - 2 * mid + right
+            if not np.isfinite(bend):
+                live.remove(c)
+                continue
+            step = 0.5 * width[c] * (left - right) / bend if bend < 0 else width[c] * (1 if right > left else -1)
+            step = float(np.clip(step, -2 * width[c], 2 * width[c]))
+            at[c] += step
+            if abs(step) < tol and width[c] <= least:
+                live.remove(c)
+            elif abs(step) < width[c]:
+                width[c] = max(least, width[c] / 5)
+    return at
+
+
+def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], tol: float | None = None) -> dict:
     """MLE lambda per column, without bounds: multiples of 0.5 are tried over a range that is
     widened (by twice as much each time) until the best one lies inside it, then multiples of
-    0.025 and 0.0025 between its neighbours. ``df`` is read once per step: give a written or
+    0.025 and 0.0025 between its neighbours. With ``tol`` parabolic steps from the second lattice on
+    find the optimum itself, to a last step below it. ``df`` is read once per step: give a written or
     checkpointed frame.
 
     Returns {col: {"lambda", "mean", "std", "n"}} with mean/std (population, 0 -> 1) of the
@@ -96,11 +124,13 @@ def fit_yeo_johnson(df: DataFrame, cols: Sequence[str]) -> dict:
                 step = YJ_STEPS[0]
                 at_edge[c] = _lattice(lo - reach, lo - step, step) if best == lo else _lattice(hi + step, hi + reach, step)
         grids, reach = at_edge, reach * 2
-    for wide, step in zip(YJ_STEPS, YJ_STEPS[1:]):
+    for wide, step in zip(YJ_STEPS, YJ_STEPS[1:] if tol is None else YJ_STEPS[1:2]):
         best = {c: top(c) for c in cols}
         fine = {c: _lattice(best[c] - wide, best[c] + wide, step) for c in cols}
         seen = _likelihoods(df, cols, fine)
     best = {c: float(top(c)) for c in cols}
+    if tol is not None:
+        best = _refine(df, cols, best, tol)
     out = {c: {"lambda": best[c], "mean": 0.0, "std": 1.0, "n": 0} for c in cols}
     for r in _by_lambda(df, cols, {c: [best[c]] for c in cols}).collect():
         sd = float(r["std"] or 0.0)

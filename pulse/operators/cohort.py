@@ -34,15 +34,16 @@ def registration_features(reg: DataFrame) -> DataFrame:
     )
 
 
-def learners_prestart(t: LearnerTables, module: str, presentations: Sequence[str]) -> DataFrame:
+def learners_prestart(t: LearnerTables, module: str, presentations: Sequence[str], key="id_student") -> DataFrame:
     """Course-clock cohort: registered on or before day 0, label = withdrew.
 
     A learner appears once per (id, module, presentation) row of student_info.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     valid = scope(t.student_registration, module, presentations).where(F.col("date_registration") <= 0)
     info = scope(t.student_info, module, presentations)
-    return (info.join(valid.select("id_student").distinct(), "id_student", "left_semi")
-            .select("id_student", "final_result", withdrawn_label().alias("dropout")))
+    return (info.join(valid.select(*keys).distinct(), keys, "left_semi")
+            .select(*keys, "final_result", withdrawn_label().alias("dropout")))
 
 
 REGISTRATION_KEY = ("id_student", "code_module", "code_presentation")
@@ -54,10 +55,11 @@ def registration_lookup(t: LearnerTables, module: str, presentations: Sequence[s
     return scope(t.student_registration, module, presentations).select(*keys, "date_registration").distinct()
 
 
-def registration_rows(t: LearnerTables, module: str, presentations: Sequence[str]) -> DataFrame:
-    """Distinct (id, registration day, unregister day) rows of the scope."""
+def registration_rows(t: LearnerTables, module: str, presentations: Sequence[str], key="id_student") -> DataFrame:
+    """Distinct (key, registration day, unregister day) rows of the scope."""
+    keys = [key] if isinstance(key, str) else list(key)
     return (scope(t.student_registration, module, presentations)
-            .select("id_student", "date_registration", "date_unregistration").distinct())
+            .select(*keys, "date_registration", "date_unregistration").distinct())
 
 
 def learners_registered(t: LearnerTables, module: str, presentations: Sequence[str], key="id_student") -> DataFrame:

@@ -132,10 +132,11 @@ V10_FEATURES = ("days_elapsed_since_reg", "clicks_per_day_total", "active_ratio_
 def snapshot_day7(learners: DataFrame, daily: DataFrame, key: str = "id_student") -> DataFrame:
     """P10 from the generic panel; the elapsed-day column is 8 (days 0..7) and stays NULL
     for learners without activity, as the reference only sets it on aggregated rows."""
+    keys = [key] if isinstance(key, str) else list(key)
     p = build_panel(V10, learners, daily.where(F.col("day") <= 7), key)
     has = F.col("active_ratio_total") > 0
     return p.select(
-        key, "dropout",
+        *keys, "dropout",
         F.when(has, F.lit(8.0)).alias("days_elapsed_since_reg"),
         "clicks_per_day_total", "active_ratio_total", "avg_clicks_per_active_day_total",
         "days_since_last_active",

@@ -52,33 +52,34 @@ def snapshot_registration(spec: SnapshotSpec, t: LearnerTables, module: str = C.
 
 
 def snapshot_v9(t: LearnerTables, module: str = C.MODULE, presentations: Sequence[str] = C.PRESENTATIONS,
-                cutoffs: Sequence[int] = C.CUTOFFS_UNREG) -> DataFrame:
+                cutoffs: Sequence[int] = C.CUTOFFS_UNREG, key="id_student") -> DataFrame:
     """Unregister label. Learners are the registration rows (NULL unregister -> 999,
     NULL registration day -> 0); the click log is not restricted to the module (Q8). The log is
     joined per registration row: two rows of one day add the clicks up, its days count once."""
-    reg = cohort.registration_rows(t, module, presentations).select(
-        "id_student", F.coalesce(F.col("date_registration"), F.lit(0)).alias("date_registration"),
+    keys = [key] if isinstance(key, str) else list(key)
+    reg = cohort.registration_rows(t, module, presentations, key).select(
+        *keys, F.coalesce(F.col("date_registration"), F.lit(0)).alias("date_registration"),
         "date_unregistration").distinct()
-    daily = cohort.rebase_daily(cohort.collapse_daily(t.student_vle), reg)
-    return build_panel(V9.with_cutoffs(cutoffs), reg, daily)
+    daily = cohort.rebase_daily(cohort.collapse_daily(t.student_vle, key=key), reg, key=key)
+    return build_panel(V9.with_cutoffs(cutoffs), reg, daily, key=key)
 
 
 def snapshot_v10(t: LearnerTables, module: str = C.MODULE,
-                 presentations: Sequence[str] = C.PRESENTATIONS) -> DataFrame:
-    learners, daily = registration_clock(t, module, presentations)
-    return snapshot_day7(learners, daily)
+                 presentations: Sequence[str] = C.PRESENTATIONS, key="id_student") -> DataFrame:
+    learners, daily = registration_clock(t, module, presentations, key)
+    return snapshot_day7(learners, daily, key)
 
 
-def snapshot_v5(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None):
-    return snapshot_registration(V5, t, module, presentations, cutoffs)
+def snapshot_v5(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None, key="id_student"):
+    return snapshot_registration(V5, t, module, presentations, cutoffs, key=key)
 
 
-def snapshot_v6(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None):
-    return snapshot_registration(V6, t, module, presentations, cutoffs)
+def snapshot_v6(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None, key="id_student"):
+    return snapshot_registration(V6, t, module, presentations, cutoffs, key=key)
 
 
-def snapshot_v7(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None):
-    return snapshot_registration(V7, t, module, presentations, cutoffs)
+def snapshot_v7(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None, key="id_student"):
+    return snapshot_registration(V7, t, module, presentations, cutoffs, key=key)
 
 
 def snapshot_v8(t, module=C.MODULE, presentations=C.PRESENTATIONS, cutoffs=None, strategy="auto", key="id_student"):

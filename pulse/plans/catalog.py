@@ -36,6 +36,7 @@ from ..registry import register
 from ..session import scratch_path
 from ..sources import history as H
 from ..sources import validate as VAL
+from ..sources.versions import Bundles
 from ..sources.demo import learner_tables
 from ..sources.history import learner_histories
 from ..streaming.daily_rollup import read_daily_rollup, run_daily_rollup
@@ -1025,13 +1026,14 @@ register("config_latest", _on_v8("""SELECT arg_max(threshold, cutoff) AS thresho
 
 
 def _config_latest(spark, sf):
-    """A versioned threshold table (one version per cutoff) appended to the config
-    folder; the latest version wins via max_by."""
+    """A saved config updated once per cutoff; the newest complete version is read."""
     cfg = R6(TH.precision_floor(_scored(spark, sf), ["cutoff"], "score", "y_short", C.PRECISION_FLOOR_MEDIUM), "recall")
     path = scratch_path(spark, "config")
-    cfg.select(F.col("cutoff").alias("version"), "threshold").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).agg(F.max_by("threshold", "version").alias("threshold"),
-                                        F.max("version").cast("bigint").alias("version"))
+    bundles = Bundles(spark, path)
+    for row in cfg.select("cutoff", "threshold").orderBy("cutoff").collect():  # one row a cutoff
+        bundles.update(lambda c, row=row: c | {"threshold": float(row["threshold"]), "version": int(row["cutoff"])})
+    latest = bundles.latest()["config"]
+    return spark.createDataFrame([(latest["threshold"], latest["version"])], "threshold double, version long")
 
 
 # ---------------------------------------------------------------- learning (M1-M28, R7-R14): rows-only checks
@@ -1054,6 +1056,66 @@ register("strat_group_folds", _on_v8(f"""SELECT p.id_student, p.cutoff, f.fold F
   FROM (SELECT id_student, max(y_short) AS y FROM p GROUP BY 1)) f ON f.id_student = p.id_student"""))(
     lambda spark, sf: FO.strat_group_folds(_panel(spark, sf).drop("fold"), "id_student", "y_short")
     .select("id_student", "cutoff", "fold"))
+# Remainders of (rows per class) vectors, largest first, each to the fold whose shares grow least.
+def _even_folds_sql(classes: list[str]) -> str:
+    n = len(classes)
+    names = ", ".join(f"n{i}" for i in range(n))
+    cost = " + ".join(f"n{i} * w{i} * held[{n} * f + {i + 1}]" for i in range(n))
+    scale = ", ".join("(" + (" * ".join(f"(SELECT greatest(1, sum(n{d})) FROM gr) ** 2" for d in range(n) if d != c) or "1") + f") AS w{c}" for c in range(n))
+    return f"""
+gr AS (SELECT id_student, {", ".join(f"CAST({c} AS HUGEINT) AS n{i}" for i, c in enumerate(classes))} FROM p GROUP BY id_student),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {names} ORDER BY {_hash_sql('id_student')}, id_student) - 1 AS r,
+              count(*) OVER (PARTITION BY {names}) // 5 * 5 AS whole FROM gr),
+wt AS (SELECT {scale}),
+left_over AS (SELECT *, row_number() OVER (ORDER BY {" + ".join(f"n{i}" for i in range(n))} DESC, {", ".join(f"n{i} DESC" for i in range(n))}, r) AS i
+              FROM rk WHERE r >= whole),
+deal(i, held, fold) AS (
+  SELECT CAST(0 AS BIGINT), CAST([{", ".join(["0"] * 5 * n)}] AS DOUBLE[]), CAST(NULL AS INTEGER)
+  UNION ALL
+  SELECT CAST(l.i AS BIGINT), [{", ".join(f"x.held[{n * f + c + 1}] + CASE WHEN x.f = {f} THEN l.n{c} ELSE 0 END" for f in range(5) for c in range(n))}], x.f
+  FROM (SELECT d.i, d.held, CAST((list_position(cs, list_min(cs)) - 1) AS INTEGER) AS f FROM (
+          SELECT d0.i, d0.held, [{", ".join(cost.replace("* f +", f"* {f} +") for f in range(5))}] AS cs
+          FROM deal d0 JOIN left_over l0 ON l0.i = d0.i + 1, wt) d) x JOIN left_over l ON l.i = x.i + 1),
+folds AS (SELECT id_student, CAST(r % 5 AS INTEGER) AS fold FROM rk WHERE r < whole
+          UNION ALL SELECT l.id_student, d.fold FROM left_over l JOIN deal d ON d.i = l.i)"""
+
+
+def _recursive(sql: str) -> str:
+    """WITH RECURSIVE in place of the statement's first WITH."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+register("even_group_folds", _recursive(_on_v8("SELECT p.id_student, p.cutoff, f.fold FROM p JOIN folds f USING (id_student)", _even_folds_sql(["count(*)"]))))(
+    lambda spark, sf: FO.even_group_folds(_panel(spark, sf).drop("fold"), "id_student").select("id_student", "cutoff", "fold"))
+register("even_class_group_folds", _recursive(_on_v8("SELECT p.id_student, p.cutoff, f.fold FROM p JOIN folds f USING (id_student)", _even_folds_sql(
+    ["count(*) FILTER (WHERE y_short <> 1)", "count(*) FILTER (WHERE y_short = 1)"]))))(
+    lambda spark, sf: FO.even_group_folds(_panel(spark, sf).drop("fold"), "id_student", "y_short").select("id_student", "cutoff", "fold"))
+
+
+_SIDES = f"""
+t AS (SELECT s.*, CAST({_hash_sql('id_student')} % 5 AS INTEGER) AS own FROM s),
+sides AS (SELECT t.*, f.fold, CASE WHEN own = f.fold THEN 'test' ELSE 'train' END AS side FROM t, (SELECT unnest([0, 1, 2, 3, 4]) AS fold) f),
+g AS (SELECT fold, score, count(*) FILTER (WHERE y_short = 1) AS pos, count(*) FILTER (WHERE y_short <> 1) AS neg FROM sides WHERE side = 'train' GROUP BY 1, 2),
+c AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER (PARTITION BY fold) AS np FROM g
+      WINDOW w AS (PARTITION BY fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT fold, score, cp::DOUBLE / (cp + cn) AS pr, CASE WHEN np = 0 THEN 0.0 ELSE cp::DOUBLE / np END AS re FROM c),
+best AS (SELECT fold, score AS threshold, f1 AS train_f1 FROM (
+  SELECT *, 2 * pr * re / (pr + re + 1e-12) AS f1, row_number() OVER (PARTITION BY fold ORDER BY 2 * pr * re / (pr + re + 1e-12) DESC, score) AS rn FROM q) WHERE rn = 1),
+test AS (SELECT b.fold, count(*) FILTER (WHERE score >= threshold AND y_short = 1) AS tp, count(*) FILTER (WHERE score >= threshold AND y_short <> 1) AS fp,
+                count(*) FILTER (WHERE score < threshold AND y_short = 1) AS fn FROM sides s JOIN best b ON b.fold = s.fold WHERE side = 'test' GROUP BY b.fold),
+per AS (SELECT b.fold, threshold, train_f1, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp::DOUBLE / (2 * tp + fp + fn) END AS test_f1
+        FROM best b LEFT JOIN test USING (fold))"""
+
+
+def _rule_by_fold(spark, sf):
+    scored = FO.group_folds(_scored(spark, sf), "id_student")
+    return TH.train_fold_thresholds(TH.fold_sides(scored, 5), [], "score", "y_short")
+
+
+register("threshold_train_folds", _on_v8("""SELECT fold, threshold, round(train_f1, 6) AS train_f1, round(test_f1, 6) AS test_f1
+  FROM per""", _SCORED_SQL, _SIDES))(lambda spark, sf: R6(_rule_by_fold(spark, sf), "train_f1", "test_f1"))
+register("threshold_train_folds_median", _on_v8("""SELECT median(threshold) AS threshold, round(avg(test_f1), 6) AS mean_f1
+  FROM per""", _SCORED_SQL, _SIDES))(lambda spark, sf: R6(TH.median_threshold(_rule_by_fold(spark, sf), []), "mean_f1"))
 register("stratified_split", _on_v8(f"""SELECT id_student, cutoff, y_short,
   row_number() OVER (PARTITION BY y_short ORDER BY {_hash_sql('id_student', 'cutoff')}, id_student, cutoff) - 1
     < floor(count(*) OVER (PARTITION BY y_short) * 0.7) AS is_train FROM p"""))(
@@ -1262,16 +1324,28 @@ def _fit_sig(spark, sf):
     return out.select(F.round("k", 6).alias("k"), F.round("c", 6).alias("c"))
 
 
+_BUNDLES: dict = {}
+
+
+def _bundle_path(spark, sf, name="rf"):
+    """Fit on the full panel, a Platt calibrator fitted on out-of-fold scores, saved once per
+    session and table folder; the scoring queries read the saved bundle."""
+    key = spark.sparkContext.applicationId, sf, name
+    if key not in _BUNDLES:
+        p = _panel(spark, sf)
+        fm = fit_model(p, FEATURES_15, "y_short", name, TR.ID)
+        platt = CAL.fit_platt(TR.evaluate(p, models=(name,), k=5, oversample=False)[1], "proba", "y_short")
+        path = scratch_path(spark, f"bundle_{name}")
+        TR.save_bundle(spark, fm, path, {"platt": platt, "alpha": C.BLEND_B_ALPHA,
+                                         "risk_thresholds": {"medium": C.BLEND_A["thr_medium"], "high": C.BLEND_A["thr_high"]},
+                                         "threshold": C.DEFAULT_THRESHOLD})
+        _BUNDLES[key] = path
+    return _BUNDLES[key]
+
+
 def _bundle(spark, sf, name="rf"):
-    """Fit on the full panel, save (pyspark.ml writer + config row), load back."""
-    p = _panel(spark, sf)
-    fm = fit_model(p, FEATURES_15, "y_short", name, TR.ID)
-    path = scratch_path(spark, f"bundle_{name}")
-    TR.save_bundle(spark, fm, path, {"platt": {"a": 1.0, "b": 0.0}, "alpha": C.BLEND_B_ALPHA,
-                                     "risk_thresholds": {"medium": C.BLEND_A["thr_medium"],
-                                                         "high": C.BLEND_A["thr_high"]},
-                                     "threshold": C.DEFAULT_THRESHOLD})
-    return TR.load_bundle(spark, path), p
+    """The saved bundle and the panel it was fitted on."""
+    return TR.load_bundle(spark, _bundle_path(spark, sf, name)), _panel(spark, sf)
 
 
 register("model_roundtrip")(lambda spark, sf: _roundtrip(spark, sf))
@@ -1424,15 +1498,19 @@ def _score_thr(spark, sf, thr):
 register("score_calibrated")(lambda spark, sf: _score_cal(spark, sf))
 
 
+def _display_fit(spark, sf):
+    """The display sigmoid's (k, c), fitted to observed rates of risk bins: one row."""
+    row = _fit_sig(spark, sf).first()
+    return float(row["k"]), float(row["c"])
+
+
 def _score_cal(spark, sf):
-    """Raw, Platt-calibrated (fitted on out-of-fold scores), display sigmoid, decision."""
-    p = _panel(spark, sf)
-    oof = TR.evaluate(p, models=("rf",), k=3)[1]
-    platt = CAL.fit_platt(oof, "proba", "y_short")
-    fm = fit_model(p, FEATURES_15, "y_short", "rf", TR.ID)
-    s = fm.transform(p, keep=["id_student", "cutoff"]).withColumn("proba_cal", CAL.apply_platt(F.col("proba"), platt))
+    """Raw, calibrated by the bundle, display sigmoid with the fitted k and c, decision."""
+    fm, p = _bundle(spark, sf)
+    k, c = _display_fit(spark, sf)
+    s = fm.transform(p, keep=["id_student", "cutoff"]).withColumn("proba_cal", CAL.apply_platt(F.col("proba"), fm.extra["platt"]))
     return s.select("id_student", "cutoff", F.col("proba").alias("proba_raw"), "proba_cal",
-                    rules.display_sigmoid(F.col("proba_cal")).alias("display"),
+                    rules.display_sigmoid(F.col("proba_cal"), k, c).alias("display"),
                     rules.decision(F.col("proba_cal"), C.DEFAULT_THRESHOLD).alias("decision"))
 
 

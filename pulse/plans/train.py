@@ -24,9 +24,11 @@ from ..functions import rules
 from ..functions.clean import clean_features
 from ..ml import metrics as M
 from ..ml import thresholds as TH
+from ..ml.boost import BoostedTrees
 from ..ml.calibrate import apply_platt, fit_platt
 from ..ml.folds import group_folds
 from ..ml.models import FittedModel, fit_model, fit_prepared, prepare
+from ..ml.perceptron import Perceptron
 from ..operators import variants
 from ..operators.snapshot import FEATURES_15
 from ..session import ensure_checkpoint_dir
@@ -35,9 +37,7 @@ from ..sources.demo import LearnerTables, learner_tables
 ID = ["id_student", "cutoff"]
 CLEAN = "all_nonneg"  # cleaning of training rows; saved with the model and used for scoring
 EVAL_MODELS = ("logreg_l1", "rf", "gbt", "mlp")
-_MODEL_CLASSES = {"logreg_l1": LogisticRegressionModel, "logreg_l2": LogisticRegressionModel,
-                  "rf": RandomForestClassificationModel, "gbt": GBTClassificationModel,
-                  "mlp": MultilayerPerceptronClassificationModel}
+_MODEL_CLASSES = (LogisticRegressionModel, RandomForestClassificationModel, GBTClassificationModel, MultilayerPerceptronClassificationModel)
 
 
 def tables(spark: SparkSession, source: str | LearnerTables) -> LearnerTables:
@@ -104,8 +104,12 @@ def best_model(board: DataFrame) -> str:
 
 def save_bundle(spark: SparkSession, fm: FittedModel, path: str, extra: dict) -> None:
     """The fitted classifier (pyspark.ml writer) + a one-row JSON config table."""
-    fm.model.write().overwrite().save(os.path.join(path, "model"))
     cfg = {"name": fm.name, "features": fm.features, "kept": fm.kept, "yj": fm.yj, **extra}
+    if isinstance(fm.model, (BoostedTrees, Perceptron)):
+        cfg["own"] = {"kind": type(fm.model).__name__, "model": fm.model.to_dict()}
+    else:
+        cfg["kind"] = type(fm.model).__name__
+        fm.model.write().overwrite().save(os.path.join(path, "model"))
     spark.createDataFrame([(json.dumps(cfg),)], "config string").coalesce(1).write.mode("overwrite").text(
         os.path.join(path, "config"))
 
@@ -113,9 +117,12 @@ def save_bundle(spark: SparkSession, fm: FittedModel, path: str, extra: dict) ->
 def load_bundle(spark: SparkSession, path: str) -> FittedModel:
     """Load classifier + config back."""
     cfg = json.loads(spark.read.text(os.path.join(path, "config")).collect()[0][0])
-    model = _MODEL_CLASSES[cfg["name"]].load(os.path.join(path, "model"))
+    if own := cfg.get("own"):
+        model = {c.__name__: c for c in (BoostedTrees, Perceptron)}[own["kind"]].from_dict(own["model"])
+    else:
+        model = next(c for c in _MODEL_CLASSES if c.__name__ == cfg["kind"]).load(os.path.join(path, "model"))
     return FittedModel(cfg["name"], cfg["features"], cfg["kept"], cfg["yj"], model,
-                       {k: v for k, v in cfg.items() if k not in ("name", "features", "kept", "yj")})
+                       {k: v for k, v in cfg.items() if k not in ("name", "features", "kept", "yj", "own", "kind")})
 
 
 def train_job(spark: SparkSession, source: str | LearnerTables, out_path: str, models: Sequence[str] = EVAL_MODELS,
@@ -163,7 +170,7 @@ def score_with_bundle(fm: FittedModel, features: DataFrame, keep: Sequence[str],
     """
     x = clean_features(features, FEATURES_15, clean_mode(fm), keep=list(keep))
     scored = fm.transform(x, keep=[*keep, *FEATURES_15])
-    platt = fm.extra.get("platt", {"a": 1.0, "b": 0.0})
+    platt = fm.extra.get("platt")  # None: scores pass through
     if form == "heuristic":
         parts = rules.heuristic_blend(F.col("proba"))
         return scored.select(*keep, "proba", *[v.alias(k) for k, v in parts.items()])

@@ -45,4 +45,4 @@ def _load():
     if _loaded:
         return
     _loaded = True
-    from .plans import catalog  # noqa: F401  (registers on import)
+    from .plans import catalog, checks, intake  # noqa: F401  (register on import)

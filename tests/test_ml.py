@@ -165,7 +165,7 @@ def test_curves_when_all_scores_crowd_together(spark):
     pos, neg = np.sort(s[y]), np.sort(s[~y])
     want = np.mean([(neg < p).mean() + 0.5 * (neg == p).mean() for p in pos])
     assert abs(M.roc_auc(df, ["g"], "s", "y").first()["auc"] - want) < 1e-12
-    c = M.cumulative_desc(M.score_counts(df, ["g"], "s", "y"), ["g"], "s", buckets=16)
+    c = M.cumulative_desc(M.score_counts(df, ["g"], "s", "y"), ["g"], "s", piece=7)
     assert c.count() == len(set(s))
 
 
@@ -202,3 +202,29 @@ def test_oversampling_neighbours_across_blocks_and_ties(spark, monkeypatch):
     S.ensure_checkpoint_dir(spark)
     found = {r["_id"]: [c["id"] for c in r["_nb"]] for r in S.neighbours(df, 5, 4).collect()}
     assert len(found) == 1000 and _recall(x, found, 5) >= 0.9
+
+
+def test_yeo_johnson_continuous_optimum(spark):
+    rng = np.random.RandomState(9)
+    columns = {"a": rng.exponential(3.0, 700), "b": np.append(rng.beta(0.6, 8.0, 699) * 0.4, [0.9]), "c": rng.normal(2, 1, 700), "d": rng.gamma(2.0, 9.0, 700)}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], "a double, b double, c double, d double").checkpoint()
+    got = fit_yeo_johnson(df, list(columns), tol=1e-6)
+
+    def ll(x, lam):
+        p = x >= 0
+        z = np.where(p, np.expm1(lam * np.log1p(np.where(p, x, 0))) / lam, -np.expm1((2 - lam) * np.log1p(np.where(p, 0, -x))) / (2 - lam))
+        return -len(x) * np.log(np.std(z)) + (lam - 1) * np.sum(np.sign(x) * np.log1p(np.abs(x)))
+    for c, x in columns.items():
+        lo, hi = got[c]["lambda"] - 0.05, got[c]["lambda"] + 0.05
+        for _ in range(60):  # golden section
+            a, b = hi - 0.618 * (hi - lo), lo + 0.618 * (hi - lo)
+            lo, hi = (lo, b) if ll(x, a) > ll(x, b) else (a, hi)
+        assert abs((lo + hi) / 2 - got[c]["lambda"]) < 1e-5 * max(1, abs(got[c]["lambda"]))
+    assert abs(got["b"]["lambda"]) > 2
+
+
+def test_calibrator_none_passes_through(spark):
+    from pulse.ml.calibrate import apply_platt
+    df = spark.createDataFrame([(0.0,), (0.3,), (1.0,)], "p double")
+    assert [r[0] for r in df.select(apply_platt(F.col("p"), None)).collect()] == [0.0, 0.3, 1.0]
+    assert abs(df.select(apply_platt(F.col("p"), {"a": 2.0, "b": -1.0}).alias("q")).collect()[1]["q"] - 1 / (1 + np.exp(0.4))) < 1e-12

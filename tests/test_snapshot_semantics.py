@@ -245,6 +245,20 @@ def test_two_registration_days_shift_the_log_twice(spark):
     assert sorted(r["target"] for r in r9) == [0, 1] and all(r["active_days_14"] == 3.0 for r in r9)
 
 
+def test_composite_key_in_every_variant(spark):
+    from pulse.operators import cohort, variants
+    from pulse.sources.demo import learner_tables
+    t = learner_tables(spark, "/root/testdata/sf0.001")
+    key = cohort.REGISTRATION_KEY
+    for make in (variants.snapshot_v5, variants.snapshot_v6, variants.snapshot_v7, variants.snapshot_v8, variants.snapshot_v9, variants.snapshot_v10):
+        by_id, by_key = make(t), make(t, key=key)
+        # Every learner of these tables registers once: the same rows under either key.
+        assert set(by_key.columns) - set(by_id.columns) == {"code_module", "code_presentation"}
+        a, b = by_id.distinct(), by_key.select(*by_id.columns).distinct()
+        assert a.count() > 0 and (make is variants.snapshot_v9 or (a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0))
+    assert cohort.learners_prestart(t, "BBB", ("2024A", "2024B"), key).columns[:3] == list(key)
+
+
 def test_composite_key_gives_a_row_per_registration(spark):
     from pulse.operators import cohort, variants
     t = _repeat_tables(spark, (0, 3), [(0, 1), (3, 1), (6, 1)])
