@@ -24,6 +24,7 @@ from .common import documents, name, stage_table, text_slices, texts_of
 
 ENTRIES = 1 << 20    # (term, item) entries of a block of items; a single larger item is a block
 CELLS = 1 << 18      # scores, and additions to them, that a task holds at once
+SALTS = 16           # tasks that look for the members of a class
 BAGS = 1 << 21       # bytes of packed bags that a task unpacks at once
 
 # UTF-8 bytes: A-Z to a-z; ASCII other than letters and digits to a space, all else stays.
@@ -167,8 +168,11 @@ def _block_ranks(docs: DataFrame, block: DataFrame, k: int) -> DataFrame | None:
     by_item = Window.partitionBy("item").orderBy(F.desc("score"), "first", "class")
     best = stage_table(found.withColumn("rank", F.row_number().over(by_item)).filter(F.col("rank") <= k).select("item", "score", "class"), "best")
 
-    members = (keyed.join(classes.join(best.select("class").distinct(), "class").select("class", "hash", "bag", "m"), ["hash", "bag", "m"])
-               .select("class", "doc_id"))
+    # At most k classes an item: repeated for every salt, so that a class of many copies meets many tasks.
+    chosen = (classes.join(best.select("class").distinct(), "class").select("class", "hash", "bag", "m")
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = keyed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    members = salted.join(chosen, ["hash", "bag", "m", "salt"]).select("class", "doc_id")
     by_class = Window.partitionBy("class").orderBy(F.asc_nulls_last("doc_id"))
     members = members.withColumn("rank", F.row_number().over(by_class)).filter(F.col("rank") <= k).drop("rank")
     keys = docs.sparkSession.createDataFrame([(j, i) for j, (i, _) in enumerate(rows)], "item long, key long")
