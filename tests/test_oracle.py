@@ -29,7 +29,8 @@ def _rows(pdf):
     return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-NAMES = sorted(registry.oracle_sql())
+# Queries that fit models need the larger tables: tests/test_checks.py.
+NAMES = sorted(n for n in registry.oracle_sql() if not n.endswith("_check") and n != "json_scan_scored")
 
 
 @pytest.mark.parametrize("name", NAMES)
