@@ -12,11 +12,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pulse import registry  # noqa: E402
 
 MODULES = {
-    "S1": "sources/tables.py, sources/demo.py", "S2": "sources/tables.py", "S3": "sources/history.py",
+    "S1": "sources/quarantine.py, sources/tables.py", "S2": "sources/quarantine.py", "S3": "sources/history.py, sources/quarantine.py",
     "S4": "sources/history.py", "S5": "sources/samples.py", "S6": "sources/validate.py",
     "S7": "plans/train.py (save_bundle)", "S8": "plans/catalog.py (threshold_config)",
-    "S9": "plans/catalog.py (config_latest)", "S10": "plans/train.py (load_bundle)",
-    "S11": "plans/daily.py (write_scores)", "S12": "sources/history.py", "S13": "sources/validate.py",
+    "S9": "sources/versions.py", "S10": "plans/train.py (load_bundle)",
+    "S11": "plans/daily.py (write_scores)", "S12": "sources/history.py", "S13": "sources/validate.py, sources/quarantine.py",
     "F8": "operators/snapshot.py (eligible)", "F11": "operators/snapshot.py", "F12": "operators/cohort.py",
     "F13": "sources/history.py", "F17": "operators/cohort.py (null_profile)", "F9": "plans/catalog.py",
     "J1": "operators/snapshot.py + operators/assessments.py", "J6": "operators/snapshot.py (cutoff_panel)",
@@ -37,7 +37,7 @@ MODULES = {
     "P10": "operators/early.py (snapshot_day7)", "P11": "operators/variants.py (snapshot_v11)",
     "P12": "operators/variants.py, operators/cohort.py", "P13": "operators/cohort.py",
     "P17": "operators/cohort.py",
-    "W1": "operators/assessments.py (last_score_window)", "W2": "ml/metrics.py (cumulative_desc)",
+    "W1": "operators/assessments.py (last_score_window)", "W2": "ml/ranks.py, ml/metrics.py",
     "W3": "plans/daily.py", "W4": "plans/daily.py", "W5": "plans/daily.py", "W6": "plans/catalog.py",
     "W7": "plans/catalog.py (top_features)", "W8": "sources/validate.py", "W9": "ml/folds.py (hash_sample)",
     "W10": "DataFrame.limit",
@@ -48,20 +48,26 @@ MODULES = {
     "M1": "ml/folds.py", "M2": "ml/folds.py", "M3": "ml/folds.py", "M4": "ml/prep.py", "M5": "ml/prep.py",
     "M6": "plans/holdout.py", "M7": "ml/models.py (kept_columns), ml/prep.py", "M8": "ml/prep.py",
     "M9": "ml/smote.py", "M10": "ml/prep.py", "M11": "ml/models.py", "M12": "ml/models.py",
-    "M13": "ml/models.py", "M14": "ml/models.py", "M15": "plans/train.py", "M16": "ml/importance.py",
+    "M13": "ml/boost.py, ml/models.py", "M14": "ml/perceptron.py, ml/models.py", "M15": "plans/train.py", "M16": "ml/importance.py",
     "M17": "ml/metrics.py", "M18": "ml/metrics.py", "M19": "ml/metrics.py", "M20": "ml/metrics.py",
     "M21": "ml/metrics.py", "M22": "ml/thresholds.py", "M23": "ml/thresholds.py", "M24": "ml/thresholds.py",
-    "M25": "ml/thresholds.py", "M26": "plans/train.py (evaluate)", "M27": "plans/train.py",
+    "M25": "ml/thresholds.py", "M26": "plans/train.py (evaluate)", "M27": "plans/recipes.py, plans/train.py",
     "M28": "plans/train.py (train_job)",
     "U1": "operators/snapshot.py (closed form)", "U2": "not needed", "U3": "A11", "U4": "functions/rules.py",
 }
 DEFAULT = {"S": "sources/", "F": "operators/cohort.py", "J": "operators/cohort.py", "X": "functions/rules.py",
            "A": "operators/snapshot.py (activity_aggregates)", "P": "operators/variants.py + snapshot.py",
            "W": "plans/", "R": "functions/rules.py", "M": "ml/", "U": "-"}
-EXTRA = {"M23": ["threshold_median"], "M9": ["smote_segments"], "P5": ["repeat_snapshot_v5"], "P6": ["repeat_snapshot_v6"], "P7": ["repeat_snapshot_v7"], "P8": ["repeat_snapshot_v8", "snapshot_v8_prefix", "snapshot_v8_composite_key"], "P9": ["repeat_snapshot_v9"], "P10": ["repeat_snapshot_v10"], "R13": ["blended_risk", "blended_risk_a", "blended_risk_heuristic", "blended_heuristic"], "M1": ["stratified_split_counts"], "M3": ["strat_group_fold_sizes"], "M6": ["holdout_eval"], "M16": ["top_features"], "R4": ["blended_tiers"],
+EXTRA = {"M23": ["threshold_median", "threshold_train_folds", "threshold_train_folds_median"], "M9": ["smote_segments"], "P5": ["repeat_snapshot_v5"], "P6": ["repeat_snapshot_v6"], "P7": ["repeat_snapshot_v7"], "P8": ["repeat_snapshot_v8", "snapshot_v8_prefix", "snapshot_v8_composite_key"], "P9": ["repeat_snapshot_v9"], "P10": ["repeat_snapshot_v10"], "R13": ["blended_risk", "blended_risk_a", "blended_risk_heuristic", "blended_heuristic", "blended_risk_check", "blended_risk_a_check", "blended_risk_heuristic_check"], "M1": ["stratified_split_counts"], "M3": ["strat_group_fold_sizes", "even_class_group_folds"], "M6": ["holdout_eval"], "M16": ["top_features", "importance_check"], "R4": ["blended_tiers"],
          "X15": ["blended_tiers"], "Q4": ["train_serve_skew"], "P4": ["snapshot_v4", "learner_features", "repeat_snapshot_v4"],
-         "S11": ["daily_rollup_stream", "feature_cache"], "S10": ["model_roundtrip"], "W7": ["top_features"],
+         "S11": ["daily_rollup_stream", "feature_cache"], "S10": ["model_roundtrip", "model_roundtrip_check"], "W7": ["top_features"],
          "X4": ["snapshot_v4", "snapshot_v8", "snapshot_v10"], "X5": ["snapshot_v8"], "X6": ["snapshot_v8"],
+         "S1": ["csv_scan"], "S2": ["csv_scan_columns"], "S3": ["json_scan"], "S13": ["json_scan", "json_scan_scored"], "S7": ["model_roundtrip_check"],
+         "J11": ["score_with_threshold_check"], "A18": ["train_v9_check"], "A20": ["train_v10_check"], "M2": ["even_group_folds"], "M10": ["train_v9"],
+         "M11": ["train_fit_check"], "M12": ["train_fit_check"], "M13": ["train_fit_check", "train_v10_check"], "M14": ["train_fit_check", "train_v8_check"],
+         "M15": ["train_v8_check"], "M26": ["oof_check", "train_v8_check"], "M27": ["train_v8", "train_v9", "train_v10", "train_v9_check"], "M28": ["train_v9_check"],
+         "R7": ["platt_check"], "R8": ["score_raw_history_check"], "R9": ["score_raw_batch_check"], "R10": ["score_feature_batch_check"],
+         "R11": ["score_with_threshold_check"], "R12": ["score_calibrated_check"], "R14": ["daily_scores_check"],
          "F10": ["registration_features"], "F11": ["snapshot_v4"], "W5": ["ranked_risk"], "W10": ["top10_risk"]}
 
 
