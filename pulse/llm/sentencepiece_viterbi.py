@@ -12,7 +12,12 @@ hashes of all pieces, and a vectorised maximum keeps the best predecessor as bac
   every prefix of a word exactly one such path, so the maximum finds it. Two pieces stay apart
   if, undoing their merges from the latest on, no merge across the border would have come first.
 
-Ids of units are kept for the next texts of the task in a dictionary of bounded size.
+A unit of more than ``LONG`` characters has no row mates worth waiting for: the probes of all its
+substrings are made in blocks of places, and one scan over what they found keeps the backpointers,
+so its work grows with its length (a word of a million characters takes seconds).
+
+Ids of units are kept for the next texts of the task in a dictionary of bounded size; those of
+long units only for their own texts.
 """
 
 from __future__ import annotations
@@ -34,6 +39,9 @@ SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 CACHE = 800_000   # units whose ids a task keeps
 ROWS = 20_000     # units that advance together
+LONG = 256        # characters from which on a unit is searched alone
+BLOCK = 65_536    # places of such a unit whose substrings are probed at once
+PAIRS = 500_000   # pairs of pieces whose border a task remembers
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -100,6 +108,7 @@ class Model:
         self.unit = re.compile(".+" if self.crosses else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.lines
                                else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", re.DOTALL)
         self.cache: dict[str, bytes] = {}
+        self.borders: dict[tuple[int, int], bool] = {}
         self.surface = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else
                         " ⁇ ".encode() if k == UNKNOWN else t.replace(SPACE, " ").encode()
                         for t, k in zip(self.text, self.kind, strict=True)]
@@ -145,6 +154,9 @@ class Model:
             self.whole[i] = parts == [i] and (self.length[i] == 1 or not text.strip(SPACE)
                                               or max(self.rank[self.first[i]], self.rank[self.second[i]]) < self.rank[i])
 
+        self.index = index
+        self.merge = list(zip(self.rank.tolist(), self.first.tolist(), self.second.tolist(), strict=True))
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece with the hash, or -1."""
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
@@ -177,6 +189,65 @@ class Model:
         out[at] = good[back]
         return out
 
+    def apart_one(self, a: int, b: int) -> bool:
+        """``apart`` of one pair, remembered."""
+        if a < 0 or b < 0:
+            return True
+        if (known := self.borders.get((a, b))) is not None:
+            return known
+        x, y, limit, good = a, b, len(self.text), True
+        while good:
+            joined = self.index.get(self.text[x] + self.text[y])
+            good = joined is None or self.merge[joined][0] >= limit
+            (rank_x, _, second), (rank_y, first, _) = self.merge[x], self.merge[y]
+            if rank_x > rank_y:
+                limit, x = rank_x, second
+            elif rank_y >= 0:
+                limit, y = rank_y + 1, first
+            else:
+                break
+        if len(self.borders) >= PAIRS:
+            self.borders.clear()
+        self.borders[a, b] = good
+        return good
+
+    def search_long(self, unit: str) -> bytes:
+        """``search`` for one long unit: the same paths, the same choice among equal sums."""
+        code = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        width, worst = len(code), float(self.score[self.keys.size and self.ids].min() - 10)
+        cost = self.score.tolist()
+        score, piece, step = [-np.inf] * (width + 1), [-1] * (width + 1), [0] * (width + 1)
+        score[0] = 0.0
+        for begin in range(0, width, BLOCK):
+            end = min(width, begin + BLOCK)
+            starts, sizes, pieces = [], [], []
+            hashes = np.zeros(end - begin, np.uint64)
+            for k in range(1, self.longest + 1):
+                hashes = hashes[:max(0, width - k + 1 - begin)]  # substrings of k characters from each place
+                hashes = hashes * BASE + code[begin + k - 1:begin + k - 1 + len(hashes)] + np.uint64(1)
+                found = self.find(hashes)
+                at = np.flatnonzero((found >= 0) | (k == 1))
+                if self.merges:
+                    at = at[(found[at] < 0) | self.whole[found[at]]]
+                starts.append(at + begin)
+                sizes.append(np.full(len(at), k))
+                pieces.append(found[at])
+            start = np.concatenate(starts)
+            order = np.argsort(start, kind="stable")
+            rows = (start, np.concatenate(sizes), np.concatenate(pieces))
+            for i, k, p in zip(*(x[order].tolist() for x in rows), strict=True):
+                if score[i] == -np.inf or self.merges and not self.apart_one(piece[i], p):
+                    continue
+                value = score[i] + (0.0 if self.merges else cost[p] if p >= 0 else worst)
+                if value >= score[i + k]:  # shorter pieces come later here and win among equals
+                    score[i + k], piece[i + k], step[i + k] = value, p, k
+        ids, at = [], width
+        while at:
+            ids.append(piece[at] if piece[at] >= 0 else -1 - int(code[at - 1]))
+            at -= step[at]
+        flat = np.array(ids[::-1], np.int64)
+        return np.array(self._finish(flat) if (flat < 0).any() else flat, "<u4").tobytes()
+
     def search(self, units: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of some units of about one length."""
         n, width = len(units), max(map(len, units))
@@ -274,7 +345,11 @@ class Model:
         units, found, i = sorted(units, key=len), {}, 0
         while i < len(units):
             size = len(units[i])
-            most = size if size <= 24 else size + size // 4
+            if size > LONG:
+                found[units[i]] = self.search_long(units[i])
+                i += 1
+                continue
+            most = size if size <= 24 else min(size + size // 4, LONG)
             j = i + 1
             rows = max(1, min(ROWS, 2_000_000 // (most + 1)))
             while j < len(units) and j - i < rows and len(units[j]) <= most:
@@ -298,7 +373,11 @@ class Model:
                 new = {u for us in units for u in us}
             self.learn(list(new))
         cache = self.cache
-        return [b"".join([cache[u] for u in us]) for us in units]
+        ids = [b"".join([cache[u] for u in us]) for us in units]
+        for u in new:
+            if len(u) > LONG:
+                del cache[u]
+        return ids
 
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface

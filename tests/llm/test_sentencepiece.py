@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -36,6 +37,24 @@ def test_special_texts(text):
     assert model(FILE).decode(np.array(LIB.encode(text), np.int64)) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab theinrs▁=é€\n", min_size=1, max_size=60))
+def test_long_units_take_the_same_path(text):
+    m = model(FILE)
+    for unit in {u for u in m.unit.findall(m.normalised(text)) if not u.startswith("▁▁")}:
+        assert m.search_long(unit) == m.search([unit])[0]
+
+
+@pytest.mark.parametrize("text", ["x" * 300_000, "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=300_000)),
+                                  "日本語€" * 50_000, "a1" * 150_000, " " * 300_000, "-" * 70_000 + " b" + "=" * 70_000], ids=range(6))
+def test_very_long_words(text):
+    begin = time.monotonic()
+    got = ids(model(FILE), text)
+    assert time.monotonic() - begin < 60
+    assert got == LIB.encode(text)
+    assert all(len(u) <= 256 for u in model(FILE).cache)
+
+
 def unigram_file(path, pieces):
     """A unigram model file: pieces (text, score), an unknown piece first, no byte pieces."""
     def field(n, payload):
@@ -66,6 +85,8 @@ def test_unigram_models_maximise_the_sum(tmp_path):
         want = other.encode("▁" + text.replace(" ", "▁")).ids
         got = ids(m, text)
         cost = {i: s for i, (_, s) in enumerate(pieces)}
+        unit = "▁" + text.replace(" ", "▁")
+        assert m.search_long(unit) == m.search([unit])[0]
         assert [x for x in got] == want or abs(sum(cost[x] for x in got) - sum(cost[x] for x in want)) < 1e-5
 
 
