@@ -246,11 +246,11 @@ def _prefix_aggregates(spec: SnapshotSpec, panel: DataFrame, daily: DataFrame, k
 
     def at(col, name):
         return F.max(F.when(F.col("_bt") == name, F.col(col)))
-    aggs = [F.max(x).alias(x) for x in carry]  # constant within a (learner, cutoff) group
+    aggs = []
     for n in bounds:
         aggs += [at("_P", n).alias(f"_P_{n}"), at("_N", n).alias(f"_N_{n}")]
     aggs.append(at("_L", "c").alias("_L_c"))
-    g = u.groupBy(*ks, "cutoff").agg(*aggs)
+    g = u.groupBy(*ks, "cutoff", *carry).agg(*aggs)  # carried lists: see build_panel
     P = {n: F.col(f"_P_{n}") for n in bounds}
     N = {n: F.col(f"_N_{n}") for n in bounds}
     last_c = F.col("_L_c")
@@ -318,9 +318,11 @@ def build_panel(spec: SnapshotSpec, learners: DataFrame, daily: DataFrame,
         cond = F.col("_d") <= c + spec.horizon
         for i, k in enumerate(ks):
             cond = cond & (F.col(k) == F.col(f"_k{i}"))
-        rows = [F.max("_rows").alias("_rows")] if carry else []  # constant within (key, cutoff)
-        agg = panel.join(act, cond, "left").groupBy(*ks, "cutoff").agg(
-            *rows, *activity_aggregates(spec, c, F.col("_d"), F.col("_n")))
+        # The list is constant within (key, cutoff): as a grouping column it leaves the aggregate a
+        # hash aggregate (an array in the buffer makes Spark sort), on the join's partitioning.
+        rows = ["_rows"] if carry else []
+        agg = panel.join(act, cond, "left").groupBy(*ks, "cutoff", *rows).agg(
+            *activity_aggregates(spec, c, F.col("_d"), F.col("_n")))
     if carry:
         agg = agg.withColumn("_row", F.explode("_rows")).select("*", "_row.*").drop("_row", "_rows")
     out_cols = [*[F.col(k) for k in ks], c.cast("bigint").alias("cutoff")]

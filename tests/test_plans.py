@@ -50,3 +50,9 @@ def test_filters_and_columns_reach_the_scan(static_spark):
     for s in scans:
         schema = re.search(r"ReadSchema: struct<([^>]*)>", s).group(1)
         assert "value" not in schema  # unused columns are pruned
+
+
+@pytest.mark.parametrize("name", ["snapshot_v9", "repeat_snapshot_v9", "snapshot_v8_prefix"])
+def test_carried_rows_leave_the_panel_aggregates_hash_aggregates(static_spark, name):
+    p = _plan(registry.queries()[name](static_spark, SF))
+    assert "SortAggregate" not in p and "HashAggregate" in p
