@@ -943,6 +943,35 @@ FROM p""")(lambda spark, sf: VAL.validate_feature_rows(
     variants.snapshot_v11(H.learner_histories(T(spark, sf))).drop("cutoff"), FEATURES_15)
     .select("student_id", "is_valid", "error"))
 
+# One learner in seven per fault, so that every kind of cause occurs in the given tables.
+register("validate_broken_rows", W(_V11_CTES, f"p AS ({_V11_SELECT}), e AS (SELECT *, CAST(student_id AS BIGINT) % 7 AS r FROM p)") + """,
+c AS (SELECT student_id, CASE r
+  WHEN 0 THEN 'clicks_last_14_days is missing'
+  WHEN 1 THEN 'active_ratio_total out of [0,1]'
+  WHEN 2 THEN 'trend_click_14 is not numeric'
+  WHEN 3 THEN 'active_days_14 is not numeric'
+  WHEN 4 THEN 'clicks_per_day_total is not numeric'
+  ELSE CASE WHEN active_ratio_total < 0 OR active_ratio_total > 1 THEN 'active_ratio_total out of [0,1]'
+            WHEN active_ratio_14 < 0 OR active_ratio_14 > 1 THEN 'active_ratio_14 out of [0,1]' END END AS error FROM e)
+SELECT student_id, CASE WHEN error IS NULL THEN 1 ELSE 0 END::BIGINT AS is_valid, error FROM c""")(
+    lambda spark, sf: VAL.validate_feature_rows(_broken(variants.snapshot_v11(H.learner_histories(T(spark, sf)))), FEATURES_15)
+    .select("student_id", "is_valid", "error"))
+
+
+def _broken(rows):
+    """Faults by id: a NULL, a ratio above one, a NaN, a text, and two faults at once."""
+    r = F.col("student_id").cast("bigint") % 7
+    nan = F.lit(float("nan"))
+    return rows.withColumns({
+        "clicks_last_14_days": F.when(r != 0, F.col("clicks_last_14_days")),
+        "active_ratio_total": F.col("active_ratio_total") + F.when(r == 1, 2.0).otherwise(0.0),
+        "trend_click_14": F.when(r == 2, nan).otherwise(F.col("trend_click_14")),
+        "active_days_14": F.when(r == 3, "n/a").otherwise(F.col("active_days_14").cast("string")),
+        "clicks_per_day_total": F.when(r == 4, nan).otherwise(F.col("clicks_per_day_total")),
+        "clicks_0_7": F.when(r != 4, F.col("clicks_0_7")),
+    })
+
+
 register("batch_error_rows", W() + f"""
 SELECT CAST(id_student AS VARCHAR) AS student_id,
        CAST(CASE WHEN date_registration IS NULL THEN NULL ELSE 14 - date_registration END AS BIGINT) AS cutoff,
