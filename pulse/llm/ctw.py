@@ -11,11 +11,13 @@ How it runs, with text sent through one shuffle only:
 1. One pass over the texts finds, per chunk (input partition), its distinct n-grams (context +
    byte) and words, and how often training documents have them. They are packed by bucket:
    n-grams by their two nearest context bytes, words by hash.
-2. Buckets are merged over the chunks, ``PART`` chunks a time, level by level. Each bucket
+2. Buckets are merged over the chunks, ``PART`` chunks a time, level by level, questions that
+   training never saw included; the last merge is the model, one row a bucket. Each bucket
    builds its subtrees in numpy; depths 0 and 1 (at most 256 x 255 nodes) meet on the driver.
-3. Each chunk's bucket is answered by the merged bucket: a log-probability per n-gram, for those
-   that training never saw as well (the deepest seen node decides), and a count per word. The
-   answers keep the order of the questions, so they are numbers only.
+3. The model meets the last level's rows only (at most ``PART`` a bucket), once: a log-probability
+   per n-gram, for those that training never saw as well (the deepest seen node decides), and a
+   count per word. Answers then go down the levels to the rows that were merged, so each level
+   shuffles its questions and answers and no copy of the model. The answers keep the order of the questions, so they are numbers only.
 4. Each chunk scores its documents with its answers. What a task holds is bounded by its chunk,
    or by ``PART`` chunks' share of a bucket.
 """
@@ -282,34 +284,71 @@ def facts(docs: DataFrame, depth: int) -> DataFrame:
     return docs.select("chunk", "text", "held_out").mapInArrow(run, FACTS)
 
 
-def merged(found: DataFrame) -> DataFrame:
-    """One row per bucket: (bucket, items, counts), n-grams and words that training has."""
-    def add_up(f: pd.DataFrame) -> pd.DataFrame:
+def add_up(fan_in: int, seen_only: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Merge rows of one bucket into one; ``seen_only`` keeps what training has."""
+    def run(f: pd.DataFrame) -> pd.DataFrame:
         bucket = int(f["bucket"].iloc[0])
         if bucket < BUCKETS:
             items, counts = summed([(unpack(i), counts_of(c)) for i, c in zip(f["items"], f["counts"], strict=True)])
-            items, counts = pack(items[counts > 0]), counts[counts > 0]
+            if seen_only:
+                items, counts = items[counts > 0], counts[counts > 0]
+            items = pack(items)
         else:
             total: Counter = Counter()
             for i, c in zip(f["items"], f["counts"], strict=True):
                 for w, n in zip(i.split(b" "), counts_of(c).tolist(), strict=True):
                     total[w] += n
-            words = sorted(w for w, n in total.items() if n)
+            words = sorted(w for w, n in total.items() if n or not seen_only)
             items, counts = b" ".join(words), np.array([total[w] for w in words], np.int64)
-        return pd.DataFrame({"chunk": [int(f["chunk"].iloc[0]) // PART], "bucket": [bucket], "items": [items],
-                             "counts": [counts.astype("<i8").tobytes()]}) if len(counts) else pd.DataFrame(
-            {"chunk": [], "bucket": [], "items": [], "counts": []})
+        rows = slice(None if len(counts) else 0)
+        return pd.DataFrame({"chunk": [int(f["chunk"].iloc[0]) // fan_in], "bucket": [bucket], "items": [items],
+                             "counts": [counts.astype("<i8").tobytes()]})[rows]
+    return run
 
-    chunks = found.agg(F.max("chunk")).first()[0] or 0
-    while True:
-        found = found.groupBy("bucket", F.floor(F.col("chunk") / PART).alias("part")).applyInPandas(add_up, FACTS)
-        chunks //= PART
-        if not chunks:
-            return stage_table(found.select("bucket", "items", "counts"), "merged")
+
+def levels_of(found: DataFrame, fan_in: int) -> list[DataFrame]:
+    """The chunks' questions, then those of ``fan_in`` chunks together, and so on, until a bucket has
+    at most ``fan_in`` rows. An n-gram that many chunks ask for is one question from there on."""
+    levels, last = [found], found.agg(F.max("chunk")).first()[0] or 0
+    while last >= fan_in:
+        groups = levels[-1].groupBy("bucket", F.floor(F.col("chunk") / fan_in).alias("part"))
+        levels.append(stage_table(groups.applyInPandas(add_up(fan_in, False), FACTS), "questions"))
+        last //= fan_in
+    return levels
+
+
+def answered_by(asked: pd.DataFrame, has: pd.DataFrame, with_items: bool) -> pd.DataFrame:
+    """Answers to a bucket's rows from those of the row they were merged into."""
+    items, values = has["items"].iloc[0], np.frombuffer(has["answers"].iloc[0], "<f8")
+    if asked["bucket"].iloc[0] < BUCKETS:
+        every = unpack(items)
+        out = [values[np.searchsorted(every, unpack(i))] for i in asked["items"]]
+    else:
+        c = dict(zip(items.split(b" "), values.tolist(), strict=True))
+        out = [np.array([c[w] for w in i.split(b" ")], float) for i in asked["items"]]
+    return answer_rows(asked, out, with_items)
+
+
+def down(asked: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
+    return answered_by(asked, has, False)
+
+
+def down_further(asked: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
+    return answered_by(asked, has, True)
+
+
+ANSWERS = "chunk int, bucket int, mark bigint, answers binary, items binary"
+
+
+def answer_rows(asked: pd.DataFrame, out: list[np.ndarray], with_items: bool) -> pd.DataFrame:
+    """``mark`` is a checksum of the question; ``items`` go along for the level below."""
+    return pd.DataFrame({"chunk": asked["chunk"].to_numpy(), "bucket": asked["bucket"].to_numpy(),
+                         "mark": [zlib.crc32(i) for i in asked["items"]], "answers": [x.astype("<f8").tobytes() for x in out],
+                         "items": list(asked["items"]) if with_items else [None] * len(asked)})
 
 
 def ctw_scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int = 5,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", fan_in: int = PART) -> DataFrame:
     """Scores of all documents under a model of those that ``held_out(id)`` is false for.
 
     Texts are lower-cased (A-Z). Columns: doc_id, held_out, n_tokens (words and one end),
@@ -323,14 +362,16 @@ def ctw_scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int
 
     ``docs`` has to be a table scan: its partitions are the chunks, and they must be the same in
     both passes (answers that do not fit a chunk raise). Give any other frame through
-    ``stage_table`` first. ``depth`` is 2 to 6.
+    ``stage_table`` first. ``depth`` is 2 to 6. ``fan_in`` (2 and more): chunks merged at once.
     """
-    if not 2 <= depth <= 6:
-        raise ValueError("depth is 2 to 6")
+    if not 2 <= depth <= 6 or fan_in < 2:
+        raise ValueError("depth is 2 to 6, fan_in 2 and more")
     d = (documents(docs, id_col, text_col).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
          .withColumn("chunk", F.spark_partition_id()))
     found = stage_table(facts(d, depth), "facts")
-    model = merged(found)
+    levels = levels_of(found, fan_in)
+    model = stage_table(levels[-1].groupBy("bucket").applyInPandas(add_up(fan_in, True), FACTS)
+                        .select("bucket", "items", "counts"), "merged")
 
     def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -366,31 +407,33 @@ def ctw_scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int
     at = one.ids.astype(np.int64)
     shallow[at], reached[at], left[at] = one.one, one.reached, one.left
 
+    further = len(levels) > 1  # answers go down to another level
+
     def answer(asked: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
-            return pd.DataFrame({"chunk": [], "bucket": [], "mark": [], "answers": []})
+            return answer_rows(asked, [], further)
         if asked["bucket"].iloc[0] < BUCKETS:
             items = unpack(has["items"].iloc[0]) if len(has) else np.zeros(0, np.uint64)
-            levels = subtree(items, counts_of(has["counts"].iloc[0]) if len(has) else np.zeros(0, np.int64), depth, 2)
-            up = up_one(levels[0].ids).astype(np.int64)
-            levels[0].predict(reached[up], left[up])
-            for above, level in zip(levels, levels[1:], strict=False):
+            tree = subtree(items, counts_of(has["counts"].iloc[0]) if len(has) else np.zeros(0, np.int64), depth, 2)
+            up = up_one(tree[0].ids).astype(np.int64)
+            tree[0].predict(reached[up], left[up])
+            for above, level in zip(tree, tree[1:], strict=False):
                 level.predict(above.reached[level.to_parent], above.left[level.to_parent])
-            wanted = [unpack(i) for i in asked["items"]]  # chunks mostly ask for the same n-grams
+            wanted = [unpack(i) for i in asked["items"]]  # rows mostly ask for the same n-grams
             every = ascending(np.concatenate(wanted))
-            logs = probabilities(levels, every, depth, 2, shallow)
+            logs = probabilities(tree, every, depth, 2, shallow)
             out = [logs[np.searchsorted(every, w)] for w in wanted]
         else:
             c = dict(zip(has["items"].iloc[0].split(b" "), counts_of(has["counts"].iloc[0]).tolist(), strict=True)) if len(has) else {}
             out = [np.array([c.get(w, 0) for w in i.split(b" ")], float) for i in asked["items"]]
-        return pd.DataFrame({"chunk": asked["chunk"].to_numpy(), "bucket": asked["bucket"].to_numpy(),
-                             "mark": [zlib.crc32(i) for i in asked["items"]], "answers": [x.astype("<f8").tobytes() for x in out]})
-
-    part = F.floor(F.col("chunk") / PART).cast("int")
-    parts = found.agg(F.max(part)).first()[0] or 0
-    dealt = model.withColumn("part", F.explode(F.sequence(F.lit(0).cast("int"), F.lit(parts).cast("int"))))
-    answers = (found.withColumn("part", part).groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part"))
-               .applyInPandas(answer, "chunk int, bucket int, mark bigint, answers binary"))
+        return answer_rows(asked, out, further)
+
+    answers = levels[-1].groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(answer, ANSWERS)
+    for i, below in enumerate(reversed(levels[:-1])):
+        answers = (below.withColumn("part", F.floor(F.col("chunk") / fan_in).cast("int")).groupBy("bucket", "part")
+                   .cogroup(answers.groupBy("bucket", "chunk")).applyInPandas(
+                       down if i == len(levels) - 2 else down_further, ANSWERS))
+    answers = answers.drop("items")
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulse.llm.common import stage_table
-from pulse.llm.ctw import ctw_scores, log_gamma, one_in_seven, pack, unpack
+from pulse.llm.ctw import ctw_scores, facts, levels_of, log_gamma, one_in_seven, pack, unpack
 
 
 def held(i):
@@ -91,6 +91,22 @@ def test_is_the_exact_mixture(docs, depth):
     same(got(ctw_scores(stage_table(docs(ROWS), "t"), one_in_seven, depth)), brute(ROWS, depth))
 
 
+def test_questions_merged_over_several_levels(spark, docs):
+    rows = [(i, f"{t} {i % 4}") for i, t in ROWS if i is not None]
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a chunk per file
+    try:
+        table = stage_table(docs(rows).repartition(9, "doc_id"), "t")
+        chunks = table.rdd.getNumPartitions()
+        levels = levels_of(stage_table(facts(table.select(F.spark_partition_id().alias("chunk"), "text", F.lit(False).alias("held_out")), 3), "f"), 2)
+        assert chunks > 4 and len(levels) == (chunks - 1).bit_length()
+        assert levels[-1].groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2
+        for fan_in in (2, 3, 64):
+            same(got(ctw_scores(table, one_in_seven, 3, fan_in=fan_in)), brute(rows, 3))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
 def test_empty_untrained_and_clashing(docs):
     assert ctw_scores(stage_table(docs([]), "t"), one_in_seven).count() == 0
     only = [(i, "ab") for i in range(200) if held(i)][:4]
