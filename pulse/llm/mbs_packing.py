@@ -6,7 +6,7 @@ takes the longest length left, a bitset subset-sum over the available lengths fi
 combination that fits beside it, and that bin is repeated while its lengths last. Executors
 tokenise, rank the pieces of each length and look their place up in the plan. Ranking splits
 every length into about sqrt(rows) hash buckets, so a length that a third of all pieces share
-is ranked by many tasks.
+is ranked by many tasks; a row that is repeated is counted first and ranked once.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql.types import LongType
 from .common import documents, stage_table, text_slices
 
 RUN = 5_000
+BLOCK = 4_096  # copies of a repeated piece that one row writes out
 SPACE_RUN = re.compile(r"\s{%d}" % (RUN + 1))
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -171,26 +172,35 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> tuple[pd.DataFrame, i
         ["length", "first"], ignore_index=True), sequences
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with ``rank`` (from 0, gapless) among the pieces of the same length."""
-    buckets = max(1, math.isqrt(pieces.count()))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    sizes = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    return (keyed.withColumn("inside", F.row_number().over(inside)).join(starts, ["length", "bucket"])
-            .withColumn("rank", F.col("before") + F.col("inside") - 1).drop("bucket", "before", "inside"))
+def ranked(counted: DataFrame) -> DataFrame:
+    """One row per copy with ``rank`` (from 0, gapless) among the pieces of the same length.
+    ``counted``: a written table of distinct pieces with the number ``n`` of their copies. A piece
+    with many copies is one row until its copies are written out, in blocks dealt over the tasks."""
+    buckets = max(1, math.isqrt(counted.count()))
+    keyed = counted.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    sizes = keyed.groupBy("length", "bucket").agg(F.sum("n").alias("size"))
+    so_far = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("length", "bucket", F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("before"))
+    inside = (Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    placed = (keyed.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["length", "bucket"])
+              .withColumn("first", F.col("before") + F.col("inside"))
+              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}")))))
+    copies = F.sequence(F.col("block") * BLOCK, F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1)
+    return (placed.repartition("length", "bucket", "first", "block").withColumn("copy", F.explode(copies))
+            .withColumn("rank", F.col("first") + F.col("copy"))
+            .drop("bucket", "before", "inside", "first", "block", "copy", "n"))
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """``pieces`` (with doc_id, piece, start, length, ids_crc32) and their place: sequence_id and
-    offset. Pass a written table: it is read three times and must not change in between."""
+    offset. Repeated pieces are counted before they are shuffled and written."""
+    counted = stage_table(pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("n")), "pieces")
     histogram = {r["length"]: r["n"] for r in  # at most ``capacity`` rows
-                 pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+                 counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan, _ = plan_bins(histogram, capacity)
     by_length = {n: g.reset_index(drop=True) for n, g in plan.groupby("length")}
-    rows = ranked(pieces)
+    rows = ranked(counted)
     schema = rows.drop("rank").schema.add("sequence_id", LongType()).add("offset", LongType())
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,4 +225,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     input columns are ignored.
     """
     pieces = token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids)
-    return pack_pieces(stage_table(pieces, "pieces"), capacity)
+    return pack_pieces(pieces, capacity)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulse.llm.mbs_packing import cut, encoder, fullest, pack_documents, plan_bins
+from pulse.llm.mbs_packing import BLOCK, cut, encoder, fullest, pack_documents, plan_bins, ranked
 
 BPE = P.path("byte_bpe_50k.json")
 REFERENCE = Tokenizer.from_file(BPE)
@@ -117,3 +117,16 @@ def test_table(table):
     df = table("documents")
     n, least = verify(pack_documents(df, BPE).collect(), [(r.doc_id, r.text) for r in df.collect()], 1024)
     assert n <= least * 1.02 + 1
+
+
+def test_repeated_rows_are_counted_and_written_out_in_blocks(spark, docs):
+    copies = docs([(7, "a row repeated"), (8, "another of it")]).crossJoin(spark.range(2 * BLOCK + 5).select()).repartition(5)
+    rows = pack_documents(copies.union(docs(CASES)), BPE)
+    n, least = verify(rows.collect(), [(i, t) for i, t in [(7, "a row repeated"), (8, "another of it")] for _ in range(2 * BLOCK + 5)] + CASES, 1024)
+    assert n <= least + 1
+    assert ranked(spark.createDataFrame([], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, n bigint")).count() == 0
+
+
+def test_places_do_not_depend_on_the_layout(docs):
+    a, b = (sorted(map(str, pack_documents(docs(CASES, parts), BPE).collect())) for parts in (1, 7))
+    assert a == b
