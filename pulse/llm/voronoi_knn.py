@@ -9,11 +9,13 @@
 4. Local solution: groups are cut into blocks of queries and of data, each pair of blocks is one
    task's matrix product with a running top k, and the partial lists are merged by rank.
 
-Nothing is broadcast but the pivots and summaries, whose number is a parameter.
+Nothing is broadcast but the pivots and summaries; their number follows the square root of the rows
+up to ``MOST_PIVOTS``, so cells grow more slowly than the table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import name, stage_table
 
-PIVOTS = 32          # cells; pivots and k + 1 distances a cell are all that is broadcast
+PIVOTS = 32          # cells of a small table; pivots and k + 1 distances a cell are all that is broadcast
+MOST_PIVOTS = 1024
+ROWS_PER_PIVOT = 16  # of the square root of the rows: more than 32 cells from 2^18 rows on
+HELD = 1 << 20       # copies of vectors, or bounds of queries, that a task holds at once
 QUERY_BLOCK = 2048   # queries and vectors that one task multiplies
 DATA_BLOCK = 32768
 STRIPE = 2048        # vectors multiplied at once inside a task
@@ -82,13 +87,31 @@ def solve(q_rows: np.ndarray, q_ids: np.ndarray, q: np.ndarray, v_rows: np.ndarr
     return pd.DataFrame({"query_row": q_rows[row], "query_id": q_ids[row], "vec_id": best_ids[row, col], "score": best[row, col]})
 
 
+def pivots_for(rows: int) -> int:
+    """How many pivots a table of so many rows gets."""
+    return min(MOST_PIVOTS, max(PIVOTS, math.isqrt(rows) // ROWS_PER_PIVOT))
+
+
+def stretches(copies: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``most`` copies together, and one row at least."""
+    begin, held = 0, 0
+    for i, c in enumerate(copies.tolist()):
+        if i > begin and held + c > most:
+            yield begin, i
+            begin, held = i, 0
+        held += c
+    if begin < len(copies):
+        yield begin, len(copies)
+
+
 def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, scale: int = 64,
-          id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS,
+          id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None,
           query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
     """The k highest integer inner products of every query row with all other rows.
 
     Columns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; fewer rows if
-    there are fewer vectors. Components are floor(scale * x). Rows with a null id, null vector,
+    there are fewer vectors. Components are floor(scale * x). ``pivots`` is how many cells there are at
+    most; None: as many as ``pivots_for`` gives for the table. Rows with a null id, null vector,
     or null or non-finite components take no part. Every row is a vector of its own: rows under one
     id find each other, and each query row under one id has ranks of its own. Shorter vectors count as padded with zeros. Empty tables give no rows.
     Other input columns are ignored.
@@ -108,6 +131,7 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
         return out
 
     # Pivots: a bounded choice by hash, equal vectors once.
+    pivots = pivots or pivots_for(n)
     chosen = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(pivots).collect()
     p = np.unique(np.array([padded(r.vec) for r in chosen]), axis=0).astype(np.float64)
     p_sq = (p * p).sum(1)
@@ -138,14 +162,15 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
     s_dist = np.array([r.dist for r in summary])
 
     def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            x = _matrix(f["vec"], dtype, dim).astype(np.float64)
-            sure = (x @ p.T)[:, s_cell] - f["norm"].to_numpy()[:, None] * s_dist
-            # k others surely score this much; one of the k + 1 may be the query itself.
-            low = np.sort(sure, axis=1)[:, -(k + 1)] if len(s_cell) > k else np.full(len(f), -np.inf)
-            yield pd.DataFrame({"cell": f["cell"], "dist": f["dist"], "low": low})
+        at_once = max(1, HELD // max(1, len(s_cell)))
+        for whole in frames:
+            for i in range(0, len(whole), at_once):
+                f = whole.iloc[i:i + at_once]
+                x = _matrix(f["vec"], dtype, dim).astype(np.float64)
+                sure = (x @ p.T)[:, s_cell] - f["norm"].to_numpy()[:, None] * s_dist
+                # k others surely score this much; one of the k + 1 may be the query itself.
+                low = np.partition(sure, -(k + 1), axis=1)[:, -(k + 1)] if len(s_cell) > k else np.full(len(f), -np.inf)
+                yield pd.DataFrame({"cell": f["cell"], "dist": f["dist"], "low": low})
 
     groups = (assigned.filter("query").select("cell", "dist", "norm", "vec")
               .mapInPandas(bound, "cell int, dist double, low double").groupBy("cell")
@@ -165,14 +190,17 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
                 x = _matrix(b.column("vec").to_pylist(), dtype, dim).astype(np.float64)
                 could = x @ p[g_cell].T + b.column("norm").to_numpy()[:, None] * g_radius
                 slack = 1 + 1e-9 * np.abs(could)
-                row, group = np.nonzero(could + slack >= g_low)
-                block = np.concatenate([np.arange(c) for c in g_blocks[group]]) if len(group) else np.zeros(0)
-                row, group = np.repeat(row, g_blocks[group]), np.repeat(group, g_blocks[group])
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g_cell[group], pa.int32()), pa.array(block, pa.int32()), b.column("block").take(at),
-                     b.column("row").take(at), b.column("id").take(at), b.column("vec").take(at)],
-                    ["cell", "q_block", "d_block", "row", "id", "vec"])
+                rows_, groups_ = np.nonzero(could + slack >= g_low)
+                # Written out a bounded number of copies at a time, however many query blocks there are.
+                for begin, end in stretches(g_blocks[groups_], most=max(1, HELD // dim)):
+                    row, group = rows_[begin:end], groups_[begin:end]
+                    block = np.concatenate([np.arange(c) for c in g_blocks[group]])
+                    row, group = np.repeat(row, g_blocks[group]), np.repeat(group, g_blocks[group])
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(g_cell[group], pa.int32()), pa.array(block, pa.int32()), b.column("block").take(at),
+                         b.column("row").take(at), b.column("id").take(at), b.column("vec").take(at)],
+                        ["cell", "q_block", "d_block", "row", "id", "vec"])
 
     keyed = assigned.select("row", "id", "cell", "vec", "norm", "query")
     data = (keyed.select("row", "id", "vec", "norm", F.pmod(F.xxhash64("row"), F.lit(d_blocks)).cast("int").alias("block"))
