@@ -23,6 +23,7 @@ holds the same symbol at the same place.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import chain, compress
 
@@ -196,8 +197,14 @@ def repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, id_col: str
                          .filter("a < b").select("name"), "shared-names")
     found = stage_table(chosen.join(shared, "name"), "shared-anchors")
     places = stage_table(found.groupBy("name", "place").agg(F.min("doc_id").alias("first_id")), "places")
-    several = places.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("several"))
-    first = stage_table(places.join(several, "name"), "first-documents")
+    # A common name has many places: they are dealt by (name, salt), and so are the names with several.
+    salts = max(1, math.isqrt(places.count()))
+    salted = places.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(salts)))
+    several = stage_table(salted.groupBy("name", "salt").agg(F.count(F.lit(1)).alias("n"))
+                          .groupBy("name").agg(F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))
+                          .filter("n > 1").select("name", F.explode("salts").alias("salt"), F.lit(True).alias("several")), "several")
+    first = stage_table(salted.join(several, ["name", "salt"], "left")
+                        .select("name", "place", "first_id", F.coalesce("several", F.lit(False)).alias("several")), "first-documents")
     # check = 0: a smaller document has all windows of the symbol; 1: compare them one by one.
     decided = (found.join(first, ["name", "place"]).filter("first_id < doc_id or several")
                .select("doc_id", "name", "place", (F.col("first_id") == F.col("doc_id")).cast("long").alias("check")))
