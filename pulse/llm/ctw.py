@@ -11,8 +11,10 @@ How it runs, with text sent through one shuffle only:
 1. One pass over the texts finds, per chunk (input partition), its distinct n-grams (context +
    byte) and words, and how often training documents have them. They are packed by bucket:
    n-grams by their two nearest context bytes, words by hash.
-2. Buckets are merged over the chunks, ``PART`` chunks a time, level by level. Each bucket
-   builds its subtrees in numpy; depths 0 and 1 (at most 256 x 255 nodes) meet on the driver.
+2. A bucket that holds more than ``HEAVY`` of all n-grams is dealt again by its third context
+   byte, a rule of shares alone. Buckets are merged over the chunks, ``PART`` chunks a time, level by
+   level. Each builds its subtrees in numpy; depths 0 and 1 (at most 256 x 255 nodes) meet on the
+   driver, and so does depth 2 of the heavy buckets (at most 1 / HEAVY buckets x 256 x 255 nodes).
 3. Each chunk's bucket is answered by the merged bucket: a log-probability per n-gram, for those
    that training never saw as well (the deepest seen node decides), and a count per word. The
    answers keep the order of the questions, so they are numbers only.
@@ -39,6 +41,8 @@ END = b"\xff"  # never part of UTF-8: ends a text, and stands before it as conte
 LOG2 = np.log(2.0)
 FACTS = "chunk int, bucket int, items binary, counts binary"
 BUCKETS = 256  # of n-grams, and as many of words
+HEAVY = 1 / 64  # share of all n-grams of all chunks from which a bucket is dealt again,
+SPLIT = 16      # into so many
 SLICE = 1 << 21         # bytes of text whose n-grams a task holds at once
 UNMERGED = 2_000_000  # n-grams that a chunk holds in unmerged parts
 PART = 64      # chunks whose shares of a bucket are merged or answered at once
@@ -188,6 +192,19 @@ def bucket_of(gram: np.ndarray, depth: int) -> np.ndarray:
     return ((near * np.uint64(40503) >> np.uint64(8)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def split_bucket(gram: np.ndarray, bucket: np.ndarray, depth: int, heavy: frozenset[int]) -> np.ndarray:
+    """``bucket`` with the n-grams of heavy buckets dealt by their third context byte, as buckets from
+    2 * BUCKETS on."""
+    if not heavy:
+        return bucket
+    third = (gram >> np.uint64(8 * (depth - 2)) & np.uint64(255)).astype(np.int64)
+    return np.where(np.isin(bucket, list(heavy)), 2 * BUCKETS + bucket * SPLIT + third % SPLIT, bucket)
+
+
+def of_words(bucket: int) -> bool:
+    return BUCKETS <= bucket < 2 * BUCKETS
+
+
 def pack(values: np.ndarray) -> bytes:
     """Ascending integers as differences, one byte plane after the other (compresses well)."""
     steps = np.diff(values, prepend=values.dtype.type(0)) if len(values) else values
@@ -240,10 +257,14 @@ class Chunk:
         if sum(len(u) for u, _ in self.parts) > UNMERGED + 2 * len(self.parts[0][0]):
             self.settle()
 
-    def packed(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(bucket, items, counts): n-grams in buckets 0.., words in buckets ``BUCKETS``.."""
+    def buckets(self, heavy: frozenset[int]) -> np.ndarray:
+        return split_bucket(self.grams, bucket_of(self.grams, self.depth), self.depth, heavy)
+
+    def packed(self, heavy: frozenset[int] = frozenset()) -> Iterator[tuple[int, bytes, bytes]]:
+        """(bucket, items, counts): n-grams in buckets 0.., words in buckets ``BUCKETS``.., what heavy
+        buckets were dealt into from 2 * ``BUCKETS`` on."""
         self.settle()
-        bucket = bucket_of(self.grams, self.depth)
+        bucket = self.buckets(heavy)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order])) + 1
         for at in np.split(order, edges) if len(order) else []:
@@ -282,11 +303,36 @@ def facts(docs: DataFrame, depth: int) -> DataFrame:
     return docs.select("chunk", "text", "held_out").mapInArrow(run, FACTS)
 
 
+def heavy_buckets(found: DataFrame, depth: int) -> frozenset[int]:
+    """Buckets of n-grams with more than ``HEAVY`` of all; with depth 2 there is no third byte."""
+    if depth < 3:
+        return frozenset()
+    size = found.filter(F.col("bucket") < BUCKETS).groupBy("bucket").agg(F.sum(F.length("items")).alias("n")).collect()
+    total = sum(r.n for r in size)  # at most BUCKETS rows
+    return frozenset(r.bucket for r in size if r.n > HEAVY * total)
+
+
+def dealt_again(found: DataFrame, depth: int, heavy: frozenset[int]) -> DataFrame:
+    """``found`` with the rows of heavy buckets dealt by the third context byte."""
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for chunk, bucket, items, counts in zip(f["chunk"], f["bucket"], f["items"], f["counts"], strict=True):
+                gram, n = unpack(items), counts_of(counts)
+                to = split_bucket(gram, np.full(len(gram), bucket), depth, heavy)
+                parts = [(int(b), np.flatnonzero(to == b)) for b in np.unique(to)]
+                yield pd.DataFrame([(chunk, b, pack(gram[at]), n[at].tobytes()) for b, at in parts],
+                                   columns=["chunk", "bucket", "items", "counts"])
+    if not heavy:
+        return found
+    chosen = F.col("bucket").isin(sorted(heavy))
+    return found.filter(~chosen).unionByName(found.filter(chosen).mapInPandas(deal, FACTS))
+
+
 def merged(found: DataFrame) -> DataFrame:
     """One row per bucket: (bucket, items, counts), n-grams and words that training has."""
     def add_up(f: pd.DataFrame) -> pd.DataFrame:
         bucket = int(f["bucket"].iloc[0])
-        if bucket < BUCKETS:
+        if not of_words(bucket):
             items, counts = summed([(unpack(i), counts_of(c)) for i, c in zip(f["items"], f["counts"], strict=True)])
             items, counts = pack(items[counts > 0]), counts[counts > 0]
         else:
@@ -330,31 +376,47 @@ def ctw_scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int
     d = (documents(docs, id_col, text_col).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
          .withColumn("chunk", F.spark_partition_id()))
     found = stage_table(facts(d, depth), "facts")
+    heavy = heavy_buckets(found, depth)
+    found = dealt_again(found, depth, heavy)
     model = merged(found)
+    words = F.col("bucket").between(BUCKETS, 2 * BUCKETS - 1)
 
     def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             n = [counts_of(c) for c in f["counts"]]
             yield pd.DataFrame({"tokens": [int(c.sum()) for c in n], "words": [len(c) for c in n]})
 
-    known = (model.filter(F.col("bucket") >= BUCKETS).select("counts").mapInPandas(sizes, "tokens bigint, words bigint")
+    known = (model.filter(words).select("counts").mapInPandas(sizes, "tokens bigint, words bigint")
              .agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first())
     total, distinct = int(known[0]), int(known[1])
 
     def roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for items, counts in zip(f["items"], f["counts"], strict=True):
-                level = subtree(unpack(items), counts_of(counts), depth, 2)[0]
-                yield pd.DataFrame({"node": up_one(level.ids).astype(np.int64),
+            for bucket, items, counts in zip(f["bucket"], f["items"], f["counts"], strict=True):
+                top = 2 if bucket < BUCKETS else 3
+                level = subtree(unpack(items), counts_of(counts), depth, top)[0]
+                yield pd.DataFrame({"top": top, "node": up_one(level.ids).astype(np.int64),
                                     "zeros": level.zeros, "ones": level.ones, "pw": level.pw})
 
-    # At most 256 contexts x 255 bit prefixes.
-    top = (model.filter(F.col("bucket") < BUCKETS).mapInPandas(roots, "node bigint, zeros double, ones double, pw double")
-           .groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("pw").alias("pw"))
-           .orderBy("node").collect())
-    one = Level(np.array([r.node for r in top], np.uint64), np.array([r.zeros for r in top], float),
-                np.array([r.ones for r in top], float))
-    one.mix(np.array([r.pw for r in top], float))
+    sums = [F.sum(c).alias(c) for c in ("zeros", "ones", "pw")]
+    # At most 256 contexts x 255 bit prefixes, and as many for each heavy bucket.
+    met = (model.filter(~words).mapInPandas(roots, "top int, node bigint, zeros double, ones double, pw double")
+           .groupBy("top", "node").agg(*sums).orderBy("node").collect())
+
+    def level_above(top: int, more: Level | None = None) -> Level:
+        """The nodes at depth ``top`` - 1 from their children's sums; ``more`` are children themselves."""
+        rows = [r for r in met if r.top == top]
+        ids, zeros, ones, pw = ([np.array([r[c] for r in rows], t)] for c, t in (("node", np.uint64), ("zeros", float), ("ones", float), ("pw", float)))
+        if more is not None:
+            for kept, own in zip((ids, zeros, ones, pw), (up_one(more.ids), more.zeros, more.ones, more.pw), strict=True):
+                kept.append(own)
+        ids = np.concatenate(ids)
+        level = Level(ids, np.concatenate(zeros), np.concatenate(ones))
+        level.mix(np.bincount(np.searchsorted(level.ids, ids), np.concatenate(pw), len(level.ids)))
+        return level
+
+    two = level_above(3)  # of heavy buckets only
+    one = level_above(2, two)
     zero = one.parent()
     zero.predict(np.zeros(len(zero.ids)), np.ones(len(zero.ids)))
     one.predict(zero.reached[one.to_parent], zero.left[one.to_parent])
@@ -365,20 +427,27 @@ def ctw_scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int
         shallow[(c << 8) + zero.ids.astype(np.int64)] = zero.one
     at = one.ids.astype(np.int64)
     shallow[at], reached[at], left[at] = one.one, one.reached, one.left
+    up_two = up_one(two.ids).astype(np.int64)
+    two.predict(reached[up_two], left[up_two])
 
     def answer(asked: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
             return pd.DataFrame({"chunk": [], "bucket": [], "mark": [], "answers": []})
-        if asked["bucket"].iloc[0] < BUCKETS:
+        if not of_words(bucket := asked["bucket"].iloc[0]):
             items = unpack(has["items"].iloc[0]) if len(has) else np.zeros(0, np.uint64)
-            levels = subtree(items, counts_of(has["counts"].iloc[0]) if len(has) else np.zeros(0, np.int64), depth, 2)
-            up = up_one(levels[0].ids).astype(np.int64)
-            levels[0].predict(reached[up], left[up])
+            top = 2 if bucket < BUCKETS else 3
+            levels = subtree(items, counts_of(has["counts"].iloc[0]) if len(has) else np.zeros(0, np.int64), depth, top)
+            if top == 2:
+                up = up_one(levels[0].ids).astype(np.int64)
+                levels[0].predict(reached[up], left[up])
+            else:
+                up = np.searchsorted(two.ids, up_one(levels[0].ids))
+                levels[0].predict(two.reached[up], two.left[up])
             for above, level in zip(levels, levels[1:], strict=False):
                 level.predict(above.reached[level.to_parent], above.left[level.to_parent])
             wanted = [unpack(i) for i in asked["items"]]  # chunks mostly ask for the same n-grams
             every = ascending(np.concatenate(wanted))
-            logs = probabilities(levels, every, depth, 2, shallow)
+            logs = probabilities(levels if top == 2 else [two, *levels], every, depth, 2, shallow)
             out = [logs[np.searchsorted(every, w)] for w in wanted]
         else:
             c = dict(zip(has["items"].iloc[0].split(b" "), counts_of(has["counts"].iloc[0]).tolist(), strict=True)) if len(has) else {}
@@ -402,13 +471,13 @@ def ctw_scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int
         own.settle()
         got = {b: (m, a) for b, m, a in zip(*(answered.column(c).to_pylist() for c in ("bucket", "mark", "answers")), strict=True)}
         logs, worth, seen, unit = np.zeros(len(own.grams)), {}, set(), np.log10(total + distinct + 1.0)
-        bucket = bucket_of(own.grams, depth)
-        for b, items, _ in own.packed():
+        bucket = own.buckets(heavy)
+        for b, items, _ in own.packed(heavy):
             mark, blob = got.get(b, (None, b""))
             if mark != zlib.crc32(items):
                 raise RuntimeError("the input's partitions changed between the passes: stage the table first")
             value = np.frombuffer(blob, "<f8")
-            if b < BUCKETS:
+            if not of_words(b):
                 logs[bucket == b] = value
             else:
                 words = items.split(b" ")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulse.llm import ctw
 from pulse.llm.common import stage_table
 from pulse.llm.ctw import ctw_scores, log_gamma, one_in_seven, pack, unpack
 
@@ -91,6 +92,23 @@ def test_is_the_exact_mixture(docs, depth):
     same(got(ctw_scores(stage_table(docs(ROWS), "t"), one_in_seven, depth)), brute(ROWS, depth))
 
 
+@pytest.mark.parametrize(("depth", "share"), [(3, 0.0), (5, 0.0), (5, 0.02), (2, 0.0)])
+def test_heavy_buckets_are_dealt_again_and_stay_exact(docs, monkeypatch, depth, share):
+    monkeypatch.setattr(ctw, "HEAVY", share)
+    same(got(ctw_scores(stage_table(docs(ROWS), "t"), one_in_seven, depth)), brute(ROWS, depth))
+
+
+def test_split_keeps_what_shares_three_bytes_together():
+    rng, depth = np.random.default_rng(3), 5
+    gram = rng.integers(0, 2**48, 5000).astype(np.uint64)
+    plain = ctw.bucket_of(gram, depth)
+    heavy = frozenset(plain[:40].tolist())
+    to = ctw.split_bucket(gram, plain, depth, heavy)
+    assert (to[~np.isin(plain, list(heavy))] < ctw.BUCKETS).all() and (to[np.isin(plain, list(heavy))] >= 2 * ctw.BUCKETS).all()
+    far = gram ^ rng.integers(0, 2**24, 5000).astype(np.uint64)  # other far bytes, other byte
+    assert (ctw.split_bucket(far, ctw.bucket_of(far, depth), depth, heavy) == to).all()
+
+
 def test_empty_untrained_and_clashing(docs):
     assert ctw_scores(stage_table(docs([]), "t"), one_in_seven).count() == 0
     only = [(i, "ab") for i in range(200) if held(i)][:4]
