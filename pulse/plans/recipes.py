@@ -28,7 +28,7 @@ from ..ml.models import FittedModel, Prepared, prepare
 from ..ml.perceptron import fit_perceptron
 from ..operators import variants
 from ..operators.snapshot import FEATURES_15
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 from .train import save_bundle, tables
 
 
@@ -111,7 +111,7 @@ def with_folds(panel: DataFrame, recipe: Recipe, key: str, seed: int = C.SEED) -
     ensure_checkpoint_dir(panel.sparkSession)
     if recipe.folds not in ("group", "class_group"):
         raise ValueError(recipe.folds)
-    return FO.even_group_folds(panel, key, recipe.label if recipe.folds == "class_group" else None, recipe.k, seed).checkpoint()
+    return spread(FO.even_group_folds(panel, key, recipe.label if recipe.folds == "class_group" else None, recipe.k, seed).checkpoint())
 
 
 @dataclass

@@ -228,3 +228,38 @@ def test_calibrator_none_passes_through(spark):
     df = spark.createDataFrame([(0.0,), (0.3,), (1.0,)], "p double")
     assert [r[0] for r in df.select(apply_platt(F.col("p"), None)).collect()] == [0.0, 0.3, 1.0]
     assert abs(df.select(apply_platt(F.col("p"), {"a": 2.0, "b": -1.0}).alias("q")).collect()[1]["q"] - 1 / (1 + np.exp(0.4))) < 1e-12
+
+
+def test_yeo_johnson_statistics_without_a_row_per_lambda(spark):
+    """Moments by (column, lambda) equal numpy's, over signs, nulls and layouts, and no row is copied."""
+    from pulse.ml import prep as P
+    rng = np.random.RandomState(4)
+    x = np.column_stack([rng.gamma(1.0, 5.0, 3000), rng.normal(0, 2, 3000)])
+    rows = [(float(a), None if i % 7 == 0 else float(b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(5)
+    grids = {"a": [-2.0, 0.0, 0.5, 2.0], "b": [-1.0, 0.0, 1.5, 2.0]}
+    found = P._by_lambda(df, ["a", "b"], grids)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.f, r.lam): r for r in found.collect()}
+    assert len(got) == 8
+    for (f, lam), r in got.items():
+        v = np.array([p[f] for p in rows if p[f] is not None])
+        t = np.log1p(np.abs(v))
+        pos = t if lam == 0 else ((np.abs(v) + 1) ** lam - 1) / lam
+        neg = -t if lam == 2 else -((np.abs(v) + 1) ** (2 - lam) - 1) / (2 - lam)
+        y = np.where(v >= 0, pos, neg)
+        assert r.n == len(v) and r.least == v.min()
+        assert [r["mean"], r["std"], r.largest, r.jac] == pytest.approx([y.mean(), y.std(), np.abs(y).max(), (np.sign(v) * t).sum()], rel=1e-9)
+        if f == 0 and lam:
+            assert r.spread == pytest.approx((((v + 1) ** lam) / lam).std(), rel=1e-9)
+
+
+def test_rows_are_spread_over_the_cores(spark):
+    """Few bytes, much work: a packed frame is dealt out again, a small one stays in one piece."""
+    from pulse.session import parts_for, spread
+    cores = spark.sparkContext.defaultParallelism
+    packed = spark.range(20_000).coalesce(1).checkpoint()
+    out = spread(packed)
+    assert out.rdd.getNumPartitions() == cores > 1
+    assert out.groupBy().agg(F.count_distinct("id"), F.sum("id")).first()[:] == (20_000, 19_999 * 10_000)
+    assert parts_for(spark, 100) == 1 and parts_for(spark, (1 << 16) * 100) == 100
