@@ -62,3 +62,16 @@ def test_early_stop_keeps_the_best_epoch(spark):
     h = np.array([r[0] for r in df.selectExpr(f"xxhash64(id, {P.C.SEED}) AS h", "id").orderBy("id").select("h").collect()])
     held = uniform(h, -1) < 0.1
     assert abs(((m.probability(x[held]) > 0.5) == (y[held] == 1)).mean() - max(m.history)) < 1e-12
+
+
+def test_steps_run_on_few_even_pieces(spark, monkeypatch):
+    """Every step reads all rows: hundreds of small pieces are packed first."""
+    from pulse.ml import boost
+    seen = []
+    for module in (P, boost):
+        monkeypatch.setattr(module, "parts_for", lambda s, n: seen.append(n) or 2)
+    rows = spark.createDataFrame([(i, float(i % 5), float(i % 2)) for i in range(200)], "id long, a double, label double").repartition(30)
+    rows = VectorAssembler(inputCols=["a"], outputCol="features").transform(rows)
+    P.fit_perceptron(rows, ["id"], hidden=(2,), epochs=1, batches=1, patience=None)
+    boost.fit_boosted(rows, ["id"], stages=1, depth=1)
+    assert seen == [200, 200]
