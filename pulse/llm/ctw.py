@@ -45,6 +45,7 @@ HEAVY = 1 / 64  # share of all n-grams of all chunks from which a bucket is deal
 SPLIT = 16      # into so many
 SLICE = 1 << 21         # bytes of text whose n-grams a task holds at once
 UNMERGED = 2_000_000  # n-grams that a chunk holds in unmerged parts
+LOOKUP = 1 << 18  # keys placed at once in a table
 PART = 64      # chunks whose shares of a bucket are merged or answered at once
 
 
@@ -69,31 +70,34 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
-        owner = np.full(1 << bits, -1)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
-        while len(todo):
-            free = owner[slot] < 0
-            owner[slot[free]] = todo[free]
-            left = owner[slot] != todo
-            todo, slot = todo[left], slot[left] + 1 & self.mask
-        used = np.flatnonzero(owner >= 0)
-        self.keys[used], self.values[used] = keys[owner[used]], values[owner[used]]
+        # The table holds places in the given arrays, four bytes a slot.
+        self.keys, self.values = keys, values
+        self.owner = np.full(1 << bits, -1, np.int32)
+        for begin in range(0, len(keys), LOOKUP):
+            todo = np.arange(begin, min(begin + LOOKUP, len(keys)), dtype=np.int32)
+            slot = self._slot(keys[todo])
+            while len(todo):
+                free = self.owner[slot] < 0
+                self.owner[slot[free]] = todo[free]
+                left = self.owner[slot] != todo
+                todo, slot = todo[left], slot[left] + 1 & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(0)
         slot = self._slot(keys)
-        out = self.values[slot]
-        todo = np.flatnonzero(self.keys[slot] != keys)
+        at = self.owner[slot]
+        todo = np.flatnonzero(self.keys[at] != keys)
         slot = slot[todo]
         while len(todo):
             slot = slot + 1 & self.mask
-            out[todo] = self.values[slot]
-            left = self.keys[slot] != keys[todo]
+            at[todo] = self.owner[slot]
+            left = self.keys[at[todo]] != keys[todo]
             todo, slot = todo[left], slot[left]
-        return out
+        return self.values[at]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -246,13 +250,13 @@ class Chunk:
     def see(self, texts: list[bytes]) -> None:
         """Like ``add`` without counts: which n-grams and words there are."""
         u = ascending(grams(texts, self.depth)[0])
-        self._keep(u, np.zeros(len(u), np.int64))
+        self._keep(u, None)
         words = {b""}
         for t in texts:
             words.update(t.split())
         dict.update(self.words, dict.fromkeys(words, 0))
 
-    def _keep(self, items: np.ndarray, counts: np.ndarray) -> None:
+    def _keep(self, items: np.ndarray, counts: np.ndarray | None) -> None:
         self.parts.append((items, counts))
         if sum(len(u) for u, _ in self.parts) > UNMERGED + 2 * len(self.parts[0][0]):
             self.settle()
@@ -268,7 +272,7 @@ class Chunk:
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order])) + 1
         for at in np.split(order, edges) if len(order) else []:
-            yield int(bucket[at[0]]), pack(self.grams[at]), self.counts[at].astype("<i8").tobytes()
+            yield int(bucket[at[0]]), pack(self.grams[at]), b"" if self.counts is None else self.counts[at].astype("<i8").tobytes()
         dealt: dict[int, list[bytes]] = {}
         for w in self.words:
             dealt.setdefault(zlib.crc32(w) % BUCKETS, []).append(w)
@@ -277,7 +281,10 @@ class Chunk:
             yield BUCKETS + b, b" ".join(words), np.array([self.words[w] for w in words], "<i8").tobytes()
 
 
-def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def summed(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray | None]:
+    """The items in order with their added counts; without counts (``Chunk.see``) the items alone."""
+    if parts[0][1] is None:
+        return ascending(np.concatenate([p for p, _ in parts])), None
     items, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
     return items, np.bincount(at, np.concatenate([c for _, c in parts]), len(items)).astype(np.int64)
 

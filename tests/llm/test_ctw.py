@@ -129,3 +129,21 @@ def test_packing_and_log_gamma():
     assert (unpack(pack(x)) == x).all() and len(unpack(pack(x[:0]))) == 0
     y = np.array([0.5, 1.0, 1.5, 7.25, 1000.5, 1e8])
     assert log_gamma(y) == pytest.approx([math.lgamma(v) for v in y], abs=1e-9, rel=1e-12)
+
+
+def test_lookup_and_questions_hold_little():
+    """Four bytes a slot beside the given arrays, and no counts for n-grams that are only asked for."""
+    rng = np.random.RandomState(1)
+    keys = ctw.ascending(rng.randint(0, 2**62, 300_000).astype(np.uint64))
+    values = rng.rand(len(keys))
+    find = ctw.Lookup(keys, values)
+    assert find.keys is keys and find.values is values
+    assert sum(a.nbytes for a in vars(find).values() if isinstance(a, np.ndarray) and a is not keys and a is not values) <= 16 * len(keys)
+    asked = rng.randint(0, len(keys), 50_000)
+    assert (find(keys[asked]) == values[asked]).all()
+    own, counted = ctw.Chunk(3), ctw.Chunk(3)
+    for texts in ([b"one two", b""], [b"two three"]):
+        own.see(texts)
+        counted.add(texts, np.ones(len(texts), bool))
+    assert [p[:2] for p in own.packed()] == [p[:2] for p in counted.packed()]
+    assert own.counts is None
