@@ -263,3 +263,10 @@ def test_rows_are_spread_over_the_cores(spark):
     assert out.rdd.getNumPartitions() == cores > 1
     assert out.groupBy().agg(F.count_distinct("id"), F.sum("id")).first()[:] == (20_000, 19_999 * 10_000)
     assert parts_for(spark, 100) == 1 and parts_for(spark, (1 << 16) * 100) == 100
+
+
+def test_training_layout_fills_partitions_at_size(spark):
+    """The layout follows the rows only; beyond 48 partitions they are filled before there are more."""
+    from pulse.ml.models import train_parts
+    assert [train_parts(n) for n in (0, 1, 4096, 4097, 9_750, 58_500)] == [1, 1, 1, 2, 3, 15]
+    assert [train_parts(n) for n in (585_000, 48 << 16, 3_510_000)] == [48, 48, 54]
