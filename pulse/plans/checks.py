@@ -68,19 +68,19 @@ def _blend_sql(rule: str, where: str = "") -> str:
 
 @register("daily_scores_check", _blend_sql(O.DECLINE_B, "WHERE cutoff = 14"))
 def daily_scores_check(spark, sf):
-    extra = Q._bundle(spark, sf)[0].extra
+    extra = Q._bundle(spark, sf).extra
     return _blended(Q._daily_model(spark, sf), extra, "daily", extra["alpha"], extra["risk_thresholds"])
 
 
 @register("blended_risk_check", _blend_sql(O.DECLINE_B))
 def blended_risk_check(spark, sf):
-    fm = Q._bundle(spark, sf)[0]
+    fm = Q._bundle(spark, sf)
     return _blended(TR.score_with_bundle(fm, variants.snapshot_v8(Q.T(spark, sf)), IDS), fm.extra, "blended", fm.extra["alpha"], fm.extra["risk_thresholds"])
 
 
 @register("blended_risk_a_check", _blend_sql(O.DECLINE_A))
 def blended_risk_a_check(spark, sf):
-    fm = Q._bundle(spark, sf)[0]
+    fm = Q._bundle(spark, sf)
     return _blended(TR.score_with_bundle(fm, variants.snapshot_v8(Q.T(spark, sf)), IDS, "decline_a"), fm.extra, "blended_a",
                     C.BLEND_A["alpha_model"], {"medium": C.BLEND_A["thr_medium"], "high": C.BLEND_A["thr_high"]})
 
@@ -88,7 +88,7 @@ def blended_risk_a_check(spark, sf):
 @register("blended_risk_heuristic_check", Q._on_v8(f"""SELECT id_student, cutoff, round({O.HEURISTIC}, 6) AS heuristic_risk,
   round(least(greatest({O.HEURISTIC} * 1.15::DOUBLE, 0::DOUBLE), 1::DOUBLE), 6) AS heur_boosted, true AS risk_ok, true AS display_ok FROM q""", _CLEAN))
 def blended_risk_heuristic_check(spark, sf):
-    out = written(TR.score_with_bundle(Q._bundle(spark, sf)[0], variants.snapshot_v8(Q.T(spark, sf)), IDS, "heuristic"), "heuristic")
+    out = written(TR.score_with_bundle(Q._bundle(spark, sf), variants.snapshot_v8(Q.T(spark, sf)), IDS, "heuristic"), "heuristic")
     return out.select(*IDS, F.round("heuristic_risk", 6).alias("heuristic_risk"), F.round("heur_boosted", 6).alias("heur_boosted"),
                       near("risk_score", "0.55D * proba + 0.45D * heur_boosted").alias("risk_ok"),
                       near("display", "1D / (1D + exp(-8D * (risk_score - 0.5D)))").alias("display_ok"))
@@ -96,7 +96,7 @@ def blended_risk_heuristic_check(spark, sf):
 
 @register("score_calibrated_check", Q._on_v8("""SELECT id_student, cutoff, true AS calibrated_ok, true AS display_ok, true AS decision_ok FROM p"""))
 def score_calibrated_check(spark, sf):
-    platt, (k, c) = Q._bundle(spark, sf)[0].extra["platt"], Q._display_fit(spark, sf)
+    platt, (k, c) = Q._bundle(spark, sf).extra["platt"], Q._display_fit(spark, sf)
     out = written(Q._score_cal(spark, sf), "calibrated").withColumnRenamed("proba_raw", "proba")
     return out.select(*IDS, near("proba_cal", _calibrated(platt)).alias("calibrated_ok"),
                       near("display", f"1D / (1D + exp(-({k!r}D) * (proba_cal - ({c!r}D))))").alias("display_ok"),
@@ -107,7 +107,7 @@ def score_calibrated_check(spark, sf):
   true AS score_ok FROM p"""))
 def score_with_threshold_check(spark, sf):
     out = written(Q._score_thr(spark, sf, 0.5), "with_threshold")
-    fm, p = Q._bundle(spark, sf)
+    fm, p = Q._bundle(spark, sf), Q._panel(spark, sf)
     again = written(fm.transform(p, keep=IDS), "again").withColumnRenamed("proba", "other")
     return out.join(again, IDS).select(*IDS, "threshold", "model_name", F.expr("prediction = CASE WHEN proba >= threshold THEN 1 ELSE 0 END").alias("decision_ok"),
                                        near("proba", "other").alias("score_ok"))
@@ -120,7 +120,7 @@ _V11 = Q.W(Q._V11_CTES, f"p AS ({Q._V11_SELECT})")
 
 @register("score_raw_history_check", _V11 + "\nSELECT student_id, true AS proba_ok, true AS tier_ok, true AS same_as_features FROM p")
 def score_raw_history_check(spark, sf):
-    fm = Q._bundle(spark, sf)[0]
+    fm = Q._bundle(spark, sf)
     rows = clean_features(Q._feature_rows(spark, sf), FEATURES_15, TR.clean_mode(fm), keep=["student_id"])
     other = written(fm.transform(rows, keep=["student_id"]), "from_features")
     out = written(Q._score_single(spark, sf), "raw_history").join(other, "student_id")

@@ -96,7 +96,7 @@ def json_scan_scored(spark, sf):
     from ..operators import variants
     from ..operators.snapshot import FEATURES_15
     from . import train as TR
-    fm = Q._bundle(spark, sf)[0]
+    fm = Q._bundle(spark, sf)
     rows = scan_histories(spark, _json_text(spark, sf)).good
     x = clean_features(variants.snapshot_v11(rows), FEATURES_15, TR.clean_mode(fm), keep=["student_id"])
     return fm.transform(x, keep=["student_id"]).select("student_id", F.col("proba").between(0, 1).alias("scored"))

@@ -56,3 +56,12 @@ def test_filters_and_columns_reach_the_scan(static_spark):
 def test_carried_rows_leave_the_panel_aggregates_hash_aggregates(static_spark, name):
     p = _plan(registry.queries()[name](static_spark, SF))
     assert "SortAggregate" not in p and "HashAggregate" in p
+
+
+def test_a_bundle_is_read_without_building_the_panel(spark, monkeypatch):
+    """Queries that score other rows need the saved model only."""
+    from pulse.plans import catalog as Q
+    monkeypatch.setattr(Q, "_bundle_path", lambda spark, sf, name: f"{sf}/{name}")
+    monkeypatch.setattr(Q.TR, "load_bundle", lambda spark, path: path)
+    monkeypatch.setattr(Q, "_panel", lambda spark, sf: pytest.fail("panel built"))
+    assert Q._bundle(spark, "at") == "at/rf"
