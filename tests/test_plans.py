@@ -65,3 +65,16 @@ def test_a_bundle_is_read_without_building_the_panel(spark, monkeypatch):
     monkeypatch.setattr(Q.TR, "load_bundle", lambda spark, path: path)
     monkeypatch.setattr(Q, "_panel", lambda spark, sf: pytest.fail("panel built"))
     assert Q._bundle(spark, "at") == "at/rf"
+
+
+def test_importance_prepares_its_rows_once(spark, monkeypatch):
+    from pulse.plans import catalog as Q
+    seen, panel = [], spark.range(1)
+    monkeypatch.setattr(Q, "_panel", lambda spark, sf: panel)
+    monkeypatch.setattr(Q, "prepare", lambda p, *a, **k: seen.append(p) or "rows")
+    monkeypatch.setattr(Q, "fit_prepared", lambda rows, name: (rows, name))
+    monkeypatch.setattr(Q.IMP, "native_importance", lambda spark, m: spark.createDataFrame([(m[1], "a", 1.0)], "model string, feature string, importance double"))
+    monkeypatch.setattr(Q.IMP, "permutation_importance", lambda m, *a, **k: spark.createDataFrame([(m[1], "a", 2.0)], "model string, feature string, importance double"))
+    got = {r.model: (r.native, r.permutation) for r in Q._importance(spark, "at").collect()}
+    assert seen == [panel]
+    assert got == {"rf": (1.0, 2.0), "mlp": (1.0, 2.0), "logreg_l1": (1.0, None), "gbt": (1.0, None)}
