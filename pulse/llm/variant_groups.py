@@ -142,7 +142,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     # Spark's distance sifts pairs inside the join; on long words, where it is slow, only one_edit judges.
     near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (
         F.when(F.length("a") <= SIFTED, F.levenshtein("a", "b", 1) == 1).otherwise(True))
-    return (a.join(b, "key").filter(near).select("a", "b", "a_n", "b_n").distinct()
+    # Spark sizes the keys by the words' file, not by the rows that explode gives, and would broadcast them.
+    return (a.join(b.hint("merge"), "key").filter(near).select("a", "b", "a_n", "b_n").distinct()
             .mapInArrow(_verified, "a string, b string, a_n long, b_n long"))
 
 
@@ -152,7 +153,7 @@ def last_forms(forms: DataFrame) -> DataFrame:
     steps = stage_table(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        steps = stage_table(steps.join(ahead, "root", "left")
+        steps = stage_table(steps.join(ahead.hint("merge"), "root", "left")
                             .select("word", F.coalesce("next", "root").alias("root"),
                                     F.col("next").isNotNull().alias("moved")), "roots")
         if steps.filter("moved").isEmpty():
@@ -173,12 +174,12 @@ def variant_groups(words: DataFrame, ratio: int = 5) -> DataFrame:
         pairs.select(F.col("b").alias("word"), F.struct((-F.col("a_n")).alias("less"), F.col("a").alias("other")).alias("best")))
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min("best").alias("best"))
     is_form = -F.col("best.less") >= ratio * F.col("n")
-    linked = stage_table(words.join(near, "word", "left").select(
+    linked = stage_table(words.join(near.hint("merge"), "word", "left").select(
         "word", F.when(is_form, F.col("best.other")).alias("form"), "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(is_form, -F.col("best.less")).alias("form_n")), "forms")
     roots = last_forms(linked.filter("form IS NOT NULL"))
-    return (linked.join(roots, "word", "left")
+    return (linked.join(roots.hint("merge"), "word", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
 
 

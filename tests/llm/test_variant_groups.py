@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pulse.llm.queries import QUERIES
-from pulse.llm.variant_groups import halves, signatures, spelling_variants, variant_groups
+from pulse.llm.common import stage_table
+from pulse.llm.variant_groups import halves, near_pairs, signatures, spelling_variants, variant_groups
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -97,3 +98,10 @@ def test_near_words_share_a_signature_and_a_half(word, at, letter, kind):
     other = word[:at] + (letter if kind < 2 else "") + word[at + (kind > 0):]
     assert set(signatures(word, {})) & set(signatures(other, {}))
     assert set(halves(word)) & set(halves(other))
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """A small file of words explodes into many times as many keys, which Spark does not see."""
+    words = stage_table(spark.range(2000).selectExpr("concat('word', md5(cast(id as string))) AS word", "id + 5 AS n"), "words")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (near_pairs(words), variant_groups(words))]
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
