@@ -79,3 +79,14 @@ def test_no_split_and_one_class(spark):
     m = fit_boosted(frame(spark, x, y), ["id"], stages=2)
     assert np.abs(m.probability(x) - 1 / 3).max() < 1e-6
     assert fit_boosted(frame(spark, x, np.ones(60)), ["id"], stages=1).probability(x).min() > 0.99
+
+
+@pytest.mark.parametrize("loss, subsample, patience", [("exponential", 1.0, None), ("logistic", 0.8, 4)])
+def test_one_task_and_a_job_a_level_give_the_same_trees(spark, monkeypatch, loss, subsample, patience):
+    from pulse.ml import blocks
+    x, y = data(900, 2)
+    fits = []
+    for most in (blocks.IN_TASK, 0):  # 0: every level is a job, as on large tables
+        monkeypatch.setattr(blocks, "IN_TASK", most)
+        fits.append(fit_boosted(frame(spark, x, y), ["id"], loss=loss, rate=0.3, stages=11, depth=3, min_leaf=10, subsample=subsample, patience=patience))
+    assert fits[0] == fits[1] and len(fits[0].trees) > 8

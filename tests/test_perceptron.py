@@ -75,3 +75,14 @@ def test_steps_run_on_few_even_pieces(spark, monkeypatch):
     P.fit_perceptron(rows, ["id"], hidden=(2,), epochs=1, batches=1, patience=None)
     boost.fit_boosted(rows, ["id"], stages=1, depth=1)
     assert seen == [200, 200]
+
+
+def test_one_task_and_a_job_a_step_give_the_same_weights(spark, monkeypatch):
+    from pulse.ml import blocks
+    df, x, y = frame(spark, 700)
+    fits = []
+    for most in (blocks.IN_TASK, 0):  # 0: every step is a job, as on large tables
+        monkeypatch.setattr(blocks, "IN_TASK", most)
+        fits.append(P.fit_perceptron(df, ["id"], (6,), rate=0.05, batches=3, epochs=6, patience=3))
+    assert np.abs(fits[0].probability(x) - fits[1].probability(x)).max() < 1e-6
+    assert fits[0].history == pytest.approx(fits[1].history)
