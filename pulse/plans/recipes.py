@@ -24,12 +24,12 @@ from ..ml import folds as FO
 from ..ml import metrics as M
 from ..ml import thresholds as TH
 from ..ml.boost import fit_boosted
-from ..ml.models import FittedModel, Prepared, prepare
+from ..ml.models import FittedModel, Prepared, full_parts, prepare
 from ..ml.perceptron import fit_perceptron
 from ..operators import variants
 from ..operators.snapshot import FEATURES_15
 from ..session import ensure_checkpoint_dir, spread
-from .train import save_bundle, tables
+from .train import GBT, MLP, save_bundle, tables
 
 
 @dataclass(frozen=True)
@@ -65,14 +65,13 @@ class Recipe:
                                           for m in self.models))
 
 
-ADAM = {"solver": "adam", "rate": 0.01, "epochs": 60, "patience": 10}
+ADAM = {"solver": "adam", "rate": 0.01, "epochs": 1000, "patience": 10}
 
 # The settings of the training variants.
 EARLY_WARNING = Recipe(label="y_short", models=(
-    Model("boosted", "boosted", {"loss": "exponential", "rate": 0.03, "depth": 3, "min_leaf": 40, "min_split": 20, "stages": 10}, oversample=1.0),
+    Model("boosted", "boosted", GBT, oversample=1.0),
     Model("forest", "forest", {"trees": 50, "depth": 3, "min_leaf": 10}, oversample=1.0),
-    Model("perceptron", "perceptron", {"hidden": (135,), "solver": "sgd", "rate": 0.3, "momentum": 0.9, "alpha": 0.1, "epochs": 60, "patience": 10},
-          oversample=1.0),
+    Model("perceptron", "perceptron", MLP, oversample=1.0),
     Model("logreg", "logreg", {"penalty": "l1", "C": 1.0}, oversample=1.0)))
 UNREGISTER = Recipe(label="target", threshold="train_folds", clean="click_nonneg", models=(
     Model("logreg", "logreg", {"penalty": "l2", "C": 2.0}, weights="balanced"),
@@ -80,7 +79,7 @@ UNREGISTER = Recipe(label="target", threshold="train_folds", clean="click_nonneg
 DAY7 = Recipe(label="dropout", folds="class_group", choose="pooled_ap", models=(
     Model("forest", "forest", {"trees": 400, "depth": 12, "min_leaf": 5}, weights="balanced"),
     Model("boosted", "boosted", {"loss": "exponential", "rate": 0.03, "depth": 3, "min_leaf": 40, "min_split": 20, "stages": 150}),
-    Model("perceptron", "perceptron", {"hidden": (128, 64), "alpha": 0.0005, **ADAM}, oversample=1.0),
+    Model("perceptron", "perceptron", {"hidden": (128, 64), "alpha": 0.0005, **ADAM, "epochs": 800}, oversample=1.0),
     Model("logreg", "logreg", {"penalty": "l1", "C": 1.0}, oversample=1.0)))
 OPTIMIZED = Recipe(label="y_short", models=(
     Model("logreg", "logreg", {"penalty": "l2", "C": 1.0}, weights="balanced"),
@@ -95,7 +94,7 @@ def fit(p: Prepared, m: Model, ids: Sequence[str], seed: int = C.SEED) -> Fitted
     if m.kind == "logreg":
         # C * sum(loss) + penalty is mean loss + penalty / (C * n).
         model = LogisticRegression(maxIter=200, tol=1e-7, standardization=False, regParam=1.0 / (s["C"] * max(p.n, 1)),
-                                   elasticNetParam=1.0 if s["penalty"] == "l1" else 0.0, **weight).fit(p.rows)
+                                   elasticNetParam=1.0 if s["penalty"] == "l1" else 0.0, **weight).fit(full_parts(p.rows, p.n))
     elif m.kind == "forest":
         model = RandomForestClassifier(numTrees=s["trees"], maxDepth=s["depth"], minInstancesPerNode=s["min_leaf"], seed=seed, **weight).fit(p.rows)
     elif m.kind == "boosted":
@@ -125,7 +124,7 @@ class Run:
 
 
 def run_folds(panel: DataFrame, recipe: Recipe, ids: Sequence[str], key: str = "id_student",
-              features: Sequence[str] = FEATURES_15, parallelism: int = 4) -> Run:
+              features: Sequence[str] = FEATURES_15, parallelism: int = 8) -> Run:
     """Every model of the recipe on every fold of ``panel`` (with a ``fold`` column)."""
     label = recipe.label
     keys = sorted({(f, *m.needs()) for m in recipe.models for f in range(recipe.k)}, key=str)
@@ -144,7 +143,9 @@ def run_folds(panel: DataFrame, recipe: Recipe, ids: Sequence[str], key: str = "
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         prepared = dict(zip(keys, pool.map(make, keys), strict=True))
-        parts = list(pool.map(one, [(m, f) for m in recipe.models for f in range(recipe.k)]))
+        # The fits of one long task each begin first; the others run many short ones beside them.
+        begun = {(m.name, f): pool.submit(one, (m, f)) for m in sorted(recipe.models, key=lambda m: m.kind != "perceptron") for f in range(recipe.k)}
+        parts = [begun[m.name, f].result() for m in recipe.models for f in range(recipe.k)]
     scored = reduce(DataFrame.unionByName, parts).checkpoint()
     return Run(scored, leaderboard(scored, recipe), prepared)
 
