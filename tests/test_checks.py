@@ -53,3 +53,14 @@ def test_threshold_check_equals_all_pairs(spark):
         own = [(p, y) for a, b, p, y in rows if (a, b) == (m, f)]
         tp, n = sum(y for p, y in own if p >= t), sum(p >= t for p, y in own)
         assert f1 == pytest.approx(2 * tp / (n + sum(y for _, y in own)))
+
+
+@pytest.mark.parametrize("key, recipe", [("train_v8", R.EARLY_WARNING), ("train_v9", R.UNREGISTER), ("train_v10", R.DAY7)])
+def test_registered_recipes_run_whole(monkeypatch, key, recipe):
+    from types import SimpleNamespace
+    ran = []
+    monkeypatch.setattr(K, "_RUNS", {})
+    monkeypatch.setattr(K.R, "train", lambda spark, sf, r: ran.append(r) or {"run": SimpleNamespace(board="board")})
+    session = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="app"))
+    assert registry.queries()[key](session, "at") == "board" and ran == [recipe]
+    assert all(m.settings["epochs"] >= 800 for m in recipe.models if m.kind == "perceptron")  # early stop ends them
