@@ -273,7 +273,6 @@ def test_training_layout_fills_partitions_at_size(spark):
 
 
 def test_oversampling_neighbours_of_one_task_are_those_of_the_windows(spark, monkeypatch):
-    from pulse.ml import blocks
     from pulse.ml import smote as S
     rng = np.random.RandomState(4)
     x = np.concatenate([rng.randint(0, 6, (500, 4)).astype(float), np.zeros((60, 4))])  # many equal distances
@@ -281,10 +280,10 @@ def test_oversampling_neighbours_of_one_task_are_those_of_the_windows(spark, mon
     df = df.selectExpr("struct(if(a = 8, null, a) AS a, b) AS _id", "_x")
     S.ensure_checkpoint_dir(spark)
     found = []
-    for most in (blocks.IN_TASK, 0):
-        monkeypatch.setattr(blocks, "IN_TASK", most)
+    for most in (S.IN_TASK, 0):
+        monkeypatch.setattr(S, "IN_TASK", most)
         found.append(sorted((repr(r._id), [(c.d, c.id, c.x) for c in r._nb]) for r in S.neighbours(df, 5, 4).collect()))
     assert found[0] == found[1] and len(found[0]) == 560
     one = df.limit(1)
-    monkeypatch.setattr(blocks, "IN_TASK", 9)
+    monkeypatch.setattr(S, "IN_TASK", 9)
     assert [r._nb for r in S.neighbours(one, 5, 4).collect()] == [[]] and S.neighbours(df.limit(0), 5, 4).count() == 0
